@@ -17,6 +17,40 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {"op2_bpe": op2_bpe}
-
-ORACLE_SQL: dict[str, str] = {}
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.chat import digests, format_conversations
+
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = spark.range(2).selectExpr("-7L AS conv_id", "id AS turn", "IF(id = 0, 'user', 'assistant') AS role", r"r'\### Assistant: </turn> ok' AS text")
+    return digests(format_conversations(rows.unionByName(hard)))
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.pii import digests, find
+
+    return digests(find(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {"op1_chat": op1_chat, "op2_bpe": op2_bpe, "op3_pii": op3_pii}
+
+_OP1 = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), u AS (
+  SELECT *, lag(role) OVER w IS DISTINCT FROM role OR row_number() OVER w = 1 AS opens,
+         regexp_replace(text, '<(\\*)(/?turn|part/)', '<\\\1\2', 'g') AS escaped,
+         replace(replace(replace(role, '%', '%25'), '<', '%3C'), '>', '%3E') AS tag
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length(escaped) + CASE WHEN opens THEN 6 + length(tag) + 2 + 8 ELSE 7 END) AS BIGINT) AS formatted_chars,
+       CAST(sum(CASE WHEN opens THEN 1 ELSE 0 END) AS BIGINT) AS n_blocks
+FROM u GROUP BY conv_id
+""".replace("\\", "\")
+
+ORACLE_SQL: dict[str, str] = {"op1_chat": _OP1}
