@@ -51,6 +51,6 @@ SELECT conv_id, count(*) AS n_turns,
        CAST(sum(length(escaped) + CASE WHEN opens THEN 6 + length(tag) + 2 + 8 ELSE 7 END) AS BIGINT) AS formatted_chars,
        CAST(sum(CASE WHEN opens THEN 1 ELSE 0 END) AS BIGINT) AS n_blocks
 FROM u GROUP BY conv_id
-""".replace("\\", "\")
+"""
 
 ORACLE_SQL: dict[str, str] = {"op1_chat": _OP1}
