@@ -31,7 +31,13 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(find(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op1_chat": op1_chat, "op2_bpe": op2_bpe, "op3_pii": op3_pii}
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.quality import assess
+
+    return assess(table(spark, sf_dir, "documents")).drop("n")
+
+
+QUERIES = {"op1_chat": op1_chat, "op2_bpe": op2_bpe, "op3_pii": op3_pii, "op6_quality": op6_quality}
 
 _OP1 = r"""
 WITH t AS (
@@ -53,4 +59,41 @@ SELECT conv_id, count(*) AS n_turns,
 FROM u GROUP BY conv_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_chat": _OP1}
+_OP6 = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, chr(0)) AS host, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents
+), w AS (
+  SELECT doc_id, unnest(range(1, len(ws) - 1)) AS i, ws FROM d WHERE len(ws) >= 3
+), g AS (
+  SELECT doc_id, list(i) AS spots FROM (SELECT doc_id, i, ws[i] AS a, ws[i + 1] AS b, ws[i + 2] AS c FROM w)
+  GROUP BY doc_id, a, b, c HAVING count(*) > 1
+), r AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n FROM (SELECT doc_id, unnest(spots) AS i FROM g), range(3) AS o(k) GROUP BY doc_id
+), l0 AS (
+  SELECT doc_id, host, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d
+), l AS (
+  SELECT doc_id, host, pos, line, array_to_string(ws, ' ') AS norm, len(ws) AS words, row_number() OVER (PARTITION BY doc_id, line ORDER BY pos) AS nth
+  FROM (SELECT *, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789', 'abcdefghijklmnopqrstuvwxyz0000000000'), '[^\x20\x09-\x0D]+') AS ws FROM l0)
+  WHERE len(ws) > 0
+), a AS (
+  SELECT *, coalesce(lag(norm) OVER o, '') || chr(10) || coalesce(lead(norm) OVER o, '') AS around FROM l WINDOW o AS (PARTITION BY doc_id ORDER BY pos)
+), f AS (
+  SELECT host, norm FROM a GROUP BY host, norm HAVING count(DISTINCT around) > 20
+), x AS (
+  SELECT l.doc_id, sum(CASE WHEN nth > 1 THEN 1 ELSE 0 END) AS dup, coalesce(sum(words) FILTER (f.norm IS NOT NULL), 0) AS lost
+  FROM l LEFT JOIN f ON l.host = f.host AND l.norm = f.norm GROUP BY l.doc_id
+), s AS (
+  SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+         CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(coalesce(dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words,
+         CAST(len(ws) - coalesce(lost, 0) AS BIGINT) AS n_words_left
+  FROM d LEFT JOIN x ON d.doc_id = x.doc_id LEFT JOIN r ON d.doc_id = r.doc_id
+)
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words_left >= 50 AND 2 * n_words_left >= n_words AS kept
+FROM s
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_chat": _OP1, "op6_quality": _OP6}
