@@ -37,7 +37,13 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assess(table(spark, sf_dir, "documents")).drop("n")
 
 
-QUERIES = {"op1_chat": op1_chat, "op2_bpe": op2_bpe, "op3_pii": op3_pii, "op6_quality": op6_quality}
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.warc import archive_pages
+
+    return archive_pages(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {"op1_chat": op1_chat, "op2_bpe": op2_bpe, "op3_pii": op3_pii, "op6_quality": op6_quality, "op8_warc": op8_warc}
 
 _OP1 = r"""
 WITH t AS (
@@ -96,4 +102,14 @@ SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
 FROM s
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_chat": _OP1, "op6_quality": _OP6}
+_OP8 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS x FROM pages),
+     m AS (SELECT x, min(page_id) AS first FROM p GROUP BY x)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((CAST('0x' || substr(p.x, CAST(5 * (i // 4) + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31) + 1 AS BIGINT), 1)), '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p JOIN m ON p.x = m.x
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_chat": _OP1, "op6_quality": _OP6, "op8_warc": _OP8}
