@@ -43,7 +43,14 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op1_chat": op1_chat, "op2_bpe": op2_bpe, "op3_pii": op3_pii, "op6_quality": op6_quality, "op8_warc": op8_warc}
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.langid import predict, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return predict(docs, train(docs))
+
+
+QUERIES = {"op1_chat": op1_chat, "op2_bpe": op2_bpe, "op3_pii": op3_pii, "op4_language": op4_language, "op6_quality": op6_quality, "op8_warc": op8_warc}
 
 _OP1 = r"""
 WITH t AS (
