@@ -50,7 +50,13 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, train(docs))
 
 
-QUERIES = {"op1_chat": op1_chat, "op2_bpe": op2_bpe, "op3_pii": op3_pii, "op4_language": op4_language, "op6_quality": op6_quality, "op8_warc": op8_warc}
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.decontam import find
+
+    return find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {"op1_chat": op1_chat, "op2_bpe": op2_bpe, "op3_pii": op3_pii, "op4_language": op4_language, "op6_quality": op6_quality, "op8_warc": op8_warc, "op10_decontaminate": op10_decontaminate}
 
 _OP1 = r"""
 WITH t AS (

@@ -22,6 +22,8 @@ PLACE = _RNG.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: All ASCII characters but letters and digits: for words that punctuation parts.
+MARKS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -84,8 +86,8 @@ def span_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nd
 class Words:
     """Words of a piece: start, end (bytes), hash, and first (n + 1 word offsets by text)."""
 
-    def __init__(self, data: np.ndarray, at: np.ndarray, fold: np.ndarray = LOWER):
-        solid = ~SPACE[data]
+    def __init__(self, data: np.ndarray, at: np.ndarray, fold: np.ndarray = LOWER, apart: np.ndarray = SPACE):
+        solid = ~apart[data]
         edge = np.zeros(len(data) + 1, bool)
         edge[at] = True
         before = np.zeros(len(data) + 1, bool)
