@@ -56,7 +56,22 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op1_chat": op1_chat, "op2_bpe": op2_bpe, "op3_pii": op3_pii, "op4_language": op4_language, "op6_quality": op6_quality, "op8_warc": op8_warc, "op10_decontaminate": op10_decontaminate}
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.jaccard import find_groups
+
+    return find_groups(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
+QUERIES = {
+    "op1_chat": op1_chat,
+    "op2_bpe": op2_bpe,
+    "op3_pii": op3_pii,
+    "op4_language": op4_language,
+    "op6_quality": op6_quality,
+    "op8_warc": op8_warc,
+    "op9_jaccard": op9_jaccard,
+    "op10_decontaminate": op10_decontaminate,
+}
 
 _OP1 = r"""
 WITH t AS (
@@ -125,4 +140,25 @@ SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
 FROM p JOIN m ON p.x = m.x
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_chat": _OP1, "op6_quality": _OP6, "op8_warc": _OP8}
+_OP9 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i : i + 3], ' ') AS shingle
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 2))) AS i FROM d WHERE len(ws) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id
+), e AS (
+  SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * k >= 85 * (a.n + b.n - k)
+), r(node, root) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION
+  SELECT z.b, r.root FROM r JOIN (SELECT x AS a, y AS b FROM e UNION ALL SELECT y, x FROM e) z ON z.a = r.node
+)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT node, min(root) AS component_id FROM r GROUP BY node) c ON c.node = d.doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_chat": _OP1, "op6_quality": _OP6, "op8_warc": _OP8, "op9_jaccard": _OP9}
