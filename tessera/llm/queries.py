@@ -31,6 +31,12 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(find(table(spark, sf_dir, "documents")))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.substrings import dedup
+
+    return dedup(table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.quality import assess
 
@@ -67,6 +73,7 @@ QUERIES = {
     "op2_bpe": op2_bpe,
     "op3_pii": op3_pii,
     "op4_language": op4_language,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_quality": op6_quality,
     "op8_warc": op8_warc,
     "op9_jaccard": op9_jaccard,
