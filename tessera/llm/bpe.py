@@ -15,6 +15,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
@@ -90,7 +91,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, *, id_col: str =
         enc, name = encoding(path, pattern), decimal_ids(path, pattern)
         for batch in batches:
             rows: list[list] = [[], [], [], []]
-            kept: list[list[int]] = []
+            kept: list[np.ndarray] = []
             for x in batch.column(1):
                 text = x.as_py() or ""
                 got = encode(enc, text)
@@ -100,11 +101,11 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, *, id_col: str =
                 rows[2].append(hashlib.sha256(raw).hexdigest())
                 rows[3].append(raw == text.encode())
                 if ids:
-                    kept.append(got)
+                    kept.append(np.array(got, np.int32))
             cols = [batch.column(0), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.string()), pa.array(rows[3], pa.bool_())]
             names = ["id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip"]
             if ids:
-                cols, names = [*cols, pa.array(kept, pa.list_(pa.int32()))], [*names, "token_ids"]
+                cols, names = [*cols, pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, kept)]), pa.int32()), pa.array(np.concatenate(kept) if kept else [], pa.int32()))], [*names, "token_ids"]
             yield pa.RecordBatch.from_arrays(cols, names)
 
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean{extra}")

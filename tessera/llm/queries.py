@@ -43,6 +43,16 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assess(table(spark, sf_dir, "documents")).drop("n")
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    from pyspark.sql import functions as F
+
+    from tessera.llm.tokencount import count_tokens, standard_edits
+
+    docs = table(spark, sf_dir, "documents").withColumn("edits", standard_edits(F.col("doc_id"), F.coalesce("text", F.lit(""))))
+    return count_tokens(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.warc import archive_pages
 
@@ -75,6 +85,7 @@ QUERIES = {
     "op4_language": op4_language,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_quality": op6_quality,
+    "op7_token_counts": op7_token_counts,
     "op8_warc": op8_warc,
     "op9_jaccard": op9_jaccard,
     "op10_decontaminate": op10_decontaminate,
