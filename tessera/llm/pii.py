@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.expr import let
+from tessera.llm.graph import MAX_BROADCAST_IDS
 from tessera.llm.shared import materialise
 
 KINDS = ("email", "ip", "card", "phone")
@@ -101,20 +102,20 @@ def candidate_tokens(text: Column) -> Column:
 
 
 def extract(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """A row for each row of docs: id, n (its number), base array<struct<kind, start, end, left, value>>, tokens.
+    """A row for each row of docs: id, n (its number), key (a hash of the text), base array<struct<kind, start, end, left, value>>, tokens.
 
     Values and contexts are hashes. Written to the shared folder, so that the texts are scanned once.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    got = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("n"), text.alias("text"))
-    got = got.select("id", "n", *[base_matches(F.col("text"), k).alias(k) for k in KINDS], candidate_tokens(F.col("text")).alias("tokens"))
+    got = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("n"), F.xxhash64(text).alias("key"), text.alias("text"))
+    got = got.select("id", "n", "key", *[base_matches(F.col("text"), k).alias(k) for k in KINDS], candidate_tokens(F.col("text")).alias("tokens"))
     left = lambda s: F.when(s["left"] != "", F.xxhash64(s["left"]))
     hidden = lambda s, k: F.struct(F.lit(k).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), left(s).alias("left"), F.xxhash64(s["value"]).alias("value"))
     as_kind = lambda k: lambda s: hidden(s, k)
     base = F.concat(*[F.transform(k, as_kind(k)) for k in KINDS])
     free = lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
-    got = got.select("id", "n", base.alias("base"), F.transform("tokens", lambda s: hidden(s, "")).alias("tokens"))
-    return materialise(got.select("id", "n", "base", F.filter("tokens", free).alias("tokens")), "pii")
+    got = got.select("id", "n", "key", base.alias("base"), F.transform("tokens", lambda s: hidden(s, "")).alias("tokens"))
+    return materialise(got.select("id", "n", "key", "base", F.filter("tokens", free).alias("tokens")), "pii")
 
 
 def score_patterns(seen: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -146,7 +147,7 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     base = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lit(True).alias("base")))
     spans = F.concat(base, F.coalesce("added", F.array().cast("array<struct<kind:string,start:int,end:int,base:boolean>>")))
     of_kind = lambda k: F.array_sort(F.filter(spans, lambda s: s["kind"] == k))
-    return seen.join(added, "n", "left").select(F.col("id").alias(id_col), "n", F.concat(*[of_kind(k) for k in KINDS]).alias("spans"))
+    return seen.join(added, "n", "left").select(F.col("id").alias(id_col), "n", "key", F.concat(*[of_kind(k) for k in KINDS]).alias("spans"))
 
 
 def digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -159,3 +160,41 @@ def digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
         F.sha2(line(base), 256).alias("base_sha256"),
         line(F.col("spans")).alias("spans"),
     )
+
+
+_MERGED = "array<struct<start:int,end:int,kind:string>>"
+
+
+def masked(text: Column, spans: Column) -> Column:
+    """The text with <KIND> for each span; overlapping spans become one, under the kind of that which starts first."""
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+
+    def join(acc: Column, x: Column) -> Column:
+        last = F.try_element_at(acc, F.lit(-1))
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"), last["kind"].alias("kind"))
+        return F.when((F.size(acc) > 0) & (x["start"] < F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(-1))), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(longer))).otherwise(F.concat(acc, F.array(x)))
+
+    def put(m: Column) -> Column:
+        before = lambda i: F.when(i == 0, 0).otherwise(F.try_element_at(m, i.cast("int"))["end"])
+        parts = F.transform(m, lambda x, i: F.concat(F.substring(text, before(i) + 1, x["start"] - before(i)), F.lit("<"), F.upper(x["kind"]), F.lit(">")))
+        return F.concat(F.array_join(parts, ""), F.substring(text, F.element_at(m, -1)["end"] + 1, F.length(text)))
+
+    return let(F.aggregate(ordered, F.array().cast(_MERGED), join), put)
+
+
+def mask(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
+    """docs, all rows and columns, with personal data masked in the text; size_col, if there is one, follows.
+
+    Spans are joined to the texts by (id, text hash), broadcast only if they are few.
+    """
+    found = find(docs, id_col=id_col, text_col=text_col).where(F.size("spans") > 0)
+    nulls = F.coalesce(F.col(id_col).cast("string"), F.lit("\0"))
+    spans = materialise(found.groupBy(nulls.alias("_id"), F.col("key").alias("_key")).agg(F.first("spans").alias("_spans")), "pii-spans")
+    few = (spans.agg(F.sum(F.size("_spans"))).first()[0] or 0) <= MAX_BROADCAST_IDS
+    rows = docs.withColumns({"_id": nulls, "_key": F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))})
+    got = rows.join(F.broadcast(spans) if few else spans.hint("shuffle_hash"), ["_id", "_key"], "left")
+    text = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(masked(F.col(text_col), F.col("_spans")))
+    got = got.withColumn(text_col, text)
+    if size_col in docs.columns:
+        got = got.withColumn(size_col, F.when(F.col("_spans").isNull(), F.col(size_col)).otherwise(F.length(text_col).cast(docs.schema[size_col].dataType)))
+    return got.select(*docs.columns)

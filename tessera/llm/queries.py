@@ -78,6 +78,12 @@ def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_groups(table(spark, sf_dir, "documents"), width=4, percent=85)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_chat": op1_chat,
     "op2_bpe": op2_bpe,
@@ -89,6 +95,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_jaccard": op9_jaccard,
     "op10_decontaminate": op10_decontaminate,
+    "pipeline": pipeline,
 }
 
 _OP1 = r"""
