@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from tessera.llm.words import CODES, prefix_hashes, span_hashes
+from tessera.llm.words import CODES, INVERSE, powers, prefix_hashes
 
 
 class Suffixes:
@@ -18,15 +18,17 @@ class Suffixes:
     def __init__(self, data: np.ndarray, start: np.ndarray, length: np.ndarray):
         self.data, self.start, self.length = data, start, length
         self.prefix = prefix_hashes(CODES[data])
+        self.unplace = powers(INVERSE, len(self.prefix))
         self.top = int(length.max()) if len(length) else 0
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Length of the common extension of suffixes a and b (numbers), by binary search over hashes."""
         sa, sb = self.start[a], self.start[b]
+        pa, pb, ua, ub = self.prefix[sa], self.prefix[sb], self.unplace[sa], self.unplace[sb]
         low, high = np.zeros(len(a), np.int64), np.minimum(self.length[a], self.length[b])
         for _ in range(max(1, self.top.bit_length())):
             mid = (low + high + 1) >> 1
-            same = span_hashes(self.prefix, sa, sa + mid) == span_hashes(self.prefix, sb, sb + mid)
+            same = (self.prefix[sa + mid] - pa) * ua == (self.prefix[sb + mid] - pb) * ub
             low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
         return low
 
