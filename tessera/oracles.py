@@ -1 +1,259 @@
+"""DuckDB SQL for the queries of queries.py, written apart from them over the same tables."""
+
+from __future__ import annotations
+
+STOP = "['a','an','the','of','and','or','to','in','on','for','by','with','from','is','was','are','be','feat','ft','vs','live','cover','acoustic','instrumental','demo','radio','karaoke','mono','stereo','remix','version','edit','mix','remastered','remaster']"
+VERSION = "['live','cover','acoustic','instrumental','demo','radio','karaoke','mono','stereo','remix','version','edit','mix','remastered','remaster']"
+TASTE = "('artist_context','genre','mood','tag','genre_mood','tag_combo','discovery')"
+
+
+def raw(x: str) -> str:
+    return f"list_transform(regexp_extract_all(coalesce({x}, ''), '[A-Za-z0-9一-鿿]+'), lambda t: lower(t))"
+
+
+def tok(x: str) -> str:
+    return f"list_filter({raw(x)}, lambda t: length(t) > 1 AND NOT list_contains({STOP}, t))"
+
+
+def norm_artist(x: str) -> str:
+    return f"array_to_string({tok(x)}, ' ')"
+
+
+def norm_title(x: str) -> str:
+    bare = f"regexp_replace(coalesce({x}, ''), '[(\\[{{（【].*?[)\\]}}）】]', ' ', 'g')"
+    return f"coalesce(nullif(array_to_string({tok(bare)}, ' '), ''), array_to_string({tok(x)}, ' '))"
+
+
+def join(x: str) -> str:
+    return f"array_to_string({x}, ',')"
+
+
+def jaccard(a: str, b: str) -> str:
+    return f"CASE WHEN len({a}) > 0 AND len({b}) > 0 THEN len(list_intersect(list_distinct({a}), list_distinct({b})))::DOUBLE / len(list_distinct(list_concat({a}, {b}))) ELSE 0.0 END"
+
+
+def share(wanted: str, found: str) -> str:
+    return f"CASE WHEN len({wanted}) > 0 THEN len(list_intersect(list_distinct({wanted}), list_distinct({found})))::DOUBLE / len({wanted}) ELSE 0.0 END"
+
+
+#: First of each value, in order.
+def firsts(x: str) -> str:
+    return f"list_filter({x}, lambda v, i: list_position({x}, v) = i)"
+
+
+ITEMS = "items AS (SELECT p_partkey AS item_id, p_name AS title, p_brand AS artist, p_type AS album FROM part)"
+LIKED = f"""{ITEMS}, own AS (
+  SELECT o_custkey AS request_id, l_partkey AS item_id, row_number() OVER (PARTITION BY o_custkey ORDER BY l_partkey) AS pos
+  FROM (SELECT DISTINCT o_custkey, l_partkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey)
+), liked AS (SELECT own.*, title, artist, album FROM own JOIN items USING (item_id) WHERE pos <= 30)"""
+PROFILE = f"""{LIKED}, lists AS (
+  SELECT request_id, list(artist ORDER BY pos) AS al, list(album ORDER BY pos) AS bl, list(title ORDER BY pos) AS tl, list(item_id ORDER BY item_id) AS liked_ids FROM liked GROUP BY request_id
+), prof0 AS (
+  SELECT request_id, liked_ids, lower(c_mktsegment) AS segment, {firsts('al')} AS artists, {firsts('bl')}[1:4] AS genres, {firsts('tl')} AS titles,
+    list_filter(list_distinct(list_transform(al, lambda v: {norm_artist('v')})), lambda v: v <> '') AS artist_norms,
+    list_filter(list_distinct(list_transform(tl, lambda v: {norm_title('v')})), lambda v: v <> '') AS title_norms,
+    list_filter(list_distinct(list_transform(bl, lambda v: {norm_title('v')})), lambda v: v <> '') AS album_norms,
+    list_distinct(flatten(list_transform(tl, lambda v: {tok('v')}))) AS title_tokens,
+    list_distinct(flatten(list_transform(al, lambda v: {tok('v')}))) AS artist_tokens
+  FROM lists JOIN customer ON c_custkey = request_id
+), tags AS (
+  SELECT *, list_concat(flatten(list_transform(genres, lambda v: {tok('v')})), {tok('segment')}) AS all_tags FROM prof0
+), prof AS (SELECT * EXCLUDE (all_tags), {firsts('all_tags')} AS tag_tokens, list_concat(genres, [segment]) AS tag_phrases FROM tags)"""
+PLAN = f"""{PROFILE}, plan0 AS (
+  SELECT request_id, i - 1 AS plan_idx, 'artist' AS source_type, artists[i] AS query, 0.85 AS reliability, 12 AS max_hits FROM (SELECT request_id, artists, unnest(range(1, least(len(artists), 6) + 1)) AS i FROM prof)
+  UNION ALL SELECT request_id, least(len(artists), 6) + i - 1, 'genre', genres[i], 0.75, 12 FROM (SELECT request_id, artists, genres, unnest(range(1, len(genres) + 1)) AS i FROM prof)
+  UNION ALL SELECT request_id, least(len(artists), 6) + len(genres) + i - 1, 'title', titles[i], 0.45, 8 FROM (SELECT request_id, artists, genres, titles, unnest(range(1, least(len(titles), 3) + 1)) AS i FROM prof)
+  UNION ALL SELECT request_id, least(len(artists), 6) + len(genres) + least(len(titles), 3), 'discovery', genres[1], 0.55, 12 FROM prof WHERE len(genres) > 0
+), planned AS (SELECT request_id, plan_idx, source_type, query, reliability::DOUBLE AS reliability, max_hits FROM plan0 WHERE query <> '' QUALIFY row_number() OVER (PARTITION BY request_id, source_type, lower(query) ORDER BY plan_idx) = 1)"""
+HITS = f"""{PLAN}, found AS (
+  SELECT 'artist' AS source_type, artist AS query, item_id, row_number() OVER (PARTITION BY artist ORDER BY item_id) - 1 AS position FROM items
+  UNION ALL SELECT 'genre', album, item_id, row_number() OVER (PARTITION BY album ORDER BY item_id) - 1 FROM items
+  UNION ALL SELECT 'title', title, item_id, row_number() OVER (PARTITION BY title ORDER BY item_id) - 1 FROM items
+  UNION ALL SELECT 'discovery', album, item_id, row_number() OVER (PARTITION BY album ORDER BY item_id) - 7 FROM items
+), hits AS (
+  SELECT request_id, plan_idx, p.source_type, p.query, reliability, item_id, position FROM planned p JOIN found f ON p.source_type = f.source_type AND p.query = f.query
+  WHERE position BETWEEN 0 AND 11 AND position < max_hits
+)"""
+
+
+def merged(source: str = "hits") -> str:
+    return f"""SELECT request_id, item_id, count(*) AS n_hits, count(DISTINCT source_type || ':' || query) AS n_names, list_sort(list(DISTINCT source_type)) AS types,
+      min({{'a': plan_idx, 'b': position}}) AS first_hit, max(reliability / (1 + 0.2::DOUBLE * position)) AS best_value, avg(reliability / (1 + 0.2::DOUBLE * position)) AS mean_value, avg(position) AS mean_position,
+      max(reliability) AS max_reliability, max(1 / (1 + 0.2::DOUBLE * position)) AS max_rank,
+      list_distinct(flatten(list(CASE WHEN source_type IN {TASTE} THEN {tok('query')} ELSE [] END))) AS taste_tokens
+    FROM {source} GROUP BY request_id, item_id"""
+
+
+SIGNALS = """signals AS (
+  SELECT l_partkey AS item_id, count(*) AS comments, count(DISTINCT l_suppkey) AS hot, CAST(trunc(sum(l_quantity)) AS BIGINT) AS red, count(*) * 5 AS followers,
+    sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) * 2 <= count(*) AS playable, max(l_discount) AS max_discount FROM lineitem GROUP BY l_partkey
+)"""
+CANDS = f"{HITS}, cands AS (SELECT m.*, items.* EXCLUDE (item_id), prof.* EXCLUDE (request_id) FROM ({merged()}) m JOIN items USING (item_id) JOIN prof USING (request_id))"
+RICH = f"{CANDS}, {SIGNALS}, rich AS (SELECT cands.*, signals.* EXCLUDE (item_id), signals.comments IS NOT NULL AS enriched FROM cands LEFT JOIN signals USING (item_id))"
+
+POP = "CASE WHEN NOT enriched THEN 0.55 WHEN comments + 3 * hot + 0.5 * red <= 0 THEN 0.0 ELSE least(1.0, ln(1 + (comments + 3 * hot + red / 2.0)::DOUBLE) / ln(5001::DOUBLE)) END"
+AUTH = "CASE WHEN NOT enriched OR followers IS NULL THEN 0.55 WHEN followers <= 0 THEN 0.0 ELSE least(1.0, ln(1 + followers::DOUBLE) / ln(500001::DOUBLE)) END"
+PLAY = "CASE WHEN NOT enriched OR playable IS NULL THEN 0.6 WHEN playable THEN 1.0 ELSE 0.0 END"
+
+
+def scored(source: str = "rich") -> str:
+    known = f"CASE WHEN list_contains(artist_norms, {norm_artist('artist')}) THEN 1.0 ELSE 0.0 END::DOUBLE"
+    return f"""s1 AS (
+  SELECT *, {norm_artist('artist')} AS artist_norm, {norm_title('album')} AS album_norm, {norm_title('title')} AS title_norm,
+    (CASE WHEN title <> '' THEN 0.35 ELSE 0 END + CASE WHEN artist <> '' THEN 0.3 ELSE 0 END + CASE WHEN album <> '' THEN 0.15 ELSE 0 END + CASE WHEN item_id <> 0 THEN 0.1 ELSE 0 END)::DOUBLE AS metadata,
+    (0.4::DOUBLE * least(1.0, n_names / 4.0) + 0.3::DOUBLE * least(1.0, len(types) / 4.0) + CASE WHEN list_has_any(types, ['artist','artist_context','seed_song','seed_album']) AND list_has_any(types, ['genre','mood','tag','genre_mood','tag_combo','discovery','artist_context']) THEN 0.3::DOUBLE ELSE 0.0 END)
+      * CASE WHEN types = ['title'] THEN 0.35::DOUBLE ELSE 1.0 END AS agreement,
+    {POP}::DOUBLE AS popularity, {AUTH}::DOUBLE AS authority, {PLAY}::DOUBLE AS play, {known} AS known_artist,
+    CASE WHEN {known} = 1 THEN 1.0 ELSE {jaccard(tok('artist'), 'artist_tokens')} END::DOUBLE AS artist_match,
+    least(1.0, 0.7::DOUBLE * {share('tag_tokens', f"list_concat({tok('artist')}, {tok('album')})")} + 0.3::DOUBLE * {share('tag_tokens', 'taste_tokens')}) AS tag_match,
+    {share('tag_tokens', tok('title'))} AS title_overlap,
+    CASE WHEN len(title_tokens) > 0 THEN least(1.0, len(list_intersect(list_distinct({tok('title')}), title_tokens)) / greatest(1.0, sqrt(len(title_tokens)::DOUBLE))) ELSE 0.0 END::DOUBLE AS title_match,
+    CASE WHEN list_contains(album_norms, {norm_title('album')}) THEN 1.0 ELSE 0.0 END::DOUBLE AS seed_album
+  FROM {source}
+), s2 AS (
+  SELECT *, least(1.0, (0.7::DOUBLE * best_value + 0.3::DOUBLE * mean_value) * (0.8::DOUBLE + 0.2::DOUBLE * metadata)) AS confidence,
+    greatest(0.0, least(1.0, 0.35::DOUBLE * (1 - known_artist) + 0.25::DOUBLE * least(1.0, mean_position / 8) + 0.25::DOUBLE * greatest(tag_match, CASE WHEN len(tag_tokens) > 0 THEN 0.3 ELSE 0 END) + 0.15::DOUBLE * (1 - seed_album))) AS novelty,
+    least(1.0, 0.3::DOUBLE * artist_match + 0.25::DOUBLE * tag_match + 0.1::DOUBLE * title_match) AS content,
+    least(1.0, popularity / 3 + authority / 3 + play / 6 + metadata / 6) AS quality FROM s1
+), s3 AS (SELECT *, least(1.0, 0.45::DOUBLE * confidence + 0.55::DOUBLE * agreement) AS retrieval FROM s2
+), s4 AS (SELECT *, least(1.0, 0.7::DOUBLE * (0.5::DOUBLE * content + 0.5::DOUBLE * retrieval) + 0.2::DOUBLE * quality + 0.1::DOUBLE * authority) AS base0 FROM s3
+), scored AS (
+  SELECT *, round(base0, 9) AS base, round(least(1.0, base0 / 0.55::DOUBLE), 9) AS gate, round(greatest(0.0, least(1.0, base0 + 0.3::DOUBLE * novelty * least(1.0, base0 / 0.55::DOUBLE))), 9) AS score FROM s4
+)"""
+
+
+SCORED = f"WITH {RICH}, {scored()}"
+RANKED = f"{SCORED}, ranked AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, title, item_id) AS rank FROM scored QUALIFY rank <= 10)"
+CARDS = f"{RANKED}, cards AS (SELECT *, list_distinct({tok('title')}) AS title_set FROM ranked)"
+SHADOW = f"{CARDS}, shadow AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY round(novelty * 0.7::DOUBLE + popularity * 0.3::DOUBLE, 9) DESC, rank) AS learned_position FROM cards)"
+FEEDBACK = """feedback AS (
+  SELECT event_id, ts, user_id AS request_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS item_id,
+    CASE event_type WHEN 'purchase' THEN 'like' WHEN 'click' THEN 'click' WHEN 'signup' THEN 'why_clicked' WHEN 'error' THEN 'dislike' WHEN 'view' THEN 'impression' END AS event_type, value FROM events
+)"""
+LABELS = f"""{FEEDBACK}, labs AS (
+  SELECT request_id, item_id, bool_or(event_type IN ('dislike', 'not_interested', 'skip')) AS neg, max(CASE event_type WHEN 'like' THEN 1.0 WHEN 'click' THEN 0.7 WHEN 'why_clicked' THEN 0.5 ELSE 0 END)::DOUBLE AS gain FROM feedback WHERE item_id IS NOT NULL GROUP BY request_id, item_id
+), labelled AS (
+  SELECT request_id, item_id, CASE WHEN neg THEN -1.0 ELSE gain END::DOUBLE AS label, CASE WHEN NOT neg AND gain > 0 THEN 1 ELSE 0 END AS "binary", CASE WHEN NOT neg AND gain = 0 THEN 0.3 ELSE 1.0 END::DOUBLE AS weight,
+    CASE WHEN neg THEN 'negative' WHEN gain > 0 THEN 'positive' ELSE 'weak_negative' END AS kind FROM labs
+)"""
+
+
+def r(*columns: str, digits: int = 6) -> str:
+    return ", ".join(f"round({c}, {digits}) AS {c}" for c in columns)
+
+
 SQL: dict[str, str] = {}
+_WORDS = "list_filter(list_transform(regexp_extract_all({}, '[A-Za-z0-9]+'), lambda t: lower(t)), lambda t: NOT list_contains(['a','an','the','of','and','or','to','in','on','for','by','with','from','is','was','are','be'], t))"
+SQL["catalog_search"] = f"""
+WITH {ITEMS}, q AS (SELECT * FROM (VALUES ('a', 'red widget 17'), ('b', 'Brand#12 economy'), ('c', 'the standard brand 17')) v(query_id, query)),
+w AS (SELECT query_id, lower(query) AS q, {_WORDS.format('query')} AS tokens FROM q),
+d AS (SELECT *, {_WORDS.format('title')} AS tt, {_WORDS.format('artist')} AS ta, {_WORDS.format('album')} AS tb FROM items),
+s AS (SELECT query_id, d.*, round((5 * len(list_filter(tokens, lambda t: list_contains(ta, t))) + 4 * len(list_filter(tokens, lambda t: list_contains(tt, t))) + 2 * len(list_filter(tokens, lambda t: list_contains(tb, t)))
+  + CASE WHEN contains(lower(artist), q) OR contains(lower(title), q) THEN 6 ELSE 0 END + CASE WHEN len(list_filter(tokens, lambda t: NOT list_contains(list_concat(ta, tt), t))) = 0 THEN 2.5 ELSE 0 END)::DOUBLE, 4) AS score
+  FROM w JOIN d ON list_has_any(list_concat(ta, tt, tb), tokens))
+SELECT query_id, item_id, title, artist, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, CAST(item_id AS VARCHAR)) AS rank FROM s WHERE score > 0 QUALIFY rank <= 10"""
+SQL["catalog_confidence"] = """
+SELECT p_partkey AS item_id, CASE WHEN p_size % 3 = 0 OR p_size % 5 = 0 THEN 'internal' WHEN p_size / 50.0 >= 0.6 THEN 'full' WHEN p_size / 50.0 >= 0.5 THEN 'best-guess' WHEN p_size / 50.0 >= 0.4 THEN 'uncertain' ELSE 'internal' END AS display FROM part"""
+SQL["catalog_enrich"] = f"WITH {ITEMS}, ids AS (SELECT DISTINCT l_partkey + l_linenumber AS item_id FROM lineitem) SELECT ids.item_id, title, CASE WHEN items.item_id IS NULL THEN 'internal' ELSE 'catalogue' END AS source FROM ids LEFT JOIN items ON ids.item_id = items.item_id"
+SQL["tokenize_docs"] = f"WITH t AS (SELECT doc_id, {tok('text')} AS t, {raw('text')} AS r FROM documents) SELECT doc_id, len(t) AS n_tokens, len(list_distinct(t)) AS n_distinct, len(r) AS n_raw, md5(array_to_string(t, ' ')) AS tokens_md5 FROM t"
+SQL["normalize_titles"] = f"""
+WITH p AS (SELECT p_partkey, p_brand, CASE p_size % 3 WHEN 0 THEN p_name || ' (Live at ' || p_type || ')' WHEN 1 THEN '[' || p_name || '] x' ELSE p_name || ' - Acoustic Version' END AS t FROM part)
+SELECT p_partkey AS item_id, {norm_title('t')} AS norm_title, {norm_artist('p_brand')} AS norm_artist, list_has_any({raw('t')}, {VERSION}) AS version FROM p"""
+SQL["dedupe_phrases"] = f"""
+WITH {PROFILE}, p AS (SELECT request_id, list_concat(artists, list_transform(artists, lambda v: upper(v)), genres, ['r&b', ' ']) AS ph FROM prof),
+k AS (SELECT request_id, ph, list_transform(ph, lambda v: {norm_artist('v')}) AS ks, list_transform(ph, lambda v: lower(trim(v))) AS ls FROM p)
+SELECT request_id, {join("list_filter(ph, lambda v, i: ks[i] <> '' AND list_position(ks, ks[i]) = i)")} AS phrases, {join("list_filter(ph, lambda v, i: trim(v) <> '' AND list_position(ls, ls[i]) = i)")} AS kept FROM k"""
+SQL["contains_phrase"] = f"WITH {ITEMS}, t AS (SELECT item_id, {raw('title')} AS t FROM items) SELECT item_id, contains(' ' || array_to_string(t, ' ') || ' ', ' red widget ') AS has, len(t) > 0 AS starts, {join('list_filter(t, lambda v: v <> ' + chr(39) + 'red' + chr(39) + ')')} AS rest FROM t"
+SQL["jaccard_pairs"] = f"WITH {ITEMS}, t AS (SELECT item_id, list_distinct(list_concat({tok('title')}, {tok('album')})) AS t FROM items) SELECT a.item_id, round({jaccard('a.t', 'b.t')}, 6) AS jaccard, round({share('a.t', 'b.t')}, 6) AS coverage FROM t a JOIN t b ON b.item_id = a.item_id + 1"
+SQL["lenient_casts"] = """
+WITH e AS (SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'x1' ELSE json_extract_string(props, '$.k') END AS raw FROM events)
+SELECT event_id, TRY_CAST(raw AS BIGINT) AS k, round(least(1.0, greatest(0.0, coalesce(TRY_CAST(raw AS DOUBLE) / 50, 0.0))), 6) AS share, CAST(CASE WHEN event_id % 2 = 0 THEN 2 ELSE 0 END AS BIGINT) AS n_list FROM e"""
+_TFIDF = f"""docs AS (SELECT conv_id AS corpus, turn AS doc, {tok('text')} AS tokens FROM conversations), n AS (SELECT corpus, count(*) AS n FROM docs GROUP BY corpus HAVING count(*) >= 2),
+c AS (SELECT corpus, doc, token, len, count(*) AS c FROM (SELECT corpus, doc, len(tokens) AS len, unnest(tokens) AS token FROM docs) GROUP BY ALL), df AS (SELECT corpus, token, count(*) AS df FROM c GROUP BY corpus, token),
+v AS (SELECT c.corpus, doc, c.token, c.c::DOUBLE / len * (ln((1 + n)::DOUBLE / (1 + df)) + 1) AS w FROM c JOIN df USING (corpus, token) JOIN n USING (corpus)), norms AS (SELECT corpus, doc, sqrt(sum(w * w)) AS norm, count(*) AS n_terms FROM v GROUP BY corpus, doc)"""
+SQL["tfidf_norms"] = f"WITH {_TFIDF} SELECT corpus, doc, {r('norm')}, n_terms FROM norms"
+SQL["tfidf_cosine"] = f"""WITH {_TFIDF} SELECT a.corpus, a.doc, round(least(1.0, coalesce(dot / (a.norm * b.norm), 0.0)), 6) AS cosine FROM norms a JOIN norms b ON a.corpus = b.corpus AND b.doc = 0
+LEFT JOIN (SELECT x.corpus, x.doc, sum(x.w * y.w) AS dot FROM v x JOIN v y ON x.corpus = y.corpus AND x.token = y.token AND y.doc = 0 GROUP BY x.corpus, x.doc) d ON d.corpus = a.corpus AND d.doc = a.doc"""
+_TOPK = """e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), q AS (SELECT label AS query_id, arg_min(v, vec_id) AS v FROM e GROUP BY label),
+s AS (SELECT query_id, vec_id AS item_id, round(list_cosine_similarity(q.v, e.v), 9) AS score FROM q, e), t AS (SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) - 1 AS rank FROM s),
+k AS (SELECT query_id, item_id, round(least(1.0, score), 6) AS score, rank FROM t WHERE rank < 30 AND score > 0)"""
+SQL["vector_topk"] = f"WITH {_TOPK} SELECT * FROM k"
+SQL["vector_topk_excluding"] = f"WITH {_TOPK} SELECT k.* FROM k LEFT JOIN e ON e.vec_id = k.item_id AND e.label = k.query_id WHERE e.vec_id IS NULL"
+SQL["profile_artist_weights"] = f"WITH {LIKED}, w AS (SELECT request_id, {norm_artist('artist')} AS artist_norm, count(*) AS n FROM liked GROUP BY ALL) SELECT request_id, artist_norm, round(n::DOUBLE / max(n) OVER (PARTITION BY request_id), 6) AS weight FROM w WHERE artist_norm <> ''"
+SQL["profile_features"] = f"WITH {PROFILE} SELECT request_id, len(liked_ids) AS n_liked, {join('artists')} AS artists, {join('genres')} AS genres, {join('list_sort(title_tokens)')} AS title_tokens, {join('tag_tokens')} AS tag_tokens FROM prof"
+SQL["plan_queries"] = f"WITH {PLAN} SELECT * FROM planned"
+SQL["merge_hits"] = f"WITH {HITS}, m AS ({merged()}) SELECT request_id, item_id, n_hits, n_names, {join('types')} AS types, first_hit.a AS first_plan, {r('best_value', 'mean_value', 'mean_position')} FROM m"
+SQL["route_counts"] = f"WITH {HITS} SELECT CASE source_type WHEN 'artist' THEN 'artist' WHEN 'title' THEN 'title' WHEN 'discovery' THEN 'discovery' ELSE 'tag' END AS bucket, count(*) AS n_hits, count(DISTINCT item_id) AS n_items FROM hits GROUP BY ALL"
+SQL["merge_channels"] = f"""WITH {HITS}, emb AS (SELECT request_id, item_id + 1 AS item_id FROM hits WHERE source_type = 'artist'), both_ AS (SELECT request_id, item_id FROM hits UNION ALL SELECT * FROM emb),
+added AS (SELECT request_id, count(*) AS n FROM (SELECT DISTINCT request_id, item_id FROM emb EXCEPT SELECT request_id, item_id FROM hits) GROUP BY request_id)
+SELECT b.request_id, count(DISTINCT item_id) AS n_candidates, count(*) AS n_hits, coalesce(any_value(added.n), 0) AS n_added FROM both_ b LEFT JOIN added ON added.request_id = b.request_id GROUP BY b.request_id"""
+_SCORES = {"retrieval_confidence": ("metadata", "confidence"), "multi_source_agreement": ("agreement",), "artist_match": ("artist_match", "known_artist"), "tag_match": ("tag_match", "title_overlap"), "title_match": ("title_match",), "novelty": ("novelty", "seed_album"), "final_score": ("content", "retrieval", "quality", "base", "gate", "score")}
+for _name, _columns in _SCORES.items():
+    SQL[_name] = f"{SCORED} SELECT request_id, item_id, {r(*_columns, digits=8)} FROM scored"
+SQL["signal_scores"] = f"""WITH {ITEMS}, {SIGNALS}, s AS (SELECT items.item_id, signals.* EXCLUDE (item_id), comments IS NOT NULL AS enriched FROM items LEFT JOIN signals USING (item_id))
+SELECT item_id, round({POP}, 6)::DOUBLE AS popularity, round({AUTH}, 6)::DOUBLE AS authority, ({PLAY})::DOUBLE AS play,
+  (CASE WHEN max_discount >= 0.1 THEN 1.0 WHEN max_discount >= 0.09 THEN 0.8 WHEN red * 1000 >= 999000 THEN 1.0 WHEN red * 1000 >= 320000 THEN 0.85 WHEN red * 1000 >= 192000 THEN 0.7 WHEN red * 1000 >= 128000 THEN 0.55 WHEN red > 0 THEN 0.35 ELSE 0.6 END)::DOUBLE AS audio FROM s"""
+SQL["trust_score"] = f"{SCORED} SELECT request_id, item_id, round(least(1.0, 0.2::DOUBLE * metadata + 0.2::DOUBLE * popularity + 0.2::DOUBLE * authority + 0.15::DOUBLE * play + 0.15::DOUBLE * agreement + 0.1::DOUBLE * confidence), 6) AS trust FROM scored"
+SQL["score_order"] = f"{RANKED} SELECT request_id, rank, item_id, {r('score')} FROM ranked"
+SQL["enrich_budget"] = f"{SCORED}, b AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, title, item_id) AS place FROM scored QUALIFY place <= 16) SELECT request_id, count(*) AS n, max(place) AS last, round(min(score), 6) AS least FROM b GROUP BY request_id"
+_LIKED = "list_contains(liked_ids, item_id)"
+_SEM = f"list_filter({raw('title')}, lambda t: NOT list_contains({STOP}, t))"
+_VARIANT = f"(list_contains(title_norms, {norm_title('title')}) OR (list_has_any({raw('title')}, {VERSION}) AND len(list_filter(title_norms, lambda k: contains(' ' || array_to_string({_SEM}, ' ') || ' ', ' ' || k || ' '))) > 0))"
+
+
+def tag_title(title: str, album: str) -> str:
+    key = norm_title(title)
+    return f"""({key} <> '' AND (len(list_filter(tag_phrases, lambda p: {norm_title('p')} = {key})) > 0 OR (list_has_any({tok(title)}, tag_tokens)
+      AND len(list_filter(types, lambda t: t NOT IN ('genre','mood','tag','genre_mood','tag_combo','discovery'))) = 0 AND NOT list_has_any(list_concat({tok('artist')}, {tok(album)}), tag_tokens))))"""
+
+
+_TAG = tag_title("title", "album")
+_UNPLAYABLE = "NOT coalesce(playable, true)"
+for _name, _bad in (("filter_liked", _LIKED), ("filter_title_variant", _VARIANT), ("filter_unplayable", _UNPLAYABLE)):
+    SQL[_name] = f"WITH {RICH} SELECT request_id, item_id FROM rich WHERE {_bad}"
+SQL["filter_tag_title"] = f"""WITH {CANDS}, c AS (SELECT * EXCLUDE (title, album), CASE item_id % 11 WHEN 0 THEN album WHEN 1 THEN genres[1] || ' nights' ELSE title END AS title, CASE WHEN item_id % 11 = 1 THEN 'x9' ELSE album END AS album FROM cands)
+SELECT request_id, item_id FROM c WHERE {_TAG}"""
+SQL["dedup_versions"] = f"""WITH {RICH}, k AS (SELECT *, {norm_title('title')} AS tk, {norm_artist('artist')} AS ak FROM rich), d AS (
+SELECT request_id, item_id, row_number() OVER (PARTITION BY request_id, tk, ak ORDER BY max_reliability DESC, max_rank DESC, CASE WHEN title <> '' THEN 1 ELSE 0 END + CASE WHEN artist <> '' THEN 1 ELSE 0 END + CASE WHEN album <> '' THEN 1 ELSE 0 END DESC, first_hit, item_id) AS nth FROM k WHERE tk <> '' AND ak <> '')
+SELECT request_id, item_id FROM d WHERE nth > 1"""
+SQL["filter_missing"] = f"""WITH {CANDS}, c AS (SELECT request_id, trim(title) <> '' AND item_id % 7 <> 0 AS ok FROM cands), f AS (SELECT request_id, ok, bool_or(ok) OVER (PARTITION BY request_id) AS has_full FROM c)
+SELECT request_id, CAST(sum(CASE WHEN NOT ok AND has_full THEN 1 ELSE 0 END) AS BIGINT) AS dropped, count(*) AS n FROM f GROUP BY request_id"""
+SQL["filter_low_trust"] = f"""WITH {RICH}, weak AS (SELECT * EXCLUDE (comments, followers), comments % 12 AS comments, (comments % 12) * 5 AS followers FROM rich), {scored('weak')}
+SELECT request_id, item_id FROM scored WHERE enriched AND ((comments < 10 AND followers < 77 AND agreement <= 0.35 AND confidence <= 0.55) OR (popularity <= 0.05 AND authority <= 0.05 AND agreement < 0.25 AND confidence < 0.45))"""
+SQL["filter_funnel"] = f"WITH {RICH} SELECT CASE WHEN {_LIKED} THEN 'liked' WHEN {_VARIANT} THEN 'variant' WHEN {_TAG} THEN 'tag_title' WHEN {_UNPLAYABLE} THEN 'unplayable' ELSE 'kept' END AS rule, count(*) AS n FROM rich GROUP BY ALL"
+SQL["artist_cap"] = f"{SCORED}, c AS (SELECT *, row_number() OVER (PARTITION BY request_id, artist_norm ORDER BY score DESC, title, item_id) AS nth FROM scored) SELECT request_id, item_id, {r('score')} FROM c WHERE artist_norm = '' OR nth <= 2"
+SQL["pair_similarity"] = f"""{RANKED} SELECT a.request_id, a.rank AS rank_a, b.rank AS rank_b, round((CASE WHEN a.artist_norm = b.artist_norm THEN 0.35::DOUBLE ELSE 0 END
+  + CASE WHEN len(a.taste_tokens) > 0 AND len(b.taste_tokens) > 0 THEN 0.25::DOUBLE * {jaccard('a.taste_tokens', 'b.taste_tokens')} ELSE 0 END + CASE WHEN a.album_norm <> '' AND a.album_norm = b.album_norm THEN 0.2::DOUBLE ELSE 0 END)
+  / (0.35::DOUBLE + CASE WHEN len(a.taste_tokens) > 0 AND len(b.taste_tokens) > 0 THEN 0.25::DOUBLE ELSE 0 END + CASE WHEN a.album_norm <> '' AND b.album_norm <> '' THEN 0.2::DOUBLE ELSE 0 END), 6) AS similarity
+FROM ranked a JOIN ranked b ON a.request_id = b.request_id AND a.rank < b.rank WHERE a.rank <= 5 AND b.rank <= 5"""
+_HAVE = f"list_concat({tok('artist')}, {tok('album')})"
+_ALLTAGS = f"list_concat(list_filter(tag_phrases, lambda p: len({tok('p')}) > 0 AND len(list_filter({tok('p')}, lambda t: NOT list_contains({_HAVE}, t))) = 0), list_filter(flatten(list_transform(tag_phrases, lambda p: {tok('p')})), lambda t: list_contains({_HAVE}, t)))"
+SQL["matched_tags"] = f"{RANKED}, m AS (SELECT request_id, item_id, {_ALLTAGS} AS v FROM ranked), k AS (SELECT *, list_transform(v, lambda x: lower(trim(x))) AS ls FROM m) SELECT request_id, item_id, {join('list_filter(v, lambda x, i: list_position(ls, ls[i]) = i)')} AS tags FROM k"
+SQL["pick_types"] = f"""{RANKED}, p AS (SELECT *, CASE WHEN rank > 8 THEN 'diverse' WHEN base >= 0.62 AND (artist_match >= 0.75 OR content >= 0.55 OR confidence >= 0.75) THEN 'safe' WHEN title_overlap >= 0.5 AND tag_match <= 0 THEN 'exploratory' WHEN novelty >= 0.55 AND gate >= 0.65 THEN 'exploratory' ELSE 'balanced' END AS pick FROM ranked),
+w AS (SELECT *, list_filter([CASE WHEN artist_match >= 0.5 THEN 'by an artist you like' END, CASE WHEN tag_match >= 0.34 THEN 'fits your tags' END, CASE WHEN title_match >= 0.34 THEN 'title close to what you like' END, CASE WHEN agreement >= 0.5 THEN 'found by several searches' END, CASE WHEN popularity >= 0.6 THEN 'well known' END, CASE WHEN novelty >= 0.9 THEN 'new to you' END, CASE WHEN pick = 'diverse' THEN 'adds variety' END], lambda x: x IS NOT NULL) AS why FROM p)
+SELECT request_id, item_id, pick, CASE WHEN len(why) > 0 THEN array_to_string(why, '; ') ELSE 'a general match' END AS reasons, CASE pick WHEN 'safe' THEN 'A safe choice by ' WHEN 'exploratory' THEN 'Something new by ' WHEN 'diverse' THEN 'For variety: ' ELSE 'A balanced choice by ' END || artist || '.' AS explanation FROM w"""
+SQL["upsert_merge"] = """
+WITH e AS (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS item_id, day(ts) % 2 = 1 AS odd FROM events),
+o AS (SELECT item_id, count(*) AS seen, min(ts) AS f, max(ts) AS l, round(max(value) FILTER (event_type = 'click'), 6) AS q, list(DISTINCT event_type) AS t FROM e WHERE odd AND item_id % 3 <> 0 GROUP BY item_id),
+n AS (SELECT item_id, count(*) AS seen, min(ts) AS f, max(ts) AS l, round(max(value) FILTER (event_type = 'view'), 6) AS q, list(DISTINCT event_type) AS t FROM e WHERE NOT odd AND item_id % 5 <> 0 GROUP BY item_id)
+SELECT coalesce(n.item_id, o.item_id) AS item_id, coalesce(o.seen, 0) + coalesce(n.seen, 0) AS seen, coalesce(o.f, n.f) AS first_seen, coalesce(n.l, o.l) AS last_seen, coalesce(n.q, o.q) AS quality, array_to_string(list_sort(list_distinct(list_concat(coalesce(o.t, []), coalesce(n.t, [])))), ',') AS types FROM o FULL JOIN n ON o.item_id = n.item_id"""
+SQL["feedback_latest"] = f"WITH {FEEDBACK} SELECT request_id, event_id, event_type FROM feedback QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY ts DESC, event_id DESC) = 1"
+SQL["feedback_valid"] = "SELECT event_id, CASE WHEN event_type = 'click' THEN 'accepted' ELSE 'quarantined' END AS state FROM events"
+SQL["weak_labels"] = f"WITH {LABELS} SELECT * FROM labelled"
+SQL["label_summary"] = f"WITH {LABELS} SELECT count(*) AS samples, count(*) FILTER (kind = 'positive') AS positive, count(*) FILTER (kind = 'negative') AS negative, count(*) FILTER (kind = 'weak_negative') AS weak_negative FROM labelled"
+SQL["feature_matrix"] = f"""WITH {LABELS}, u AS (SELECT request_id, count(*) AS n_events, avg(value) AS mean_value FROM feedback GROUP BY request_id), {ITEMS}, {SIGNALS},
+i AS (SELECT item_id, ({POP})::DOUBLE AS popularity, ({AUTH})::DOUBLE AS authority, ({PLAY})::DOUBLE AS play FROM (SELECT items.item_id, signals.* EXCLUDE (item_id), comments IS NOT NULL AS enriched FROM items LEFT JOIN signals USING (item_id)))
+SELECT l.request_id, l.item_id, "binary", weight, n_events, round(mean_value, 6) AS mean_value, round(coalesce(popularity, 0.55::DOUBLE), 6) AS popularity, round(coalesce(authority, 0.55::DOUBLE), 6) AS authority, coalesce(play, 0.6::DOUBLE) AS play FROM labelled l JOIN u USING (request_id) LEFT JOIN i USING (item_id)"""
+SQL["shadow_positions"] = f"{SHADOW} SELECT request_id, item_id, rank, learned_position FROM shadow"
+SQL["shadow_overlap"] = f"{SHADOW} SELECT request_id, round(count(*) FILTER (rank <= 5 AND learned_position <= 5)::DOUBLE / count(*) FILTER (rank <= 5), 6) AS overlap, count(*) FILTER (abs(rank - learned_position) >= 2) AS disagreements FROM shadow GROUP BY request_id"
+SQL["spearman"] = f"{SHADOW} SELECT request_id, round(coalesce(CASE WHEN count(*) < 2 THEN 0 ELSE corr(rank::DOUBLE, learned_position::DOUBLE) END, 0), 6) AS rank_correlation FROM shadow GROUP BY request_id"
+SQL["coverage"] = f"{CARDS}, t AS (SELECT request_id, count(DISTINCT t) AS n_types FROM (SELECT request_id, unnest(types) AS t FROM cards) GROUP BY request_id) SELECT c.request_id, count(*) AS n, round(count(DISTINCT artist)::DOUBLE / count(*), 6) AS artist_coverage, round(count(DISTINCT album)::DOUBLE / count(*), 6) AS album_coverage, any_value(n_types) AS n_types FROM cards c JOIN t ON t.request_id = c.request_id GROUP BY c.request_id"
+SQL["diversity"] = f"""{CARDS}, d AS (SELECT a.request_id, 1 - (CASE WHEN a.artist_norm = b.artist_norm THEN 0.4::DOUBLE ELSE 0 END + CASE WHEN a.album_norm <> '' AND a.album_norm = b.album_norm THEN 0.2::DOUBLE ELSE 0 END + 0.2::DOUBLE * {jaccard('a.types', 'b.types')} + 0.2::DOUBLE * {jaccard('a.title_set', 'b.title_set')})
+  / (0.8::DOUBLE + CASE WHEN a.album_norm <> '' AND b.album_norm <> '' THEN 0.2::DOUBLE ELSE 0 END) AS d FROM cards a JOIN cards b ON a.request_id = b.request_id AND a.rank < b.rank), m AS (SELECT request_id, avg(d) AS m FROM d GROUP BY request_id)
+SELECT r.request_id, round(coalesce(m, 0), 6) AS diversity FROM (SELECT DISTINCT request_id FROM cards) r LEFT JOIN m ON m.request_id = r.request_id"""
+SQL["novelty_at_k"] = f"{CARDS} SELECT request_id, round(avg(novelty), 6) AS mean_novelty, round(avg(1 - popularity), 6) AS mean_unpopularity FROM cards GROUP BY request_id"
+SQL["source_mix"] = f"{CARDS}, t AS (SELECT request_id, source_type, count(*) AS n FROM (SELECT request_id, unnest(types) AS source_type FROM cards) GROUP BY ALL) SELECT request_id, source_type, n, round(n::DOUBLE / sum(n) OVER (PARTITION BY request_id), 6) AS share FROM t"
+SQL["score_distribution"] = f"{CARDS} SELECT request_id, round(avg(score), 6) AS mean_score, round(var_pop(score), 6) AS var_score, round(min(score), 6) AS min_score, round(max(score), 6) AS max_score FROM cards GROUP BY request_id"
+SQL["duplicate_rate"] = f"{CARDS} SELECT request_id, " + ", ".join(f"round(1 - coalesce(count(DISTINCT nullif({c}, ''))::DOUBLE / nullif(count(nullif({c}, '')), 0), 1), 6) AS dup_{c}" for c in ("artist_norm", "title_norm", "album_norm")) + " FROM cards GROUP BY request_id"
+SQL["macro_average"] = f"{CARDS}, l AS (SELECT request_id, avg(novelty) AS n, avg(score) AS s FROM cards GROUP BY request_id) SELECT count(*) AS n_lists, round(avg(n), 6) AS mean_mean_novelty, round(avg(s), 6) AS mean_mean_score FROM l"
+SQL["daily_feedback"] = f"WITH {FEEDBACK} SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type, count(*) AS n FROM feedback WHERE event_type IS NOT NULL GROUP BY ALL"
