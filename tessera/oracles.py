@@ -138,8 +138,8 @@ LABELS = f"""{FEEDBACK}, labs AS (
 )"""
 
 
-def r(*columns: str, digits: int = 6) -> str:
-    return ", ".join(f"round({c}, {digits}) AS {c}" for c in columns)
+def r(*columns: str) -> str:
+    return ", ".join(f"round({c}, 6) AS {c}" for c in columns)
 
 
 SQL: dict[str, str] = {}
@@ -189,7 +189,7 @@ added AS (SELECT request_id, count(*) AS n FROM (SELECT DISTINCT request_id, ite
 SELECT b.request_id, count(DISTINCT item_id) AS n_candidates, count(*) AS n_hits, coalesce(any_value(added.n), 0) AS n_added FROM both_ b LEFT JOIN added ON added.request_id = b.request_id GROUP BY b.request_id"""
 _SCORES = {"retrieval_confidence": ("metadata", "confidence"), "multi_source_agreement": ("agreement",), "artist_match": ("artist_match", "known_artist"), "tag_match": ("tag_match", "title_overlap"), "title_match": ("title_match",), "novelty": ("novelty", "seed_album"), "final_score": ("content", "retrieval", "quality", "base", "gate", "score")}
 for _name, _columns in _SCORES.items():
-    SQL[_name] = f"{SCORED} SELECT request_id, item_id, {r(*_columns, digits=8)} FROM scored"
+    SQL[_name] = f"{SCORED} SELECT request_id, item_id, {', '.join(f'round({c} + 1e-10, 8) AS {c}' for c in _columns)} FROM scored"
 SQL["signal_scores"] = f"""WITH {ITEMS}, {SIGNALS}, s AS (SELECT items.item_id, signals.* EXCLUDE (item_id), comments IS NOT NULL AS enriched FROM items LEFT JOIN signals USING (item_id))
 SELECT item_id, round({POP}, 6)::DOUBLE AS popularity, round({AUTH}, 6)::DOUBLE AS authority, ({PLAY})::DOUBLE AS play,
   (CASE WHEN max_discount >= 0.1 THEN 1.0 WHEN max_discount >= 0.09 THEN 0.8 WHEN red * 1000 >= 999000 THEN 1.0 WHEN red * 1000 >= 320000 THEN 0.85 WHEN red * 1000 >= 192000 THEN 0.7 WHEN red * 1000 >= 128000 THEN 0.55 WHEN red > 0 THEN 0.35 ELSE 0.6 END)::DOUBLE AS audio FROM s"""

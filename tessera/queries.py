@@ -183,7 +183,7 @@ def _scored(spark: SparkSession, sf: str) -> DataFrame:
 
 def _score_query(name: str, columns: list[str]):
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return _scored(spark, sf).select("request_id", "item_id", *[_r(c, 8) for c in columns])
+        return _scored(spark, sf).select("request_id", "item_id", *[F.round(F.col(c) + 1e-10, 8).alias(c) for c in columns])
 
     run.__name__ = name
     query(run)
