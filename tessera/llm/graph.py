@@ -12,7 +12,7 @@ MAX_BROADCAST_IDS = 500_000
 
 
 def join_ids(rows: DataFrame, ids: DataFrame, on: str, how: str, most: int = MAX_BROADCAST_IDS) -> DataFrame:
-    """left_semi or left_anti join of wide rows with a materialised table of distinct ids.
+    """Join (left_semi, left_anti or inner) of wide rows with a materialised table of ids.
 
     The ids are counted. Up to `most` they are broadcast and the rows stay where they are; beyond, both sides are
     shuffled and the ids are hashed, so that the wide rows need no sort.

@@ -37,6 +37,10 @@ from tessera.llm.shared import materialise
 from tessera.llm.words import mix, pieces, shingle_sets
 
 FRAGMENTS = 8
+#: Pairs of one class that one task compares.
+HUB_PAIRS = 4000
+#: Shingles above the limit from which 32 bits of each are proof enough.
+SLACK = 3
 #: Shingles known as frequent: the most frequent of those that many documents of one task hold. They only steer.
 MAX_FREQUENT, MANY = 100_000, 8
 
@@ -109,8 +113,12 @@ def prefixes(docs: DataFrame, width: int, percent: int, frequent: tuple[np.ndarr
     return docs.select(F.col("id").cast("long"), "text").mapInArrow(run, "shingle long, id long, n int, place int")
 
 
-def segments(docs: DataFrame, width: int) -> DataFrame:
-    """(id, n, fragment, segment array<long>): each set cut at the fragments of the order; empty segments are left out."""
+def segments(docs: DataFrame, width: int, wide: bool) -> DataFrame:
+    """(id, n, fragment, segment): each set cut at the fragments of the order; empty segments are left out.
+
+    A segment is sorted and holds whole hashes, or, if not wide, the 32 bits that follow those of the fragment.
+    """
+    kind = pa.int64() if wide else pa.int32()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,23 +128,66 @@ def segments(docs: DataFrame, width: int) -> DataFrame:
                 part = (h >> np.uint64(61)).astype(np.int32)
                 cut = np.flatnonzero(np.append(True, (text[1:] != text[:-1]) | (part[1:] != part[:-1]))) if len(h) else np.zeros(0, np.int64)
                 ids = batch.column("id").slice(a, b - a).take(pa.array(text[cut]))
-                lists = pa.ListArray.from_arrays(pa.array(np.append(cut, len(h)).astype(np.int32)), pa.array(h.view(np.int64)))
+                values = h.view(np.int64) if wide else (h >> np.uint64(29)).astype(np.uint32).view(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(cut, len(h)).astype(np.int32)), pa.array(values, kind))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(n[text[cut]].astype(np.int32)), pa.array(part[cut]), lists], ["id", "n", "fragment", "segment"])
 
-    return docs.select(F.col("id").cast("long"), "text").mapInArrow(run, "id long, n int, fragment int, segment array<long>")
+    return docs.select(F.col("id").cast("long"), "text").mapInArrow(run, f"id long, n int, fragment int, segment array<{'long' if wide else 'int'}>")
+
+
+def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(x, y, nx, ny, fragment, part): rows come by (x, salt, fragment), x's own segment first."""
+    key, hub, nx = None, np.zeros(0, np.uint64), 0
+    for batch in batches:
+        x, salt, fragment, own, ids, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("x", "salt", "fragment", "own", "id", "n"))
+        at, values = batch.column("segment").offsets.to_numpy(), batch.column("segment").values.to_numpy()
+        values = values.view(np.uint64 if values.dtype == np.int64 else np.uint32)
+        rows, parts, sizes = [], [], []
+        for i in range(len(x)):
+            segment = values[at[i] : at[i + 1]]
+            if own[i]:
+                key, hub, nx = (x[i], salt[i], fragment[i]), segment.copy(), n[i]
+            elif key == (x[i], salt[i], fragment[i]):
+                part = np.count_nonzero(hub[np.minimum(np.searchsorted(hub, segment), len(hub) - 1)] == segment)
+                if part:
+                    rows.append(i)
+                    parts.append(part)
+                    sizes.append(nx)
+        r = np.array(rows, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(x[r]), pa.array(ids[r]), pa.array(sizes, pa.int32()), pa.array(n[r]), pa.array(fragment[r]), pa.array(parts, pa.int32())], ["x", "y", "nx", "ny", "fragment", "part"])
+
+
+def count_overlaps(docs: DataFrame, pairs: DataFrame, width: int, wide: bool) -> DataFrame:
+    """(x, y, nx, ny, both) of the pairs (x, y): partial overlaps are counted in each fragment and summed per pair.
+
+    Segments travel once for each pair, to (x, fragment); an x of many pairs is dealt out further by a salt.
+    """
+    many = pairs.groupBy("x").agg((F.count("*") / HUB_PAIRS + 1).cast("int").alias("salts"))
+    members = pairs.join(many, "x").select(F.col("y").alias("id"), "x", F.pmod(F.xxhash64("y"), F.col("salts")).cast("int").alias("salt"), F.lit(False).alias("own"))
+    hubs = many.select(F.col("x").alias("id"), "x", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(True).alias("own"))
+    wants = materialise(members.unionByName(hubs), "wants")
+    ids = materialise(wants.select("id").distinct(), "ids")
+    parts = join_ids(segments(join_ids(docs, ids, "id", "left_semi"), width, wide), wants, "id", "inner")
+    dealt = parts.repartition("x", "salt", "fragment").sortWithinPartitions("x", "salt", "fragment", F.desc("own"))
+    met = dealt.select("x", "salt", "fragment", "own", "id", "n", "segment").mapInArrow(_overlaps, "x long, y long, nx int, ny int, fragment int, part int")
+    # rows that repeat an id repeat its segments: the largest stands for them
+    once = met.groupBy("x", "y", "fragment").agg(F.max("part").alias("part"), F.max("nx").alias("nx"), F.max("ny").alias("ny"))
+    return once.groupBy("x", "y").agg(F.sum("part").alias("both"), F.max("nx").alias("nx"), F.max("ny").alias("ny"))
 
 
 def verify(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The links among the pairs (x, y): partial overlaps are counted in each fragment and summed per pair."""
-    ids = materialise(pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct(), "ids")
-    parts = materialise(segments(join_ids(docs, ids, "id", "left_semi"), width), "segments")
-    left = parts.select(F.col("id").alias("x"), F.col("n").alias("nx"), "fragment", F.col("segment").alias("sx"))
-    right = parts.select(F.col("id").alias("y"), F.col("n").alias("ny"), "fragment", F.col("segment").alias("sy"))
-    met = pairs.select("x", "y").join(left, "x").join(right, ["y", "fragment"]).select("x", "y", "nx", "ny", "fragment", F.size(F.array_intersect("sx", "sy")).alias("part"))
-    # rows that repeat an id repeat its segments: the largest stands for them
-    once = met.groupBy("x", "y", "fragment").agg(F.max("part").alias("part"), F.max("nx").alias("nx"), F.max("ny").alias("ny"))
-    both = once.groupBy("x", "y").agg(F.sum("part").alias("both"), F.max("nx").alias("nx"), F.max("ny").alias("ny"))
-    return materialise(both.where(100 * F.col("both") >= percent * (F.col("nx") + F.col("ny") - F.col("both"))).select(F.col("x").alias("a"), F.col("y").alias("b")), "links")
+    """The links (a, b) among the pairs (x, y).
+
+    Overlaps of 32-bit segments are never too small, so what they refute is no link; what exceeds the limit by less
+    than SLACK shingles is counted again with whole hashes.
+    """
+    over = lambda extra: (100 + percent) * (F.col("both") - extra) >= percent * (F.col("nx") + F.col("ny"))
+    link = lambda rows: rows.select(F.col("x").alias("a"), F.col("y").alias("b"))
+    near = materialise(count_overlaps(docs, pairs, width, False).where(over(0)).withColumn("sure", over(SLACK)), "near")
+    close = near.where("NOT sure").select("x", "y")
+    if not close.limit(1).count():
+        return link(near)
+    return materialise(link(near.where("sure")).unionByName(link(count_overlaps(docs, close, width, True).where(over(0)))), "links")
 
 
 def _sizes_allow(nx: Column, ny: Column, percent: int) -> Column:
@@ -149,6 +200,17 @@ def _places_allow(nx: Column, ny: Column, i: Column, j: Column, percent: int) ->
     return (100 + percent) * most >= percent * (nx + ny)
 
 
+def _prefix_allows(percent: int) -> Column:
+    """Whether sets can link of whose first shingles `c` are shared, the last at places i and j.
+
+    Up to the end of the shorter prefix (by the order) both sets are known: it holds all of one prefix, at least the
+    places up to the last shared shingle of the other, and no more than c shingles of both.
+    """
+    prefix = lambda n: F.col(n) - F.ceil(percent * F.col(n) / 100) + 1
+    differ = F.least(prefix("nx") + F.col("j") + 1, prefix("ny") + F.col("i") + 1) - 2 * F.col("c")
+    return (100 + percent) * differ <= (100 - percent) * (F.col("nx") + F.col("ny"))
+
+
 def link_classes(docs: DataFrame, reps: DataFrame, frequent: tuple[np.ndarray, np.ndarray], width: int, percent: int) -> DataFrame:
     """(node, label) of all classes that link with another; docs (id, text), reps: its ids that stand for others, to leave out."""
     docs = join_ids(docs.where("id IS NOT NULL"), reps, "id", "left_anti")
@@ -157,38 +219,41 @@ def link_classes(docs: DataFrame, reps: DataFrame, frequent: tuple[np.ndarray, n
     found = found.withColumn("hub", F.min("id").over(several)).withColumn("top", F.max("id").over(several)).where("hub <> top")
     shared = materialise(found.select("shingle", "id", "n", "place", "hub"), "shared")
 
-    hubs = shared.where("id = hub").select("shingle", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("place").alias("i"))
-    star = shared.where("id <> hub").join(hubs.dropDuplicates(["shingle"]), "shingle")
-    pairs = star.where(_sizes_allow(F.col("nx"), F.col("n"), percent) & _places_allow(F.col("nx"), F.col("n"), F.col("i"), F.col("place"), percent)).select("x", F.col("id").alias("y"))
-    tried = materialise(pairs.distinct(), "pairs")
-    links = [verify(docs, tried, width, percent)]
-    done = [tried]
+    x = shared.select("shingle", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("place").alias("i"))
+    y = shared.select("shingle", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("place").alias("j"))
+    allow = _sizes_allow(F.col("nx"), F.col("ny"), percent) & _places_allow(F.col("nx"), F.col("ny"), F.col("i"), F.col("j"), percent)
+
+    def counted(met: DataFrame) -> DataFrame:
+        """Pairs of shared shingles (x, y, nx, ny, i, j) summed per pair, without those that the prefixes refute."""
+        pairs = met.groupBy("x", "y").agg(F.count("*").alias("c"), F.max("i").alias("i"), F.max("j").alias("j"), F.max("nx").alias("nx"), F.max("ny").alias("ny"))
+        return pairs.where(_prefix_allows(percent)).select("x", "y")
+
+    def tried(pairs: DataFrame) -> DataFrame:
+        """Pairs of which some shared shingles are known: what all shared shingles of theirs leave."""
+        return materialise(counted(pairs.join(x, "x").join(y, ["y", "shingle"]).where(allow)), "pairs")
 
-    def labelled() -> DataFrame:
+    def labelled(links: list[DataFrame]) -> DataFrame:
         """Shingles that still have several components, with the component of each class."""
         label = components(reduce(DataFrame.unionByName, links))
         now = shared.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
         now = now.withColumn("low", F.min("label").over(several)).withColumn("high", F.max("label").over(several)).where("low <> high")
         return materialise(now.select("shingle", "id", "n", "place", "label", "low"), "open")
 
-    def untried(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-        return materialise(reduce(lambda p, d: p.join(d, ["x", "y"], "left_anti"), done, pairs), "pairs")
+    star = shared.select("shingle", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("place").alias("j"), "hub").where("y <> hub")
+    hubs = shared.where("id = hub").select("shingle", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("place").alias("i")).dropDuplicates(["shingle"])
+    links = [verify(docs, tried(star.join(hubs, "shingle").where(allow).select("x", "y").distinct()), width, percent)]
 
-    now = labelled()
     # a class of the smallest component, another one for each shingle, meets the classes of the others
+    now = labelled(links)
     pick = now.where("label = low").groupBy("shingle").agg(F.min_by(F.struct("id", "n", "place"), F.xxhash64("id", "shingle")).alias("m")).select("shingle", F.col("m.id").alias("x"), F.col("m.n").alias("nx"), F.col("m.place").alias("i"))
-    pairs = now.where("label <> low").join(pick, "shingle").where(_sizes_allow(F.col("nx"), F.col("n"), percent) & _places_allow(F.col("nx"), F.col("n"), F.col("i"), F.col("place"), percent))
-    tried = untried(pairs.select("x", F.col("id").alias("y")))
-    links.append(verify(docs, tried, width, percent))
-    done.append(tried)
-
-    now = labelled()
-    a = now.select("shingle", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("place").alias("i"), F.col("label").alias("lx"))
-    b = now.select("shingle", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("place").alias("j"), F.col("label").alias("ly"))
-    allow = (F.col("lx") < F.col("ly")) & _sizes_allow(F.col("nx"), F.col("ny"), percent) & _places_allow(F.col("nx"), F.col("ny"), F.col("i"), F.col("j"), percent)
-    tried = untried(a.join(b, "shingle").where(allow).select("x", "y"))
-    links.append(verify(docs, tried, width, percent))
+    others = now.where("label <> low").select("shingle", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("place").alias("j"))
+    links.append(verify(docs, tried(others.join(pick, "shingle").where(allow).select("x", "y").distinct()), width, percent))
+
+    # all pairs of different components: a shingle that two such classes share has several components
+    now = labelled(links)
+    a, b = (now.select("shingle", F.col("id").alias(c), F.col("n").alias("n" + c), F.col("place").alias(p), F.col("label").alias("l" + c)) for c, p in (("x", "i"), ("y", "j")))
+    pairs = materialise(counted(a.join(b, "shingle").where((F.col("lx") < F.col("ly")) & allow)), "pairs")
+    links.append(verify(docs, pairs, width, percent))
     return components(reduce(DataFrame.unionByName, links))
 
 
