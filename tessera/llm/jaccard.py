@@ -15,7 +15,10 @@ link when 100 * intersection >= percent * union.
 What is wanted is components, so candidates come in three rounds. First each class meets the smallest class of each of
 its shingles; then, where a shingle still has several components, one pseudo-random class of another; last, all pairs
 of different components that share a shingle. A large group of near copies is thereby linked with about as many
-comparisons as members, and the last round still looks at every pair that could join two components.
+comparisons as members, and the last round still looks at every pair that could join two components. There, documents
+that resemble a large group without linking to it meet all its members; a signature for each set refutes such pairs
+before they are formed: the parity of the set's shingles in each of BUCKETS buckets. Two signatures differ in no more
+buckets than the sets differ in shingles, so no link is lost; what signatures leave is counted as before.
 
 Null text: empty. Repeated rows: one document (rows of one id should have one text). Null id: a document that links
 with nothing. Ties: none matter, as components are labelled by their smallest id. Empty table: empty result. Only the
@@ -37,6 +40,9 @@ from tessera.llm.shared import materialise
 from tessera.llm.words import mix, pieces, shingle_sets
 
 FRAGMENTS = 8
+#: Buckets of a signature, a multiple of 64. They refute pairs of sets up to about as many shingles.
+BUCKETS = 512
+WORDS = [f"w{k}" for k in range(BUCKETS // 64)]
 #: Pairs of one class that one task compares.
 HUB_PAIRS = 4000
 #: Shingles above the limit from which 32 bits of each are proof enough.
@@ -54,23 +60,39 @@ def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return key, np.bincount(where, np.concatenate(counts), len(key)).astype(np.int64)
 
 
+def signatures(text: np.ndarray, mixed: np.ndarray, n: int) -> list[np.ndarray]:
+    """Words of the n texts' signatures; mixed: a hash of each shingle of each text."""
+    key, times = np.unique(text.astype(np.uint64) * np.uint64(BUCKETS) + mixed % np.uint64(BUCKETS), return_counts=True)
+    odd = key[times % 2 == 1]
+    out = np.zeros(n * len(WORDS), np.uint64)
+    np.bitwise_or.at(out, (odd >> np.uint64(6)).astype(np.int64), np.uint64(1) << (odd & np.uint64(63)))
+    return list(out.view(np.int64).reshape(n, len(WORDS)).T)
+
+
+def _signatures_allow(percent: int) -> Column:
+    """Whether sets can link whose signatures x and y differ in so many buckets."""
+    differ = reduce(Column.__add__, (F.bit_count(F.col(f"x{w}").bitwiseXOR(F.col(f"y{w}"))) for w in WORDS))
+    return (100 + percent) * differ <= (100 - percent) * (F.col("nx") + F.col("ny"))
+
+
 def scan(docs: DataFrame, width: int) -> DataFrame:
-    """Of docs (id, text): rows of kind 0 (id, n, and a, b: the set's 128 bits), and of kind 1 (a: shingle, n: documents).
+    """Of docs (id, text): rows of kind 0 (id, n, a, b: the set's 128 bits, WORDS: its signature), and of kind 1 (a: shingle, n: documents).
 
     The second kind is what a task has seen often; a task keeps and returns a bounded number.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, keys, counts = ["kind", "id", "n", "a", "b"], [], []
+        names, keys, counts = ["kind", "id", "n", "a", "b", *WORDS], [], []
         for batch in batches:
             for a, b, data, at in pieces(batch.column("text")):
                 text, h = shingle_sets(data, at, width)
                 total = np.zeros((2, len(h) + 1), np.uint64)
-                np.cumsum(mix(h), out=total[0, 1:])
+                mixed = mix(h)
+                np.cumsum(mixed, out=total[0, 1:])
                 np.cumsum(mix(h ^ np.uint64(0x5851F42D4C957F2D)), out=total[1, 1:])
                 cut = np.searchsorted(text, np.arange(b - a + 1))
                 one, two = (np.diff(x[cut]).view(np.int64) for x in total)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(b - a, np.int32)), batch.column("id").slice(a, b - a), pa.array(np.diff(cut)), pa.array(one), pa.array(two)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(b - a, np.int32)), batch.column("id").slice(a, b - a), pa.array(np.diff(cut)), pa.array(one), pa.array(two), *map(pa.array, signatures(text, mixed, b - a))], names)
                 key, n = np.unique(h, return_counts=True)
                 keys.append(key[n > 1])
                 counts.append(n[n > 1])
@@ -82,9 +104,9 @@ def scan(docs: DataFrame, width: int) -> DataFrame:
             key, n = _merged(keys, counts)
             top = np.argsort(-n, kind="stable")[:MAX_FREQUENT]
             top = top[n[top] >= MANY]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(top), np.int32)), pa.nulls(len(top), pa.int64()), pa.array(n[top]), pa.array(key[top].view(np.int64)), pa.array(np.zeros(len(top), np.int64))], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(top), np.int32)), pa.nulls(len(top), pa.int64()), pa.array(n[top]), pa.array(key[top].view(np.int64)), pa.array(np.zeros(len(top), np.int64)), *[pa.nulls(len(top), pa.int64()) for _ in WORDS]], names)
 
-    return materialise(docs.select(F.col("id").cast("long"), "text").mapInArrow(run, "kind int, id long, n long, a long, b long"), "sets")
+    return materialise(docs.select(F.col("id").cast("long"), "text").mapInArrow(run, "kind int, id long, n long, a long, b long, " + ", ".join(f"{w} long" for w in WORDS)), "sets")
 
 
 def prefixes(docs: DataFrame, width: int, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -211,9 +233,12 @@ def _prefix_allows(percent: int) -> Column:
     return (100 + percent) * differ <= (100 - percent) * (F.col("nx") + F.col("ny"))
 
 
-def link_classes(docs: DataFrame, reps: DataFrame, frequent: tuple[np.ndarray, np.ndarray], width: int, percent: int) -> DataFrame:
-    """(node, label) of all classes that link with another; docs (id, text), reps: its ids that stand for others, to leave out."""
-    docs = join_ids(docs.where("id IS NOT NULL"), reps, "id", "left_anti")
+def link_classes(docs: DataFrame, copies: DataFrame, signed: DataFrame, frequent: tuple[np.ndarray, np.ndarray], width: int, percent: int) -> DataFrame:
+    """(node, label) of all classes that link with another.
+
+    docs (id, text), copies: its ids that another id stands for, signed: the other ids with their signatures (id, WORDS).
+    """
+    docs = join_ids(docs.where("id IS NOT NULL"), copies, "id", "left_anti")
     found = prefixes(docs, width, percent, frequent)
     several = Window.partitionBy("shingle")
     found = found.withColumn("hub", F.min("id").over(several)).withColumn("top", F.max("id").over(several)).where("hub <> top")
@@ -250,9 +275,9 @@ def link_classes(docs: DataFrame, reps: DataFrame, frequent: tuple[np.ndarray, n
     links.append(verify(docs, tried(others.join(pick, "shingle").where(allow).select("x", "y").distinct()), width, percent))
 
     # all pairs of different components: a shingle that two such classes share has several components
-    now = labelled(links)
-    a, b = (now.select("shingle", F.col("id").alias(c), F.col("n").alias("n" + c), F.col("place").alias(p), F.col("label").alias("l" + c)) for c, p in (("x", "i"), ("y", "j")))
-    pairs = materialise(counted(a.join(b, "shingle").where((F.col("lx") < F.col("ly")) & allow)), "pairs")
+    now = join_ids(labelled(links), signed, "id", "inner")
+    a, b = (now.select("shingle", F.col("id").alias(c), F.col("n").alias("n" + c), F.col("place").alias(p), F.col("label").alias("l" + c), *[F.col(w).alias(c + w) for w in WORDS]) for c, p in (("x", "i"), ("y", "j")))
+    pairs = materialise(counted(a.join(b, "shingle").where((F.col("lx") < F.col("ly")) & allow & _signatures_allow(percent))), "pairs")
     links.append(verify(docs, pairs, width, percent))
     return components(reduce(DataFrame.unionByName, links))
 
@@ -264,11 +289,11 @@ def find_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     top = seen.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "a").limit(MAX_FREQUENT).toArrow()
     often, weight = top.column("a").to_numpy().view(np.uint64), top.column("n").to_numpy()
     order = np.argsort(often)
-    nodes = seen.where("kind = 0").select("id", "n", "a", "b")
-    classes = materialise(nodes.where("n > 0 AND id IS NOT NULL").groupBy("n", "a", "b").agg(F.min("id").alias("rep")), "classes")
-    member = nodes.where("n > 0 AND id IS NOT NULL").join(classes, ["n", "a", "b"])
+    nodes = seen.where("kind = 0").select("id", "n", "a", "b", *WORDS)
+    classes = materialise(nodes.where("n > 0 AND id IS NOT NULL").groupBy("n", "a", "b").agg(F.min("id").alias("rep"), *[F.min(w).alias(w) for w in WORDS]), "classes")
+    member = nodes.where("n > 0 AND id IS NOT NULL").select("id", "n", "a", "b").join(classes.drop(*WORDS), ["n", "a", "b"])
     copies = materialise(member.where("id <> rep").select("id").distinct(), "copies")
-    label = link_classes(docs, copies, (often[order], weight[order]), width, percent)
+    label = link_classes(docs, copies, classes.select(F.col("rep").alias("id"), *WORDS), (often[order], weight[order]), width, percent)
     out = member.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("label", "rep").alias("component_id"))
     alone = nodes.where("n = 0 OR id IS NULL").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
     return out.unionByName(alone).withColumnRenamed("id", id_col)

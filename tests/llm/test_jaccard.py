@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from tessera.llm import graph, jaccard
@@ -61,6 +62,17 @@ def test_edges(spark, monkeypatch):
     assert jaccard.find_groups(docs.limit(0)).count() == 0
 
 
+def test_signatures_differ_no_more_than_sets():
+    r = np.random.default_rng(5)
+    sets = [np.unique(r.integers(0, 900, k).astype(np.uint64)) for k in (0, 1, 5, 60, 300, 700, 700)]
+    text = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    words = np.array(jaccard.signatures(text, jaccard.mix(np.concatenate(sets)), len(sets))).T
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            differ = sum(int(x).bit_count() for x in (words[i] ^ words[j]).view(np.uint64))
+            assert differ <= len(np.setxor1d(a, b)) and (len(a) + len(b) > 10 or differ % 2 == len(np.setxor1d(a, b)) % 2)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 7), (200, 201), (5, 5), (200, 201)]
     got = {r.node: r.label for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
