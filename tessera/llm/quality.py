@@ -1,9 +1,9 @@
 r"""Quality rules: cross-document line frequency, with per-document base rules.
 
 Lines (\n-split, with a word) are normalised: A-Z to lower case, digits to 0, white space runs to one. For each host a
-line counts the documents that hold it; documents in which it stands between the same two lines count once, so copies
-of one text don't turn its lines into boilerplate. Lines above the limit are removed; a document that then has too few
-words, or too small a share of its words, is rejected.
+line counts the distinct documents that hold it, whatever stands around it; exact copies of a whole text, by its hash,
+are one document, so they don't turn its lines into boilerplate. Lines above the limit are removed; a document that then
+has too few words, or too small a share of its words, is rejected.
 
 Null text: no words, base_failed. Null host: a host of its own. Repeated rows: each gets its result; they count once in
 the counts. Empty table: empty result. Clashing column names: only the id, text and host columns are read.
@@ -24,7 +24,7 @@ from tessera.llm.graph import join_ids
 from tessera.llm.shared import materialise
 from tessera.llm.words import CODES, LOWER, PLACE, Words, mix, pieces, prefix_hashes, span_hashes
 
-#: Documents of one host, each between other lines, that a line may appear in.
+#: Distinct documents of one host that a line may appear in.
 MAX_DOCS = 20
 #: Words that must be left, as a number and as a share.
 MIN_WORDS, MIN_LEFT = 50, 0.5
@@ -99,9 +99,9 @@ def _key(text_col: str) -> Column:
 
 
 def measure(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
-    """A row for each row of docs: n (its number), id, host, key (a hash of the text), base figures, and lines array<struct<line, around, words>>.
+    """A row for each row of docs: n (its number), id, host, key (a hash of the text), base figures, and lines array<struct<line, words>>.
 
-    One pass over the texts, kept in the shared folder without them: a line is two hashes and a count.
+    One pass over the texts, kept in the shared folder without them: a line is a hash and a count.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -109,35 +109,31 @@ def measure(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataF
         for batch in batches:
             for a, b, data, at in pieces(batch.column("text")):
                 stats, lines = _stats(data, at)
-                line, same = lines.folded, lines.text[1:] == lines.text[:-1]
-                around = np.zeros(len(line), np.uint64)
-                around[1:] += np.where(same, line[:-1], 0).astype(np.uint64) * PLACE[3]
-                around[:-1] += np.where(same, line[1:], 0).astype(np.uint64) * PLACE[4]
                 at_line = np.searchsorted(lines.text, np.arange(b - a + 1))
                 nested = pa.ListArray.from_arrays(
                     pa.array(at_line, pa.int32()),
-                    pa.StructArray.from_arrays([pa.array(line.view(np.int64)), pa.array(mix(around).view(np.int64)), pa.array((lines.end - lines.first).astype(np.int32))], ["line", "around", "words"]),
+                    pa.StructArray.from_arrays([pa.array(lines.folded.view(np.int64)), pa.array((lines.end - lines.first).astype(np.int32))], ["line", "words"]),
                 )
                 rows = [batch.column(c).slice(a, b - a) for c in ("n", "id", "host", "key")]
                 yield pa.RecordBatch.from_arrays([*rows, *map(pa.array, stats), nested], ["n", "id", "host", "key", *(x.split()[0] for x in _STATS.split(", ")), "lines"])
 
     got = docs.select(F.monotonically_increasing_id().alias("n"), F.col(id_col).alias("id"), F.col(host_col).cast("string").alias("host"), _key(text_col).alias("key"), F.col(text_col).cast("string").alias("text"))
-    return materialise(got.mapInArrow(run, f"n long, id {kind}, host string, key long, {_STATS}, lines array<struct<line:long,around:long,words:int>>"), "quality")
+    return materialise(got.mapInArrow(run, f"n long, id {kind}, host string, key long, {_STATS}, lines array<struct<line:long,words:int>>"), "quality")
 
 
 def frequent_lines(seen: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
-    """(host, line) of the lines that more than max_docs documents of a host hold, each between other lines."""
-    each = seen.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: F.struct(x["line"].alias("line"), x["around"].alias("around"))))).alias("x"))
-    # the first aggregation merges copies before the shuffle; the second is on a part of its key
-    once = each.groupBy("host", "x.line", "x.around").agg(F.lit(1).alias("one"))
+    """(host, line) of the lines that more than max_docs distinct documents of a host hold."""
+    each = seen.select("host", "key", F.explode(F.array_distinct(F.transform("lines", lambda x: x["line"]))).alias("line"))
+    # the first aggregation merges copies of a text; the second is on a part of its key
+    once = each.groupBy("host", "line", "key").agg(F.lit(1).alias("one"))
     return once.groupBy("host", "line").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > max_docs).select("host", "line")
 
 
 def assess(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = MAX_DOCS, min_words: int = MIN_WORDS, min_left: float = MIN_LEFT, with_key: bool = False) -> DataFrame:
     """One row per row of docs: id, n (its number in a pass), base figures, n_words_left, base_failed, kept."""
     seen = measure(docs, id_col, text_col, host_col)
-    seen = seen if with_key else seen.drop("key")
     frequent = frequent_lines(seen, max_docs)
+    seen = seen if with_key else seen.drop("key")
     lines = seen.select("n", "host", F.explode("lines").alias("x")).select("n", "host", "x.line", "x.words")
     # (host, line) is unique on the right side: the join makes no more rows than there are lines
     lost = lines.join(frequent, (lines.host.eqNullSafe(frequent.host)) & (lines.line == frequent.line), "left_semi").groupBy("n").agg(F.sum("words").alias("lost"))

@@ -32,3 +32,14 @@ def test_against_brute_force(spark):
     got = quality.assess(docs.repartition(3), max_docs=6, min_words=5).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept").collect()
     assert sorted(map(tuple, got)) == sorted(brute(rows, 6))
     assert quality.assess(docs.limit(0)).count() == 0
+
+
+def test_a_block_of_lines_counts_documents(spark):
+    """Ten menu lines of 30 documents go, though eight of them always have the same neighbours; copies of a text count once."""
+    menu = [" ".join(f"{chr(97 + i)}{w}" for w in ("one", "two", "three", "four", "five", "six")) for i in range(10)]
+    body = lambda i: f"body{i} " + " ".join(f"w{i}x{j}" for j in range(19))
+    rows = [(i, "\n".join([*menu[:5], body(i), *menu[5:]]), "h") for i in range(30)]
+    rows += [(100 + i, "\n".join([*menu, body(100)]), "copies") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {x.doc_id: (x.n_words, x.n_words_left, x.kept) for x in quality.assess(docs.repartition(5), min_words=20).collect()}
+    assert got == {i: (80, 20, False) if i < 100 else (80, 80, True) for i, _, _ in rows}
