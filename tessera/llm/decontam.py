@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -85,19 +86,29 @@ def tile(test: np.ndarray, doc: np.ndarray, least: int) -> list[tuple[int, int,
         found, longest = [], 0
         for h, j in windows(d, marked_d):
             for i in where.get(h, ()):
+                if i and j and t[i - 1] == d[j - 1] and not marked_t[i - 1] and not marked_d[j - 1]:
+                    continue  # part of the match that begins a word before
                 k = 0
                 while i + k < len(t) and j + k < len(d) and t[i + k] == d[j + k] and not marked_t[i + k] and not marked_d[j + k]:
                     k += 1
                 if k >= size:
-                    found.append((k, i, j))
+                    found.append((-k, i, j))
                     longest = max(longest, k)
         if longest > 2 * size:
             size = longest
             continue
-        for k, i, j in sorted(found, key=lambda x: (-x[0], x[1], x[2])):
-            if not marked_t[i : i + k].any() and not marked_d[j : j + k].any():
-                marked_t[i : i + k] = marked_d[j : j + k] = True
-                tiles.append((i, j, k))
+        heapify(found)
+        while found:
+            k, i, j = heappop(found)
+            taken = np.flatnonzero(marked_t[i : i - k] | marked_d[j : j - k])
+            if not len(taken):
+                marked_t[i : i - k] = marked_d[j : j - k] = True
+                tiles.append((i, j, -k))
+                continue
+            # what longer tiles have left of the match goes back in its place
+            starts, ends = np.append(0, taken + 1), np.append(taken, -k)
+            for x in np.flatnonzero(ends - starts >= size):
+                heappush(found, (int(starts[x] - ends[x]), int(i + starts[x]), int(j + starts[x])))
         if size <= least:
             return tiles
         size = max(least, size // 2)

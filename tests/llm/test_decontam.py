@@ -68,3 +68,21 @@ def test_documents(spark):
         assert left.columns == d.columns and sorted(x.doc_id for x in left.collect()) == sorted(i for i, _ in docs if i not in want)
     assert {100 + i for i in range(12)} | {200 + i for i in range(12)} | {402} == want
     assert decontam.find(d.limit(0), b).count() == 0 and decontam.find(d, b.limit(0)).count() == 0
+
+
+def test_what_a_longer_tile_leaves_of_a_match_is_tiled(spark):
+    t = [f"t{i}" for i in range(16)]
+    text = " ".join(["a", *t[6:13], "b", "c", *t[1:7], "d"])
+    items = spark.createDataFrame([(1, " ".join(t))], "item_id long, text string")
+    docs = spark.createDataFrame([(7, text)], "doc_id long, text string")
+    assert [(x.n_tiles, x.covered) for x in decontam.find(docs, items).collect()] == [(2, 12)]
+    assert decontam.drop_contaminated(docs, items).count() == 0
+
+
+def test_tiling_covers_what_the_plain_method_covers():
+    r = random.Random(3)
+    for _ in range(600):
+        t, d = ([r.randint(1, r.choice([2, 4, 9])) for _ in range(r.randint(0, 40))] for _ in range(2))
+        least = r.randint(2, 5)
+        tiles = decontam.tile(np.array(t, np.uint64), np.array(d, np.uint64), least)
+        assert sum(k for *_, k in tiles) == brute_tiles(t, d, least), (t, d, least)
