@@ -29,6 +29,7 @@ def merge_hits(hits: DataFrame) -> DataFrame:
         F.max("reliability").alias("max_reliability"),
         F.max(1 / (1 + 0.2 * F.col("position"))).alias("max_rank"),
         F.array_distinct(F.flatten(F.collect_list(F.when(F.col("source_type").isin(*TASTE_TYPES), X.tokens(F.col("query")))))).alias("taste_tokens"),
+        F.flatten(F.collect_list(X.tokens(F.col("query")))).alias("query_tokens"),
     )
 
 

@@ -38,6 +38,7 @@ def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     segment = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("request_id"), F.lower("c_mktsegment").alias("segment"))
     got = got.join(segment, "request_id")
     genres = F.slice(F.array_distinct("album_list"), 1, MAX_GENRES)
+    words = lambda c: F.flatten(F.transform(c, X.tokens))
     return got.select(
         "request_id", "liked_ids", "segment", F.array_distinct("artist_list").alias("artists"), genres.alias("genres"), F.array_distinct("title_list").alias("titles"),
         F.array_remove(F.array_distinct(F.transform("artist_list", X.norm_artist)), "").alias("artist_norms"),
@@ -46,6 +47,8 @@ def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_distinct(F.flatten(F.transform("title_list", X.tokens))).alias("title_tokens"),
         F.array_distinct(F.flatten(F.transform("artist_list", X.tokens))).alias("artist_tokens"),
         F.array_distinct(F.concat(F.flatten(F.transform(genres, X.tokens)), X.tokens(F.col("segment")))).alias("tag_tokens"),
+        # titles, the liked items with artist and album, artists, genres, segment
+        F.concat(words(F.array_distinct("title_list")), words("title_list"), words("artist_list"), words("album_list"), words(F.array_distinct("artist_list")), words(genres), X.tokens(F.col("segment"))).alias("profile_words"),
     )
 
 

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import math
+from collections import Counter
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 from tessera.config import TASTE_TYPES, WEIGHTS
 from tessera.functions import scoring as S
@@ -13,6 +18,8 @@ from tessera.operators.retrieval import ARTIST_TYPES, merge_hits
 from tessera.plans import domain
 
 CONTENT_WEIGHT, NOVELTY_WEIGHT, DIVERSITY, K = 0.5, 0.3, 0.3, 10
+#: What the end of the plan needs of a candidate.
+CARRIED = ("request_id", "item_id", "title", "artist", "album", "artist_norm", "album_norm", "taste_tokens", "artist_match", "tag_match", "title_match", "title_overlap", "confidence", "retrieval", "quality", "authority", "novelty")
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,8 +33,37 @@ def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich.attach(candidates(spark, sf_dir), domain.signals(spark, sf_dir))
 
 
-def scored(rows: DataFrame) -> DataFrame:
-    """All scores of enriched candidates as columns."""
+def text_words(rows: DataFrame) -> DataFrame:
+    """rows with text_words: title without the profile's tags, artist, album, the queries that found it, and the profile's tags that those hold."""
+    said = F.flatten(F.transform(F.filter("tag_phrases", lambda p: (F.size(X.tokens(p)) > 0) & (F.size(F.array_except(X.tokens(p), F.col("query_tokens"))) == 0)), X.tokens))
+    title = F.filter(X.tokens(F.col("title")), lambda t: ~F.array_contains("tag_tokens", t))
+    return rows.withColumn("text_words", F.concat(title, X.tokens(F.col("artist")), X.tokens(F.col("album")), F.col("query_tokens"), said))
+
+
+def with_text(rows: DataFrame, profiles: DataFrame) -> DataFrame:
+    """rows with text_similarity (TF-IDF cosine of profile and candidate) and text_terms, array<struct<token, w>> by token.
+
+    A request's profile_words and its candidates' text_words are a corpus, with weights as in semantic.tfidf. The pool
+    is bounded by its plan, and one pass over it keeps the plan from being read again for each part.
+    """
+
+    def weigh(pool: pa.Table, profile: pa.Table) -> pa.Table:
+        counts = [Counter(x) for x in [*(profile.column("profile_words").to_pylist()[:1] or [[]]), *pool.column("text_words").to_pylist()]]
+        df = Counter(t for c in counts for t in c)
+        vectors = [{t: n / c.total() * (math.log((1 + len(counts)) / (1 + df[t])) + 1) for t, n in sorted(c.items())} for c in counts]
+        length = [math.sqrt(sum(w * w for w in v.values())) for v in vectors]
+        own, size = vectors[0], length[0]
+        near = [round(min(1.0, sum(w * own.get(t, 0.0) for t, w in v.items()) / (size * n)), 9) if n and size else 0.0 for v, n in zip(vectors[1:], length[1:])]
+        terms = [[{"token": t, "w": w} for t, w in v.items()] for v in vectors[1:]]
+        pool = pool.drop_columns(["text_words"]).append_column("text_similarity", pa.array(near, pa.float64()))
+        return pool.append_column("text_terms", pa.array(terms, pa.list_(pa.struct([("token", pa.string()), ("w", pa.float64())]))))
+
+    schema = StructType([*(f for f in rows.schema.fields if f.name != "text_words"), StructField("text_similarity", DoubleType()), StructField("text_terms", ArrayType(StructType([StructField("token", StringType()), StructField("w", DoubleType())])))])
+    return rows.groupBy("request_id").cogroup(profiles.select("request_id", "profile_words").groupBy("request_id")).applyInArrow(weigh, schema)
+
+
+def features(rows: DataFrame) -> DataFrame:
+    """The scores of enriched candidates that the text has no part in."""
     title, artist, album = (X.tokens(F.col(c)) for c in ("title", "artist", "album"))
     known = F.array_contains("artist_norms", X.norm_artist(F.col("artist"))).cast("double")
     rows = rows.withColumns(
@@ -49,17 +85,26 @@ def scored(rows: DataFrame) -> DataFrame:
         {
             "confidence": S.retrieval_confidence(F.col("best_value"), F.col("mean_value"), F.col("metadata")),
             "novelty": S.novelty(F.col("known_artist"), F.col("mean_position"), F.col("tag_match"), F.size("tag_tokens") > 0, F.col("seed_album")),
-            # profile text is not scored here; semantic recall has its own operators
-            "content": S.blend({"text": F.lit(0.0), "artist": F.col("artist_match"), "tag": F.col("tag_match"), "title": F.col("title_match")}, WEIGHTS.content),
             "quality": S.blend({"popularity": F.col("popularity"), "authority": F.col("authority"), "playable": F.col("play"), "metadata": F.col("metadata")}, WEIGHTS.quality),
         }
     )
-    rows = rows.withColumn("retrieval", S.blend({"confidence": F.col("confidence"), "agreement": F.col("agreement")}, WEIGHTS.retrieval))
+    return rows.withColumn("retrieval", S.blend({"confidence": F.col("confidence"), "agreement": F.col("agreement")}, WEIGHTS.retrieval))
+
+
+def totals(rows: DataFrame, text: Column) -> DataFrame:
+    """rows with content, base, gate and score; text is the candidates' likeness to the profile's text."""
+    content = S.blend({"text": text, "artist": F.col("artist_match"), "tag": F.col("tag_match"), "title": F.col("title_match")}, WEIGHTS.content)
+    rows = rows.withColumn("content", content)
     base, gate, final = S.final(F.col("content"), F.col("retrieval"), F.col("quality"), F.col("authority"), F.col("novelty"), F.lit(CONTENT_WEIGHT), F.lit(NOVELTY_WEIGHT))
     # rounded once, so that orders by score do not hang on the last bit
     return rows.withColumn("base", F.round(base, 9)).withColumn("gate", F.round(gate, 9)).withColumn("score", F.round(final, 9))
 
 
+def scored(rows: DataFrame) -> DataFrame:
+    """All scores of enriched candidates as columns, without text."""
+    return totals(features(rows), F.lit(0.0))
+
+
 def survivors(rows: DataFrame) -> DataFrame:
     """Candidates that no filter drops, rules in order: liked, variants, tag titles, versions, unplayable."""
     for bad in (filters.liked_or_excluded(), filters.missing_metadata(), filters.liked_title_variant(), filters.tag_title()):
@@ -70,9 +115,11 @@ def survivors(rows: DataFrame) -> DataFrame:
 
 def recommend(spark: SparkSession, sf_dir: str, k: int = K, diversity: float = DIVERSITY) -> DataFrame:
     """Cards: request_id, rank, item, scores, pick type, explanation."""
-    pool = scored(survivors(enriched(spark, sf_dir)))
+    # without the profiles' lists, which would travel with every candidate
+    pool = text_words(features(survivors(enriched(spark, sf_dir)))).select(*CARRIED, "text_words")
+    pool = totals(with_text(pool, domain.profiles(spark, sf_dir)), F.col("text_similarity"))
     few = enrich.within_budget(pool, 25)
-    picked = rerank.mmr(few.select("request_id", "item_id", "title", "artist_norm", "album_norm", "taste_tokens", "score"), k, diversity).drop("score")
+    picked = rerank.mmr(few.select("request_id", "item_id", "title", "artist_norm", "album_norm", "taste_tokens", "text_terms", "score"), k, diversity).drop("score")
     cards = few.join(picked, ["request_id", "item_id"])
     pick = explain.pick_type(F.col("promoted"), F.col("base"), F.col("artist_match"), F.col("content"), F.col("confidence"), F.col("title_overlap"), F.col("tag_match"), F.col("novelty"), F.col("gate"))
     cards = cards.withColumn("pick", pick)

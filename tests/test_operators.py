@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera import config
 from tessera.functions import text as X
 from tessera.operators import enrich, learning, metrics, rerank, store
+from tessera.plans import recommend
 from tessera.sources import files
 from tessera.streaming import feedback
 
@@ -87,3 +89,19 @@ def test_streamed_counts_equal_batch(spark, tmp_path):
     df.repartition(4).write.parquet(f"{tmp_path}/in")
     stream = feedback.run_to_memory(feedback.daily_counts(feedback.read_events(spark, f"{tmp_path}/in", "ts timestamp, event_type string")), "counts", f"{tmp_path}/ck")
     assert sorted(map(tuple, stream.collect())) == sorted(map(tuple, feedback.daily_counts(df).collect())) != []
+
+
+def test_mmr_and_content_weigh_text(spark):
+    row = lambda i, score, terms: (1, i, f"t{i}", f"a{i}", "", [], [(t, 1.0) for t in terms], score)
+    df = spark.createDataFrame([row(1, 0.9, "xy"), row(2, 0.8, "xy"), row(3, 0.79, "z")], "request_id long, item_id long, title string, artist_norm string, album_norm string, taste_tokens array<string>, text_terms array<struct<token:string,w:double>>, score double")
+    assert [r.item_id for r in rerank.mmr(df, 3, 0.5).orderBy("rank").collect()] == [1, 3, 2]
+    pool = spark.createDataFrame(
+        [(1, i, t, "Abba", "Rock", ["rock"], ["rock"], q, "dancing queen abba rock".split()) for i, t, q in ((1, "Dancing Queen", ["abba"]), (2, "Waterloo rock", ["abba", "rock"]))],
+        "request_id long, item_id long, title string, artist string, album string, tag_phrases array<string>, tag_tokens array<string>, query_tokens array<string>, profile_words array<string>",
+    )
+    # words of 1: dancing queen abba rock abba; of 2: waterloo abba rock abba rock rock
+    idf = lambda df: math.log(4 / (1 + df)) + 1
+    p, a, b = ({"d": n * idf(2), "q": n * idf(2), "w": m * idf(1), "abba": x * idf(3), "rock": y * idf(3)} for n, m, x, y in ((1, 0, 1, 1), (1, 0, 2, 1), (0, 1, 2, 3)))
+    cos = lambda u, v: sum(u[k] * v[k] for k in u) / math.sqrt(sum(x * x for x in u.values()) * sum(x * x for x in v.values()))
+    got = {r.item_id: r.text_similarity for r in recommend.with_text(recommend.text_words(pool).select("request_id", "item_id", "text_words"), pool.limit(1)).collect()}
+    assert got == {1: pytest.approx(cos(p, a)), 2: pytest.approx(cos(p, b))}
