@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import materialise
+from tessera.llm.shared import materialise, release
 
 #: Ids that a join may broadcast (counted first); beyond it the join is a shuffle.
 MAX_BROADCAST_IDS = 500_000
@@ -30,10 +30,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     now, before = materialise(now, "edges"), None
     for _ in range(rounds):
-        state = now.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first()
-        if state == before or not state[0]:
+        state = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+        # edges are distinct: equal numbers and none that is new mean that nothing changed; equal hashes alone do not
+        if not state[0] or (before and before[0] == state and not now.join(before[1], ["u", "v"], "left_anti").limit(1).count()):
             break
-        before = state
+        if before:
+            release(before[1])
+        before = state, now
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -42,5 +45,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         now = materialise(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     else:
         raise RuntimeError("components did not settle")
+    if before:
+        release(before[1])
     label = now.select(F.col("u").alias("node"), F.col("v").alias("label"))
     return label.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.expr import let
 from tessera.llm.graph import MAX_BROADCAST_IDS
-from tessera.llm.shared import materialise
+from tessera.llm.shared import fresh_name, materialise
 
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
@@ -189,12 +189,13 @@ def mask(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", siz
     """
     found = find(docs, id_col=id_col, text_col=text_col).where(F.size("spans") > 0)
     nulls = F.coalesce(F.col(id_col).cast("string"), F.lit("\0"))
-    spans = materialise(found.groupBy(nulls.alias("_id"), F.col("key").alias("_key")).agg(F.first("spans").alias("_spans")), "pii-spans")
-    few = (spans.agg(F.sum(F.size("_spans"))).first()[0] or 0) <= MAX_BROADCAST_IDS
-    rows = docs.withColumns({"_id": nulls, "_key": F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))})
-    got = rows.join(F.broadcast(spans) if few else spans.hint("shuffle_hash"), ["_id", "_key"], "left")
-    text = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(masked(F.col(text_col), F.col("_spans")))
+    name, cover = fresh_name(docs), fresh_name(docs, "spans")
+    spans = materialise(found.groupBy(F.struct(nulls.alias("id"), F.col("key")).alias(name)).agg(F.first("spans").alias(cover)), "pii-spans")
+    few = (spans.agg(F.sum(F.size(cover))).first()[0] or 0) <= MAX_BROADCAST_IDS
+    rows = docs.withColumn(name, F.struct(nulls.alias("id"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("key")))
+    got = rows.join(F.broadcast(spans) if few else spans.hint("shuffle_hash"), name, "left")
+    text = F.when(F.col(cover).isNull(), F.col(text_col)).otherwise(masked(F.col(text_col), F.col(cover)))
     got = got.withColumn(text_col, text)
     if size_col in docs.columns:
-        got = got.withColumn(size_col, F.when(F.col("_spans").isNull(), F.col(size_col)).otherwise(F.length(text_col).cast(docs.schema[size_col].dataType)))
+        got = got.withColumn(size_col, F.when(F.col(cover).isNull(), F.col(size_col)).otherwise(F.length(text_col).cast(docs.schema[size_col].dataType)))
     return got.select(*docs.columns)

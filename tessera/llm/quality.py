@@ -21,8 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.graph import join_ids
-from tessera.llm.shared import materialise
-from tessera.llm.words import CODES, LOWER, PLACE, Words, mix, pieces, prefix_hashes, span_hashes
+from tessera.llm.shared import fresh_name, materialise
+from tessera.llm.words import LOWER, SPACE, Words, hash_runs, hash_spans, pieces
 
 #: Distinct documents of one host that a line may appear in.
 MAX_DOCS = 20
@@ -41,10 +41,8 @@ _STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_rep
 
 
 def _per_text(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Sum of flags in [at[i], at[i + 1]) for each i."""
-    total = np.zeros(len(flags) + 1, np.int64)
-    np.cumsum(flags, out=total[1:])
-    return np.diff(total[at])
+    """Number of flags set in [at[i], at[i + 1]) for each i."""
+    return np.diff(np.searchsorted(np.flatnonzero(flags), at))
 
 
 def _first_seen(text: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -72,26 +70,21 @@ class Lines:
         has = b > a
         starts, ends, self.first, self.end = starts[has], ends[has], a[has], b[has]
         self.text = np.searchsorted(at, starts, "right") - 1
-        self.exact = mix(span_hashes(prefix_hashes(CODES[data]), starts, ends) + (ends - starts).astype(np.uint64) * PLACE[1])
-        folded = Words(data, at, FOLD)
-        self.folded = mix(span_hashes(prefix_hashes(folded.hash), self.first, self.end) + (self.end - self.first).astype(np.uint64) * PLACE[2])
+        self.exact = hash_spans(data, starts, ends, EXACT)
+        self.folded = hash_runs(hash_spans(data, w.start, w.end, FOLD), self.first, self.end)
 
 
 def _stats(data: np.ndarray, at: np.ndarray) -> tuple[list[np.ndarray], Lines]:
     w = Words(data, at, EXACT)
     lines = Lines(data, at, w)
-    solid_starts = (data & 0xC0) != 0x80
-    chars = np.zeros(len(data) + 1, np.int64)
-    np.cumsum(solid_starts, out=chars[1:])
-    word_chars = np.zeros(len(w.start) + 1, np.int64)
-    np.cumsum(chars[w.end] - chars[w.start], out=word_chars[1:])
+    letters = ~SPACE[data] & ((data & 0xC0) != 0x80)  # white space is ASCII: what else starts a code point is in a word
     again = np.bincount(lines.text[~_first_seen(lines.text, lines.exact)[0]], minlength=len(at) - 1)
     h, text, at_word = w.shingles(WINDOW)
     many = at_word[_first_seen(text, h)[1] > 1]
     repeated = np.zeros(len(w.start), bool)
     for k in range(WINDOW):
         repeated[many + k] = True
-    return [np.diff(w.first), np.diff(word_chars[w.first]), _per_text(SYMBOL[data], at), again, _per_text(repeated, w.first)], lines
+    return [np.diff(w.first), _per_text(letters, at), _per_text(SYMBOL[data], at), again, _per_text(repeated, w.first)], lines
 
 
 def _key(text_col: str) -> Column:
@@ -155,6 +148,7 @@ def keep(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", hos
     """
     verdict = assess(docs, id_col=id_col, text_col=text_col, host_col=host_col, with_key=True, **limits)
     nulls = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\0"))
-    go = materialise(verdict.where("NOT kept").select(nulls(id_col).alias("_id"), F.col("key").alias("_key"), nulls("host").alias("_host")).distinct(), "rejected")
-    rows = docs.withColumns({"_id": nulls(id_col), "_key": _key(text_col), "_host": nulls(host_col)})
-    return join_ids(rows, go, ["_id", "_key", "_host"], "left_anti").select(*docs.columns)
+    name = fresh_name(docs)
+    go = materialise(verdict.where("NOT kept").select(F.struct(nulls(id_col).alias("id"), F.col("key"), nulls("host").alias("host")).alias(name)).distinct(), "rejected")
+    rows = docs.withColumn(name, F.struct(nulls(id_col).alias("id"), _key(text_col).alias("key"), nulls(host_col).alias("host")))
+    return join_ids(rows, go, name, "left_anti").drop(name)

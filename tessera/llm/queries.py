@@ -136,10 +136,8 @@ WITH d AS (
   SELECT doc_id, host, pos, line, array_to_string(ws, ' ') AS norm, len(ws) AS words, row_number() OVER (PARTITION BY doc_id, line ORDER BY pos) AS nth
   FROM (SELECT *, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789', 'abcdefghijklmnopqrstuvwxyz0000000000'), '[^\x20\x09-\x0D]+') AS ws FROM l0)
   WHERE len(ws) > 0
-), a AS (
-  SELECT *, coalesce(lag(norm) OVER o, '') || chr(10) || coalesce(lead(norm) OVER o, '') AS around FROM l WINDOW o AS (PARTITION BY doc_id ORDER BY pos)
 ), f AS (
-  SELECT host, norm FROM a GROUP BY host, norm HAVING count(DISTINCT around) > 20
+  SELECT l.host, l.norm FROM l JOIN d ON d.doc_id = l.doc_id GROUP BY l.host, l.norm HAVING count(DISTINCT d.text) > 20
 ), x AS (
   SELECT l.doc_id, sum(CASE WHEN nth > 1 THEN 1 ELSE 0 END) AS dup, coalesce(sum(words) FILTER (f.norm IS NOT NULL), 0) AS lost
   FROM l LEFT JOIN f ON l.host = f.host AND l.norm = f.norm GROUP BY l.doc_id

@@ -1,7 +1,9 @@
 """Vectorised words, lines and shingles of whole Arrow batches of text.
 
 Texts stay UTF-8 bytes. A word is a run of bytes other than 0x20 and 0x09-0x0D, which never cuts a code point.
-Hashes are 64-bit: a polynomial over random byte codes, then a finaliser; equal words always hash alike.
+Hashes are 64-bit; equal words always hash alike. A word, line or run of words is the sum of random numbers that depend
+on each byte (or word) and its place, so no two strings collide by their structure. Polynomials modulo 2 ** 64, which
+some strings of 1,024 bytes defeat, are only used for windows of up to 200 bytes. Long texts are worked on in blocks.
 """
 
 from __future__ import annotations
@@ -13,6 +15,8 @@ import pyarrow as pa
 
 #: Bytes of text that are worked on at once; a longer document is a piece of its own.
 PIECE = 1 << 20
+#: Bytes of words that are hashed at once.
+BLOCK = 1 << 20
 
 _RNG = np.random.default_rng(20240229)
 CODES = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -20,6 +24,9 @@ BASE = np.uint64(0x9E3779B97F4A7C15 | 5)
 INVERSE = np.uint64(pow(int(BASE), -1, 2**64))
 PLACE = _RNG.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
+#: A number for each byte at each of 64 places.
+TABLE = _RNG.integers(1, 2**63, 64 * 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: All ASCII characters but letters and digits: for words that punctuation parts.
@@ -83,21 +90,56 @@ def span_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nd
     return (prefix[end] - prefix[start]) * powers(INVERSE, len(prefix))[start]
 
 
+def runs(size: np.ndarray) -> np.ndarray:
+    """0 .. size[0] - 1, 0 .. size[1] - 1, and so on."""
+    return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+
+
+def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, fold: np.ndarray, block: int = BLOCK) -> np.ndarray:
+    """Hashes of the non-empty byte spans [start, end): each byte stands for a random number of its place in the span.
+
+    The numbers are added up, so a span may be hashed in parts; `block` bytes are worked on at once, however long it is.
+    """
+    size = end - start
+    first = np.cumsum(size) - size
+    total = int(size.sum())
+    out = np.zeros(len(start), np.uint64)
+    for s in range(0, total, block):
+        e = min(total, s + block)
+        a, b = int(np.searchsorted(first, s, "right")) - 1, int(np.searchsorted(first, e, "left"))
+        low, high = np.maximum(first[a:b], s), np.minimum(first[a:b] + size[a:b], e)
+        place = np.arange(s, e) - np.repeat(first[a:b], high - low)
+        byte = fold[data[place + np.repeat(start[a:b], high - low)]]
+        value = TABLE[((place & 63) << 8) | byte]
+        late = np.flatnonzero(place > 63)
+        if len(late):
+            value[late] = mix(value[late] ^ ((place[late] >> 6).astype(np.uint64) * PLACE[10]))
+        out[a:b] += np.add.reduceat(value, low - s)
+    return mix(out + size.astype(np.uint64) * PLACE[0])
+
+
+def hash_runs(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the non-empty runs [start, end) of hashes, each mixed with its place in the run."""
+    size = end - start
+    if not len(size):
+        return np.zeros(0, np.uint64)
+    place = runs(size)
+    mixed = mix(values[place + np.repeat(start, size)] + place.astype(np.uint64) * PLACE[11])
+    return mix(np.add.reduceat(mixed, np.cumsum(size) - size) + size.astype(np.uint64) * PLACE[2])
+
+
 class Words:
     """Words of a piece: start, end (bytes), hash, and first (n + 1 word offsets by text)."""
 
     def __init__(self, data: np.ndarray, at: np.ndarray, fold: np.ndarray = LOWER, apart: np.ndarray = SPACE):
-        solid = ~apart[data]
+        solid = np.zeros(len(data) + 2, bool)
+        solid[1:-1] = ~apart[data]
         edge = np.zeros(len(data) + 1, bool)
         edge[at] = True
-        before = np.zeros(len(data) + 1, bool)
-        before[1:] = solid
-        solid_to = np.zeros(len(data) + 1, bool)
-        solid_to[:-1] = solid
-        self.start = np.flatnonzero(solid_to & (~before | edge))
-        self.end = np.flatnonzero(before & (~solid_to | edge))
+        self.start = np.flatnonzero(solid[1:] & (~solid[:-1] | edge))
+        self.end = np.flatnonzero(solid[:-1] & (~solid[1:] | edge))
         self.first = np.searchsorted(self.start, at)
-        self.hash = mix(span_hashes(prefix_hashes(CODES[fold[data]]), self.start, self.end) + (self.end - self.start).astype(np.uint64) * PLACE[0])
+        self.hash = hash_spans(data, self.start, self.end, fold)
 
     def text_of(self) -> np.ndarray:
         """The text's number for each word."""
