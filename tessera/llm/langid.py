@@ -11,9 +11,12 @@ language under equal priors. `und`, score 0: null texts, texts without a letter
 learned. Whole texts are scored.
 
 Training reads only text and non-null lang of rows whose crc32(id as text) mod 4 is not 2; of each language, about
-ROWS_PER_LANG rows chosen by a hash of the id, without texts over MAX_TRAIN_BYTES. That bounds what goes to the driver
-and out to the workers. Null id: never learned from. Repeated rows: scored each. Empty table: empty result. Only the
-id, text and lang columns are read.
+ROWS_PER_LANG rows chosen by a hash of the id, with their whole texts. Of a language's counts the most frequent
+4-grams are kept, MODEL_CELLS / languages ** 2 of them, so that the tables of the model (4-grams by languages) have
+MODEL_CELLS numbers of 4 bytes at most; with up to 8 languages that is a million 4-grams each. Both bounds are the
+same for any size of input. The score is near 1 for any text of some length, as code lengths add up: it tells short
+texts apart, and is no measure of confidence for long ones. Null id: never learned from. Repeated rows: scored each.
+Empty table: empty result. Only the id, text and lang columns are read.
 """
 
 from __future__ import annotations
@@ -22,13 +25,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.words import pieces
 
 ROWS_PER_LANG = 2000
-MAX_TRAIN_BYTES = 1 << 16
+#: Numbers in the largest table of a model.
+MODEL_CELLS = 1 << 26
+#: Bytes that are turned into 4-grams at once.
+BLOCK = 1 << 18
 ORDER = 3
 UNIT = 1 << 12
 FOLDS, HELD_OUT = 4, 2
@@ -38,25 +44,28 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % FOLDS == HELD_OUT, F.lit(False))
 
 
-def grams(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """For each byte it and the three before it in its text (zeros before its start), as one number."""
-    text = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    spot = np.arange(len(data)) + ORDER * (text + 1)
-    padded = np.zeros(len(data) + ORDER * len(at), np.uint32)
-    padded[spot] = data
-    out = padded[spot]
+def grams(data: np.ndarray, at: np.ndarray, start: int = 0, end: int | None = None) -> np.ndarray:
+    """For each byte of [start, end) it and the three before it in its text (zeros before its start), as one number."""
+    end = len(data) if end is None else end
+    place = np.arange(start, end) - np.repeat(at[:-1], np.diff(np.clip(at, start, end)))
+    out = data[start:end].astype(np.uint32)
     for k in range(1, ORDER + 1):
-        out |= padded[spot - k] << np.uint32(8 * k)
+        before = np.zeros(end - start, np.uint32)
+        low = max(start - k, 0)
+        before[low + k - start :] = data[low : end - k] if end > k else 0
+        out |= np.where(place >= k, before, np.uint32(0)) << np.uint32(8 * k)
     return out
 
 
 def count_grams(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows_per_lang: int) -> DataFrame:
     """(lang, gram, n) over the training sample; counts are merged in each task before the shuffle."""
-    rows = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & (F.octet_length(text_col) <= MAX_TRAIN_BYTES))
-    share = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).alias("lang")).agg((F.lit(float(rows_per_lang)) / F.count("*")).alias("share"))
-    chance = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("langid")), F.lit(1 << 20)) / float(1 << 20)
-    # a row for each language: a few hundred at most, so it may be broadcast
-    picked = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), chance.alias("chance")).join(F.broadcast(share), "lang").where("chance < share").select("lang", "text")
+    usable = ~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull()
+    labelled = docs.where(usable).select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    # a row for each language: a few hundred at most, so it may be collected and broadcast
+    sizes = labelled.groupBy("lang").count().collect()
+    share = docs.sparkSession.createDataFrame([(x["lang"], rows_per_lang / x["count"]) for x in sizes], "lang string, share double")
+    chance = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("langid")), F.lit(1 << 20)) / float(1 << 20)
+    picked = labelled.select("lang", "text", chance.alias("chance")).join(F.broadcast(share), "lang").where("chance < share").select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -64,10 +73,14 @@ def count_grams(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows
             for lang in sorted(set(names)):
                 part = batch.column("text").filter(pa.array(names == lang))
                 for _, _, data, at in pieces(part, 1 << 22):
-                    g, n = np.unique(grams(data, at), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
+                    for s in range(0, len(data), 16 * BLOCK):
+                        g, n = np.unique(grams(data, at, s, min(len(data), s + 16 * BLOCK)), return_counts=True)
+                        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
 
-    return picked.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = picked.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    most = MODEL_CELLS // max(1, len(sizes)) ** 2
+    by_count = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
+    return counts.withColumn("nth", F.row_number().over(by_count)).where(F.col("nth") <= most).drop("nth")
 
 
 class Table:
@@ -156,10 +169,11 @@ class Model:
 
     def text_lengths(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Summed code lengths (texts x languages); in blocks, so that long texts need no more memory."""
-        out, g, block = np.zeros((len(at) - 1, len(self.langs)), np.int64), grams(data, at), 1 << 18
-        for start in range(0, len(g), block):
-            total = np.zeros((min(block, len(g) - start) + 1, len(self.langs)), np.int64)
-            np.cumsum(self.lengths(g[start : start + block]), axis=0, out=total[1:])
+        out = np.zeros((len(at) - 1, len(self.langs)), np.int64)
+        for start in range(0, len(data), BLOCK):
+            end = min(start + BLOCK, len(data))
+            total = np.zeros((end - start + 1, len(self.langs)), np.int64)
+            np.cumsum(self.lengths(grams(data, at, start, end)), axis=0, out=total[1:])
             cut = np.clip(at - start, 0, len(total) - 1)
             out += total[cut[1:]] - total[cut[:-1]]
         return out

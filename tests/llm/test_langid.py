@@ -50,6 +50,34 @@ def test_code_lengths_against_brute_force():
     assert np.allclose(got, want, atol=0.1, rtol=1e-3)
 
 
+def test_blocks_give_the_grams_of_the_whole():
+    r = random.Random(6)
+    texts = [bytes(r.randrange(256) for _ in range(n)) for n in (0, 1, 2, 3, 4, 9, 0, 40)]
+    data, at = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    want = [int.from_bytes((b"\0\0\0" + t)[i : i + 4], "big") for t in texts for i in range(len(t))]
+    for step in (1, 2, 3, 5, 100):
+        got = np.concatenate([langid.grams(data, at, s, min(len(data), s + step)) for s in range(0, len(data), step)])
+        assert got.tolist() == want
+
+
+def test_predictions_against_brute_force(spark):
+    """lang_pred and score of short texts, and a language that has long texts only."""
+    r = random.Random(9)
+    draw = lambda a, n: "".join(r.choice(a) for _ in range(n))
+    learn = [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 != 2]
+    train = {"x": [draw("abcé ", 30) for _ in range(20)], "y": [draw("abdü ", 30) for _ in range(20)], "z": [draw("acü ", 90000)]}
+    rows = [(i, t, lang) for i, (lang, t) in zip(learn, [(k, t) for k, v in train.items() for t in v])]
+    tests = [(1000 + i, draw("abcdéü ", r.randint(1, 9)), None) for i in range(60)]
+    docs = spark.createDataFrame(rows + tests, "doc_id long, text string, lang string")
+    got = {x.doc_id: x for x in langid.predict(docs, langid.train(docs)).collect()}
+    for i, text, _ in tests:
+        bits = [brute_bits([t.encode() for t in train[k]], text.encode()) for k in "xyz"]
+        score = 1 / sum(2 ** (min(bits) - b) for b in bits)
+        assert abs(got[i].score - (score if any(c.isalpha() for c in text) else 0)) < 0.01
+        if score > 0.6 and any(c.isalpha() for c in text):
+            assert got[i].lang_pred == "xyz"[bits.index(min(bits))]
+
+
 def test_edges(spark):
     rows = [(i, ("the cat and the dog " if i % 2 else "der hund und die katze ") * 5, "en" if i % 2 else "de") for i in range(40)] + [(100, None, "en"), (101, "12 !?", "en"), (None, "the dog", "en"), (102, "die katze", None), (102, "die katze", None), (103, "the dog " * 40000, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "1 AS id", "2 AS held_out")
