@@ -7,7 +7,8 @@ each record the converter makes a WARC record: an identifier from the record's p
 run), WARC-Date from the 14-digit date, a type, and block and payload digests in base32 SHA-1.
 
 Archives are written through Spark's text sink, as header and block are UTF-8 and a WARC record ends with \r\n\r\n,
-which is the sink's line separator; so any store that Spark writes to will do. Files are gzipped as a whole.
+which is the sink's line separator; so any store that Spark writes to will do. The sink gzips a file as a whole, not
+record by record; files are bounded by records and bytes (SIZES), so a reader holds no more than one.
 
 Null html or url: empty payload; `-` for the URL. Repeated rows: each gets its record. Equal payloads of at least
 min_dedup bytes: the smallest page id is the response, the others are revisits without a payload. Ties: equal page
@@ -27,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import fresh_path, materialise
+from tessera.llm.graph import join_ids
+from tessera.llm.shared import fresh_path, materialise, release
 
 END = "\r\n\r\n"
 #: Fields of a record line by version, as the version block states them.
@@ -36,8 +38,10 @@ FIELDS = {
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
-#: Records to an archive file at most: what a reader holds at once.
-FILE_RECORDS = 500
+#: (payloads below so many bytes, records to an archive file at most): about 64 MB to a file, or one record.
+SIZES = [(1 << 17, 500), (1 << 20, 64), (1 << 23, 8), (1 << 62, 1)]
+#: Repeats that are broadcast to the pages, by id and digest; beyond it both sides are shuffled.
+MAX_REPEATS = 100_000
 
 
 def base32_sha1(data: bytes) -> str:
@@ -162,28 +166,35 @@ def first_of_payload(pages: DataFrame, min_dedup: int) -> DataFrame:
 def write_archive(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_dedup: int = 0, version: int = 1) -> None:
     """Write a WARC record for each page under path, converted from its ARC form.
 
-    To find equal payloads digests are shuffled; pages are, once, for the join with what was found.
+    To find equal payloads digests are shuffled. Pages stay where they are if few of them repeat another.
     """
-    html = F.coalesce(F.col(html_col), F.lit(""))
-    page = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), html.alias("html"), F.sha1(html).alias("digest"))
-    later = first_of_payload(page.select("id", "digest", F.octet_length("html").alias("size")), min_dedup)
+    html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
+    page = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), html.alias("html"), F.sha1(html).alias("digest"), F.octet_length(html).alias("size"))
+    sizes = materialise(page.select("id", "digest", "size"), "digests")
+    later = materialise(first_of_payload(sizes, min_dedup), "repeats")
     name = lambda c: F.concat(F.lit("page:"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(":"), F.col("digest"))
-    arcs = page.join(later, ["id", "digest"], "left").select(
-        arc_of_page(F.coalesce(F.col("id").cast("string"), F.lit("")), F.col("url"), F.col("html"), version).alias("arc"), name("id").alias("key"), F.when(F.col("first").isNotNull(), name("first")).alias("refers_to")
+    arcs = join_ids(page, later, ["id", "digest"], "left", MAX_REPEATS).select(
+        "size", arc_of_page(F.coalesce(F.col("id").cast("string"), F.lit("")), F.col("url"), F.col("html"), version).alias("arc"), name("id").alias("key"), F.when(F.col("first").isNotNull(), name("first")).alias("refers_to")
     )
-    convert(arcs).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    largest, low = sizes.agg(F.max("size")).first()[0] or 0, 0
+    for high, records in SIZES:
+        if low <= largest:
+            rows = arcs.where((F.col("size") >= low) & (F.col("size") < high)) if largest >= SIZES[0][0] else arcs
+            convert(rows).write.mode("append").option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", records).text(path)
+        low = high
+    release(sizes, later)
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """Records of the archives under path: record_id, page_id, record_type, payload_bytes, payload_digest, refers_id, url, date.
 
     payload_digest is computed from a response's payload and must equal the header's; a revisit has no payload, so its
-    digest and length are those that its headers state. Files hold FILE_RECORDS records at most, so one fits in memory.
+    digest and length are those that its headers state. page_id is a string, null where a record states none.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["record_id", "page_id", "record_type", "payload_bytes", "payload_digest", "refers_id", "url", "date"]
-        kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string()]
+        kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string()]
         for batch in batches:
             for content in batch.column("content"):
                 rows: list[tuple] = []
@@ -193,11 +204,11 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
                     if h["warc-type"] != "revisit" and base32_sha1(payload) != stated:
                         raise ValueError(f"{h['warc-record-id']}: its payload has not the digest stated")
                     size = int(http.get("content-length", 0)) if h["warc-type"] == "revisit" else len(payload)
-                    rows.append((h["warc-record-id"], int(http["x-page-id"]) if http.get("x-page-id") else None, h["warc-type"], size, stated, h.get("warc-refers-to"), h.get("warc-target-uri"), h["warc-date"]))
+                    rows.append((h["warc-record-id"], http.get("x-page-id") or None, h["warc-type"], size, stated, h.get("warc-refers-to"), h.get("warc-target-uri"), h["warc-date"]))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * len(names), kinds)], names)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    return files.mapInArrow(run, "record_id string, page_id long, record_type string, payload_bytes long, payload_digest string, refers_id string, url string, date string")
+    return files.mapInArrow(run, "record_id string, page_id string, record_type string, payload_bytes long, payload_digest string, refers_id string, url string, date string")
 
 
 def archive_pages(pages: DataFrame, **how) -> DataFrame:
@@ -205,9 +216,10 @@ def archive_pages(pages: DataFrame, **how) -> DataFrame:
     spark = pages.sparkSession
     path = fresh_path(spark, "warc")
     write_archive(pages, path, **how)
-    got = materialise(read_archive(spark, path), "warc-read")
+    kind = pages.schema[how.get("id_col", "page_id")].dataType
+    got = materialise(read_archive(spark, path).withColumn("page_id", F.col("page_id").cast(kind)), "warc-read")
     named = got.where("record_type <> 'revisit'").select(F.col("record_id").alias("refers_id"), F.col("page_id").alias("refers_to")).distinct()
     # the responses that revisits name: few ids of many records, matched by shuffled ids
     revisits = got.where("record_type = 'revisit'").join(named, "refers_id", "left")
     cols = ["page_id", "payload_bytes", "payload_digest", "record_type"]
-    return got.where("record_type <> 'revisit'").select(*cols, F.lit(None).cast("long").alias("refers_to")).unionByName(revisits.select(*cols, "refers_to"))
+    return got.where("record_type <> 'revisit'").select(*cols, F.lit(None).cast(kind).alias("refers_to")).unionByName(revisits.select(*cols, "refers_to"))

@@ -48,6 +48,13 @@ def test_arc_versions_and_lengths():
         list(warc.read_arc(data.replace(b"200 - - 7 x", b"7 x")))
 
 
+def test_ids_that_are_no_numbers_and_large_pages(spark, monkeypatch):
+    monkeypatch.setattr(warc, "SIZES", [(100, 3), (1000, 2), (1 << 62, 1)])
+    pages = [(f"p{i}", "u", "x" * (i * 37) if i % 3 else "same") for i in range(40)]
+    got = warc.archive_pages(spark.createDataFrame(pages, "page_id string, url string, html string"))
+    assert sorted(map(tuple, got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()), key=repr) == brute(pages, 0)
+
+
 def test_files_are_whole_archives(spark, tmp_path):
     df = spark.createDataFrame(PAGES, "page_id long, url string, html string")
     warc.write_archive(df, str(tmp_path / "w"))
