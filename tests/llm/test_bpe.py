@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import public_tokenizers as P
@@ -28,4 +29,8 @@ def test_documents(spark):
     by = {r.doc_id: r for r in got}
     assert by[2].n_tokens == 0 and by[2].token_ids == []
     assert by[4].token_ids == enc.encode_ordinary(rows[-1][1])
+    for r in got:
+        want = [enc.encode_ordinary(t or "") for i, t, _ in rows if i == r.doc_id][0]
+        assert r.ids_sha256 == hashlib.sha256(",".join(map(str, want)).encode()).hexdigest() and r.n_tokens == len(want)
+        assert r.decoded_sha256 == hashlib.sha256(enc.decode_bytes(want)).hexdigest()
     assert bpe.encode_documents(docs.limit(0), RANKS, P.PATTERN).count() == 0
