@@ -10,8 +10,9 @@ cross documents, and strings are judged on the input.
    and surroundings earlier are repeats with all their windows; within a batch these are told apart before the shuffle.
 3. What is left of an anchor's group differs somewhere in its surroundings, as at the ends of a repeated passage. The
    right and the (reversed) left sides of those anchors are suffixes; they are sorted by hash comparisons with binary
-   search (see suffixes.py, which verifies against the bytes), and runs of common length give, for each distance, the
-   classes of equal windows; all but the earliest of a class are repeats.
+   search (see suffixes.py, which verifies against the bytes and falls back to them), and runs of common length give,
+   for each distance, the classes of equal windows; all but the earliest of a class are repeats. A group of more than
+   HOT anchors is not sorted in one task but dealt out window by window, by 128 bits of each window's bytes.
 4. Repeated windows are put together by document.
 
 Null text: empty. Null id: compared with nothing, kept whole. Repeated rows (one id and one text): one document, each
@@ -26,13 +27,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.graph import join_ids
 from tessera.llm.shared import materialise
 from tessera.llm.suffixes import Suffixes
-from tessera.llm.words import CODES, PLACE, mix, pieces, prefix_hashes, span_hashes
+from tessera.llm.words import CODES, PLACE, mix, pieces, prefix_hashes, runs, span_hashes
 
 WIDTH, GRAM = 100, 40
 #: Windows worked on at once; below 2 ** 21, as places are packed into the low bits of hashes.
@@ -40,45 +42,57 @@ BLOCK = 1 << 18
 _LOW = np.uint64((1 << 21) - 1)
 #: Anchors whose suffixes are sorted at once.
 CHUNK = 100_000
-#: A group of one anchor's surroundings above this size is dealt out window by window.
-HOT = 50_000
+#: A group of anchors (one string, different surroundings) above this size is dealt out window by window.
+HOT = 2_000
 
 KEY = ["id", "sub"]
 
 
-def pick_anchors(data: np.ndarray, at: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(text, place, low, high, hash, surroundings): anchors of a piece, each with the distances of its windows."""
-    reach, n = width - gram, len(data)
-    prefix = prefix_hashes(CODES[data])
-    if n < width:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64))
-    starts = np.arange(n - width + 1)
-    picked = np.empty(len(starts), np.int64)
-    for s in range(0, len(starts), BLOCK):
-        e = min(s + BLOCK, len(starts))
-        spot = starts[s] + np.arange(e - s + reach)
-        v = (mix(span_hashes(prefix, spot, spot + gram)) & ~_LOW) | np.arange(len(spot)).astype(np.uint64)
-        span = 1
-        while span * 2 <= reach + 1:
-            v = np.minimum(v[:-span], v[span:])
-            span *= 2
-        if span < reach + 1:
-            v = np.minimum(v[: e - s], v[reach + 1 - span : reach + 1 - span + e - s])
-        picked[s:e] = (v[: e - s] & _LOW).astype(np.int64) + s
+def _block(data: np.ndarray, at: np.ndarray, s: int, e: int, width: int, gram: int) -> tuple[np.ndarray, ...]:
+    """pick_anchors for the windows that start in [s, e); places count from the piece's start."""
+    reach = width - gram
+    low, high = max(0, s - reach), min(len(data), e + reach + width)
+    prefix = prefix_hashes(CODES[data[low:high]])
+    spot = np.arange(s - low, e - low + reach)
+    v = (mix(span_hashes(prefix, spot, spot + gram)) & ~_LOW) | np.arange(len(spot)).astype(np.uint64)
+    span = 1
+    while span * 2 <= reach + 1:
+        v = np.minimum(v[:-span], v[span:])
+        span *= 2
+    if span < reach + 1:
+        v = np.minimum(v[: e - s], v[reach + 1 - span : reach + 1 - span + e - s])
+    picked = (v[: e - s] & _LOW).astype(np.int64) + s
     # windows that lie in one text; a text's first and last windows border on invalid ones of the texts next to it
-    size = np.diff(at)
-    some = np.flatnonzero(size >= width)
-    count = size[some] - width + 1
-    text = np.repeat(some, count)
-    window = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + at[text]
-    place = picked[window]
+    first, end = np.clip(at[:-1], s, e), np.clip(at[1:] - width + 1, s, e)
+    count = np.maximum(end - first, 0)
+    text = np.repeat(np.arange(len(count)), count)
+    window = runs(count) + np.repeat(first, count)
+    place = picked[window - s]
     cut = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (text[1:] != text[:-1]))) if len(place) else np.zeros(0, np.int64)
     last = np.append(cut[1:], len(place))[: len(cut)] - 1
     text, place = text[cut], place[cut]
-    high, low = place - window[cut], place - window[last]
+    return text, place, place - window[last], place - window[cut], mix(span_hashes(prefix, place - low, place - low + gram) + PLACE[7])
+
+
+def pick_anchors(data: np.ndarray, at: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, ...]:
+    """(text, place, low, high, hash, surroundings): anchors of a piece, each with the distances of its windows.
+
+    The piece is worked on in blocks. The hash is a polynomial; the surroundings' is of another kind, so that two
+    anchors with both equal are taken to be alike by 128 bits.
+    """
+    n, reach = len(data) - width + 1, width - gram
+    got = [_block(data, at, s, min(s + BLOCK, n), width, gram) for s in range(0, n, BLOCK)]
+    if not got:
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64))
+    text, place, low, high, h = map(np.concatenate, zip(*got))
+    # an anchor of windows of two blocks came twice
+    new = np.append(True, (place[1:] != place[:-1]) | (text[1:] != text[:-1])) if len(place) else np.zeros(0, bool)
+    last = np.append(np.flatnonzero(new)[1:], len(place)) - 1 if len(place) else np.zeros(0, np.int64)
+    text, place, low, high, h = text[new], place[new], low[last], high[new], h[new]
     a, b = np.maximum(place - reach, at[text]), np.minimum(place + width, at[text + 1])
-    around = mix(span_hashes(prefix, a, b) + (place - a).astype(np.uint64) * PLACE[5] + (b - place).astype(np.uint64) * PLACE[6])
-    return text, place - at[text], low, high, mix(span_hashes(prefix, place, place + gram) + PLACE[7]), around
+    raw = data.tobytes()
+    near = np.array([xxhash.xxh3_64_intdigest(raw[i:j]) for i, j in zip(a.tolist(), b.tolist())], np.uint64)
+    return text, place - at[text], low, high, h, mix(near + (place - a).astype(np.uint64) * PLACE[5])
 
 
 def anchors(docs: DataFrame, width: int, gram: int) -> DataFrame:
@@ -131,7 +145,8 @@ def _classes(data: pa.Array, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     at = np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data) + 1].astype(np.int64)
     s = Suffixes(raw[: at[-1]], at[:-1], np.diff(at))
     perm = s.sort(group)
-    return perm, s.verified(perm, group)
+    common = s.verified(perm, group)
+    return s.by_bytes(group) if common is None else (perm, common)
 
 
 def repeated_windows(group: np.ndarray, rank: np.ndarray, low: np.ndarray, high: np.ndarray, left: pa.Array, right: pa.Array, width: int, gram: int) -> np.ndarray:
@@ -219,6 +234,32 @@ def remove(docs: DataFrame, spans: DataFrame) -> DataFrame:
     return met.select("id", "text", "spans").mapInArrow(run, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
+def deal_out(ends: DataFrame, width: int, gram: int) -> DataFrame:
+    """What sort_ends returns, for groups too large for one task: each window is a row, keyed by 128 bits of its bytes.
+
+    All but the earliest of a key are repeats; the earliest is found by an aggregation that merges in each task first.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in (*KEY, "place", "low", "high", "left", "right")))
+            out: list[list] = [[], [], [], [], []]
+            for i, sub, place, low, high, left, right in rows:
+                around = left[::-1] + right
+                for o in range(low, high + 1):
+                    start = len(left) - o
+                    key = xxhash.xxh3_128_digest(around[start : start + width])
+                    for c, v in zip(out, (int.from_bytes(key[:8], "big", signed=True), int.from_bytes(key[8:], "big", signed=True), i, sub, place - o)):
+                        c.append(v)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:4]), pa.array(out[4], pa.int32())], ["k1", "k2", *KEY, "start"])
+
+    spot = F.struct(*KEY, "start")
+    windows = materialise(ends.mapInArrow(run, "k1 long, k2 long, id long, sub long, start int"), "windows")
+    first = windows.groupBy("k1", "k2").agg(F.min(spot).alias("first"), F.max(spot).alias("last")).where("first <> last").drop("last")
+    again = windows.join(first, ["k1", "k2"]).where(spot != F.col("first"))
+    return again.select(*KEY, "start", (F.col("start") + width).alias("end"))
+
+
 def find_spans(docs: DataFrame, width: int, gram: int) -> DataFrame:
     """(key, start, end): spans of bytes of docs (key, text) that repeat something earlier; they may overlap."""
     same, like = Window.partitionBy("hash"), Window.partitionBy("hash", "around").orderBy(*KEY, "place")
@@ -227,7 +268,11 @@ def find_spans(docs: DataFrame, width: int, gram: int) -> DataFrame:
     found = materialise(found.where("again OR least <> most").select("hash", *KEY, "place", "low", "high", "again"), "anchors")
     whole = found.where("again").select(*KEY, (F.col("place") - F.col("high")).alias("start"), (F.col("place") - F.col("low") + width).alias("end"))
     ends = found.where("NOT again").drop("again")
-    return whole.unionByName(sort_ends(sides(docs, ends, width, gram), width, gram))
+    hot = materialise(ends.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("hash"), "hot")
+    if not hot.limit(1).count():
+        return whole.unionByName(sort_ends(sides(docs, ends, width, gram), width, gram))
+    usual, large = join_ids(ends, hot, "hash", "left_anti"), join_ids(ends, hot, "hash", "left_semi")
+    return whole.unionByName(sort_ends(sides(docs, usual, width, gram), width, gram)).unionByName(deal_out(sides(docs, large, width, gram), width, gram))
 
 
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM) -> DataFrame:

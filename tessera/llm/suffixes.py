@@ -7,6 +7,8 @@ take their steps together. The order and the common lengths are then verified ag
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 
 from tessera.llm.words import CODES, INVERSE, powers, prefix_hashes
@@ -70,8 +72,18 @@ class Suffixes:
             perm, width = merged, width * 2
         return perm
 
-    def verified(self, perm: np.ndarray, group: np.ndarray) -> np.ndarray:
-        """Common lengths of neighbours in perm (0 between groups), checked byte by byte; ValueError on a collision."""
+    def by_bytes(self, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(perm, common lengths of neighbours) by comparing bytes alone: what a collision of hashes falls back to."""
+        raw = [self.data[a : a + n].tobytes() for a, n in zip(self.start, self.length)]
+        perm = sorted(range(len(raw)), key=lambda i: (group[i], raw[i], i))
+        common = [0] * len(raw)
+        for k in range(1, len(perm)):
+            if group[perm[k]] == group[perm[k - 1]]:
+                common[k] = len(os.path.commonprefix([raw[perm[k - 1]], raw[perm[k]]]))
+        return np.array(perm, np.int64), np.array(common, np.int64)
+
+    def verified(self, perm: np.ndarray, group: np.ndarray) -> np.ndarray | None:
+        """Common lengths of neighbours in perm (0 between groups), checked byte by byte; None on a collision."""
         a, b = perm[:-1], perm[1:]
         same_group = group[a] == group[b]
         k = np.where(same_group, self.common(a, b), 0)
@@ -83,5 +95,5 @@ class Suffixes:
         ca, cb = (self.data[np.minimum(self.start[x] + k, last)] for x in (a, b)) if len(self.data) else (k, k)
         sorted_ = over_a | (~over_b & (ca < cb))
         if not equal.all() or not sorted_[same_group].all():
-            raise ValueError("hash collision")
+            return None
         return np.append(0, k)

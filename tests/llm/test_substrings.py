@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import substrings
@@ -42,9 +43,21 @@ def test_suffix_sort():
             assert common[k] == (n if group[perm[k]] == group[perm[k - 1]] else 0)
 
 
-@pytest.mark.parametrize("seed,width,gram", [(1, 100, 40), (2, 20, 8), (3, 12, 3)])
-def test_against_brute_force(spark, monkeypatch, seed, width, gram):
+        by_bytes = s.by_bytes(group)
+        assert by_bytes[0].tolist() == perm.tolist() and by_bytes[1].tolist() == common.tolist()
+
+
+def test_a_collision_falls_back_to_bytes(monkeypatch):
+    monkeypatch.setattr(Suffixes, "common", lambda self, a, b: np.minimum(self.length[a], self.length[b]))  # all hashes equal
+    strings = [b"abc", b"abd", b"ab", b"xbc"]
+    perm, common = substrings._classes(pa.array(strings, pa.binary()), np.zeros(4, np.int64))
+    assert perm.tolist() == [2, 0, 1, 3] and common.tolist() == [0, 2, 2, 0]
+
+
+@pytest.mark.parametrize("seed,width,gram,hot", [(1, 100, 40, 2000), (2, 20, 8, 3), (3, 12, 3, 2000)])
+def test_against_brute_force(spark, monkeypatch, seed, width, gram, hot):
     monkeypatch.setattr(substrings, "BLOCK", 97)
+    monkeypatch.setattr(substrings, "HOT", hot)
     r = random.Random(seed)
     alphabet = ["a", "b", "é", "漢", " "] if seed != 3 else ["a", "b"]
     text = lambda n: "".join(r.choice(alphabet) for _ in range(n))
