@@ -2,8 +2,9 @@
 
 Base kinds are fixed patterns with a check each; their spans always stay. The method then learns from them: the words
 left of a base entity are a lexical pattern, each (pattern, instance) pair an edge of a graph. Round by round Spark
-scores patterns by the share of their distinct instances that are known, and instances by their best pattern; tokens
-that look like identifiers and follow a pattern of high confidence become further spans, under the kind of the pattern.
+scores patterns by the share of their distinct instances that are known, and instances by their best pattern, until a
+round accepts no further pattern; tokens that look like identifiers and follow a pattern of high confidence become
+further spans, under the kind of the pattern. Such tokens are runs with some digits, and addresses without a dot.
 
 Positions count code points, end exclusive. Null text: empty. Repeated rows: each gets its own result. Empty table:
 empty result. Columns other than the id and the text are not read. Instances leave the scan as 64-bit hashes only.
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.expr import let
 from tessera.llm.graph import MAX_BROADCAST_IDS
-from tessera.llm.shared import fresh_name, materialise
+from tessera.llm.shared import fresh_name, materialise, release
 
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
@@ -33,10 +34,11 @@ NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 #: Tokens that may be identifiers: at least six characters, of them four digits.
 TOKEN = r"[A-Za-z0-9](?:[A-Za-z0-9_/-])*+"
 MIN_TOKEN, MIN_DIGITS = 6, 4
+ADDRESS = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++"
 #: Characters left of an entity that are looked at, and the words of them that make a pattern.
 CONTEXT = 64
 #: A pattern counts from this many known instances and this share of its instances on; an instance from this score on.
-MIN_KNOWN, MIN_SHARE, ROUNDS = 3, 0.5, 2
+MIN_KNOWN, MIN_SHARE = 3, 0.5
 
 _BLOCK = 64
 
@@ -98,7 +100,10 @@ def base_matches(text: Column, kind: str) -> Column:
 def candidate_tokens(text: Column) -> Column:
     ok = lambda v: (F.length(v) >= MIN_TOKEN) & (F.length(_digits(v)) >= MIN_DIGITS)
     pattern = r"(?<![A-Za-z0-9_/-])(?=[A-Za-z_/-]*+[0-9])" + TOKEN
-    return F.when(text.rlike(r"[0-9]"), matches(text, pattern, ok)).otherwise(F.array().cast(_FOUND))
+    numbers = F.when(text.rlike(r"[0-9]"), matches(text, pattern, ok)).otherwise(F.array().cast(_FOUND))
+    addresses = F.when(text.contains("@"), matches(text, ADDRESS, lambda v: F.lit(True))).otherwise(F.array().cast(_FOUND))
+    apart = lambda t, others: ~F.exists(others, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
+    return let(addresses, lambda a: F.concat(a, F.filter(numbers, lambda t: apart(t, a))))
 
 
 def extract(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -118,21 +123,32 @@ def extract(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return materialise(got.select("id", "n", "key", "base", F.filter("tokens", free).alias("tokens")), "pii")
 
 
-def score_patterns(seen: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(left, kind, share): patterns of high confidence after some rounds over the pattern-instance graph."""
+def score_patterns(seen: DataFrame) -> DataFrame:
+    """(left, kind, share): patterns of high confidence over the pattern-instance graph.
+
+    A pattern's share of a kind is the sum of its instances' scores by the number of its distinct instances; a known
+    instance scores 1, another one the best share of its accepted patterns. Shares only grow, so the rounds end when
+    one accepts no further pattern.
+    """
     seeds = seen.select(F.explode("base").alias("s")).select("s.left", "s.value", "s.kind").where("left IS NOT NULL")
     found = seen.select(F.explode("tokens").alias("s")).select("s.left", "s.value", F.lit("").alias("kind")).where("left IS NOT NULL")
     edges = materialise(seeds.unionByName(found).distinct(), "pii-edges")
     known = edges.where("kind <> ''").select("value", "kind", F.lit(1.0).alias("score")).distinct()
     many = edges.groupBy("left").agg(F.count_distinct("value").alias("n"))
     pairs = edges.select("left", "value").distinct()
-    scored, patterns = known, None
-    for _ in range(rounds):
+    scored, patterns, accepted = known, None, -1
+    while True:
         f = pairs.join(scored, "value").groupBy("left", "kind").agg(F.sum("score").alias("known"))
-        patterns = f.where(F.col("known") >= MIN_KNOWN).join(many, "left").select("left", "kind", (F.col("known") / F.col("n")).alias("share")).where(F.col("share") >= MIN_SHARE)
+        share = F.col("known") / F.col("n")
+        now = materialise(f.where(F.col("known") >= MIN_KNOWN).join(many, "left").select("left", "kind", share.alias("share")).where(F.col("share") >= MIN_SHARE), "pii-patterns")
+        if patterns is not None:
+            release(patterns)
+        patterns, before, accepted = now, accepted, now.count()
+        if accepted == before:
+            break
         new = pairs.join(patterns, "left").groupBy("value", "kind").agg(F.max("share").alias("score"))
         scored = known.unionByName(new).groupBy("value", "kind").agg(F.max("score").alias("score"))
-    # one kind for a pattern: the one with the largest share, the first by name among equals
+    # one kind for a pattern: the one with the largest share, the last by name among equals
     return patterns.groupBy("left").agg(F.max_by("kind", F.struct("share", "kind")).alias("kind"), F.max("share").alias("share"))
 
 

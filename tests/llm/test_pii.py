@@ -49,3 +49,66 @@ def test_patterns_find_more(spark):
     got = {x.doc_id: x.spans for x in pii.digests(pii.find(docs)).collect()}
     assert got[4] == "card:16:32" and got[5] == ""
     assert pii.digests(pii.find(docs.limit(0))).count() == 0
+
+
+def brute_patterns(seeds, tokens):
+    """{left: kind}: seeds (left, value, kind) and tokens (left, value) as in the docstring of score_patterns."""
+    known = {(v, k): 1.0 for _, v, k in seeds}
+    values = {}
+    for left, v, *_ in [*seeds, *tokens]:
+        values.setdefault(left, set()).add(v)
+    score, accepted = dict(known), None
+    while True:
+        share = {}
+        for left, vs in values.items():
+            for kind in pii.KINDS:
+                total = sum(score.get((v, kind), 0) for v in vs)
+                if total >= pii.MIN_KNOWN - 1e-9 and total / len(vs) >= pii.MIN_SHARE - 1e-9:
+                    share[left, kind] = total / len(vs)
+        if accepted is not None and len(share) == accepted:
+            break
+        accepted, score = len(share), dict(known)
+        for (left, kind), s in share.items():
+            for v in values[left]:
+                score[v, kind] = max(score.get((v, kind), 0), s)
+    best = {}
+    for (left, kind), s in share.items():
+        best[left] = max(best.get(left, (0, "")), (s, kind))
+    return {left: kind for left, (_, kind) in best.items()}
+
+
+def test_added_spans_against_brute_force(spark):
+    """Tokens after learnt words, in several rounds; recall of identifiers that no base pattern matches is measured."""
+    r = random.Random(12)
+    card = lambda: (lambda s: s + next(c for c in "0123456789" if luhn(s + c)))("4" + "".join(r.choice("0123456789") for _ in range(14)))
+    phone = lambda: "+1" + "".join(r.choice("0123456789") for _ in range(9))
+    good = {"pay with": card, "phone is": phone, "mail to": lambda: f"u{r.randint(0, 10**6)}@ex.org", "code was": lambda: str(r.randint(10**7, 10**8))}
+    bad = {"pay with": lambda: (lambda c: c[:-1] + str((int(c[-1]) + 1) % 10))(card()), "phone is": lambda: f"017/{r.randint(10**6, 10**7)}", "mail to": lambda: f"u{r.randint(0, 10**6)}@intranet", "code was": lambda: str(r.randint(10**7, 10**8))}
+    late = [str(r.randint(10**9, 10**10)) for _ in range(5)]  # met after a learnt pattern, then after one with no seeds
+    texts, hidden, seeds, tokens = [], [], set(), set()
+    for i in range(160):
+        left = r.choice(list(good))
+        isgood = r.random() < 0.85
+        value = (good if isgood else bad)[left]()
+        texts.append(f"so {left} {value} now")
+        kind = {"pay with": "card", "phone is": "phone", "mail to": "email"}.get(left)
+        if isgood and kind:
+            seeds.add((left + " ", value, kind))
+        else:
+            tokens.add((left + " ", value))
+            hidden.append((i, kind, texts[-1].index(value), value))
+    for k, v in enumerate(late):
+        for left in ("pay with", "kept under"):
+            tokens.add((left + " ", v))
+            hidden.append((len(texts), "card", len(f"so {left} "), v))
+            texts.append(f"so {left} {v} now")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    learnt = brute_patterns(seeds, tokens)
+    got = {x.doc_id: x.spans for x in pii.digests(pii.find(docs)).collect()}
+    for i, _, at, value in hidden:
+        kind = learnt.get(texts[i][3:at])
+        assert got[i] == (f"{kind}:{at}:{at + len(value)}" if kind else ""), texts[i]
+    meant = [(i, kind) for i, kind, _, _ in hidden if kind]
+    recall = sum(got[i].startswith(kind + ":") for i, kind in meant) / len(meant)
+    assert recall >= 0.9, (recall, learnt, [(texts[i], got[i]) for i, k in meant if not got[i].startswith(k + ":")][:6])
+    assert not any(got[i] for i, kind, _, _ in hidden if kind is None)
