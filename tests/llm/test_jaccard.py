@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pytest
 
-from tessera.llm import graph, jaccard
+from tessera.llm import graph, jaccard, words
 
 
 def brute(rows, width, percent):
@@ -62,15 +62,54 @@ def test_edges(spark, monkeypatch):
     assert jaccard.find_groups(docs.limit(0)).count() == 0
 
 
-def test_signatures_differ_no_more_than_sets():
+def test_signatures_differ_no_more_than_sets(spark):
     r = np.random.default_rng(5)
-    sets = [np.unique(r.integers(0, 900, k).astype(np.uint64)) for k in (0, 1, 5, 60, 300, 700, 700)]
+    sets = [np.unique(r.integers(0, 900, k).astype(np.uint64)) for k in (0, 1, 5, 60, 300, 700, 700)] + [np.unique(r.integers(0, 9000, 5000).astype(np.uint64))]
     text = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    words = np.array(jaccard.signatures(text, jaccard.mix(np.concatenate(sets)), len(sets))).T
-    for i, a in enumerate(sets):
-        for j, b in enumerate(sets):
-            differ = sum(int(x).bit_count() for x in (words[i] ^ words[j]).view(np.uint64))
-            assert differ <= len(np.setxor1d(a, b)) and (len(a) + len(b) > 10 or differ % 2 == len(np.setxor1d(a, b)) % 2)
+    got = jaccard.signatures(text, jaccard.mix(np.concatenate(sets)), np.array([len(s) for s in sets])).to_pylist()
+    assert [len(s) for s in got][:3] == [1, 1, 1] and len(got[-1]) == 128
+    rows = spark.createDataFrame([(i, j, got[i], got[j]) for i in range(len(sets)) for j in range(len(sets))], "i int, j int, x array<long>, y array<long>")
+    for x in rows.select("i", "j", jaccard.differing(rows.x, rows.y).alias("differ")).collect():
+        apart = len(np.setxor1d(sets[x.i], sets[x.j]))
+        assert x.differ <= apart and x.differ % 2 == apart % 2
+        if x.i != x.j and {x.i, x.j} == {4, 5}:
+            assert x.differ > 0.4 * apart
+
+
+def test_structured_words_do_not_collide(spark):
+    """A polynomial modulo 2 ** 64 gives the two Thue-Morse words of 2,048 letters one hash, whatever its base."""
+    a = "".join("ab"[i.bit_count() % 2] for i in range(2048))
+    b = a.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, f"{a} one two three four"), (2, f"{b} one two three four"), (3, " ".join(a)), (4, " ".join(b))], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard.find_groups(docs, width=5, percent=80).collect()}
+    assert got[1] == 1 and got[2] == 2
+
+
+def test_one_id_with_several_texts(spark):
+    """Of two texts under one id both stay, unless they are copies; the id's order comes first, then the text's hash."""
+    one, two = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(40))
+    rows = [(5, one, "a"), (5, two, "b"), (5, two, "c"), (6, one, "d"), (None, one, "e"), (7, None, "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _key string")
+    got = sorted(tuple(x) for x in jaccard.drop_near_copies(docs).select("doc_id", "text").collect() if x.doc_id)
+    assert got == sorted([(5, one), (5, two), (7, None)], key=lambda x: (x[0], x[1] or ""))
+    assert jaccard.drop_near_copies(docs).count() == 4 and jaccard.drop_near_copies(docs).columns == docs.columns
+
+
+def test_long_texts_are_hashed_in_blocks():
+    r = random.Random(8)
+    text = (" ".join("x" * r.randint(1, 300) for _ in range(300)) + " " + "y" * 5000 + " end").encode()
+    data, at = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+    w = words.Words(data, at)
+    for block in (1, 7, 64, 1000, 1 << 20):
+        assert (words.hash_spans(data, w.start, w.end, words.LOWER, block) == w.hash).all()
+    assert len(set(w.hash.tolist())) == len(set(text.split()))
+
+
+def test_components_of_many_large_ids(spark):
+    """The test for a change must not overflow: sums of hashes did, beyond about 2 ** 24 edges."""
+    edges = spark.range(200_000).selectExpr("id * 40000000000000 AS a", "(id - id % 1000) * 40000000000000 AS b")
+    got = graph.components(edges)
+    assert got.count() == 200_000 and got.where("label <> node - node % 40000000000000000").count() == 0
 
 
 def test_components(spark):
