@@ -10,6 +10,9 @@ STOP_WORDS = ("a", "an", "the", "of", "and", "or", "to", "in", "on", "for", "by"
 # Source types by role.
 SOURCE_TYPES = ("artist", "artist_context", "genre", "mood", "tag", "genre_mood", "tag_combo", "seed_song", "seed_album", "title", "discovery", "embedding")
 TASTE_TYPES = ("artist_context", "genre", "mood", "tag", "genre_mood", "tag_combo", "discovery")
+#: The artist and taste sides of agreement: artist_context counts as an artist's.
+ARTIST_TYPES = ("artist", "artist_context", "seed_song", "seed_album")
+CROSS_TASTE_TYPES = ("genre", "mood", "tag", "genre_mood", "tag_combo", "discovery")
 PICK_TYPES = ("safe", "exploratory", "diverse", "balanced")
 # Feedback event types.
 POSITIVE_EVENTS = {"like": 1.0, "add_to_playlist": 1.0, "open_netease_url": 0.7, "play_preview": 0.7, "click": 0.7, "why_clicked": 0.5}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessera.config import WEIGHTS, Weights
+from tessera.config import ARTIST_TYPES, CROSS_TASTE_TYPES, WEIGHTS, Weights
 from tessera.functions import text as X
 
 
@@ -15,18 +15,29 @@ def some(text: Column) -> Column:
 
 def metadata_quality(title: Column, artist: Column, album: Column, cover: Column, item_id: Column) -> Column:
     part = lambda ok, w: F.when(ok, F.lit(w)).otherwise(F.lit(0.0))
-    return F.least(F.lit(1.0), part(some(title), 0.35) + part(some(artist), 0.30) + part(some(album), 0.15) + part(some(cover), 0.10) + part(F.coalesce(item_id, F.lit(0)) != 0, 0.10))
+    total = part(some(title), 0.35) + part(some(artist), 0.30) + part(some(album), 0.15) + part(some(cover), 0.10) + part(F.coalesce(item_id, F.lit(0)) != 0, 0.10)
+    return F.least(F.lit(1.0), F.round(total, 9))  # without the last bit, which a threshold could hang on
 
 
 def retrieval_confidence(best: Column, mean: Column, metadata: Column) -> Column:
     return F.least(F.lit(1.0), (0.7 * best + 0.3 * mean) * (0.8 + 0.2 * metadata))
 
 
-def agreement(n_names: Column, types: Column, artist_types: tuple[str, ...], taste_types: tuple[str, ...]) -> Column:
+def agreement(n_names: Column, types: Column, n_similar: Column | None = None) -> Column:
+    """How many independent searches found an item; n_similar: how many similar ids are known of it (null or 0: none)."""
     among = lambda kinds: F.exists(types, lambda t: t.isin(*kinds))
-    cross = F.when(among(artist_types) & among(taste_types), 1.0).otherwise(0.0)
+    cross = F.when(among(ARTIST_TYPES) & among(CROSS_TASTE_TYPES), 1.0).otherwise(0.0)
     score = 0.4 * F.least(F.lit(1.0), n_names / 4) + 0.3 * F.least(F.lit(1.0), F.size(types) / 4) + 0.3 * cross
-    return F.when(F.forall(types, lambda t: t == "title"), score * 0.35).otherwise(score)
+    score = F.when(F.size(types) == 0, 0.0).when(F.forall(types, lambda t: t == "title"), score * 0.35).otherwise(score)
+    if n_similar is not None:
+        score = F.when(n_similar > 0, 0.85 * score + F.least(F.lit(0.20), n_similar / 100)).otherwise(score)
+    return F.least(F.lit(1.0), score)
+
+
+def artist_affinity(artist_match: Column, norms: Column, weights: Column, artists: list[Column]) -> Column:
+    """The match, or the largest weight among the item's artists (norms), whichever is larger."""
+    own = [F.coalesce(F.get(weights, F.array_position(norms, a).cast("int") - 1), F.lit(0.0)) for a in artists]
+    return F.greatest(artist_match, *own)
 
 
 def popularity(comments: Column, hot: Column, red: Column, enriched: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,8 +13,11 @@ from tessera.config import STOP_WORDS, VERSION_WORDS
 TOKEN = "[A-Za-z0-9一-鿿]+"
 #: Bracketed spans, ASCII and full-width, shortest first.
 BRACKETS = "[(\\[{（【].*?[)\\]}）】]"
-#: Words that the catalogue dialect drops. It knows ASCII only and keeps tokens of one character.
-CATALOG_STOP = ("a", "an", "the", "of", "and", "or", "to", "in", "on", "for", "by", "with", "from", "is", "feat", "ft", "vs")
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, though body names it often or within a lambda."""
+    return F.get(F.transform(F.array(value), body), 0)
 
 
 def raw_tokens(text: Column) -> Column:
@@ -56,18 +61,47 @@ def without(tokens_: Column, gone: Column) -> Column:
     return F.filter(tokens_, lambda t: ~F.array_contains(gone, t))
 
 
+def strip_tag_terms(title: Column, tag_tokens: Column) -> Column:
+    """The title's tokens without the tags', as text; the title as it is if there are no tag tokens."""
+    return F.when(F.size(tag_tokens) == 0, title).otherwise(F.array_join(without(tokens(title), tag_tokens), " "))
+
+
+def joined_text(*parts: Column) -> Column:
+    """All tokens of all parts, as one text; repeats stay."""
+    return F.array_join(F.concat(*[tokens(p) for p in parts]), " ")
+
+
+def json_object(raw: Column, schema: str) -> Column:
+    """The parsed object; an empty one (all fields null) for null or invalid text."""
+    return F.from_json(F.coalesce(raw, F.lit("{}")), schema)
+
+
+def string_list(values: Column, most: int) -> Column:
+    """Trimmed texts, the first of each in any case, at most `most`; null is an empty list."""
+    some = F.filter(F.coalesce(values, F.array().cast("array<string>")), lambda v: v.isNotNull())
+    return F.transform(F.slice(dedupe_keep_order(some), 1, most), lambda v: F.trim(v))
+
+
+def int_list(values: Column, most: int) -> Column:
+    """Whole numbers but 0 of texts, the first of each, at most `most`; what is no number goes."""
+    numbers = F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda v: v.try_cast("bigint"))
+    return F.slice(F.array_distinct(F.filter(numbers, lambda n: n.isNotNull() & (n != 0))), 1, most)
+
+
+def _firsts(values: Column, key: Callable[[Column], Column]) -> Column:
+    """The first of each key, in order; empty keys go. Keys are made once an element."""
+    kept = lambda vs: let(F.transform(vs, key), lambda keys: F.filter(vs, lambda v, i: (F.get(keys, i) != "") & (F.array_position(keys, F.get(keys, i)) == i + 1)))
+    return let(values, kept)
+
+
 def dedupe_phrases(phrases: Column) -> Column:
     """The first phrase of each normal form, in order; phrases without a token go."""
-    keyed = F.transform(phrases, lambda p: F.struct(norm_artist(p).alias("k"), p.alias("p")))
-    keys = F.transform(keyed, lambda x: x["k"])
-    kept = F.filter(keyed, lambda x, i: (x["k"] != "") & (F.array_position(keys, x["k"]) == i + 1))
-    return F.transform(kept, lambda x: x["p"])
+    return _firsts(phrases, norm_artist)
 
 
 def dedupe_keep_order(values: Column) -> Column:
     """The first of each trimmed lower-case form; blanks go."""
-    keys = F.transform(values, lambda v: F.lower(F.trim(v)))
-    return F.filter(values, lambda v, i: (F.trim(v) != "") & (F.array_position(keys, F.lower(F.trim(v))) == i + 1))
+    return _firsts(values, lambda v: F.lower(F.trim(v)))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -94,8 +128,3 @@ def maybe_float(x: Column) -> Column:
 
 def json_list(text: Column) -> Column:
     return F.coalesce(F.from_json(text, "array<string>"), F.array().cast("array<string>"))
-
-
-def catalog_tokens(text: Column) -> Column:
-    found = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("[A-Za-z0-9]+"), F.lit(0)), F.lower)
-    return F.filter(found, lambda t: ~t.isin(*CATALOG_STOP))

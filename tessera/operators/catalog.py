@@ -60,6 +60,39 @@ def display_mode(source: Column, song_id: Column, confidence: Column) -> Column:
     return out.otherwise("internal")
 
 
-def enrich(ids: DataFrame, items: DataFrame) -> DataFrame:
-    """Left join of ids with the catalogue; rows that it lacks get the source "internal"."""
-    return ids.join(items, "item_id", "left").withColumn("source", F.coalesce("source", F.lit("internal")))
+#: Columns that only search and building need.
+PLUMBING = ("rank", "query_id", "tokens")
+
+
+def enrich(ids: DataFrame, items: DataFrame, fallback: DataFrame | None = None) -> DataFrame:
+    """Left join of ids with the catalogue: its columns without plumbing ones, empties as null, and `display`.
+
+    Ids that the catalogue lacks take the fallback's row, if there is one; the source defaults to "internal", and the
+    display mode follows from source and confidence whatever the row says.
+    """
+    keep = [c for c in items.columns if c not in PLUMBING and c != "display"]
+    clean = lambda df: df.select("item_id", *[(F.when(F.trim(c) != "", F.col(c)) if t == "string" else F.when(F.size(c) > 0, F.col(c)) if t.startswith("array") else F.col(c)).alias(c) for c, t in df.dtypes if c in keep and c != "item_id"])
+    got = ids.join(clean(items), "item_id", "left")
+    if fallback is not None:
+        second = clean(fallback).withColumnsRenamed({c: f"_{c}" for c in keep if c != "item_id"})
+        # a row of the catalogue is taken whole: the fallback only answers for ids without one
+        known = items.select("item_id", F.lit(True).alias("_known"))
+        got = got.join(known, "item_id", "left").join(second, "item_id", "left")
+        got = got.select("item_id", *[F.when(F.coalesce("_known", F.lit(False)), F.col(c)).otherwise(F.col(f"_{c}")).alias(c) for c in keep if c != "item_id"])
+    source = F.coalesce("source", F.lit("internal")) if "source" in keep else F.lit("internal")
+    got = got.withColumn("source", source)
+    confidence = F.col("confidence") if "confidence" in keep else F.lit(None).cast("double")
+    return got.withColumn("display", display_mode(F.col("source"), F.col("item_id"), confidence))
+
+
+def lookup(items: DataFrame, ids: DataFrame) -> DataFrame:
+    """(item_id, known) of the ids, compared as text: whether the catalogue has each."""
+    own = items.select(F.col("item_id").cast("string").alias("item_id"), F.lit(True).alias("known")).distinct()
+    return ids.select(F.col("item_id").cast("string").alias("item_id")).join(own, "item_id", "left").fillna(False, ["known"])
+
+
+def search_hit(rows: DataFrame, base_url: str) -> DataFrame:
+    """Raw rows (all text but artists) as search hits: a bad id is 0 and has no URL, missing texts are empty."""
+    item = F.coalesce(F.col("item_id").try_cast("bigint"), F.lit(0))
+    text = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    return rows.select(item.alias("item_id"), text("title"), text("artist"), F.coalesce("artists", F.array().cast("array<string>")).alias("artists"), text("album"), text("cover_url"), F.when(item != 0, F.concat(F.lit(base_url), item.cast("string"))).otherwise("").alias("url"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Grade by level, and by least bitrate.
-LEVELS = {"lossless": 1.0, "exhigh": 0.8, "higher": 0.6, "standard": 0.4}
+LEVELS = {"hires": 1.0, "jyeffect": 1.0, "lossless": 1.0, "exhigh": 1.0, "higher": 0.8, "standard": 0.8, "medium": 0.6, "low": 0.4}
 BITRATES = ((999_000, 1.0), (320_000, 0.85), (192_000, 0.70), (128_000, 0.55))
 
 
@@ -20,13 +20,45 @@ def within_budget(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("place", place).where(F.col("place") <= budget(k))
 
 
-def attach(rows: DataFrame, signals: DataFrame) -> DataFrame:
-    """Left join by item; `enriched` tells whether any signal is known."""
-    known = [c for c in signals.columns if c != "item_id"]
-    any_known = F.coalesce(*[F.col(c).isNotNull().cast("int") for c in known[:1]]) > 0
-    for c in known[1:]:
-        any_known = any_known | F.col(c).isNotNull()
-    return rows.join(signals, "item_id", "left").withColumn("enriched", any_known)
+def any_known(columns: list[tuple[str, str]]) -> Column:
+    """Whether any signal (name, type) is present: not null, and texts and lists not empty; false counts."""
+    present = F.lit(False)
+    for name, kind in columns:
+        ok = F.col(name).isNotNull()
+        if kind == "string" or kind.startswith("array"):
+            ok = ok & ((F.length(name) if kind == "string" else F.size(name)) > 0)
+        present = present | F.coalesce(ok, F.lit(False))
+    return present
+
+
+def attach(rows: DataFrame, signals: DataFrame, within: Column | None = None) -> DataFrame:
+    """Left join by item; `enriched` tells whether any signal is known. Rows outside `within` get none."""
+    known = [(c, k) for c, k in signals.dtypes if c != "item_id"]
+    got = rows.join(signals, "item_id", "left")
+    if within is not None:
+        got = got.withColumns({c: F.when(within, F.col(c)) for c, _ in known})
+    return got.withColumn("enriched", any_known(known))
+
+
+def count_enriched(rows: DataFrame) -> DataFrame:
+    """(request_id, n_enriched)."""
+    return rows.groupBy("request_id").agg(F.count_if("enriched").alias("n_enriched"))
+
+
+def to_payload(rows: DataFrame, signals: list[str]) -> DataFrame:
+    """(item_id, payload): the signals as JSON text, nulls left out, as a cache keeps them."""
+    return rows.select("item_id", F.to_json(F.struct(*signals)).alias("payload"))
+
+
+def from_payload(rows: DataFrame, schema: str) -> DataFrame:
+    """The signals of to_payload's rows again; invalid text gives nulls."""
+    return rows.select("item_id", F.from_json("payload", schema).alias("p")).select("item_id", "p.*")
+
+
+def deep(lyric: Column, similar: Column, words: int = 160, most: int = 20) -> tuple[Column, Column]:
+    """(excerpt of a lyric, similar ids): the first words and ids, for plans that look that deep."""
+    found = F.filter(F.split(F.trim(F.coalesce(lyric, F.lit(""))), r"\s+"), lambda w: w != "")
+    return F.array_join(F.slice(found, 1, words), " "), F.slice(F.filter(F.coalesce(similar, F.array().cast("array<bigint>")), lambda i: i != 0), 1, most)
 
 
 def first_truthy(*values: Column) -> Column:
@@ -44,4 +76,4 @@ def audio_grade(level: Column, bitrate: Column) -> Column:
         out = F.when(level == name, grade) if out is None else out.when(level == name, grade)
     for least, grade in BITRATES:
         out = out.when(bitrate >= least, grade)
-    return out.when(bitrate.isNotNull() & (bitrate > 0), 0.35)
+    return out.when(bitrate.isNotNull(), 0.35)

@@ -15,32 +15,36 @@ def liked_or_excluded() -> Column:
     return F.array_contains("liked_ids", F.col("item_id"))
 
 
-def missing_metadata() -> Column:
+def missing_metadata(alive: Column | None = None) -> Column:
     """Blank title or artist, where the request has a complete candidate."""
     full = (F.trim(F.coalesce("title", F.lit(""))) != "") & (F.trim(F.coalesce("artist", F.lit(""))) != "")
-    return ~full & F.max(full).over(Window.partitionBy("request_id"))
+    return ~full & F.max(full if alive is None else full & alive).over(Window.partitionBy("request_id"))
 
 
 def liked_title_variant() -> Column:
-    words = F.filter(X.raw_tokens(F.col("title")), lambda t: ~t.isin(*X.STOP_WORDS))
-    near = F.exists("title_norms", lambda k: X.starts_with(words, F.split(k, " ")) | X.contains_phrase(words, F.split(k, " ")))
+    semantic = F.filter(X.raw_tokens(F.col("title")), lambda t: ~t.isin(*X.STOP_WORDS))
+    near = X.let(semantic, lambda words: F.exists("title_norms", lambda k: X.starts_with(words, F.split(k, " ")) | X.contains_phrase(words, F.split(k, " "))))
     return F.array_contains("title_norms", X.norm_title(F.col("title"))) | (X.has_version_word(F.col("title")) & near)
 
 
 def tag_title() -> Column:
     key, words = X.norm_title(F.col("title")), X.token_set(F.col("title"))
     other = F.array_union(X.token_set(F.col("artist")), X.token_set(F.col("album")))
-    literal = F.exists("tag_phrases", lambda p: X.norm_title(p) == key)
+    literal = F.array_contains("tag_norms", key)
     weak = F.forall("types", lambda t: t.isin(*WEAK_TAG_TYPES))
     return (key != "") & (literal | (F.arrays_overlap(words, F.col("tag_tokens")) & weak & ~F.arrays_overlap(other, F.col("tag_tokens"))))
 
 
-def duplicate_version() -> Column:
-    """Not the best of its (title, artist); the best has the most reliable hit, then rank, then metadata, then came first."""
+def duplicate_version(alive: Column | None = None) -> Column:
+    """Not the best of its (title, artist); the best has the most reliable hit, then rank, then metadata, then came first.
+
+    Versions stay where the profile asks for some (wants_versions) and the title names one.
+    """
     title, artist = X.norm_title(F.col("title")), X.norm_artist(F.col("artist"))
     meta = sum((F.when(F.coalesce(F.col(c), F.lit("")) != "", 1).otherwise(0) for c in ("title", "artist", "album")), F.lit(0))
-    best = Window.partitionBy("request_id", title, artist).orderBy(F.desc("max_reliability"), F.desc("max_rank"), F.desc(meta), "first_hit", "item_id")
-    return (title != "") & (artist != "") & (F.row_number().over(best) > 1)
+    best = Window.partitionBy("request_id", title, artist, *([] if alive is None else [alive])).orderBy(F.desc("max_reliability"), F.desc("max_rank"), F.desc(meta), "first_hit", "item_id")
+    wanted = F.col("wants_versions") & X.has_version_word(F.col("title"))
+    return (title != "") & (artist != "") & (F.row_number().over(best) > 1) & ~wanted
 
 
 def unplayable() -> Column:
@@ -53,6 +57,25 @@ def low_trust(agreement: Column, confidence: Column, popularity: Column, authori
     return enriched & (F.coalesce(few, F.lit(False)) | weak)
 
 
+def before_signals(rows: DataFrame) -> DataFrame:
+    """rows with `dropped`: the first rule, of those that need no signals, that drops the row; null for those that stay.
+
+    A rule sees only what the rules before it have left.
+    """
+    alive = F.col("dropped").isNull()
+    rows = rows.withColumn("dropped", F.when(liked_or_excluded(), "liked"))
+    for name, bad in (("missing_metadata", missing_metadata(alive)), ("same_title", liked_title_variant()), ("tag_title", tag_title()), ("duplicate_version", duplicate_version(alive))):
+        rows = rows.withColumn("dropped", F.coalesce("dropped", F.when(bad, name)))
+    return rows
+
+
+def after_signals(rows: DataFrame) -> DataFrame:
+    """rows with `dropped` of the rules that need signals and scores."""
+    c = F.col
+    trust = low_trust(c("agreement"), c("confidence"), c("popularity"), c("authority"), c("enriched"))
+    return rows.withColumn("dropped", F.when(unplayable(), "unplayable").when(trust, "low_trust"))
+
+
 def funnel(rows: DataFrame, rules: list[tuple[str, Column]]) -> DataFrame:
     """(rule, n): rows that each rule is the first to drop, and those that stay."""
     first = None

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.config import NEGATIVE_EVENTS, POSITIVE_EVENTS, WEIGHTS
+from tessera.config import NEGATIVE_EVENTS, PICK_TYPES, POSITIVE_EVENTS, WEIGHTS
 
 
 def weak_labels(events: DataFrame, weak_weight: float = WEIGHTS.weak_negative_weight) -> DataFrame:
@@ -28,6 +30,64 @@ def summary(labels: DataFrame) -> DataFrame:
     return labels.agg(F.count("*").alias("samples"), n("positive"), n("negative"), n("weak_negative"))
 
 
+# Features by origin, and the source types behind each flag.
+ITEM_FEATURES = ("content", "retrieval", "agreement", "quality", "novelty", "score", "rank_score", "rank")
+REQUEST_FEATURES = ("content_weight", "novelty_weight", "diversity")
+SOURCE_FLAGS = {
+    "has_embedding_source": ("embedding",),
+    "has_artist_source": ("artist", "artist_context"),
+    "has_genre_source": ("genre", "genre_mood"),
+    "has_mood_source": ("mood", "genre_mood"),
+    "has_tag_source": ("tag", "tag_combo"),
+    "has_seed_song_source": ("seed_song", "seed_album"),
+    "has_discovery_source": ("discovery",),
+}
+OPTIONAL_FEATURES = ("popularity", "authority", "metadata")
+BASE_FEATURES = (*(f"f_{c}" for c in (*ITEM_FEATURES, *REQUEST_FEATURES)), "f_n_types", *(f"f_{c}" for c in SOURCE_FLAGS), *(f"f_pick_{p}" for p in PICK_TYPES))
+
+
+def extract(cards: DataFrame) -> DataFrame:
+    """cards, exposed or live, with their features as f_ columns: numbers (null or bad: 0), source flags, pick types.
+
+    Request numbers come from the card's request, or else from the card. Optional ones keep their nulls; see schema().
+    One expression for training and inference, so that both see the same features.
+    """
+    number = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in cards.columns else F.lit(0.0)
+    kinds = F.transform(F.coalesce("types", F.array().cast("array<string>")), lambda t: F.lower(F.trim(t)))
+    pick = F.lower(F.trim(F.coalesce("pick", F.lit("")))) if "pick" in cards.columns else F.lit("")
+    out = {f"f_{c}": number(c) for c in (*ITEM_FEATURES, *REQUEST_FEATURES)}
+    out["f_n_types"] = F.size(F.array_distinct(F.filter(kinds, lambda t: t != ""))).cast("double")
+    out |= {f"f_{name}": F.arrays_overlap(kinds, F.array(*map(F.lit, of))).cast("double") for name, of in SOURCE_FLAGS.items()}
+    out |= {f"f_pick_{p}": (pick == p).cast("double") for p in PICK_TYPES}
+    out |= {f"f_{c}": F.col(c).cast("double") if c in cards.columns else F.lit(None).cast("double") for c in OPTIONAL_FEATURES}
+    return cards.withColumns(out)
+
+
+def schema(samples: DataFrame) -> list[str]:
+    """The features in their fixed order; optional ones only if a sample has them."""
+    seen = samples.agg(*[F.max(F.col(f"f_{c}").isNotNull()).alias(c) for c in OPTIONAL_FEATURES]).first()
+    return [*BASE_FEATURES, *(f"f_{c}" for c in OPTIONAL_FEATURES if seen[c])]
+
+
+def training_data(items: DataFrame, events: DataFrame) -> DataFrame:
+    """Features and label of each exposed item: all are samples, whether there are events of theirs or not."""
+    kinds = events.where(F.col("item_id").isNotNull()).select("request_id", "item_id", F.lower(F.trim("event_type")).alias("event_type")).where("event_type <> ''")
+    labels = weak_labels(kinds)
+    none = {"label": F.lit(0.0), "binary": F.lit(0), "weight": F.lit(WEIGHTS.weak_negative_weight), "kind": F.lit("weak_negative")}
+    got = extract(items.where(F.col("item_id").isNotNull())).join(labels, ["request_id", "item_id"], "left")
+    return got.withColumns({c: F.coalesce(c, v) for c, v in none.items()})
+
+
+def write_schema(features: list[str], summary_: dict, path: str) -> None:
+    """The features' order and the summary as a JSON file, by Spark's writer: any store will do."""
+    spark = SparkSession.active()
+    spark.createDataFrame([(json.dumps({"features": features, "summary": summary_}),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_schema(path: str) -> list[str]:
+    return json.loads(SparkSession.active().read.text(path).first()[0])["features"]
+
+
 def train(rows: DataFrame, features: list[str], kind: str = "logistic", min_samples: int = WEIGHTS.min_samples) -> tuple[PipelineModel | None, str]:
     """(model, reason): fitted on rows with features, binary, weight; no model for few samples or one class."""
     n, classes, total = rows.agg(F.count("*"), F.count_distinct("binary"), F.sum("weight")).first()

@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.config import TASTE_TYPES
+from tessera.config import ARTIST_TYPES, TASTE_TYPES
 from tessera.functions import text as X
 
-ARTIST_TYPES = ("artist", "artist_context", "seed_song", "seed_album")
-
 
 def merge_hits(hits: DataFrame) -> DataFrame:
-    """One row per (request, item): numbers of hits, names and types of sources, best and mean rank scores, positions.
+    """One row per (request, item) of hits with their queries' tokens: numbers of hits, names and types of sources, best and mean rank scores, positions.
 
     One shuffle; sums, maxima and bounded sets are merged in each task first.
     """
@@ -21,6 +19,7 @@ def merge_hits(hits: DataFrame) -> DataFrame:
     return hits.groupBy("request_id", "item_id").agg(
         F.count("*").alias("n_hits"),
         F.count_distinct(name).alias("n_names"),
+        F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("plan_idx", name.alias("name")))), lambda s: s["name"])).alias("sources"),
         F.array_sort(F.collect_set("source_type")).alias("types"),
         F.min(F.struct("plan_idx", "position")).alias("first_hit"),
         F.max(value).alias("best_value"),
@@ -28,8 +27,8 @@ def merge_hits(hits: DataFrame) -> DataFrame:
         F.avg("position").alias("mean_position"),
         F.max("reliability").alias("max_reliability"),
         F.max(1 / (1 + 0.2 * F.col("position"))).alias("max_rank"),
-        F.array_distinct(F.flatten(F.collect_list(F.when(F.col("source_type").isin(*TASTE_TYPES), X.tokens(F.col("query")))))).alias("taste_tokens"),
-        F.flatten(F.collect_list(X.tokens(F.col("query")))).alias("query_tokens"),
+        F.array_distinct(F.flatten(F.collect_list(F.when(F.col("source_type").isin(*TASTE_TYPES), F.col("query_tokens"))))).alias("taste_tokens"),
+        F.flatten(F.collect_list("query_tokens")).alias("query_tokens"),
     )
 
 

@@ -46,30 +46,74 @@ LIKED = f"""{ITEMS}, own AS (
   SELECT o_custkey AS request_id, l_partkey AS item_id, row_number() OVER (PARTITION BY o_custkey ORDER BY l_partkey) AS pos
   FROM (SELECT DISTINCT o_custkey, l_partkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey)
 ), liked AS (SELECT own.*, title, artist, album FROM own JOIN items USING (item_id) WHERE pos <= 30)"""
-PROFILE = f"""{LIKED}, lists AS (
-  SELECT request_id, list(artist ORDER BY pos) AS al, list(album ORDER BY pos) AS bl, list(title ORDER BY pos) AS tl, list(item_id ORDER BY item_id) AS liked_ids FROM liked GROUP BY request_id
+def dedupe(x: str) -> str:
+    """The first phrase of each normal form."""
+    keys = f"list_transform({x}, lambda v: {norm_artist('v')})"
+    return f"list_filter({x}, lambda v, i: {norm_artist('v')} <> '' AND list_position({keys}, {norm_artist('v')}) = i)"
+
+
+def words_of(x: str) -> str:
+    return f"flatten(list_transform({x}, lambda v: {tok('v')}))"
+
+
+STATED = """stated AS (SELECT c_custkey AS request_id, CASE WHEN c_acctbal >= 0 THEN ['Brand#' || (c_nationkey + 1)] ELSE [] END AS liked_artists, CASE WHEN c_acctbal >= 0 THEN [lower(c_mktsegment)] ELSE [] END AS moods FROM customer)"""
+
+
+def profile(liked: str = LIKED, kind: str = "JOIN") -> str:
+    return f"""{liked}, {STATED}, lists AS (
+  SELECT request_id, list(artist ORDER BY pos) AS al0, list(album ORDER BY pos) AS bl0, list(title ORDER BY pos) AS tl0, list(item_id ORDER BY item_id) AS ids0 FROM liked GROUP BY request_id
 ), prof0 AS (
-  SELECT request_id, liked_ids, lower(c_mktsegment) AS segment, {firsts('al')} AS artists, {firsts('bl')}[1:4] AS genres, {firsts('tl')} AS titles,
-    list_filter(list_distinct(list_transform(al, lambda v: {norm_artist('v')})), lambda v: v <> '') AS artist_norms,
+  SELECT stated.request_id, coalesce(ids0, []) AS liked_ids, coalesce(al0, []) AS al, coalesce(bl0, []) AS bl, coalesce(tl0, []) AS tl, liked_artists, moods, list_concat(coalesce(al0, []), liked_artists) AS credits
+  FROM stated {'LEFT ' if kind == 'LEFT' else ''}JOIN lists ON lists.request_id = stated.request_id
+), prof1 AS (
+  SELECT *, list_filter({firsts('credits')}, lambda v: {norm_artist('v')} <> '') AS artists, {dedupe('bl')}[1:4] AS genres, flatten(list_transform(tl, lambda v: string_split(v, ' '))) AS title_words,
+    {firsts(f"list_filter(list_transform(credits, lambda v: {norm_artist('v')}), lambda v: v <> '')")} AS artist_norms,
     list_filter(list_distinct(list_transform(tl, lambda v: {norm_title('v')})), lambda v: v <> '') AS title_norms,
     list_filter(list_distinct(list_transform(bl, lambda v: {norm_title('v')})), lambda v: v <> '') AS album_norms,
-    list_distinct(flatten(list_transform(tl, lambda v: {tok('v')}))) AS title_tokens,
-    list_distinct(flatten(list_transform(al, lambda v: {tok('v')}))) AS artist_tokens
-  FROM lists JOIN customer ON c_custkey = request_id
-), tags AS (
-  SELECT *, list_concat(flatten(list_transform(genres, lambda v: {tok('v')})), {tok('segment')}) AS all_tags FROM prof0
-), prof AS (SELECT * EXCLUDE (all_tags), {firsts('all_tags')} AS tag_tokens, list_concat(genres, [segment]) AS tag_phrases FROM tags)"""
-PLAN = f"""{PROFILE}, plan0 AS (
-  SELECT request_id, i - 1 AS plan_idx, 'artist' AS source_type, artists[i] AS query, 0.85 AS reliability, 12 AS max_hits FROM (SELECT request_id, artists, unnest(range(1, least(len(artists), 6) + 1)) AS i FROM prof)
-  UNION ALL SELECT request_id, least(len(artists), 6) + i - 1, 'genre', genres[i], 0.75, 12 FROM (SELECT request_id, artists, genres, unnest(range(1, len(genres) + 1)) AS i FROM prof)
-  UNION ALL SELECT request_id, least(len(artists), 6) + len(genres) + i - 1, 'title', titles[i], 0.45, 8 FROM (SELECT request_id, artists, genres, titles, unnest(range(1, least(len(titles), 3) + 1)) AS i FROM prof)
-  UNION ALL SELECT request_id, least(len(artists), 6) + len(genres) + least(len(titles), 3), 'discovery', genres[1], 0.55, 12 FROM prof WHERE len(genres) > 0
-), planned AS (SELECT request_id, plan_idx, source_type, query, reliability::DOUBLE AS reliability, max_hits FROM plan0 WHERE query <> '' QUALIFY row_number() OVER (PARTITION BY request_id, source_type, lower(query) ORDER BY plan_idx) = 1)"""
-HITS = f"""{PLAN}, found AS (
-  SELECT 'artist' AS source_type, artist AS query, item_id, row_number() OVER (PARTITION BY artist ORDER BY item_id) - 1 AS position FROM items
-  UNION ALL SELECT 'genre', album, item_id, row_number() OVER (PARTITION BY album ORDER BY item_id) - 1 FROM items
-  UNION ALL SELECT 'title', title, item_id, row_number() OVER (PARTITION BY title ORDER BY item_id) - 1 FROM items
-  UNION ALL SELECT 'discovery', album, item_id, row_number() OVER (PARTITION BY album ORDER BY item_id) - 7 FROM items
+    list_distinct({words_of('tl')}) AS title_tokens, list_distinct({words_of('credits')}) AS artist_tokens FROM prof0
+), prof2 AS (SELECT *, {dedupe('title_words')}[1:4] AS tags FROM prof1
+), prof3 AS (SELECT *, list_concat(genres, moods, tags) AS phrases0, list_transform(artist_norms, lambda n: len(list_filter(al, lambda v: {norm_artist('v')} = n)) + 0.75::DOUBLE * len(list_filter(liked_artists, lambda v: {norm_artist('v')} = n))) AS w0 FROM prof2
+), prof4 AS (SELECT *, {dedupe('phrases0')} AS tag_phrases FROM prof3
+), prof5 AS (SELECT *, {words_of('tag_phrases')} AS all_tags, {words_of('list_concat(tag_phrases, artists, tl)')} AS all_intent FROM prof4
+), prof AS (SELECT request_id, liked_ids, al, bl, tl, artists, genres, moods, tags, tag_phrases, artist_norms, title_norms, album_norms, title_tokens, artist_tokens, {firsts('all_tags')} AS tag_tokens, {firsts('all_intent')} AS intent_terms,
+  list_transform(w0, lambda w: least(1.0, w / list_max(w0))) AS artist_weights,
+  list_concat({words_of('tl')}, {words_of('tl')}, {words_of('al')}, {words_of('al')}, {words_of('bl')}, {words_of('artists')}, {words_of('genres')}, {words_of('moods')}, {words_of('tags')}) AS profile_words,
+  list_has_any(flatten(list_transform(list_concat(tl, credits, genres, moods, tags), lambda v: {raw('v')})), {VERSION}) AS wants_versions,
+  len(liked_ids) > 0 OR len(artist_norms) > 0 OR len(all_tags) > 0 AS has_signal FROM prof5)"""
+
+
+PROFILE = profile()
+
+
+def ask(kind: str, query: str, reliability: float, limit: int = 2) -> str:
+    return f"{{'t': '{kind}', 'q': trim(regexp_replace(coalesce({query}, ''), '\\s+', ' ', 'g')), 'r': {reliability}::DOUBLE, 'l': {limit}}}"
+
+
+_G, _M, _T = "genres[1]", "moods[1]", "coalesce(tags[1], tag_phrases[1])"
+_SEEDS = ", ".join(ask(*x) for x in (("seed_song", "nullif(s.t, '') || ' ' || nullif(s.a, '')", 0.78), ("seed_album", f"nullif(s.a, '') || ' ' || nullif(array_to_string({tok('s.b')}[1:2], ' '), '')", 0.70), ("title", "s.t", 0.45, 4)))
+_ASKED = f"""list_concat(
+  flatten(list_transform(artists[1:6], lambda a: [{ask('artist', 'a', 0.85)}, {ask('artist_context', "a || ' ' || " + _G, 0.8)}, {ask('artist_context', "a || ' ' || " + _M, 0.8)}])),
+  list_transform(genres[1:4], lambda g: {ask('genre', 'g', 0.75)}), list_transform(moods[1:4], lambda m: {ask('mood', 'm', 0.65)}), list_transform(tags[1:4], lambda g: {ask('tag', 'g', 0.75)}),
+  [{ask('genre_mood', f"{_G} || ' ' || {_M}", 0.75)}, {ask('tag_combo', "tags[1] || ' ' || tags[2]", 0.72)}],
+  flatten(list_transform(list_transform(range(1, least(len(tl), 3) + 1), lambda i: {{'t': tl[i], 'a': al[i], 'b': bl[i]}}), lambda s: [{_SEEDS}])),
+  [{ask('discovery', f"{_G} || ' ' || {_M}", 0.55)}, {ask('discovery', _T, 0.55)}, {ask('discovery', f"artists[1] || ' ' || {_T}", 0.55)}, {ask('discovery', "array_to_string(intent_terms[1:4], ' ')", 0.55)}])"""
+
+
+def plan(prof: str = PROFILE) -> str:
+    return f"""{prof}, plan0 AS (SELECT request_id, unnest(asked) AS s, generate_subscripts(asked, 1) - 1 AS plan_idx FROM (SELECT request_id, {_ASKED} AS asked FROM prof WHERE has_signal)
+), planned AS (SELECT request_id, plan_idx, s.t AS source_type, s.q AS query, s.r AS reliability, s.l AS max_hits FROM plan0 WHERE s.q <> '' QUALIFY row_number() OVER (PARTITION BY request_id, s.t, lower(s.q) ORDER BY plan_idx) = 1)"""
+
+
+PLAN = plan()
+HITS = f"""{PLAN}, facets AS (
+  SELECT p_partkey AS item_id, p_name AS title, p_brand AS artist, p_type AS album, ['automobile','building','furniture','household','machinery'][p_size % 5 + 1] AS mood, list_distinct(string_split(p_name, ' ')) AS ws FROM part
+), words AS (SELECT item_id, artist, unnest(ws) AS w FROM facets), answers AS (
+  SELECT 'artist' AS source_type, artist AS query, item_id FROM facets UNION ALL SELECT 'artist_context', artist || ' ' || album, item_id FROM facets UNION ALL SELECT 'artist_context', artist || ' ' || mood, item_id FROM facets
+  UNION ALL SELECT 'genre', album, item_id FROM facets UNION ALL SELECT 'mood', mood, item_id FROM facets UNION ALL SELECT 'tag', w, item_id FROM words UNION ALL SELECT 'genre_mood', album || ' ' || mood, item_id FROM facets
+  UNION ALL SELECT 'tag_combo', array_to_string(string_split(title, ' ')[1:2], ' '), item_id FROM facets UNION ALL SELECT 'seed_song', title || ' ' || artist, item_id FROM facets
+  UNION ALL SELECT 'seed_album', artist || ' ' || array_to_string({tok('album')}[1:2], ' '), item_id FROM facets UNION ALL SELECT 'title', title, item_id FROM facets
+  UNION ALL SELECT 'discovery', album || ' ' || mood, item_id FROM facets UNION ALL SELECT 'discovery', w, item_id FROM words UNION ALL SELECT 'discovery', artist || ' ' || w, item_id FROM words
+), found AS (SELECT *, row_number() OVER (PARTITION BY source_type, query ORDER BY item_id) - 1 - CASE WHEN source_type = 'discovery' THEN 3 ELSE 0 END AS position FROM answers
 ), hits AS (
   SELECT request_id, plan_idx, p.source_type, p.query, reliability, item_id, position FROM planned p JOIN found f ON p.source_type = f.source_type AND p.query = f.query
   WHERE position BETWEEN 0 AND 11 AND position < max_hits
@@ -80,7 +124,8 @@ def merged(source: str = "hits") -> str:
     return f"""SELECT request_id, item_id, count(*) AS n_hits, count(DISTINCT source_type || ':' || query) AS n_names, list_sort(list(DISTINCT source_type)) AS types,
       min({{'a': plan_idx, 'b': position}}) AS first_hit, max(reliability / (1 + 0.2::DOUBLE * position)) AS best_value, avg(reliability / (1 + 0.2::DOUBLE * position)) AS mean_value, avg(position) AS mean_position,
       max(reliability) AS max_reliability, max(1 / (1 + 0.2::DOUBLE * position)) AS max_rank,
-      list_distinct(flatten(list(CASE WHEN source_type IN {TASTE} THEN {tok('query')} ELSE [] END))) AS taste_tokens
+      list_distinct(flatten(list(CASE WHEN source_type IN {TASTE} THEN {tok('query')} ELSE [] END))) AS taste_tokens, flatten(list({tok('query')})) AS query_tokens,
+      list(source_type || ':' || query ORDER BY plan_idx, source_type || ':' || query) AS source_list
     FROM {source} GROUP BY request_id, item_id"""
 
 
@@ -93,39 +138,66 @@ RICH = f"{CANDS}, {SIGNALS}, rich AS (SELECT cands.*, signals.* EXCLUDE (item_id
 
 POP = "CASE WHEN NOT enriched THEN 0.55 WHEN comments + 3 * hot + 0.5 * red <= 0 THEN 0.0 ELSE least(1.0, ln(1 + (comments + 3 * hot + red / 2.0)::DOUBLE) / ln(5001::DOUBLE)) END"
 AUTH = "CASE WHEN NOT enriched OR followers IS NULL THEN 0.55 WHEN followers <= 0 THEN 0.0 ELSE least(1.0, ln(1 + followers::DOUBLE) / ln(500001::DOUBLE)) END"
+AUDIO = "CASE WHEN max_discount >= 0.1 THEN 1.0 WHEN max_discount >= 0.09 THEN 0.6 WHEN red * 1000 >= 999000 THEN 1.0 WHEN red * 1000 >= 320000 THEN 0.85 WHEN red * 1000 >= 192000 THEN 0.7 WHEN red * 1000 >= 128000 THEN 0.55 WHEN red IS NOT NULL THEN 0.35 ELSE 0.6 END"
 PLAY = "CASE WHEN NOT enriched OR playable IS NULL THEN 0.6 WHEN playable THEN 1.0 ELSE 0.0 END"
 
 
-def scored(source: str = "rich") -> str:
+_SAID = f"flatten(list_transform(list_filter(tag_phrases, lambda p: len({tok('p')}) > 0 AND len(list_filter({tok('p')}, lambda x: NOT list_contains(query_tokens, x))) = 0), lambda p: {tok('p')}))"
+_WORDS_OF_CANDIDATE = f"list_concat(list_filter({tok('title')}, lambda x: NOT list_contains(tag_tokens, x)), {tok('artist')}, {tok('artist')}, {tok('album')}, query_tokens, {_SAID})"
+_HAVE = f"list_concat({tok('artist')}, {tok('album')})"
+_ALLTAGS = f"list_concat(list_filter(tag_phrases, lambda p: len({tok('p')}) > 0 AND len(list_filter({tok('p')}, lambda x: NOT list_contains({_HAVE}, x))) = 0), list_filter(flatten(list_transform(tag_phrases, lambda p: {tok('p')})), lambda x: list_contains({_HAVE}, x)))"
+
+
+def text(source: str = "rich") -> str:
+    """TF-IDF of each request's profile (item -1) and candidates: terms tw, lengths tn, cosine with the profile txt."""
+    return f"""tdocs AS (SELECT request_id, item_id, {_WORDS_OF_CANDIDATE} AS w FROM {source} UNION ALL SELECT request_id, -1, profile_words FROM prof WHERE request_id IN (SELECT request_id FROM {source})
+), tcount AS (SELECT request_id, item_id, token, any_value(n) AS n, count(*) AS c FROM (SELECT request_id, item_id, len(w) AS n, unnest(w) AS token FROM tdocs) GROUP BY request_id, item_id, token
+), tdf AS (SELECT request_id, token, count(*) AS df FROM tcount GROUP BY request_id, token), tsize AS (SELECT request_id, count(*) AS docs FROM tdocs GROUP BY request_id
+), tw AS (SELECT c.request_id, item_id, c.token, c.c::DOUBLE / n * (ln((1 + docs)::DOUBLE / (1 + df)) + 1) AS w FROM tcount c JOIN tdf ON tdf.request_id = c.request_id AND tdf.token = c.token JOIN tsize ON tsize.request_id = c.request_id
+), tn AS (SELECT request_id, item_id, sqrt(sum(w * w)) AS norm FROM tw GROUP BY request_id, item_id
+), tdot AS (SELECT a.request_id, a.item_id, sum(a.w * b.w) AS dot FROM tw a JOIN tw b ON a.request_id = b.request_id AND a.token = b.token AND b.item_id = -1 WHERE a.item_id <> -1 GROUP BY a.request_id, a.item_id
+), txt AS (SELECT d.request_id, d.item_id, round(least(1.0, dot / (x.norm * y.norm)), 9) AS cos FROM tdot d JOIN tn x ON x.request_id = d.request_id AND x.item_id = d.item_id JOIN tn y ON y.request_id = d.request_id AND y.item_id = -1)"""
+
+
+def scored(source: str = "rich", with_text: bool = True) -> str:
     known = f"CASE WHEN list_contains(artist_norms, {norm_artist('artist')}) THEN 1.0 ELSE 0.0 END::DOUBLE"
-    return f"""s1 AS (
+    joined = f"(SELECT {source}.*, coalesce(txt.cos, 0.0) AS text_similarity FROM {source} LEFT JOIN txt ON txt.request_id = {source}.request_id AND txt.item_id = {source}.item_id)" if with_text else f"(SELECT *, 0.0 AS text_similarity FROM {source})"
+    return f"""{text(source) + ', ' if with_text else ''}s1 AS (
   SELECT *, {norm_artist('artist')} AS artist_norm, {norm_title('album')} AS album_norm, {norm_title('title')} AS title_norm,
     (CASE WHEN title <> '' THEN 0.35 ELSE 0 END + CASE WHEN artist <> '' THEN 0.3 ELSE 0 END + CASE WHEN album <> '' THEN 0.15 ELSE 0 END + CASE WHEN item_id <> 0 THEN 0.1 ELSE 0 END)::DOUBLE AS metadata,
-    (0.4::DOUBLE * least(1.0, n_names / 4.0) + 0.3::DOUBLE * least(1.0, len(types) / 4.0) + CASE WHEN list_has_any(types, ['artist','artist_context','seed_song','seed_album']) AND list_has_any(types, ['genre','mood','tag','genre_mood','tag_combo','discovery','artist_context']) THEN 0.3::DOUBLE ELSE 0.0 END)
+    (0.4::DOUBLE * least(1.0, n_names / 4.0) + 0.3::DOUBLE * least(1.0, len(types) / 4.0) + CASE WHEN list_has_any(types, ['artist','artist_context','seed_song','seed_album']) AND list_has_any(types, ['genre','mood','tag','genre_mood','tag_combo','discovery']) THEN 0.3::DOUBLE ELSE 0.0 END)
       * CASE WHEN types = ['title'] THEN 0.35::DOUBLE ELSE 1.0 END AS agreement,
-    {POP}::DOUBLE AS popularity, {AUTH}::DOUBLE AS authority, {PLAY}::DOUBLE AS play, {known} AS known_artist,
+    {POP}::DOUBLE AS popularity, {AUTH}::DOUBLE AS authority, {PLAY}::DOUBLE AS play, ({AUDIO})::DOUBLE AS audio_score, {known} AS known_artist, coalesce(artist_weights[list_position(artist_norms, {norm_artist('artist')})], 0.0) AS own_weight,
     CASE WHEN {known} = 1 THEN 1.0 ELSE {jaccard(tok('artist'), 'artist_tokens')} END::DOUBLE AS artist_match,
     least(1.0, 0.7::DOUBLE * {share('tag_tokens', f"list_concat({tok('artist')}, {tok('album')})")} + 0.3::DOUBLE * {share('tag_tokens', 'taste_tokens')}) AS tag_match,
     {share('tag_tokens', tok('title'))} AS title_overlap,
     CASE WHEN len(title_tokens) > 0 THEN least(1.0, len(list_intersect(list_distinct({tok('title')}), title_tokens)) / greatest(1.0, sqrt(len(title_tokens)::DOUBLE))) ELSE 0.0 END::DOUBLE AS title_match,
     CASE WHEN list_contains(album_norms, {norm_title('album')}) THEN 1.0 ELSE 0.0 END::DOUBLE AS seed_album
-  FROM {source}
+  FROM {joined}
 ), s2 AS (
-  SELECT *, least(1.0, (0.7::DOUBLE * best_value + 0.3::DOUBLE * mean_value) * (0.8::DOUBLE + 0.2::DOUBLE * metadata)) AS confidence,
+  SELECT *, greatest(artist_match, own_weight) AS affinity, least(1.0, (0.7::DOUBLE * best_value + 0.3::DOUBLE * mean_value) * (0.8::DOUBLE + 0.2::DOUBLE * metadata)) AS confidence,
     greatest(0.0, least(1.0, 0.35::DOUBLE * (1 - known_artist) + 0.25::DOUBLE * least(1.0, mean_position / 8) + 0.25::DOUBLE * greatest(tag_match, CASE WHEN len(tag_tokens) > 0 THEN 0.3 ELSE 0 END) + 0.15::DOUBLE * (1 - seed_album))) AS novelty,
-    least(1.0, 0.3::DOUBLE * artist_match + 0.25::DOUBLE * tag_match + 0.1::DOUBLE * title_match) AS content,
+    least(1.0, 0.35::DOUBLE * text_similarity + 0.3::DOUBLE * artist_match + 0.25::DOUBLE * tag_match + 0.1::DOUBLE * title_match) AS content,
     least(1.0, popularity / 3 + authority / 3 + play / 6 + metadata / 6) AS quality FROM s1
 ), s3 AS (SELECT *, least(1.0, 0.45::DOUBLE * confidence + 0.55::DOUBLE * agreement) AS retrieval FROM s2
-), s4 AS (SELECT *, least(1.0, 0.7::DOUBLE * (0.5::DOUBLE * content + 0.5::DOUBLE * retrieval) + 0.2::DOUBLE * quality + 0.1::DOUBLE * authority) AS base0 FROM s3
+), s4 AS (SELECT *, 0.5::DOUBLE * content + 0.5::DOUBLE * retrieval AS personal, least(1.0, 0.2::DOUBLE * metadata + 0.2::DOUBLE * popularity + 0.2::DOUBLE * authority + 0.15::DOUBLE * play + 0.15::DOUBLE * agreement + 0.1::DOUBLE * confidence) AS trust, least(1.0, 0.7::DOUBLE * (0.5::DOUBLE * content + 0.5::DOUBLE * retrieval) + 0.2::DOUBLE * quality + 0.1::DOUBLE * authority) AS base0 FROM s3
 ), scored AS (
   SELECT *, round(base0, 9) AS base, round(least(1.0, base0 / 0.55::DOUBLE), 9) AS gate, round(greatest(0.0, least(1.0, base0 + 0.3::DOUBLE * novelty * least(1.0, base0 / 0.55::DOUBLE))), 9) AS score FROM s4
 )"""
 
 
 SCORED = f"WITH {RICH}, {scored()}"
+PARTS = f"WITH {RICH}, {scored(with_text=False)}"
 RANKED = f"{SCORED}, ranked AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, title, item_id) AS rank FROM scored QUALIFY rank <= 10)"
 CARDS = f"{RANKED}, cards AS (SELECT *, list_distinct({tok('title')}) AS title_set FROM ranked)"
-SHADOW = f"{CARDS}, shadow AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY round(novelty * 0.7::DOUBLE + popularity * 0.3::DOUBLE, 9) DESC, rank) AS learned_position FROM cards)"
+_REASONS = """list_filter([CASE WHEN known_artist = 1 THEN 'By an artist you like: ' || list_filter(artists, lambda v: {norm} = artist_norm)[1] WHEN artist_match >= 0.5 OR affinity >= 0.5 THEN 'Close to artists you like' END,
+  CASE WHEN len(matched) > 0 THEN 'Fits your tags: ' || array_to_string(matched[1:3], ', ') WHEN tag_match >= 0.34 THEN 'Fits your tags' END, CASE WHEN title_match >= 0.34 AND tl[1] IS NOT NULL THEN 'Its title resembles: ' || tl[1] END,
+  CASE WHEN agreement >= 0.5 OR len(types) >= 2 THEN 'Found in several ways' END, CASE WHEN quality >= 0.6 OR metadata >= 0.9 THEN 'Well documented and well known' END,
+  CASE pick WHEN 'exploratory' THEN 'Here to discover: relevant but less obvious' WHEN 'diverse' THEN 'Here for variety of artists and albums' END], lambda x: x IS NOT NULL)""".replace("{norm}", norm_artist("v"))
+SHOWN = f"""{CARDS}, m0 AS (SELECT *, {_ALLTAGS} AS all_matched FROM cards), m1 AS (SELECT *, list_transform(all_matched, lambda x: lower(trim(x))) AS ls FROM m0), m2 AS (SELECT *, list_filter(all_matched, lambda x, i: list_position(ls, ls[i]) = i) AS matched,
+  CASE WHEN rank > 8 THEN 'diverse' WHEN base >= 0.62 AND (affinity >= 0.75 OR content >= 0.55 OR confidence >= 0.75) THEN 'safe' WHEN title_overlap >= 0.5 AND tag_match <= 0 THEN 'exploratory' WHEN novelty >= 0.55 AND gate >= 0.65 THEN 'exploratory' ELSE 'balanced' END AS pick FROM m1
+), shown0 AS (SELECT *, {_REASONS} AS why FROM m2), shown AS (SELECT *, CASE WHEN len(why) > 0 THEN why ELSE ['Fits your profile in general'] END AS reasons FROM shown0)"""
+SHADOW = f"{CARDS}, shadow AS (SELECT cards.*, CASE WHEN c_acctbal < 0 THEN NULL ELSE round(novelty * 0.7::DOUBLE + popularity * 0.3::DOUBLE, 9) END AS learned_score, row_number() OVER (PARTITION BY request_id ORDER BY learned_score DESC NULLS LAST, rank) AS learned_position FROM cards JOIN customer ON c_custkey = request_id)"
 FEEDBACK = """feedback AS (
   SELECT event_id, ts, user_id AS request_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS item_id,
     CASE event_type WHEN 'purchase' THEN 'like' WHEN 'click' THEN 'click' WHEN 'signup' THEN 'why_clicked' WHEN 'error' THEN 'dislike' WHEN 'view' THEN 'impression' END AS event_type, value FROM events
@@ -154,7 +226,11 @@ s AS (SELECT query_id, d.*, round((5 * len(list_filter(tokens, lambda t: list_co
 SELECT query_id, item_id, title, artist, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, CAST(item_id AS VARCHAR)) AS rank FROM s WHERE score > 0 QUALIFY rank <= 10"""
 SQL["catalog_confidence"] = """
 SELECT p_partkey AS item_id, CASE WHEN p_size % 3 = 0 OR p_size % 5 = 0 THEN 'internal' WHEN p_size / 50.0 >= 0.6 THEN 'full' WHEN p_size / 50.0 >= 0.5 THEN 'best-guess' WHEN p_size / 50.0 >= 0.4 THEN 'uncertain' ELSE 'internal' END AS display FROM part"""
-SQL["catalog_enrich"] = f"WITH {ITEMS}, ids AS (SELECT DISTINCT l_partkey + l_linenumber AS item_id FROM lineitem) SELECT ids.item_id, title, CASE WHEN items.item_id IS NULL THEN 'internal' ELSE 'catalogue' END AS source FROM ids LEFT JOIN items ON ids.item_id = items.item_id"
+SQL["catalog_enrich"] = f"""WITH {ITEMS}, ids AS (SELECT DISTINCT l_partkey + l_linenumber AS item_id FROM lineitem), top AS (SELECT max(p_partkey) + 1 AS late FROM part)
+SELECT ids.item_id, CASE WHEN items.item_id IS NULL AND ids.item_id = late THEN 'late' ELSE title END AS title, CASE WHEN items.item_id IS NULL AND ids.item_id = late THEN 'x' WHEN artist <> 'Brand#7' THEN artist END AS artist, album,
+  CASE WHEN items.item_id IS NOT NULL THEN 'catalogue' WHEN ids.item_id = late THEN 'netease' ELSE 'internal' END AS source, 'internal' AS display FROM ids LEFT JOIN items ON ids.item_id = items.item_id, top"""
+SQL["catalog_lookup"] = "WITH ids AS (SELECT DISTINCT l_partkey + l_linenumber AS i FROM lineitem) SELECT CAST(i AS VARCHAR) AS item_id, p_partkey IS NOT NULL AS known FROM ids LEFT JOIN part ON p_partkey = i"
+SQL["search_hits_shape"] = "SELECT CASE WHEN p_size > 40 THEN 0 ELSE p_partkey END AS item_id, p_name AS title, CASE WHEN p_size > 10 THEN p_brand ELSE '' END AS artist, p_brand AS artists, p_type AS album, '' AS cover_url, CASE WHEN p_size > 40 OR p_partkey = 0 THEN '' ELSE 'https://example.org/song?id=' || p_partkey END AS url FROM part"
 SQL["tokenize_docs"] = f"WITH t AS (SELECT doc_id, {tok('text')} AS t, {raw('text')} AS r FROM documents) SELECT doc_id, len(t) AS n_tokens, len(list_distinct(t)) AS n_distinct, len(r) AS n_raw, md5(array_to_string(t, ' ')) AS tokens_md5 FROM t"
 SQL["normalize_titles"] = f"""
 WITH p AS (SELECT p_partkey, p_brand, CASE p_size % 3 WHEN 0 THEN p_name || ' (Live at ' || p_type || ')' WHEN 1 THEN '[' || p_name || '] x' ELSE p_name || ' - Acoustic Version' END AS t FROM part)
@@ -166,34 +242,48 @@ SELECT request_id, {join("list_filter(ph, lambda v, i: ks[i] <> '' AND list_posi
 SQL["contains_phrase"] = f"WITH {ITEMS}, t AS (SELECT item_id, {raw('title')} AS t FROM items) SELECT item_id, contains(' ' || array_to_string(t, ' ') || ' ', ' red widget ') AS has, len(t) > 0 AS starts, {join('list_filter(t, lambda v: v <> ' + chr(39) + 'red' + chr(39) + ')')} AS rest FROM t"
 SQL["jaccard_pairs"] = f"WITH {ITEMS}, t AS (SELECT item_id, list_distinct(list_concat({tok('title')}, {tok('album')})) AS t FROM items) SELECT a.item_id, round({jaccard('a.t', 'b.t')}, 6) AS jaccard, round({share('a.t', 'b.t')}, 6) AS coverage FROM t a JOIN t b ON b.item_id = a.item_id + 1"
 SQL["lenient_casts"] = """
-WITH e AS (SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'x1' ELSE json_extract_string(props, '$.k') END AS raw FROM events)
-SELECT event_id, TRY_CAST(raw AS BIGINT) AS k, round(least(1.0, greatest(0.0, coalesce(TRY_CAST(raw AS DOUBLE) / 50, 0.0))), 6) AS share, CAST(CASE WHEN event_id % 2 = 0 THEN 2 ELSE 0 END AS BIGINT) AS n_list FROM e"""
+WITH e AS (SELECT event_id, props, CASE WHEN event_id % 4 = 0 THEN 'x1' ELSE json_extract_string(props, '$.k') END AS raw FROM events)
+SELECT event_id, TRY_CAST(raw AS BIGINT) AS k, round(least(1.0, greatest(0.0, coalesce(TRY_CAST(raw AS DOUBLE) / 50, 0.0))), 6) AS share, CAST(CASE WHEN event_id % 2 = 0 THEN 2 ELSE 0 END AS BIGINT) AS n_list,
+  CASE WHEN event_id % 3 = 1 THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END AS object_k FROM e"""
+SQL["strip_tag_terms"] = f"WITH {ITEMS} SELECT item_id, CASE WHEN album = 'SMALL' THEN title ELSE array_to_string(list_filter({tok('title')}, lambda x: x NOT IN ('red', 'ring')), ' ') END AS rest, array_to_string(list_concat({tok('title')}, {tok('artist')}, {tok('album')}), ' ') AS whole FROM items"
+SQL["text_for_embedding"] = "SELECT p_partkey AS item_id, p_name || ' ' || p_brand || CASE WHEN p_type <> 'SMALL' THEN ' ' || p_type ELSE '' END || ' genre' AS text FROM part"
+SQL["coerced_lists"] = """WITH e AS (SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)
+SELECT event_id, event_type || CASE WHEN k IS NOT NULL THEN ',' || k ELSE '' END AS texts, array_to_string(list_filter([k, 7, 8], lambda x, i: x <> 0 AND x IS NOT NULL AND list_position([k, 7, 8], x) = i)[1:2], ',') AS numbers FROM e"""
 _TFIDF = f"""docs AS (SELECT conv_id AS corpus, turn AS doc, {tok('text')} AS tokens FROM conversations), n AS (SELECT corpus, count(*) AS n FROM docs GROUP BY corpus HAVING count(*) >= 2),
 c AS (SELECT corpus, doc, token, len, count(*) AS c FROM (SELECT corpus, doc, len(tokens) AS len, unnest(tokens) AS token FROM docs) GROUP BY ALL), df AS (SELECT corpus, token, count(*) AS df FROM c GROUP BY corpus, token),
 v AS (SELECT c.corpus, doc, c.token, c.c::DOUBLE / len * (ln((1 + n)::DOUBLE / (1 + df)) + 1) AS w FROM c JOIN df USING (corpus, token) JOIN n USING (corpus)), norms AS (SELECT corpus, doc, sqrt(sum(w * w)) AS norm, count(*) AS n_terms FROM v GROUP BY corpus, doc)"""
 SQL["tfidf_norms"] = f"WITH {_TFIDF} SELECT corpus, doc, {r('norm')}, n_terms FROM norms"
 SQL["tfidf_cosine"] = f"""WITH {_TFIDF} SELECT a.corpus, a.doc, round(least(1.0, coalesce(dot / (a.norm * b.norm), 0.0)), 6) AS cosine FROM norms a JOIN norms b ON a.corpus = b.corpus AND b.doc = 0
 LEFT JOIN (SELECT x.corpus, x.doc, sum(x.w * y.w) AS dot FROM v x JOIN v y ON x.corpus = y.corpus AND x.token = y.token AND y.doc = 0 GROUP BY x.corpus, x.doc) d ON d.corpus = a.corpus AND d.doc = a.doc"""
-_TOPK = """e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), q AS (SELECT label AS query_id, arg_min(v, vec_id) AS v FROM e GROUP BY label),
+_TOPK = """e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), q AS (SELECT vec_id AS query_id, label, v FROM e WHERE vec_id % 20 = 0),
 s AS (SELECT query_id, vec_id AS item_id, round(list_cosine_similarity(q.v, e.v), 9) AS score FROM q, e), t AS (SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) - 1 AS rank FROM s),
 k AS (SELECT query_id, item_id, round(least(1.0, score), 6) AS score, rank FROM t WHERE rank < 30 AND score > 0)"""
 SQL["vector_topk"] = f"WITH {_TOPK} SELECT * FROM k"
-SQL["vector_topk_excluding"] = f"WITH {_TOPK} SELECT k.* FROM k LEFT JOIN e ON e.vec_id = k.item_id AND e.label = k.query_id WHERE e.vec_id IS NULL"
-SQL["profile_artist_weights"] = f"WITH {LIKED}, w AS (SELECT request_id, {norm_artist('artist')} AS artist_norm, count(*) AS n FROM liked GROUP BY ALL) SELECT request_id, artist_norm, round(n::DOUBLE / max(n) OVER (PARTITION BY request_id), 6) AS weight FROM w WHERE artist_norm <> ''"
-SQL["profile_features"] = f"WITH {PROFILE} SELECT request_id, len(liked_ids) AS n_liked, {join('artists')} AS artists, {join('genres')} AS genres, {join('list_sort(title_tokens)')} AS title_tokens, {join('tag_tokens')} AS tag_tokens FROM prof"
+SQL["vector_topk_excluding"] = f"WITH {_TOPK} SELECT k.* FROM k JOIN q ON q.query_id = k.query_id JOIN e ON e.vec_id = k.item_id WHERE e.label IS DISTINCT FROM q.label"
+SQL["profile_artist_weights"] = f"WITH {PROFILE}, w AS (SELECT request_id, unnest(artist_norms) AS artist_norm, unnest(artist_weights) AS weight FROM prof) SELECT request_id, artist_norm, round(weight, 6) AS weight FROM w"
+SQL["profile_features"] = f"WITH {PROFILE} SELECT request_id, len(liked_ids) AS n_liked, {', '.join(join(c) + ' AS ' + c for c in ('artists', 'genres', 'moods', 'tags', 'tag_phrases', 'tag_tokens', 'intent_terms'))}, {join('list_sort(title_tokens)')} AS title_tokens, md5(array_to_string(list_sort(profile_words), ' ')) AS words_md5, wants_versions FROM prof"
+SQL["profile_echo"] = f"WITH {PROFILE} SELECT request_id, {join('list_sort(liked_ids)')} AS liked_ids, {', '.join(join(c) + ' AS ' + c for c in ('artists', 'tag_phrases', 'genres', 'moods', 'tags', 'tag_tokens', 'intent_terms'))}, {join('list_sort(title_tokens)')} AS title_tokens FROM prof"
+SQL["control_echo"] = "SELECT c_custkey AS request_id, round(least(1.0, greatest(0.0, c_acctbal / 5000)), 6) AS content_weight, round(CASE WHEN c_nationkey > 3 THEN least(1.0, c_nationkey / 20.0) ELSE 0 END, 6)::DOUBLE AS novelty, 0.3::DOUBLE AS diversity, greatest(1, least(50, c_nationkey * 3 - 5)) AS k FROM customer"
+SQL["no_input_gate"] = f"""WITH {plan(profile(LIKED.replace('ON o_orderkey = l_orderkey)', 'ON o_orderkey = l_orderkey WHERE o_totalprice >= 450000)'), 'LEFT'))}, n AS (SELECT request_id, count(*) AS n FROM planned GROUP BY request_id)
+SELECT prof.request_id, has_signal, CASE WHEN NOT has_signal THEN 'no_input' END AS fallback, coalesce(n.n, 0) AS n_queries FROM prof LEFT JOIN n ON n.request_id = prof.request_id"""
 SQL["plan_queries"] = f"WITH {PLAN} SELECT * FROM planned"
-SQL["merge_hits"] = f"WITH {HITS}, m AS ({merged()}) SELECT request_id, item_id, n_hits, n_names, {join('types')} AS types, first_hit.a AS first_plan, {r('best_value', 'mean_value', 'mean_position')} FROM m"
-SQL["route_counts"] = f"WITH {HITS} SELECT CASE source_type WHEN 'artist' THEN 'artist' WHEN 'title' THEN 'title' WHEN 'discovery' THEN 'discovery' ELSE 'tag' END AS bucket, count(*) AS n_hits, count(DISTINCT item_id) AS n_items FROM hits GROUP BY ALL"
+SQL["merge_hits"] = f"WITH {HITS}, m AS ({merged()}) SELECT request_id, item_id, n_hits, n_names, {join('types')} AS types, array_to_string({firsts('source_list')}, '; ') AS sources, first_hit.a AS first_plan, {r('best_value', 'mean_value', 'mean_position')} FROM m"
+SQL["route_counts"] = f"WITH {HITS} SELECT CASE WHEN source_type IN ('artist', 'artist_context', 'seed_song', 'seed_album') THEN 'artist' WHEN source_type IN ('title', 'discovery') THEN source_type ELSE 'tag' END AS bucket, count(*) AS n_hits, count(DISTINCT item_id) AS n_items FROM hits GROUP BY ALL"
 SQL["merge_channels"] = f"""WITH {HITS}, emb AS (SELECT request_id, item_id + 1 AS item_id FROM hits WHERE source_type = 'artist'), both_ AS (SELECT request_id, item_id FROM hits UNION ALL SELECT * FROM emb),
 added AS (SELECT request_id, count(*) AS n FROM (SELECT DISTINCT request_id, item_id FROM emb EXCEPT SELECT request_id, item_id FROM hits) GROUP BY request_id)
 SELECT b.request_id, count(DISTINCT item_id) AS n_candidates, count(*) AS n_hits, coalesce(any_value(added.n), 0) AS n_added FROM both_ b LEFT JOIN added ON added.request_id = b.request_id GROUP BY b.request_id"""
-_SCORES = {"retrieval_confidence": ("metadata", "confidence"), "multi_source_agreement": ("agreement",), "artist_match": ("artist_match", "known_artist"), "tag_match": ("tag_match", "title_overlap"), "title_match": ("title_match",), "novelty": ("novelty", "seed_album"), "final_score": ("content", "retrieval", "quality", "base", "gate", "score")}
+_SCORES = {"retrieval_confidence": ("metadata", "confidence"), "multi_source_agreement": ("agreement",), "artist_match": ("artist_match", "known_artist"), "artist_affinity": ("affinity",), "tag_match": ("tag_match", "title_overlap"), "title_match": ("title_match",), "novelty": ("novelty", "seed_album"), "final_score": ("content", "retrieval", "quality", "base", "gate", "score")}
 for _name, _columns in _SCORES.items():
-    SQL[_name] = f"{SCORED} SELECT request_id, item_id, {', '.join(f'round({c} + 1e-10, 8) AS {c}' for c in _columns)} FROM scored"
+    SQL[_name] = f"{SCORED if _name == 'final_score' else PARTS} SELECT request_id, item_id, {', '.join(f'round({c} + 1e-10, 8) AS {c}' for c in _columns)} FROM scored"
 SQL["signal_scores"] = f"""WITH {ITEMS}, {SIGNALS}, s AS (SELECT items.item_id, signals.* EXCLUDE (item_id), comments IS NOT NULL AS enriched FROM items LEFT JOIN signals USING (item_id))
-SELECT item_id, round({POP}, 6)::DOUBLE AS popularity, round({AUTH}, 6)::DOUBLE AS authority, ({PLAY})::DOUBLE AS play,
-  (CASE WHEN max_discount >= 0.1 THEN 1.0 WHEN max_discount >= 0.09 THEN 0.8 WHEN red * 1000 >= 999000 THEN 1.0 WHEN red * 1000 >= 320000 THEN 0.85 WHEN red * 1000 >= 192000 THEN 0.7 WHEN red * 1000 >= 128000 THEN 0.55 WHEN red > 0 THEN 0.35 ELSE 0.6 END)::DOUBLE AS audio FROM s"""
-SQL["trust_score"] = f"{SCORED} SELECT request_id, item_id, round(least(1.0, 0.2::DOUBLE * metadata + 0.2::DOUBLE * popularity + 0.2::DOUBLE * authority + 0.15::DOUBLE * play + 0.15::DOUBLE * agreement + 0.1::DOUBLE * confidence), 6) AS trust FROM scored"
+SELECT item_id, enriched, round({POP}, 6)::DOUBLE AS popularity, round({AUTH}, 6)::DOUBLE AS authority, ({PLAY})::DOUBLE AS play, ({AUDIO})::DOUBLE AS audio FROM s"""
+# by the level first (hires, jyeffect, lossless, exhigh: 1; higher, standard: .8; medium .6; low .4), else by the bitrate; no bitrate: unknown
+SQL["audio_grades"] = """WITH p AS (SELECT p_partkey, p_size, CASE WHEN p_size % 4 <> 0 THEN CAST(trunc(p_retailprice * 700) AS BIGINT) - 600000 END AS br FROM part)
+SELECT p_partkey AS item_id, (CASE p_size % 10 WHEN 0 THEN 1.0 WHEN 1 THEN 1.0 WHEN 2 THEN 1.0 WHEN 3 THEN 1.0 WHEN 4 THEN 0.8 WHEN 5 THEN 0.8 WHEN 6 THEN 0.6 WHEN 7 THEN 0.4 ELSE
+  CASE WHEN br IS NULL THEN NULL WHEN br >= 999000 THEN 1.0 WHEN br >= 320000 THEN 0.85 WHEN br >= 192000 THEN 0.7 WHEN br >= 128000 THEN 0.55 ELSE 0.35 END END)::DOUBLE AS grade FROM p"""
+SQL["signal_payload"] = f"WITH {SIGNALS} SELECT item_id, comments, followers, playable, CAST(NULL AS BIGINT) AS hot FROM signals"
+SQL["text_similarity"] = f"{SCORED} SELECT request_id, item_id, round(text_similarity, 6) AS text_similarity FROM scored"
+SQL["trust_score"] = f"{PARTS} SELECT request_id, item_id, round(trust, 6) AS trust FROM scored"
 SQL["score_order"] = f"{RANKED} SELECT request_id, rank, item_id, {r('score')} FROM ranked"
 SQL["enrich_budget"] = f"{SCORED}, b AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, title, item_id) AS place FROM scored QUALIFY place <= 16) SELECT request_id, count(*) AS n, max(place) AS last, round(min(score), 6) AS least FROM b GROUP BY request_id"
 _LIKED = "list_contains(liked_ids, item_id)"
@@ -214,36 +304,54 @@ for _name, _bad in (("filter_liked", _LIKED), ("filter_title_variant", _VARIANT)
 SQL["filter_tag_title"] = f"""WITH {CANDS}, c AS (SELECT * EXCLUDE (title, album), CASE item_id % 11 WHEN 0 THEN album WHEN 1 THEN genres[1] || ' nights' ELSE title END AS title, CASE WHEN item_id % 11 = 1 THEN 'x9' ELSE album END AS album FROM cands)
 SELECT request_id, item_id FROM c WHERE {_TAG}"""
 SQL["dedup_versions"] = f"""WITH {RICH}, k AS (SELECT *, {norm_title('title')} AS tk, {norm_artist('artist')} AS ak FROM rich), d AS (
-SELECT request_id, item_id, row_number() OVER (PARTITION BY request_id, tk, ak ORDER BY max_reliability DESC, max_rank DESC, CASE WHEN title <> '' THEN 1 ELSE 0 END + CASE WHEN artist <> '' THEN 1 ELSE 0 END + CASE WHEN album <> '' THEN 1 ELSE 0 END DESC, first_hit, item_id) AS nth FROM k WHERE tk <> '' AND ak <> '')
-SELECT request_id, item_id FROM d WHERE nth > 1"""
+SELECT request_id, item_id, row_number() OVER (PARTITION BY request_id, tk, ak ORDER BY max_reliability DESC, max_rank DESC, CASE WHEN title <> '' THEN 1 ELSE 0 END + CASE WHEN artist <> '' THEN 1 ELSE 0 END + CASE WHEN album <> '' THEN 1 ELSE 0 END DESC, first_hit, item_id) AS nth, wants_versions AND list_has_any({raw('title')}, {VERSION}) AS wanted FROM k WHERE tk <> '' AND ak <> '')
+SELECT request_id, item_id FROM d WHERE nth > 1 AND NOT wanted"""
 SQL["filter_missing"] = f"""WITH {CANDS}, c AS (SELECT request_id, trim(title) <> '' AND item_id % 7 <> 0 AS ok FROM cands), f AS (SELECT request_id, ok, bool_or(ok) OVER (PARTITION BY request_id) AS has_full FROM c)
 SELECT request_id, CAST(sum(CASE WHEN NOT ok AND has_full THEN 1 ELSE 0 END) AS BIGINT) AS dropped, count(*) AS n FROM f GROUP BY request_id"""
-SQL["filter_low_trust"] = f"""WITH {RICH}, weak AS (SELECT * EXCLUDE (comments, followers), comments % 12 AS comments, (comments % 12) * 5 AS followers FROM rich), {scored('weak')}
+SQL["filter_low_trust"] = f"""WITH {RICH}, weak AS (SELECT * EXCLUDE (comments, followers), comments % 12 AS comments, (comments % 12) * 5 AS followers FROM rich), {scored('weak', False)}
 SELECT request_id, item_id FROM scored WHERE enriched AND ((comments < 10 AND followers < 77 AND agreement <= 0.35 AND confidence <= 0.55) OR (popularity <= 0.05 AND authority <= 0.05 AND agreement < 0.25 AND confidence < 0.45))"""
 SQL["filter_funnel"] = f"WITH {RICH} SELECT CASE WHEN {_LIKED} THEN 'liked' WHEN {_VARIANT} THEN 'variant' WHEN {_TAG} THEN 'tag_title' WHEN {_UNPLAYABLE} THEN 'unplayable' ELSE 'kept' END AS rule, count(*) AS n FROM rich GROUP BY ALL"
+SQL["funnel_summary"] = f"""WITH {CANDS}, f1 AS (SELECT *, CASE WHEN {_LIKED} THEN 'liked' WHEN {_VARIANT} THEN 'same_title' WHEN {_TAG} THEN 'tag_title' END AS rule, {norm_title('title')} AS tk, {norm_artist('artist')} AS ak, wants_versions AND list_has_any({raw('title')}, {VERSION}) AS wanted FROM cands
+), f2 AS (SELECT *, CASE WHEN rule IS NULL AND tk <> '' AND ak <> '' AND NOT wanted AND row_number() OVER (PARTITION BY request_id, tk, ak, rule IS NULL ORDER BY max_reliability DESC, max_rank DESC, first_hit, item_id) > 1 THEN 'duplicate_version' ELSE rule END AS dropped FROM f1
+), n AS (SELECT request_id, count(*) AS after_dedup, count(*) FILTER (dropped = 'liked') AS filtered_liked, count(*) FILTER (dropped = 'same_title') AS filtered_same_title, count(*) FILTER (dropped = 'tag_title') AS filtered_tag_title,
+  count(*) FILTER (dropped = 'duplicate_version') AS filtered_duplicate_version, 0::BIGINT AS filtered_missing_metadata, count(*) FILTER (dropped IS NULL) AS final_candidate_count FROM f2 GROUP BY request_id
+), h AS (SELECT request_id, count(*) FILTER (source_type IN ('artist', 'artist_context', 'seed_song', 'seed_album')) AS artist, count(*) FILTER (source_type IN ('genre', 'mood', 'tag', 'genre_mood', 'tag_combo')) AS tag, count(*) FILTER (source_type = 'title') AS title,
+  count(*) FILTER (source_type = 'discovery') AS discovery, count(*) FILTER (source_type = 'embedding') AS embedding, count(*) AS retrieved_total FROM hits GROUP BY request_id)
+SELECT h.*, n.* EXCLUDE (request_id) FROM h JOIN n ON n.request_id = h.request_id"""
 SQL["artist_cap"] = f"{SCORED}, c AS (SELECT *, row_number() OVER (PARTITION BY request_id, artist_norm ORDER BY score DESC, title, item_id) AS nth FROM scored) SELECT request_id, item_id, {r('score')} FROM c WHERE artist_norm = '' OR nth <= 2"
-SQL["pair_similarity"] = f"""{RANKED} SELECT a.request_id, a.rank AS rank_a, b.rank AS rank_b, round((CASE WHEN a.artist_norm = b.artist_norm THEN 0.35::DOUBLE ELSE 0 END
-  + CASE WHEN len(a.taste_tokens) > 0 AND len(b.taste_tokens) > 0 THEN 0.25::DOUBLE * {jaccard('a.taste_tokens', 'b.taste_tokens')} ELSE 0 END + CASE WHEN a.album_norm <> '' AND a.album_norm = b.album_norm THEN 0.2::DOUBLE ELSE 0 END)
-  / (0.35::DOUBLE + CASE WHEN len(a.taste_tokens) > 0 AND len(b.taste_tokens) > 0 THEN 0.25::DOUBLE ELSE 0 END + CASE WHEN a.album_norm <> '' AND b.album_norm <> '' THEN 0.2::DOUBLE ELSE 0 END), 6) AS similarity
-FROM ranked a JOIN ranked b ON a.request_id = b.request_id AND a.rank < b.rank WHERE a.rank <= 5 AND b.rank <= 5"""
-_HAVE = f"list_concat({tok('artist')}, {tok('album')})"
-_ALLTAGS = f"list_concat(list_filter(tag_phrases, lambda p: len({tok('p')}) > 0 AND len(list_filter({tok('p')}, lambda t: NOT list_contains({_HAVE}, t))) = 0), list_filter(flatten(list_transform(tag_phrases, lambda p: {tok('p')})), lambda t: list_contains({_HAVE}, t)))"
-SQL["matched_tags"] = f"{RANKED}, m AS (SELECT request_id, item_id, {_ALLTAGS} AS v FROM ranked), k AS (SELECT *, list_transform(v, lambda x: lower(trim(x))) AS ls FROM m) SELECT request_id, item_id, {join('list_filter(v, lambda x, i: list_position(ls, ls[i]) = i)')} AS tags FROM k"
-SQL["pick_types"] = f"""{RANKED}, p AS (SELECT *, CASE WHEN rank > 8 THEN 'diverse' WHEN base >= 0.62 AND (artist_match >= 0.75 OR content >= 0.55 OR confidence >= 0.75) THEN 'safe' WHEN title_overlap >= 0.5 AND tag_match <= 0 THEN 'exploratory' WHEN novelty >= 0.55 AND gate >= 0.65 THEN 'exploratory' ELSE 'balanced' END AS pick FROM ranked),
-w AS (SELECT *, list_filter([CASE WHEN artist_match >= 0.5 THEN 'by an artist you like' END, CASE WHEN tag_match >= 0.34 THEN 'fits your tags' END, CASE WHEN title_match >= 0.34 THEN 'title close to what you like' END, CASE WHEN agreement >= 0.5 THEN 'found by several searches' END, CASE WHEN popularity >= 0.6 THEN 'well known' END, CASE WHEN novelty >= 0.9 THEN 'new to you' END, CASE WHEN pick = 'diverse' THEN 'adds variety' END], lambda x: x IS NOT NULL) AS why FROM p)
-SELECT request_id, item_id, pick, CASE WHEN len(why) > 0 THEN array_to_string(why, '; ') ELSE 'a general match' END AS reasons, CASE pick WHEN 'safe' THEN 'A safe choice by ' WHEN 'exploratory' THEN 'Something new by ' WHEN 'diverse' THEN 'For variety: ' ELSE 'A balanced choice by ' END || artist || '.' AS explanation FROM w"""
-SQL["upsert_merge"] = """
-WITH e AS (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS item_id, day(ts) % 2 = 1 AS odd FROM events),
-o AS (SELECT item_id, count(*) AS seen, min(ts) AS f, max(ts) AS l, round(max(value) FILTER (event_type = 'click'), 6) AS q, list(DISTINCT event_type) AS t FROM e WHERE odd AND item_id % 3 <> 0 GROUP BY item_id),
-n AS (SELECT item_id, count(*) AS seen, min(ts) AS f, max(ts) AS l, round(max(value) FILTER (event_type = 'view'), 6) AS q, list(DISTINCT event_type) AS t FROM e WHERE NOT odd AND item_id % 5 <> 0 GROUP BY item_id)
-SELECT coalesce(n.item_id, o.item_id) AS item_id, coalesce(o.seen, 0) + coalesce(n.seen, 0) AS seen, coalesce(o.f, n.f) AS first_seen, coalesce(n.l, o.l) AS last_seen, coalesce(n.q, o.q) AS quality, array_to_string(list_sort(list_distinct(list_concat(coalesce(o.t, []), coalesce(n.t, [])))), ',') AS types FROM o FULL JOIN n ON o.item_id = n.item_id"""
+SQL["pair_similarity"] = f"""{RANKED}, pd AS (SELECT a.request_id, a.item_id AS ia, b.item_id AS ib, sum(x.w * y.w) AS dot FROM ranked a JOIN ranked b ON a.request_id = b.request_id AND a.rank < b.rank
+  JOIN tw x ON x.request_id = a.request_id AND x.item_id = a.item_id JOIN tw y ON y.request_id = b.request_id AND y.item_id = b.item_id AND y.token = x.token GROUP BY a.request_id, a.item_id, b.item_id
+), p AS (SELECT a.request_id, a.rank AS rank_a, b.rank AS rank_b, a.artist_norm AS aa, b.artist_norm AS ab, a.album_norm AS ba, b.album_norm AS bb, a.taste_tokens AS ta, b.taste_tokens AS tb, least(1.0, coalesce(dot, 0) / (na.norm * nb.norm)) AS cos
+  FROM ranked a JOIN ranked b ON a.request_id = b.request_id AND a.rank < b.rank JOIN tn na ON na.request_id = a.request_id AND na.item_id = a.item_id JOIN tn nb ON nb.request_id = b.request_id AND nb.item_id = b.item_id
+  LEFT JOIN pd ON pd.request_id = a.request_id AND pd.ia = a.item_id AND pd.ib = b.item_id)
+SELECT request_id, rank_a, rank_b, round((CASE WHEN aa = ab AND aa <> '' THEN 0.35::DOUBLE ELSE 0 END + CASE WHEN len(ta) > 0 AND len(tb) > 0 THEN 0.25::DOUBLE * {jaccard('ta', 'tb')} ELSE 0 END + CASE WHEN ba <> '' AND ba = bb THEN 0.2::DOUBLE ELSE 0 END + 0.2::DOUBLE * cos)
+  / (0.55::DOUBLE + CASE WHEN len(ta) > 0 AND len(tb) > 0 THEN 0.25::DOUBLE ELSE 0 END + CASE WHEN ba <> '' AND bb <> '' THEN 0.2::DOUBLE ELSE 0 END), 6) AS similarity FROM p"""
+SQL["matched_tags"] = f"WITH {RICH}, m AS (SELECT request_id, item_id, {_ALLTAGS} AS v FROM rich), k AS (SELECT *, list_transform(v, lambda x: lower(trim(x))) AS ls FROM m) SELECT request_id, item_id, {join('list_filter(v, lambda x, i: list_position(ls, ls[i]) = i)')} AS tags FROM k"
+SQL["pick_types"] = f"""{SHOWN} SELECT request_id, item_id, pick, array_to_string(reasons, '; ') AS reasons,
+  CASE pick WHEN 'safe' THEN 'A close match: artists, content or reliable searches speak for it.' WHEN 'exploratory' THEN 'A wider pick that keeps ' || CASE WHEN len(matched) > 0 THEN array_to_string(matched[1:2], ', ') ELSE 'your profile' END || ' in view and comes from ' || artist || '.'
+  WHEN 'diverse' THEN 'Added so that the list repeats itself less; it still fits your profile.' ELSE 'A balanced pick: ' || title || ' by ' || artist || ' resembles your profile and was found reliably.' END AS explanation FROM shown"""
+_PARTS = {"content_score": "content", "retrieval_score": "retrieval", "multi_source_agreement": "agreement", "quality_score": "quality", "personalized_relevance": "personal", "base_relevance": "base", "novelty_score": "novelty", "novelty_bonus": "0.3::DOUBLE * novelty * gate", "relevance_gate": "gate", "final_score": "score", "rank_score": "score", "content_text_similarity": "text_similarity", "artist_match": "artist_match", "tag_match": "tag_match", "tag_title_overlap": "title_overlap", "title_match": "title_match", "retrieval_confidence_score": "confidence", "artist_affinity_score": "affinity", "popularity_score": "popularity", "artist_authority_score": "authority", "playable_score": "play", "audio_quality_score": "audio_score", "metadata_quality_score": "metadata", "trust_score": "trust"}
+SQL["cards"] = f"""{SHOWN} SELECT request_id, rank, item_id, title, artist, album, CASE WHEN item_id = 0 THEN '' ELSE 'https://example.org/song?id=' || item_id END AS url, pick AS pick_type, array_to_string({firsts('source_list')}, '; ') AS sources, array_to_string(list_sort(types), '; ') AS source_types, array_to_string(matched, '; ') AS matched_tags,
+  {', '.join(f'round({c}, 6)::DOUBLE AS {k}' for k, c in _PARTS.items())} FROM shown"""
+SQL["upsert_merge"] = f"""WITH {HITS}, o AS (SELECT item_id, round(max(reliability), 6) AS q, list(DISTINCT query) AS t, list(DISTINCT source_type) AS k FROM hits WHERE source_type IN ('artist', 'genre') GROUP BY item_id
+), n AS (SELECT item_id, round(max(reliability) FILTER (source_type <> 'mood'), 6) AS q, list(DISTINCT query) FILTER (source_type <> 'mood') AS t, list(DISTINCT CASE source_type WHEN 'mood' THEN 'embedding' ELSE source_type END) AS k FROM hits WHERE source_type IN ('tag', 'title', 'mood') GROUP BY item_id)
+SELECT coalesce(n.item_id, o.item_id) AS item_id, CASE WHEN o.item_id IS NULL OR n.item_id IS NULL THEN 1 ELSE 2 END AS seen, CASE WHEN o.item_id IS NULL THEN TIMESTAMP '2024-01-02 00:00:00' ELSE TIMESTAMP '2024-01-01 00:00:00' END AS first_seen,
+  CASE WHEN n.item_id IS NULL THEN TIMESTAMP '2024-01-01 00:00:00' ELSE TIMESTAMP '2024-01-02 00:00:00' END AS last_seen, coalesce(n.q, o.q) AS quality, array_to_string(list_sort(list_distinct(list_concat(coalesce(o.t, []), coalesce(n.t, [])))), '; ') AS query_texts,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(o.k, []), coalesce(n.k, [])))), ',') AS source_types, 0::BIGINT AS n_tags, CAST(NULL AS BIGINT) AS duration_ms FROM o FULL JOIN n ON o.item_id = n.item_id"""
+SQL["feedback_read"] = f"WITH {FEEDBACK} SELECT request_id, event_id, event_type, row_number() OVER (PARTITION BY request_id ORDER BY ts, event_id) AS place FROM feedback JOIN customer ON c_custkey = request_id WHERE c_acctbal < 0"
+SQL["record_casts"] = """SELECT event_id AS item_id, CASE WHEN event_id % 5 <> 0 THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END AS hot, CASE event_id % 3 WHEN 1 THEN false WHEN 2 THEN true END AS playable, CASE WHEN event_id % 2 = 0 THEN 'x,y' ELSE '' END AS artists,
+  CASE WHEN event_id % 7 <> 0 THEN event_type ELSE '' END AS title, CASE WHEN event_id % 2 = 0 THEN 'x' ELSE '' END AS artist FROM events"""
+SQL["write_health"] = "SELECT count(*) FILTER (event_type = 'click') AS n_success, count(*) FILTER (event_type <> 'click') AS n_failure, true AS healthy FROM events"
 SQL["feedback_latest"] = f"WITH {FEEDBACK} SELECT request_id, event_id, event_type FROM feedback QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY ts DESC, event_id DESC) = 1"
 SQL["feedback_valid"] = "SELECT event_id, CASE WHEN event_type = 'click' THEN 'accepted' ELSE 'quarantined' END AS state FROM events"
 SQL["weak_labels"] = f"WITH {LABELS} SELECT * FROM labelled"
 SQL["label_summary"] = f"WITH {LABELS} SELECT count(*) AS samples, count(*) FILTER (kind = 'positive') AS positive, count(*) FILTER (kind = 'negative') AS negative, count(*) FILTER (kind = 'weak_negative') AS weak_negative FROM labelled"
-SQL["feature_matrix"] = f"""WITH {LABELS}, u AS (SELECT request_id, count(*) AS n_events, avg(value) AS mean_value FROM feedback GROUP BY request_id), {ITEMS}, {SIGNALS},
-i AS (SELECT item_id, ({POP})::DOUBLE AS popularity, ({AUTH})::DOUBLE AS authority, ({PLAY})::DOUBLE AS play FROM (SELECT items.item_id, signals.* EXCLUDE (item_id), comments IS NOT NULL AS enriched FROM items LEFT JOIN signals USING (item_id)))
-SELECT l.request_id, l.item_id, "binary", weight, n_events, round(mean_value, 6) AS mean_value, round(coalesce(popularity, 0.55::DOUBLE), 6) AS popularity, round(coalesce(authority, 0.55::DOUBLE), 6) AS authority, coalesce(play, 0.6::DOUBLE) AS play FROM labelled l JOIN u USING (request_id) LEFT JOIN i USING (item_id)"""
+SQL["feature_matrix"] = f"""{SHOWN}, {LABELS}, x AS (SELECT s.*, coalesce(l."binary", 0) AS "binary", coalesce(l.weight, 0.3::DOUBLE) AS weight, coalesce(l.kind, 'weak_negative') AS kind FROM shown s LEFT JOIN labelled l ON l.request_id = s.request_id AND l.item_id = s.item_id)
+SELECT request_id, item_id, "binary", weight, kind, {', '.join(f'round({c}, 6)::DOUBLE AS f_{k}' for k, c in {'content': 'content', 'retrieval': 'retrieval', 'agreement': 'agreement', 'quality': 'quality', 'novelty': 'novelty', 'score': 'score', 'rank_score': 'score', 'rank': 'rank', 'content_weight': '0.5', 'novelty_weight': '0.3', 'diversity': '0.3', 'n_types': 'len(types)'}.items())},
+  {', '.join(f"CASE WHEN list_has_any(types, {list(v)}) THEN 1.0 ELSE 0.0 END::DOUBLE AS f_{k}" for k, v in {'has_embedding_source': ('embedding',), 'has_artist_source': ('artist', 'artist_context'), 'has_genre_source': ('genre', 'genre_mood'), 'has_mood_source': ('mood', 'genre_mood'), 'has_tag_source': ('tag', 'tag_combo'), 'has_seed_song_source': ('seed_song', 'seed_album'), 'has_discovery_source': ('discovery',)}.items())},
+  {', '.join(f"CASE WHEN pick = '{p}' THEN 1.0 ELSE 0.0 END::DOUBLE AS f_pick_{p}" for p in ('safe', 'exploratory', 'diverse', 'balanced'))} FROM x"""
+SQL["feature_schema"] = "SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, 'f_{c}')" for i, c in enumerate("content retrieval agreement quality novelty score rank_score rank content_weight novelty_weight diversity n_types has_embedding_source has_artist_source has_genre_source has_mood_source has_tag_source has_seed_song_source has_discovery_source pick_safe pick_exploratory pick_diverse pick_balanced popularity".split())) + ") v(place, feature)"
+SQL["exposure_log"] = f"{SHOWN} SELECT request_id, item_id, rank, {r('score')}, round(score, 6) AS rank_score, round(quality, 6) AS quality, {join('list_sort(types)')} AS types, len(reasons) AS n_reasons, pick, true AS was_impressed FROM shown"
 SQL["shadow_positions"] = f"{SHADOW} SELECT request_id, item_id, rank, learned_position FROM shadow"
 SQL["shadow_overlap"] = f"{SHADOW} SELECT request_id, round(count(*) FILTER (rank <= 5 AND learned_position <= 5)::DOUBLE / count(*) FILTER (rank <= 5), 6) AS overlap, count(*) FILTER (abs(rank - learned_position) >= 2) AS disagreements FROM shadow GROUP BY request_id"
 SQL["spearman"] = f"{SHADOW} SELECT request_id, round(coalesce(CASE WHEN count(*) < 2 THEN 0 ELSE corr(rank::DOUBLE, learned_position::DOUBLE) END, 0), 6) AS rank_correlation FROM shadow GROUP BY request_id"
@@ -255,5 +363,16 @@ SQL["novelty_at_k"] = f"{CARDS} SELECT request_id, round(avg(novelty), 6) AS mea
 SQL["source_mix"] = f"{CARDS}, t AS (SELECT request_id, source_type, count(*) AS n FROM (SELECT request_id, unnest(types) AS source_type FROM cards) GROUP BY ALL) SELECT request_id, source_type, n, round(n::DOUBLE / sum(n) OVER (PARTITION BY request_id), 6) AS share FROM t"
 SQL["score_distribution"] = f"{CARDS} SELECT request_id, round(avg(score), 6) AS mean_score, round(var_pop(score), 6) AS var_score, round(min(score), 6) AS min_score, round(max(score), 6) AS max_score FROM cards GROUP BY request_id"
 SQL["duplicate_rate"] = f"{CARDS} SELECT request_id, " + ", ".join(f"round(1 - coalesce(count(DISTINCT nullif({c}, ''))::DOUBLE / nullif(count(nullif({c}, '')), 0), 1), 6) AS dup_{c}" for c in ("artist_norm", "title_norm", "album_norm")) + " FROM cards GROUP BY request_id"
-SQL["macro_average"] = f"{CARDS}, l AS (SELECT request_id, avg(novelty) AS n, avg(score) AS s FROM cards GROUP BY request_id) SELECT count(*) AS n_lists, round(avg(n), 6) AS mean_mean_novelty, round(avg(s), 6) AS mean_mean_score FROM l"
+SQL["macro_average"] = f"{SHADOW}, l AS (SELECT request_id, avg(novelty) AS n, avg(score) AS s, avg(learned_score) AS d FROM shadow GROUP BY request_id) SELECT count(*) AS n_lists, round(avg(n), 6) AS mean_mean_novelty, round(avg(s), 6) AS mean_mean_score, round(avg(d), 6) AS mean_mean_learned FROM l"
+SQL["shadow_report"] = f"""{SHADOW}, s AS (SELECT * FROM shadow WHERE learned_score IS NOT NULL) SELECT request_id, count(*) AS n_scored, round(avg(learned_score), 6) AS mean_learned, round(var_pop(learned_score), 6) AS var_learned, round(min(learned_score), 6) AS min_learned, round(max(learned_score), 6) AS max_learned,
+  round(count(*) FILTER (rank <= 5 AND learned_position <= 5)::DOUBLE / least(5, count(*)), 6) AS overlap, round(coalesce(CASE WHEN count(*) < 2 THEN 0 ELSE corr(rank::DOUBLE, learned_position::DOUBLE) END, 0), 6) AS rank_correlation, count(*) FILTER (abs(rank - learned_position) >= 2) AS n_disagreements,
+  coalesce(string_agg(rank || ':' || item_id || ':' || learned_position, ',' ORDER BY rank) FILTER (abs(rank - learned_position) >= 2), '') AS disagreements FROM s GROUP BY request_id"""
+SQL["embedding_share"] = f"""WITH {HITS}, b AS (SELECT request_id, item_id, false AS e FROM hits UNION ALL SELECT request_id, item_id + 1, true FROM hits WHERE source_type = 'artist'), m AS (SELECT request_id, item_id, bool_or(e) AS e FROM b GROUP BY request_id, item_id)
+SELECT request_id, round(avg(CASE WHEN e THEN 1.0 ELSE 0.0 END), 6) AS embedding_share FROM m GROUP BY request_id"""
+_DUP = ", ".join(f"round(1 - coalesce(count(DISTINCT nullif({c}_norm, ''))::DOUBLE / nullif(count(nullif({c}_norm, '')), 0), 1), 6) AS dup_{c}" for c in ("artist", "title", "album"))
+SQL["list_bundle"] = f"""{CARDS}, tp AS (SELECT request_id, count(DISTINCT t) AS n_types FROM (SELECT request_id, unnest(types) AS t FROM cards) GROUP BY request_id), dv AS (SELECT a.request_id, avg(1 - (CASE WHEN a.artist_norm = b.artist_norm THEN 0.4::DOUBLE ELSE 0 END + CASE WHEN a.album_norm <> '' AND a.album_norm = b.album_norm THEN 0.2::DOUBLE ELSE 0 END
+  + 0.2::DOUBLE * {jaccard('a.types', 'b.types')} + 0.2::DOUBLE * {jaccard('a.title_set', 'b.title_set')}) / (0.8::DOUBLE + CASE WHEN a.album_norm <> '' AND b.album_norm <> '' THEN 0.2::DOUBLE ELSE 0 END)) AS d FROM cards a JOIN cards b ON a.request_id = b.request_id AND a.rank < b.rank GROUP BY a.request_id
+), x AS (SELECT request_id, count(*) AS n_items, round(count(DISTINCT artist)::DOUBLE / count(*), 6) AS artist_coverage, round(count(DISTINCT album)::DOUBLE / count(*), 6) AS album_coverage, round(avg(novelty), 6) AS mean_novelty, round(avg(1 - popularity), 6) AS mean_unpopularity, 0.0::DOUBLE AS embedding_share, {_DUP},
+  round(avg(score), 6) AS mean_score, round(var_pop(score), 6) AS var_score, round(min(score), 6) AS min_score, round(max(score), 6) AS max_score FROM cards GROUP BY request_id)
+SELECT x.*, n_types, round(coalesce(d, 0), 6) AS diversity FROM x JOIN tp USING (request_id) LEFT JOIN dv USING (request_id)"""
 SQL["daily_feedback"] = f"WITH {FEEDBACK} SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type, count(*) AS n FROM feedback WHERE event_type IS NOT NULL GROUP BY ALL"

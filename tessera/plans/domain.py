@@ -1,17 +1,24 @@
 """Domain frames over the driver's tables: catalogue, liked items, profiles, planned queries, hits, signals.
 
-A request is a customer; the items they bought are liked. Parts are the catalogue: name is the title, brand the artist,
-type the album and genre. Line items give platform signals.
+A request is a customer; the items they bought are liked, the brand of their nation's number is a further liked artist,
+their market segment a mood, and the first words of what they bought their tags. Parts are the catalogue: name is the
+title, brand the artist, type the album and genre. Line items give platform signals.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
+from tessera.operators import enrich
 
-MAX_LIKED, MAX_ARTISTS, MAX_GENRES, MAX_TITLES, PER_QUERY = 30, 6, 4, 3, 12
+MAX_LIKED, MAX_ARTISTS, MAX_TAGS, MAX_TITLES = 30, 6, 4, 3
+#: Hits that a request wants of each query, and of each discovery query.
+PER_SIGNAL, DISCOVERY_LIMIT = 2, 2
+MOODS = ("automobile", "building", "furniture", "household", "machinery")
+#: How far a discovery search looks past the first hits.
+PAST = 3
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,73 +29,149 @@ def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_id"), F.col("p_name").alias("title"), F.col("p_brand").alias("artist"), F.col("p_type").alias("album"))
 
 
-def liked(spark: SparkSession, sf_dir: str) -> DataFrame:
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogue with what candidates need of each text, made once an item: tokens (t_ columns) and normal forms."""
+    texts = {f"t_{c}": X.tokens(F.col(c)) for c in ("title", "artist", "album")}
+    return catalogue(spark, sf_dir).withColumns({**texts, "artist_norm": X.norm_artist(F.col("artist")), "album_norm": X.norm_title(F.col("album")), "title_norm": X.norm_title(F.col("title"))})
+
+
+def liked(spark: SparkSession, sf_dir: str, least_price: float = 0.0) -> DataFrame:
     """(request_id, item_id, pos, title, artist, album): the first MAX_LIKED items of each request, by id."""
-    bought = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey"), F.col("o_orderkey") == F.col("l_orderkey"))
+    orders = table(spark, sf_dir, "orders").where(F.col("o_totalprice") >= least_price).select("o_orderkey", "o_custkey")
+    bought = orders.join(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey"), F.col("o_orderkey") == F.col("l_orderkey"))
     own = bought.select(F.col("o_custkey").alias("request_id"), F.col("l_partkey").alias("item_id")).distinct()
     own = own.withColumn("pos", F.row_number().over(Window.partitionBy("request_id").orderBy("item_id"))).where(F.col("pos") <= MAX_LIKED)
     return own.join(catalogue(spark, sf_dir), "item_id")
 
 
-def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per request: ordered artists, genres, titles, norm sets, tag tokens, artist weights (sum over max)."""
-    own = liked(spark, sf_dir)
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(request_id, liked_artists, moods): what a request states besides its liked items; little of a customer in debt."""
+    c = table(spark, sf_dir, "customer")
+    stated = lambda value: F.when(F.col("c_acctbal") >= 0, F.array(value)).otherwise(F.array().cast("array<string>"))
+    brand = F.concat(F.lit("Brand#"), (F.col("c_nationkey") + 1).cast("string"))
+    return c.select(F.col("c_custkey").alias("request_id"), stated(brand).alias("liked_artists"), stated(F.lower("c_mktsegment")).alias("moods"))
+
+
+def profiles(spark: SparkSession, sf_dir: str, own: DataFrame | None = None, keep_all: bool = False) -> DataFrame:
+    """One row per request: ordered artists, genres, moods, tags, titles, norm sets, tag and intent tokens, artist weights,
+    the words of the whole profile, and has_signal (some liked id, artist or tag token).
+
+    keep_all: requests without a liked item have a row, too.
+    """
+    own = liked(spark, sf_dir) if own is None else own
     ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("pos", c))), lambda s: s[c])
     got = own.groupBy("request_id").agg(ordered("artist").alias("artist_list"), ordered("album").alias("album_list"), ordered("title").alias("title_list"), F.sort_array(F.collect_list("item_id")).alias("liked_ids"))
-    segment = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("request_id"), F.lower("c_mktsegment").alias("segment"))
-    got = got.join(segment, "request_id")
-    genres = F.slice(F.array_distinct("album_list"), 1, MAX_GENRES)
+    got = requests(spark, sf_dir).join(got, "request_id", "left" if keep_all else "inner")
+    none = lambda c, kind: F.coalesce(c, F.array().cast(f"array<{kind}>")).alias(c)
+    got = got.select("request_id", "liked_artists", "moods", *[none(c, "string") for c in ("artist_list", "album_list", "title_list")], none("liked_ids", "bigint"))
     words = lambda c: F.flatten(F.transform(c, X.tokens))
+    filled = lambda c, norm: F.array_remove(F.array_distinct(F.transform(c, norm)), "")
+    got = got.withColumn("credits", F.concat("artist_list", "liked_artists"))
+    got = got.select(
+        "*",
+        F.filter(F.array_distinct("credits"), lambda a: X.norm_artist(a) != "").alias("artists"),
+        F.slice(X.dedupe_phrases(F.col("album_list")), 1, MAX_TAGS).alias("genres"),
+        F.slice(X.dedupe_phrases(F.flatten(F.transform("title_list", lambda t: F.split(t, " ")))), 1, MAX_TAGS).alias("tags"),
+    )
+    got = got.withColumn("tag_phrases", X.dedupe_phrases(F.concat("genres", "moods", "tags")))
+    # a weight is 1 for each credit of a liked item and .75 for a liked artist
+    count = lambda values, n: F.size(F.filter(values, lambda a: a == n))
+    weights = lambda all_norms: F.transform("artist_norms", lambda n: count(F.slice(all_norms, 1, F.size("artist_list")), n) + 0.75 * count(F.slice(all_norms, F.size("artist_list") + 1, F.size("liked_artists")), n))
+    got = got.withColumn("artist_norms", filled("credits", X.norm_artist)).withColumn("weights", X.let(F.transform("credits", X.norm_artist), weights))
     return got.select(
-        "request_id", "liked_ids", "segment", F.array_distinct("artist_list").alias("artists"), genres.alias("genres"), F.array_distinct("title_list").alias("titles"),
-        F.array_remove(F.array_distinct(F.transform("artist_list", X.norm_artist)), "").alias("artist_norms"),
-        F.array_remove(F.array_distinct(F.transform("title_list", X.norm_title)), "").alias("title_norms"),
-        F.array_remove(F.array_distinct(F.transform("album_list", X.norm_title)), "").alias("album_norms"),
-        F.array_distinct(F.flatten(F.transform("title_list", X.tokens))).alias("title_tokens"),
-        F.array_distinct(F.flatten(F.transform("artist_list", X.tokens))).alias("artist_tokens"),
-        F.array_distinct(F.concat(F.flatten(F.transform(genres, X.tokens)), X.tokens(F.col("segment")))).alias("tag_tokens"),
-        # titles, the liked items with artist and album, artists, genres, segment
-        F.concat(words(F.array_distinct("title_list")), words("title_list"), words("artist_list"), words("album_list"), words(F.array_distinct("artist_list")), words(genres), X.tokens(F.col("segment"))).alias("profile_words"),
-    )
-
-
-def plan(profiles_: DataFrame) -> DataFrame:
-    """(request_id, plan_idx, source_type, query, reliability, limit): labelled queries, the first of each (type, query)."""
-    one = lambda kind, rel, limit: lambda q: F.struct(F.lit(kind).alias("source_type"), F.trim(F.regexp_replace(q, r"\s+", " ")).alias("query"), F.lit(rel).alias("reliability"), F.lit(limit).alias("limit"))
-    title_limit = max(4, min(PER_QUERY, 8))
-    queries = F.concat(
-        F.transform(F.slice("artists", 1, MAX_ARTISTS), one("artist", 0.85, PER_QUERY)),
-        F.transform("genres", one("genre", 0.75, PER_QUERY)),
-        F.transform(F.slice("titles", 1, MAX_TITLES), one("title", 0.45, title_limit)),
-        F.transform(F.slice("genres", 1, 1), one("discovery", 0.55, PER_QUERY)),
+        "request_id", "liked_ids", "artists", "genres", "moods", "tags", "tag_phrases", "artist_norms", "artist_list", "album_list", "title_list",
+        filled("title_list", X.norm_title).alias("title_norms"), filled("album_list", X.norm_title).alias("album_norms"),
+        F.array_distinct(words("title_list")).alias("title_tokens"), F.array_distinct(words("credits")).alias("artist_tokens"),
+        F.array_distinct(words("tag_phrases")).alias("tag_tokens"),
+        F.transform("tag_phrases", X.tokens).alias("phrase_tokens"), F.transform("tag_phrases", X.norm_title).alias("tag_norms"),
+        F.array_distinct(words(F.concat("tag_phrases", "artists", "title_list"))).alias("intent_terms"),
+        F.transform("weights", lambda w: F.least(F.lit(1.0), w / F.array_max("weights"))).alias("artist_weights"),
+        # titles; each liked item with title, artist, artists and album; artists; genres, moods and tags
+        F.concat(*[words(c) for c in ("title_list", "title_list", "artist_list", "artist_list", "album_list", "artists", "genres", "moods", "tags")]).alias("profile_words"),
+        F.arrays_overlap(F.flatten(F.transform(F.concat("title_list", "credits", "genres", "moods", "tags"), X.raw_tokens)), F.array(*map(F.lit, X.VERSION_WORDS))).alias("wants_versions"),
+    ).withColumn("has_signal", (F.size("liked_ids") > 0) | (F.size("artist_norms") > 0) | (F.size("tag_tokens") > 0))
+
+
+def plan(profiles_: DataFrame, per_signal: int = PER_SIGNAL, discovery_limit: int = DISCOVERY_LIMIT) -> DataFrame:
+    """(request_id, plan_idx, source_type, query, reliability, limit): labelled queries, the first of each (type, query).
+
+    Blank queries are left out, so a request without a genre, a mood or a tag just has no queries of those.
+    """
+    per_query = max(1, min(12, per_signal))
+
+    def ask(kind: str, reliability: float, query: Column, limit: int = per_query) -> Column:
+        return F.struct(F.lit(kind).alias("source_type"), F.trim(F.regexp_replace(F.coalesce(query, F.lit("")), r"\s+", " ")).alias("query"), F.lit(reliability).alias("reliability"), F.lit(limit).alias("limit"))
+
+    def both(a: Column, b: Column) -> Column:
+        """Two words of a query, or null if one of them is missing."""
+        return F.concat(a, F.lit(" "), b)
+
+    each = lambda c, most, kind, reliability: F.transform(F.slice(c, 1, most), lambda q: ask(kind, reliability, q))
+    genre, mood = F.try_element_at("genres", F.lit(1)), F.try_element_at("moods", F.lit(1))
+    tag = F.coalesce(F.try_element_at("tags", F.lit(1)), F.try_element_at("tag_phrases", F.lit(1)))
+    artists = F.transform(F.slice("artists", 1, MAX_ARTISTS), lambda a: F.array(ask("artist", 0.85, a), ask("artist_context", 0.80, both(a, genre)), ask("artist_context", 0.80, both(a, mood))))
+    songs = F.transform(
+        F.slice(F.arrays_zip("title_list", "artist_list", "album_list"), 1, MAX_TITLES),
+        lambda s: F.array(
+            ask("seed_song", 0.78, both(F.nullif(s["title_list"], F.lit("")), F.nullif(s["artist_list"], F.lit("")))),
+            ask("seed_album", 0.70, both(F.nullif(s["artist_list"], F.lit("")), F.nullif(album_keyword(s["album_list"]), F.lit("")))),
+            ask("title", 0.45, s["title_list"], max(4, min(per_query, 8))),
+        ),
     )
+    mixed = [
+        ask("genre_mood", 0.75, both(genre, mood)),
+        ask("tag_combo", 0.72, both(F.try_element_at("tags", F.lit(1)), F.try_element_at("tags", F.lit(2)))),
+    ]
+    discovery = [both(genre, mood), tag, both(F.try_element_at("artists", F.lit(1)), tag), F.array_join(F.slice("intent_terms", 1, 4), " ")]
+    found = F.array(*[ask("discovery", 0.55, q, discovery_limit) for q in discovery]) if discovery_limit > 0 else F.array()
+    parts = [F.flatten(artists), each("genres", MAX_TAGS, "genre", 0.75), each("moods", MAX_TAGS, "mood", 0.65), each("tags", MAX_TAGS, "tag", 0.75), F.array(*mixed), F.flatten(songs)]
+    queries = F.concat(*parts, found) if discovery_limit > 0 else F.concat(*parts)
     got = profiles_.select("request_id", F.posexplode(queries).alias("plan_idx", "q")).select("request_id", "plan_idx", "q.*").where("query <> ''")
     first = Window.partitionBy("request_id", "source_type", F.lower("query")).orderBy("plan_idx")
     return got.withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth")
 
 
-def hits(spark: SparkSession, sf_dir: str, planned: DataFrame | None = None) -> DataFrame:
-    """Search hits of the planned queries, with 0-based positions: the catalogue by the field a query is about, by id.
+def album_keyword(album: Column) -> Column:
+    """The first two tokens of an album."""
+    return F.array_join(F.slice(X.tokens(album), 1, 2), " ")
+
+
+def search_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source_type, query, item_id, position): what a search of each type and text finds, 0-based, 12 at most, by id.
 
-    Each query text is searched once, whoever asks; requests join its list. No list is longer than PER_QUERY.
+    Stands in for the search service: each item answers to a bounded number of texts, each text is searched once,
+    whoever asks. An item's mood follows from its size.
     """
-    items = catalogue(spark, sf_dir)
-    field = {"artist": "artist", "genre": "album", "discovery": "album", "title": "title"}
-    lists = None
-    for kind, c in field.items():
-        order = Window.partitionBy(c).orderBy("item_id")
-        found = items.select(F.lit(kind).alias("source_type"), F.col(c).alias("query"), "item_id", (F.row_number().over(order) - 1).alias("position"))
-        # discovery looks past what the genre query has shown
-        found = found.withColumn("position", F.col("position") - (PER_QUERY // 2 if kind == "discovery" else 0)).where(f"position BETWEEN 0 AND {PER_QUERY - 1}")
-        lists = found if lists is None else lists.unionByName(found)
+    mood = F.element_at(F.array(*map(F.lit, MOODS)), (F.col("p_size") % len(MOODS) + 1).cast("int"))
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_id"), F.col("p_name").alias("title"), F.col("p_brand").alias("artist"), F.col("p_type").alias("album"), mood.alias("mood"))
+    words = F.array_distinct(F.split("title", " "))
+    both = lambda a, b: F.concat(a, F.lit(" "), b)
+    one = lambda kind, q: F.array(F.struct(F.lit(kind).alias("source_type"), q.alias("query")))
+    each = lambda kind, f: F.transform(words, lambda w: F.struct(F.lit(kind).alias("source_type"), f(w).alias("query")))
+    title, artist, album, m = F.col("title"), F.col("artist"), F.col("album"), F.col("mood")
+    texts = F.concat(
+        one("artist", artist), one("artist_context", both(artist, album)), one("artist_context", both(artist, m)), one("genre", album), one("mood", m),
+        each("tag", lambda w: w), one("genre_mood", both(album, m)), one("tag_combo", F.array_join(F.slice(F.split("title", " "), 1, 2), " ")),
+        one("seed_song", both(title, artist)), one("seed_album", both(artist, album_keyword(album))), one("title", title),
+        one("discovery", both(album, m)), each("discovery", lambda w: w), each("discovery", lambda w: both(F.col("artist"), w)),
+    )
+    found = parts.select("item_id", F.explode(texts).alias("t")).select("t.source_type", "t.query", "item_id")
+    place = F.row_number().over(Window.partitionBy("source_type", "query").orderBy("item_id")) - 1
+    return found.withColumn("position", place - F.when(F.col("source_type") == "discovery", PAST).otherwise(0)).where("position BETWEEN 0 AND 11")
+
+
+def hits(spark: SparkSession, sf_dir: str, planned: DataFrame | None = None) -> DataFrame:
+    """Search hits of the planned queries, with 0-based positions."""
     planned = plan(profiles(spark, sf_dir)) if planned is None else planned
-    return planned.join(lists, ["source_type", "query"]).where("position < `limit`").select("request_id", "plan_idx", "source_type", "query", "reliability", "item_id", "position")
+    lists = search_lists(spark, sf_dir)
+    planned = planned.withColumn("query_tokens", X.tokens(F.col("query")))
+    return planned.join(lists, ["source_type", "query"]).where("position < `limit`").select("request_id", "plan_idx", "source_type", "query", "query_tokens", "reliability", "item_id", "position")
 
 
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Platform signals by item; items without line items have none."""
+    """Platform signals by item; items without line items have none. The audio grade follows from discount and quantity."""
     lines = table(spark, sf_dir, "lineitem")
-    return lines.groupBy(F.col("l_partkey").alias("item_id")).agg(
+    got = lines.groupBy(F.col("l_partkey").alias("item_id")).agg(
         F.count("*").alias("comments"),
         F.count_distinct("l_suppkey").alias("hot"),
         F.sum("l_quantity").cast("long").alias("red"),
@@ -96,3 +179,5 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.sum(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)) * 2 <= F.count("*")).alias("playable"),
         F.max("l_discount").alias("max_discount"),
     )
+    level = F.when(F.col("max_discount") >= 0.1, "lossless").when(F.col("max_discount") >= 0.09, "medium")
+    return got.withColumn("audio", enrich.audio_grade(level, F.col("red") * 1000)).drop("max_discount")

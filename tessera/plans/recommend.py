@@ -1,32 +1,35 @@
-"""The recommendation plan for all requests at once: hits to candidates, filters, scores, budget, choice, cards."""
+"""The recommendation plan for all requests at once: hits to candidates, filters, scores, signals, choice, cards."""
 
 from __future__ import annotations
 
-import math
-from collections import Counter
-
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
-from tessera.config import TASTE_TYPES, WEIGHTS
+from tessera.config import WEIGHTS
 from tessera.functions import scoring as S
 from tessera.functions import text as X
 from tessera.operators import enrich, explain, filters, rerank
-from tessera.operators.retrieval import ARTIST_TYPES, merge_hits
+from tessera.operators.batches import over_requests
+from tessera.operators.retrieval import merge_hits
 from tessera.plans import domain
 
 CONTENT_WEIGHT, NOVELTY_WEIGHT, DIVERSITY, K = 0.5, 0.3, 0.3, 10
-#: What the end of the plan needs of a candidate.
-CARRIED = ("request_id", "item_id", "title", "artist", "album", "artist_norm", "album_norm", "taste_tokens", "artist_match", "tag_match", "title_match", "title_overlap", "confidence", "retrieval", "quality", "authority", "novelty")
+#: What scores, the choice and cards need of a candidate; the profile's lists stay behind.
+CARRIED = (
+    "request_id", "item_id", "title", "artist", "album", "artist_norm", "album_norm", "title_norm", "types", "sources", "taste_tokens",
+    "artist_match", "known_artist", "affinity", "tag_match", "title_match", "title_overlap", "agreement", "confidence", "retrieval", "novelty", "metadata", "seed_album",
+)
+SIGNAL_TYPES = {"comments": "long", "hot": "long", "red": "long", "followers": "long", "playable": "boolean", "audio": "double"}
+SIGNALS = tuple(SIGNAL_TYPES)
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merged hits with their item and their request's profile."""
-    merged = merge_hits(domain.hits(spark, sf_dir)).join(domain.catalogue(spark, sf_dir), "item_id")
-    profile = domain.profiles(spark, sf_dir).withColumn("tag_phrases", F.concat("genres", F.array("segment")))
-    return merged.join(profile, "request_id")
+    merged = merge_hits(domain.hits(spark, sf_dir)).join(domain.items(spark, sf_dir), "item_id")
+    return merged.join(domain.profiles(spark, sf_dir), "request_id")
 
 
 def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,93 +37,158 @@ def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_words(rows: DataFrame) -> DataFrame:
-    """rows with text_words: title without the profile's tags, artist, album, the queries that found it, and the profile's tags that those hold."""
-    said = F.flatten(F.transform(F.filter("tag_phrases", lambda p: (F.size(X.tokens(p)) > 0) & (F.size(F.array_except(X.tokens(p), F.col("query_tokens"))) == 0)), X.tokens))
-    title = F.filter(X.tokens(F.col("title")), lambda t: ~F.array_contains("tag_tokens", t))
-    return rows.withColumn("text_words", F.concat(title, X.tokens(F.col("artist")), X.tokens(F.col("album")), F.col("query_tokens"), said))
+    """rows with text_words: title without the profile's tags, artist, artists, album, the queries that found it, and the profile's tags that those hold."""
+    said = F.flatten(F.filter("phrase_tokens", lambda p: (F.size(p) > 0) & (F.size(F.array_except(p, F.col("query_tokens"))) == 0)))
+    return rows.withColumn("text_words", F.concat(X.without(F.col("t_title"), F.col("tag_tokens")), "t_artist", "t_artist", "t_album", "query_tokens", said))
 
 
-def with_text(rows: DataFrame, profiles: DataFrame) -> DataFrame:
-    """rows with text_similarity (TF-IDF cosine of profile and candidate) and text_terms, array<struct<token, w>> by token.
+def profile_once(rows: DataFrame) -> DataFrame:
+    """rows whose profile_words stay on one row of each request only, so that they travel once."""
+    first = F.row_number().over(Window.partitionBy("request_id").orderBy("item_id")) == 1
+    return rows.withColumn("profile_words", F.when(first, F.col("profile_words")))
 
-    A request's profile_words and its candidates' text_words are a corpus, with weights as in semantic.tfidf. The pool
-    is bounded by its plan, and one pass over it keeps the plan from being read again for each part.
-    """
 
-    def weigh(pool: pa.Table, profile: pa.Table) -> pa.Table:
-        counts = [Counter(x) for x in [*(profile.column("profile_words").to_pylist()[:1] or [[]]), *pool.column("text_words").to_pylist()]]
-        df = Counter(t for c in counts for t in c)
-        vectors = [{t: n / c.total() * (math.log((1 + len(counts)) / (1 + df[t])) + 1) for t, n in sorted(c.items())} for c in counts]
-        length = [math.sqrt(sum(w * w for w in v.values())) for v in vectors]
-        own, size = vectors[0], length[0]
-        near = [round(min(1.0, sum(w * own.get(t, 0.0) for t, w in v.items()) / (size * n)), 9) if n and size else 0.0 for v, n in zip(vectors[1:], length[1:])]
-        terms = [[{"token": t, "w": w} for t, w in v.items()] for v in vectors[1:]]
-        pool = pool.drop_columns(["text_words"]).append_column("text_similarity", pa.array(near, pa.float64()))
-        return pool.append_column("text_terms", pa.array(terms, pa.list_(pa.struct([("token", pa.string()), ("w", pa.float64())]))))
+def with_text(rows: DataFrame) -> DataFrame:
+    """rows with text_similarity (TF-IDF cosine of profile and candidate), and text_codes, text_weights: a vector of length 1.
 
-    schema = StructType([*(f for f in rows.schema.fields if f.name != "text_words"), StructField("text_similarity", DoubleType()), StructField("text_terms", ArrayType(StructType([StructField("token", StringType()), StructField("w", DoubleType())])))])
-    return rows.groupBy("request_id").cogroup(profiles.select("request_id", "profile_words").groupBy("request_id")).applyInArrow(weigh, schema)
+    A request's profile_words, which one of its rows has, and its candidates' text_words are a corpus of their own, with
+    weights as in semantic.tfidf; rows with `dropped` have no part in it and go. Codes number tokens, and mean nothing
+    beyond a request. One pass over many pools at a time, instead of a shuffle of each candidate's tokens.
+    """
+
+    def weigh(pool: pa.Table, at: np.ndarray) -> pa.Table:
+        n, groups = pool.num_rows, len(at) - 1
+        group = np.repeat(np.arange(groups), np.diff(at))
+        live = np.array(pool.column("dropped").is_null().to_numpy()) if "dropped" in pool.column_names else np.ones(n, bool)
+        words, own = (pool.column(c).combine_chunks() for c in ("text_words", "profile_words"))
+        lists = pa.concat_arrays([words.filter(pa.array(live)), own.drop_null()])
+        # documents: the live rows, then the profiles
+        of = np.concatenate([group[live], group[own.is_valid().to_numpy(zero_copy_only=False)]])
+        docs, first = len(lists), int(live.sum())
+        size = np.diff(lists.offsets.to_numpy())
+        encoded = lists.flatten().dictionary_encode()
+        v = max(1, len(encoded.dictionary))
+        key, count = np.unique(np.repeat(np.arange(docs), size) * v + encoded.indices.to_numpy().astype(np.int64), return_counts=True)
+        doc, code = key // v, key % v
+        token = of[doc] * v + code
+        _, where, times = np.unique(token, return_inverse=True, return_counts=True)
+        weight = count / size[doc] * (np.log((1 + np.bincount(of, minlength=groups)[of[doc]]) / (1 + times[where])) + 1)
+        unit = weight / np.sqrt(np.bincount(doc, weight * weight, docs))[doc]
+        cut = int(np.searchsorted(doc, first))
+        order = cut + np.argsort(token[cut:], kind="stable")
+        product = np.zeros(cut)
+        if len(order):
+            spot = order[np.minimum(np.searchsorted(token[order], token[:cut]), len(order) - 1)]
+            product = np.where(token[spot] == token[:cut], unit[:cut] * unit[spot], 0.0)
+        near = np.round(np.minimum(1.0, np.bincount(doc[:cut], product, first)), 9)
+        offsets = pa.array(np.searchsorted(doc[:cut], np.arange(first + 1)), pa.int32())
+        out = pool.filter(pa.array(live)).select(kept)
+        out = out.append_column("text_similarity", pa.array(near)).append_column("text_codes", pa.ListArray.from_arrays(offsets, pa.array(code[:cut], pa.int32())))
+        return out.append_column("text_weights", pa.ListArray.from_arrays(offsets, pa.array(unit[:cut])))
+
+    kept = [c for c in rows.columns if c not in ("text_words", "profile_words", "dropped")]
+    more = [StructField("text_similarity", DoubleType()), StructField("text_codes", ArrayType(IntegerType())), StructField("text_weights", ArrayType(DoubleType()))]
+    return over_requests(rows, ["item_id"], weigh, StructType([*(rows.schema[c] for c in kept), *more]))
 
 
 def features(rows: DataFrame) -> DataFrame:
-    """The scores of enriched candidates that the text has no part in."""
-    title, artist, album = (X.tokens(F.col(c)) for c in ("title", "artist", "album"))
-    known = F.array_contains("artist_norms", X.norm_artist(F.col("artist"))).cast("double")
+    """The scores of candidates that neither signals nor text have a part in."""
+    title, artist, album = F.col("t_title"), F.col("t_artist"), F.col("t_album")
+    known = F.array_contains("artist_norms", F.col("artist_norm")).cast("double")
     rows = rows.withColumns(
         {
-            "artist_norm": X.norm_artist(F.col("artist")), "album_norm": X.norm_title(F.col("album")), "title_norm": X.norm_title(F.col("title")),
             "metadata": S.metadata_quality(F.col("title"), F.col("artist"), F.col("album"), F.lit(None).cast("string"), F.col("item_id")),
-            "agreement": S.agreement(F.col("n_names"), F.col("types"), ARTIST_TYPES, TASTE_TYPES),
-            "popularity": S.popularity(F.col("comments"), F.col("hot"), F.col("red"), F.col("enriched")),
-            "authority": S.authority(F.col("followers"), F.col("enriched")), "play": S.playable(F.col("playable"), F.col("enriched")),
+            "agreement": S.agreement(F.col("n_names"), F.col("types")),
             "known_artist": known,
             "artist_match": F.when(known == 1, 1.0).otherwise(X.jaccard(F.array_distinct(artist), F.col("artist_tokens"))),
             "tag_match": F.least(F.lit(1.0), 0.7 * X.coverage(F.col("tag_tokens"), F.array_union(artist, album)) + 0.3 * X.coverage(F.col("tag_tokens"), F.col("taste_tokens"))),
             "title_overlap": X.coverage(F.col("tag_tokens"), title),
             "title_match": F.when(F.size("title_tokens") > 0, F.least(F.lit(1.0), F.size(F.array_intersect(F.array_distinct(title), F.col("title_tokens"))) / F.greatest(F.lit(1.0), F.sqrt(F.size("title_tokens").cast("double"))))).otherwise(0.0),
-            "seed_album": F.array_contains("album_norms", X.norm_title(F.col("album"))).cast("double"),
+            "seed_album": F.array_contains("album_norms", F.col("album_norm")).cast("double"),
         }
     )
     rows = rows.withColumns(
         {
+            "affinity": S.artist_affinity(F.col("artist_match"), F.col("artist_norms"), F.col("artist_weights"), [F.col("artist_norm")]),
             "confidence": S.retrieval_confidence(F.col("best_value"), F.col("mean_value"), F.col("metadata")),
             "novelty": S.novelty(F.col("known_artist"), F.col("mean_position"), F.col("tag_match"), F.size("tag_tokens") > 0, F.col("seed_album")),
-            "quality": S.blend({"popularity": F.col("popularity"), "authority": F.col("authority"), "playable": F.col("play"), "metadata": F.col("metadata")}, WEIGHTS.quality),
         }
     )
     return rows.withColumn("retrieval", S.blend({"confidence": F.col("confidence"), "agreement": F.col("agreement")}, WEIGHTS.retrieval))
 
 
-def totals(rows: DataFrame, text: Column) -> DataFrame:
-    """rows with content, base, gate and score; text is the candidates' likeness to the profile's text."""
-    content = S.blend({"text": text, "artist": F.col("artist_match"), "tag": F.col("tag_match"), "title": F.col("title_match")}, WEIGHTS.content)
-    rows = rows.withColumn("content", content)
-    base, gate, final = S.final(F.col("content"), F.col("retrieval"), F.col("quality"), F.col("authority"), F.col("novelty"), F.lit(CONTENT_WEIGHT), F.lit(NOVELTY_WEIGHT))
+def signal_features(rows: DataFrame) -> DataFrame:
+    """rows with the scores of their signals: popularity, authority, play, audio_score, quality, trust."""
+    c = F.col
+    rows = rows.withColumns(
+        {
+            "popularity": S.popularity(c("comments"), c("hot"), c("red"), c("enriched")), "authority": S.authority(c("followers"), c("enriched")),
+            "play": S.playable(c("playable"), c("enriched")), "audio_score": S.audio_quality(c("audio")),
+        }
+    )
+    rows = rows.withColumn("quality", S.blend({"popularity": c("popularity"), "authority": c("authority"), "playable": c("play"), "metadata": c("metadata")}, WEIGHTS.quality))
+    return rows.withColumn("trust", S.trust(c("metadata"), c("popularity"), c("authority"), c("play"), c("agreement"), c("confidence")))
+
+
+def totals(rows: DataFrame) -> DataFrame:
+    """rows with content, personal, base, gate, bonus and score; text_similarity is the text's part of content."""
+    c = F.col
+    content = S.blend({"text": c("text_similarity"), "artist": c("artist_match"), "tag": c("tag_match"), "title": c("title_match")}, WEIGHTS.content)
+    rows = rows.withColumn("content", content).withColumn("personal", CONTENT_WEIGHT * c("content") + (1 - CONTENT_WEIGHT) * c("retrieval"))
+    base, gate, final = S.final(c("content"), c("retrieval"), c("quality"), c("authority"), c("novelty"), F.lit(CONTENT_WEIGHT), F.lit(NOVELTY_WEIGHT))
     # rounded once, so that orders by score do not hang on the last bit
-    return rows.withColumn("base", F.round(base, 9)).withColumn("gate", F.round(gate, 9)).withColumn("score", F.round(final, 9))
+    rows = rows.withColumn("base", F.round(base, 9)).withColumn("gate", F.round(gate, 9)).withColumn("score", F.round(final, 9))
+    return rows.withColumn("bonus", NOVELTY_WEIGHT * c("novelty") * c("gate"))
+
+
+def parts(rows: DataFrame) -> DataFrame:
+    """All scores of enriched candidates but those that the text has a part in."""
+    return signal_features(features(rows))
 
 
 def scored(rows: DataFrame) -> DataFrame:
-    """All scores of enriched candidates as columns, without text."""
-    return totals(features(rows), F.lit(0.0))
+    """Enriched candidates with all their scores, without their profiles' lists."""
+    rows = text_words(features(rows)).select(*CARRIED, *SIGNALS, "enriched", "text_words", "profile_words")
+    return totals(with_text(signal_features(profile_once(rows))))
+
+
+def by_score() -> Column:
+    """Place in the deterministic order of a request: score, title, id."""
+    return F.row_number().over(Window.partitionBy("request_id").orderBy(F.desc("score"), "title", "item_id"))
+
 
+def pick_type(promoted: Column) -> Column:
+    c = F.col
+    return explain.pick_type(promoted, c("base"), c("affinity"), c("content"), c("confidence"), c("title_overlap"), c("tag_match"), c("novelty"), c("gate"))
 
-def survivors(rows: DataFrame) -> DataFrame:
-    """Candidates that no filter drops, rules in order: liked, variants, tag titles, versions, unplayable."""
-    for bad in (filters.liked_or_excluded(), filters.missing_metadata(), filters.liked_title_variant(), filters.tag_title()):
-        rows = rows.withColumn("_bad", bad).where(~F.col("_bad")).drop("_bad")
-    rows = rows.withColumn("_bad", filters.duplicate_version()).where(~F.col("_bad")).drop("_bad")
-    return rows.where(~filters.unplayable())
+
+def cards(rows: DataFrame, promoted: Column, profiles: DataFrame) -> DataFrame:
+    """rows with matched tags, pick, reasons and explanation; what the profile says is joined to the few rows shown."""
+    c = F.col
+    said = profiles.select("request_id", "tag_phrases", "phrase_tokens", "artists", F.get("title_list", 0).alias("first_title"))
+    have = F.concat(X.tokens(c("artist")), X.tokens(c("album")))
+    rows = rows.join(said, "request_id").withColumns({"tags": X.let(have, lambda h: explain.matched_tags(c("tag_phrases"), c("phrase_tokens"), h)), "liked_artist": explain.liked_spelling(c("artists"), F.array("artist_norm"))})
+    rows = rows.drop("tag_phrases", "phrase_tokens", "artists")
+    rows = rows.withColumn("pick", pick_type(promoted))
+    why = explain.reasons(c("liked_artist"), c("artist_match"), c("affinity"), c("tags"), c("tag_match"), c("title_match"), c("first_title"), c("agreement"), c("types"), c("quality"), c("metadata"), c("pick"))
+    return rows.withColumns({"reasons": why, "explanation": explain.explanation(c("pick"), c("title"), c("artist"), c("tags"))})
+
+
+def ranked_pool(spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:
+    """The pool of each request before the choice: candidates that all rules keep, with the scores of the second round.
+
+    Scored without signals first; the best budget(k) of a request get theirs; the whole pool goes on, whatever its size.
+    """
+    pool = filters.before_signals(features(candidates(spark, sf_dir))).where("dropped IS NULL")
+    pool = profile_once(text_words(pool).select(*CARRIED, "text_words", "profile_words"))
+    kept = pool.withColumns({"words": F.col("text_words"), "own_words": F.col("profile_words"), "enriched": F.lit(False), **{c: F.lit(None).cast(t) for c, t in SIGNAL_TYPES.items()}})
+    first = totals(with_text(signal_features(kept))).withColumn("place", by_score())
+    rows = first.select(*CARRIED, F.col("words").alias("text_words"), F.col("own_words").alias("profile_words"), "place")
+    rows = signal_features(enrich.attach(rows, domain.signals(spark, sf_dir), F.col("place") <= enrich.budget(k)))
+    return totals(with_text(filters.after_signals(rows)))
 
 
 def recommend(spark: SparkSession, sf_dir: str, k: int = K, diversity: float = DIVERSITY) -> DataFrame:
-    """Cards: request_id, rank, item, scores, pick type, explanation."""
-    # without the profiles' lists, which would travel with every candidate
-    pool = text_words(features(survivors(enriched(spark, sf_dir)))).select(*CARRIED, "text_words")
-    pool = totals(with_text(pool, domain.profiles(spark, sf_dir)), F.col("text_similarity"))
-    few = enrich.within_budget(pool, 25)
-    picked = rerank.mmr(few.select("request_id", "item_id", "title", "artist_norm", "album_norm", "taste_tokens", "text_terms", "score"), k, diversity).drop("score")
-    cards = few.join(picked, ["request_id", "item_id"])
-    pick = explain.pick_type(F.col("promoted"), F.col("base"), F.col("artist_match"), F.col("content"), F.col("confidence"), F.col("title_overlap"), F.col("tag_match"), F.col("novelty"), F.col("gate"))
-    cards = cards.withColumn("pick", pick)
-    return cards.select("request_id", "rank", "item_id", "title", "artist", "album", "score", "rank_score", "promoted", "pick", explain.explanation(F.col("pick"), F.col("artist")).alias("explanation"))
+    """Cards: request_id, rank, item, scores, pick type, reasons, explanation. Requests without any signal have none."""
+    chosen = rerank.mmr(ranked_pool(spark, sf_dir, k), k, diversity).drop("text_codes", "text_weights")
+    return cards(chosen, F.col("promoted"), domain.profiles(spark, sf_dir))

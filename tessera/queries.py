@@ -9,7 +9,7 @@ from tessera.config import WEIGHTS
 from tessera.functions import scoring as S
 from tessera.functions import text as X
 from tessera.operators import catalog, enrich, explain, filters, learning, metrics, rerank, retrieval, semantic, store
-from tessera.plans import domain
+from tessera.plans import domain, response
 from tessera.plans import recommend as R
 
 QUERIES: dict = {}
@@ -47,9 +47,26 @@ def catalog_confidence(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def catalog_enrich(spark: SparkSession, sf: str) -> DataFrame:
-    items = domain.catalogue(spark, sf).withColumn("source", F.lit("catalogue"))
+    """Ids beyond the catalogue, the first of which a fallback knows; blank artists are dropped."""
+    items = domain.catalogue(spark, sf).withColumn("source", F.lit("catalogue")).withColumn("artist", F.when(F.col("artist") == "Brand#7", " ").otherwise(F.col("artist")))
+    top = domain.table(spark, sf, "part").agg(F.max("p_partkey").alias("top"))
+    fallback = top.select((F.col("top") + 1).alias("item_id"), F.lit("late").alias("title"), F.lit("x").alias("artist"), F.lit("").alias("album"), F.lit("netease").alias("source"))
     ids = domain.table(spark, sf, "lineitem").select((F.col("l_partkey") + F.col("l_linenumber")).alias("item_id")).distinct()
-    return catalog.enrich(ids, items).select("item_id", "title", "source")
+    return catalog.enrich(ids, items, fallback).select("item_id", "title", "artist", "album", "source", "display")
+
+
+@query
+def catalog_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    ids = domain.table(spark, sf, "lineitem").select((F.col("l_partkey") + F.col("l_linenumber")).alias("item_id")).distinct()
+    return catalog.lookup(domain.catalogue(spark, sf), ids)
+
+
+@query
+def search_hits_shape(spark: SparkSession, sf: str) -> DataFrame:
+    p = domain.table(spark, sf, "part")
+    raw = p.select(F.when(F.col("p_size") > 40, F.lit("n/a")).otherwise(F.col("p_partkey").cast("string")).alias("item_id"), F.col("p_name").alias("title"), F.when(F.col("p_size") > 10, F.col("p_brand")).alias("artist"), F.array("p_brand").alias("artists"), F.col("p_type").alias("album"), F.lit(None).cast("string").alias("cover_url"), F.col("p_partkey").alias("row"))
+    shaped = catalog.search_hit(raw, "https://example.org/song?id=")
+    return shaped.select("item_id", "title", "artist", _join(F.col("artists")).alias("artists"), "album", "cover_url", "url")
 
 
 # text
@@ -90,11 +107,36 @@ def jaccard_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return p.join(q, "item_id").select("item_id", F.round(X.jaccard(F.col("t"), F.col("u")), 6).alias("jaccard"), F.round(X.coverage(F.col("t"), F.col("u")), 6).alias("coverage"))
 
 
+@query
+def strip_tag_terms(spark: SparkSession, sf: str) -> DataFrame:
+    a = domain.catalogue(spark, sf)
+    tags = F.when(F.col("album") == "SMALL", F.array().cast("array<string>")).otherwise(F.array(F.lit("red"), F.lit("ring")))
+    return a.select("item_id", X.strip_tag_terms(F.col("title"), tags).alias("rest"), X.joined_text(F.col("title"), F.col("artist"), F.col("album")).alias("whole"))
+
+
+@query
+def text_for_embedding(spark: SparkSession, sf: str) -> DataFrame:
+    a = domain.catalogue(spark, sf)
+    return a.select("item_id", store.text_for_embedding(F.col("title"), F.concat(F.lit(" "), F.col("artist")), F.when(F.col("album") != "SMALL", F.col("album")).otherwise(" "), F.lit("genre")).alias("text"))
+
+
+@query
+def coerced_lists(spark: SparkSession, sf: str) -> DataFrame:
+    e = domain.table(spark, sf, "events")
+    k = F.get_json_object("props", "$.k")
+    texts = F.array(F.concat(F.lit(" "), F.col("event_type")), F.upper("event_type"), F.lit(None).cast("string"), k, F.lit(" "))
+    return e.select("event_id", _join(X.string_list(texts, 2)).alias("texts"), _join(X.int_list(F.array(k, F.lit("x"), F.lit("0"), k, F.lit("7"), F.lit("8")), 2)).alias("numbers"))
+
+
 @query
 def lenient_casts(spark: SparkSession, sf: str) -> DataFrame:
     e = domain.table(spark, sf, "events")
     raw = F.when(F.col("event_id") % 4 == 0, F.lit("x1")).otherwise(F.get_json_object("props", "$.k"))
-    return e.select("event_id", X.maybe_int(raw).alias("k"), F.round(X.clip01(X.maybe_float(raw) / 50), 6).alias("share"), F.size(X.json_list(F.when(F.col("event_id") % 2 == 0, F.lit('["a", "b"]')).otherwise(F.col("props")))).cast("long").alias("n_list"))
+    props = F.when(F.col("event_id") % 3 == 0, F.lit("{bad")).when(F.col("event_id") % 3 == 1, F.col("props"))
+    return e.select(
+        "event_id", X.maybe_int(raw).alias("k"), F.round(X.clip01(X.maybe_float(raw) / 50), 6).alias("share"), F.size(X.json_list(F.when(F.col("event_id") % 2 == 0, F.lit('["a", "b"]')).otherwise(F.col("props")))).cast("long").alias("n_list"),
+        X.json_object(props, "k long")["k"].alias("object_k"),
+    )
 
 
 # semantic recall
@@ -115,11 +157,10 @@ def tfidf_cosine(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The queries are every vector whose id is divisible by 20, against all vectors."""
     e = domain.table(spark, sf, "embeddings")
     items = e.select(F.col("vec_id").alias("item_id"), semantic.l2_normalise(F.col("embedding")).alias("v"))
-    # ten queries, one for each label: its first vector
-    first = e.groupBy(F.col("label").alias("query_id")).agg(F.min_by("embedding", "vec_id").alias("v"))
-    return first.select("query_id", semantic.l2_normalise(F.col("v")).alias("v")), items
+    return items.where(F.col("item_id") % 20 == 0).withColumnRenamed("item_id", "query_id"), items
 
 
 @query
@@ -129,23 +170,56 @@ def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def vector_topk_excluding(spark: SparkSession, sf: str) -> DataFrame:
-    own = domain.table(spark, sf, "embeddings").select(F.col("label").alias("query_id"), F.col("vec_id").alias("item_id"))
+    e = domain.table(spark, sf, "embeddings").select("vec_id", "label")
+    own = e.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), "label").join(e, "label").select("query_id", F.col("vec_id").alias("item_id"))
     return semantic.vector_topk(*_vectors(spark, sf), k=30, excluded=own).select("query_id", "item_id", _r("score"), "rank")
 
 
+@query
+def semantic_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """Each profile's text against the index of the catalogue's texts; liked items are dropped after the cut."""
+    items = domain.catalogue(spark, sf).select(F.col("item_id").alias("id"), F.concat_ws(" ", "title", "artist", "album").alias("text"))
+    built = semantic.index(items, None, None)
+    profiles = domain.profiles(spark, sf)
+    own = profiles.select(F.col("request_id").alias("query_id"), F.explode("liked_ids").alias("item_id"))
+    found = built.recall(profiles.select(F.col("request_id").alias("id"), F.array_join("profile_words", " ").alias("text")), 30, own)
+    return found.select(F.col("query_id").alias("request_id"), "item_id", _r("score", 4), "rank")
+
+
 # profiles and retrieval
 
 
 @query
 def profile_artist_weights(spark: SparkSession, sf: str) -> DataFrame:
-    own = domain.liked(spark, sf).groupBy("request_id", X.norm_artist(F.col("artist")).alias("artist_norm")).agg(F.count("*").alias("n")).where("artist_norm <> ''")
-    return own.select("request_id", "artist_norm", F.round(F.col("n") / F.max("n").over(Window.partitionBy("request_id")), 6).alias("weight"))
+    p = domain.profiles(spark, sf).select("request_id", F.explode(F.arrays_zip("artist_norms", "artist_weights")).alias("w"))
+    return p.select("request_id", F.col("w.artist_norms").alias("artist_norm"), F.round("w.artist_weights", 6).alias("weight"))
 
 
 @query
 def profile_features(spark: SparkSession, sf: str) -> DataFrame:
     p = domain.profiles(spark, sf)
-    return p.select("request_id", F.size("liked_ids").cast("long").alias("n_liked"), _join(F.col("artists")).alias("artists"), _join(F.col("genres")).alias("genres"), _join(F.array_sort("title_tokens")).alias("title_tokens"), _join(F.col("tag_tokens")).alias("tag_tokens"))
+    lists = [_join(F.col(c)).alias(c) for c in ("artists", "genres", "moods", "tags", "tag_phrases", "tag_tokens", "intent_terms")]
+    return p.select("request_id", F.size("liked_ids").cast("long").alias("n_liked"), *lists, _join(F.array_sort("title_tokens")).alias("title_tokens"), F.md5(F.array_join(F.array_sort("profile_words"), " ")).alias("words_md5"), "wants_versions")
+
+
+@query
+def profile_echo(spark: SparkSession, sf: str) -> DataFrame:
+    return response.profile_echo(domain.profiles(spark, sf)).select("request_id", *[_join(F.col(c)).alias(c) for c in response.ECHO])
+
+
+@query
+def control_echo(spark: SparkSession, sf: str) -> DataFrame:
+    c = domain.table(spark, sf, "customer")
+    asked = c.select(F.col("c_custkey").alias("request_id"), (F.col("c_acctbal") / 5000).alias("content_weight"), F.when(F.col("c_nationkey") > 3, F.col("c_nationkey") / 20).alias("novelty"), F.lit(0.3).alias("diversity"), (F.col("c_nationkey") * 3 - 5).alias("k"))
+    return response.control_echo(asked).select("request_id", _r("content_weight"), _r("novelty"), _r("diversity"), "k")
+
+
+@query
+def no_input_gate(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests whose only liked items are of large orders; of those without any signal nothing is planned."""
+    p = domain.profiles(spark, sf, domain.liked(spark, sf, 450_000.0), keep_all=True)
+    planned = domain.plan(p.where("has_signal")).groupBy("request_id").agg(F.count("*").alias("n_queries"))
+    return p.select("request_id", "has_signal", F.when(~F.col("has_signal"), "no_input").alias("fallback")).join(planned, "request_id", "left").fillna(0, ["n_queries"])
 
 
 @query
@@ -156,7 +230,7 @@ def plan_queries(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def merge_hits(spark: SparkSession, sf: str) -> DataFrame:
     m = retrieval.merge_hits(domain.hits(spark, sf))
-    return m.select("request_id", "item_id", "n_hits", "n_names", _join(F.col("types")).alias("types"), F.col("first_hit.plan_idx").alias("first_plan"), _r("best_value"), _r("mean_value"), _r("mean_position"))
+    return m.select("request_id", "item_id", "n_hits", "n_names", _join(F.col("types")).alias("types"), F.array_join("sources", "; ").alias("sources"), F.col("first_hit.plan_idx").alias("first_plan"), _r("best_value"), _r("mean_value"), _r("mean_position"))
 
 
 @query
@@ -181,9 +255,10 @@ def _scored(spark: SparkSession, sf: str) -> DataFrame:
     return R.scored(R.enriched(spark, sf))
 
 
-def _score_query(name: str, columns: list[str]):
+def _score_query(name: str, columns: list[str], whole: bool):
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return _scored(spark, sf).select("request_id", "item_id", *[F.round(F.col(c) + 1e-10, 8).alias(c) for c in columns])
+        rows = _scored(spark, sf) if whole else R.parts(R.enriched(spark, sf))
+        return rows.select("request_id", "item_id", *[F.round(F.col(c) + 1e-10, 8).alias(c) for c in columns])
 
     run.__name__ = name
     query(run)
@@ -193,33 +268,50 @@ SCORE_QUERIES = {
     "retrieval_confidence": ["metadata", "confidence"],
     "multi_source_agreement": ["agreement"],
     "artist_match": ["artist_match", "known_artist"],
+    "artist_affinity": ["affinity"],
     "tag_match": ["tag_match", "title_overlap"],
     "title_match": ["title_match"],
     "novelty": ["novelty", "seed_album"],
     "final_score": ["content", "retrieval", "quality", "base", "gate", "score"],
 }
 for _name, _columns in SCORE_QUERIES.items():
-    _score_query(_name, _columns)
+    _score_query(_name, _columns, _name == "final_score")
+
+
+@query
+def text_similarity(spark: SparkSession, sf: str) -> DataFrame:
+    return _scored(spark, sf).select("request_id", "item_id", _r("text_similarity"))
 
 
 @query
 def signal_scores(spark: SparkSession, sf: str) -> DataFrame:
     s = enrich.attach(domain.catalogue(spark, sf), domain.signals(spark, sf))
     c = F.col
-    grade = enrich.audio_grade(F.when(c("max_discount") >= 0.1, "lossless").when(c("max_discount") >= 0.09, "exhigh"), c("red") * 1000)
-    return s.select("item_id", F.round(S.popularity(c("comments"), c("hot"), c("red"), c("enriched")), 6).alias("popularity"), F.round(S.authority(c("followers"), c("enriched")), 6).alias("authority"), S.playable(c("playable"), c("enriched")).alias("play"), F.round(S.audio_quality(grade), 6).alias("audio"))
+    return s.select("item_id", "enriched", F.round(S.popularity(c("comments"), c("hot"), c("red"), c("enriched")), 6).alias("popularity"), F.round(S.authority(c("followers"), c("enriched")), 6).alias("authority"), S.playable(c("playable"), c("enriched")).alias("play"), F.round(S.audio_quality(c("audio")), 6).alias("audio"))
+
+
+@query
+def audio_grades(spark: SparkSession, sf: str) -> DataFrame:
+    p = domain.table(spark, sf, "part")
+    levels = F.array(*[F.lit(x) for x in ("hires", "jyeffect", "lossless", "exhigh", "higher", "standard", "medium", "low", "odd", "")])
+    rate = F.when(F.col("p_size") % 4 != 0, (F.col("p_retailprice") * 700).cast("long") - 600_000)
+    return p.select(F.col("p_partkey").alias("item_id"), enrich.audio_grade(F.element_at(levels, (F.col("p_size") % 10 + 1).cast("int")), rate).alias("grade"))
+
+
+@query
+def signal_payload(spark: SparkSession, sf: str) -> DataFrame:
+    s = domain.signals(spark, sf)
+    kept = enrich.to_payload(s, ["comments", "followers", "playable"])
+    return enrich.from_payload(kept, "comments long, followers long, playable boolean, hot long")
 
 
 @query
 def trust_score(spark: SparkSession, sf: str) -> DataFrame:
-    c = F.col
-    t = S.trust(c("metadata"), c("popularity"), c("authority"), c("play"), c("agreement"), c("confidence"))
-    return _scored(spark, sf).select("request_id", "item_id", F.round(t, 6).alias("trust"))
+    return R.parts(R.enriched(spark, sf)).select("request_id", "item_id", _r("trust"))
 
 
 def _ranked(spark: SparkSession, sf: str, k: int = 10) -> DataFrame:
-    nth = F.row_number().over(Window.partitionBy("request_id").orderBy(F.desc("score"), "title", "item_id"))
-    return _scored(spark, sf).withColumn("rank", nth).where(F.col("rank") <= k)
+    return _scored(spark, sf).withColumn("rank", R.by_score()).where(F.col("rank") <= k)
 
 
 @query
@@ -266,7 +358,7 @@ def filter_missing(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def filter_low_trust(spark: SparkSession, sf: str) -> DataFrame:
     c = F.col
-    rows = R.scored(R.enriched(spark, sf).withColumn("comments", F.col("comments") % 12).withColumn("followers", F.col("comments") * 5))
+    rows = R.parts(R.enriched(spark, sf).withColumn("comments", F.col("comments") % 12).withColumn("followers", F.col("comments") * 5))
     return rows.where(filters.low_trust(c("agreement"), c("confidence"), c("popularity"), c("authority"), c("enriched"))).select("request_id", "item_id")
 
 
@@ -275,6 +367,13 @@ def filter_funnel(spark: SparkSession, sf: str) -> DataFrame:
     return filters.funnel(R.enriched(spark, sf), [(n, f()) for n, f in RULES])
 
 
+@query
+def funnel_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """The counters of each request, rules in their order, a rule seeing what those before it have left."""
+    rows = filters.before_signals(R.candidates(spark, sf))
+    return response.funnel(domain.hits(spark, sf), rows)
+
+
 # lists
 
 
@@ -289,31 +388,38 @@ def artist_cap(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def pair_similarity(spark: SparkSession, sf: str) -> DataFrame:
-    c = _ranked(spark, sf, 5).select("request_id", "rank", "artist_norm", "album_norm", "taste_tokens")
-    a, b = c.alias("a"), c.alias("b")
-    pairs = a.join(b, (F.col("a.request_id") == F.col("b.request_id")) & (F.col("a.rank") < F.col("b.rank")))
-    return pairs.select(F.col("a.request_id").alias("request_id"), F.col("a.rank").alias("rank_a"), F.col("b.rank").alias("rank_b"), F.round(rerank.pair_similarity("a", "b"), 6).alias("similarity"))
+    got = rerank.pairs_of_lists(_ranked(spark, sf), ["artist_norm", "album_norm", "taste_tokens", "text_codes", "text_weights"], rerank.pair_similarity)
+    return got.select("request_id", F.explode("pairs").alias("p")).select("request_id", "p.rank_a", "p.rank_b", F.round("p.value", 6).alias("similarity"))
 
 
 @query
 def matched_tags(spark: SparkSession, sf: str) -> DataFrame:
-    c = _ranked(spark, sf)
-    return c.select("request_id", "item_id", _join(explain.matched_tags(F.col("tag_phrases"), F.col("artist"), F.col("album"))).alias("tags"))
+    rows = R.candidates(spark, sf).withColumn("have", F.concat("t_artist", "t_album"))
+    return rows.select("request_id", "item_id", _join(explain.matched_tags(F.col("tag_phrases"), F.col("phrase_tokens"), F.col("have"))).alias("tags"))
+
+
+def _shown(spark: SparkSession, sf: str) -> DataFrame:
+    """Cards of the score order; the last two places of a list count as promoted."""
+    return R.cards(_cards(spark, sf), F.col("rank") > 8, domain.profiles(spark, sf))
 
 
 @query
 def pick_types(spark: SparkSession, sf: str) -> DataFrame:
-    c = F.col
-    rows = _ranked(spark, sf)
-    pick = explain.pick_type(c("rank") > 8, c("base"), c("artist_match"), c("content"), c("confidence"), c("title_overlap"), c("tag_match"), c("novelty"), c("gate"))
-    rows = rows.withColumn("pick", pick)
-    why = explain.reasons(c("artist_match"), c("tag_match"), c("title_match"), c("agreement"), c("popularity"), c("novelty"), c("pick"))
-    return rows.select("request_id", "item_id", "pick", F.array_join(why, "; ").alias("reasons"), explain.explanation(c("pick"), c("artist")).alias("explanation"))
+    return _shown(spark, sf).select("request_id", "item_id", "pick", F.array_join("reasons", "; ").alias("reasons"), "explanation")
+
+
+@query
+def cards(spark: SparkSession, sf: str) -> DataFrame:
+    """The cards' texts, and their breakdown as columns."""
+    c = response.card(_shown(spark, sf).withColumn("rank_score", F.col("score")), "https://example.org/song?id=")
+    lists = [F.array_join(x, "; ").alias(x) for x in ("sources", "source_types", "matched_tags")]
+    return c.select("request_id", "rank", "item_id", "title", "artist", "album", "url", "pick_type", *lists, *[F.round(f"score_breakdown.{x}", 6).alias(x) for x in response.BREAKDOWN if x not in ("text_similarity",)])
 
 
 @query
 def recommend_mmr(spark: SparkSession, sf: str) -> DataFrame:
-    return R.recommend(spark, sf)
+    got = R.recommend(spark, sf)
+    return got.select("request_id", "rank", "item_id", "title", "artist", "album", _r("score"), _r("rank_score"), "promoted", "pick", F.array_join("reasons", "; ").alias("reasons"), "explanation")
 
 
 # store, feedback, learning
@@ -326,10 +432,39 @@ def _feedback(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def upsert_merge(spark: SparkSession, sf: str) -> DataFrame:
+    """What the first searches of a plan have found, then what the later ones and an embedding channel find."""
+    h = domain.hits(spark, sf)
+    day = lambda d: F.lit(d).cast("timestamp_ntz")
+    quality = lambda rows: rows.groupBy("item_id").agg(F.round(F.max("reliability"), 6).alias("quality"))
+    first = h.where("source_type IN ('artist', 'genre')")
+    later = h.where("source_type IN ('tag', 'title')").unionByName(h.where("source_type = 'mood'").withColumn("source_type", F.lit("embedding")))
+    old, new = (store.observed(rows, quality(rows.where("source_type <> 'embedding'")), day(at)) for rows, at in ((first, "2024-01-01 00:00:00"), (later, "2024-01-02 00:00:00")))
+    got = store.upsert(old, new)
+    return got.select("item_id", "seen", "first_seen", "last_seen", "quality", F.array_join(F.array_sort("query_texts"), "; ").alias("query_texts"), _join(F.array_sort("source_types")).alias("source_types"), F.size("tags").cast("long").alias("n_tags"), "duration_ms")
+
+
+@query
+def feedback_read(spark: SparkSession, sf: str) -> DataFrame:
+    """The events of requests in debt, in order of time."""
+    ids = domain.table(spark, sf, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("request_id"))
+    items = _feedback(spark, sf).select("request_id", "item_id", F.lit(1).alias("rank"))
+    _, events = store.read_feedback(items, _feedback(spark, sf), ids)
+    return events.select("request_id", "event_id", "event_type", "place")
+
+
+@query
+def record_casts(spark: SparkSession, sf: str) -> DataFrame:
     e = domain.table(spark, sf, "events")
-    side = lambda odd: e.where(F.day("ts") % 2 == (1 if odd else 0)).groupBy(F.get_json_object("props", "$.k").cast("long").alias("item_id")).agg(F.count("*").alias("seen"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.round(F.max(F.when(F.col("event_type") == ("click" if odd else "view"), F.col("value"))), 6).alias("quality"), F.array_sort(F.collect_set("event_type")).alias("types"))
-    old, new = side(True).where("item_id % 3 <> 0"), side(False).where("item_id % 5 <> 0")
-    return store.upsert(old, new).select("item_id", "seen", "first_seen", "last_seen", "quality", _join(F.array_sort("types")).alias("types"))
+    raw = e.select(F.col("event_id").cast("string").alias("item_id"), F.when(F.col("event_id") % 5 != 0, F.get_json_object("props", "$.k")).otherwise("bad").alias("hot"), F.when(F.col("event_id") % 3 != 0, (F.col("event_id") % 3 - 1).cast("string")).alias("playable"), F.when(F.col("event_id") % 2 == 0, F.lit('["x", "y"]')).otherwise("[bad").alias("artists"), F.when(F.col("event_id") % 7 != 0, F.col("event_type")).alias("title"))
+    got = store.as_record(raw, {"item_id": "bigint", "hot": "bigint", "playable": "boolean", "artists": "array<string>", "title": "string"})
+    track = store.as_track(got.withColumn("album", F.lit("")).withColumn("cover_url", F.lit(""))).select("item_id", "artist")
+    return got.join(track, "item_id").select("item_id", "hot", "playable", _join(F.col("artists")).alias("artists"), "title", "artist")
+
+
+@query
+def write_health(spark: SparkSession, sf: str) -> DataFrame:
+    raw = domain.table(spark, sf, "events").withColumn("event_type", F.concat(F.lit(" "), F.upper("event_type")))
+    return store.write_health(*store.validate(raw))
 
 
 @query
@@ -354,32 +489,45 @@ def label_summary(spark: SparkSession, sf: str) -> DataFrame:
     return learning.summary(learning.weak_labels(_feedback(spark, sf)))
 
 
-def _features(spark: SparkSession, sf: str) -> DataFrame:
-    labels = learning.weak_labels(_feedback(spark, sf))
-    users = _feedback(spark, sf).groupBy("request_id").agg(F.count("*").alias("n_events"), F.avg("value").alias("mean_value"))
-    items = enrich.attach(domain.catalogue(spark, sf), domain.signals(spark, sf))
-    c = F.col
-    items = items.select("item_id", S.popularity(c("comments"), c("hot"), c("red"), c("enriched")).alias("popularity"), S.authority(c("followers"), c("enriched")).alias("authority"), S.playable(c("playable"), c("enriched")).alias("play"))
-    return labels.join(users, "request_id").join(items, "item_id", "left").fillna({"popularity": 0.55, "authority": 0.55, "play": 0.6})
+def _samples(spark: SparkSession, sf: str) -> DataFrame:
+    """A sample for each exposed card, with its features, its label and the request's controls."""
+    shown = _shown(spark, sf).withColumn("rank_score", F.col("score"))
+    log = store.exposures(shown).withColumns({"content_weight": F.lit(R.CONTENT_WEIGHT), "novelty_weight": F.lit(R.NOVELTY_WEIGHT), "diversity": F.lit(R.DIVERSITY)})
+    return learning.training_data(log, _feedback(spark, sf))
 
 
-FEATURES = ["n_events", "mean_value", "popularity", "authority", "play"]
+@query
+def exposure_log(spark: SparkSession, sf: str) -> DataFrame:
+    got = store.exposures(_shown(spark, sf).withColumn("rank_score", F.col("score")))
+    return got.select("request_id", "item_id", "rank", _r("score"), _r("rank_score"), _r("quality"), _join(F.col("types")).alias("types"), F.size("reasons").cast("long").alias("n_reasons"), "pick", "was_impressed")
 
 
 @query
 def feature_matrix(spark: SparkSession, sf: str) -> DataFrame:
-    return _features(spark, sf).select("request_id", "item_id", "binary", "weight", "n_events", _r("mean_value"), _r("popularity"), _r("authority"), "play")
+    return _samples(spark, sf).select("request_id", "item_id", "binary", "weight", "kind", *[_r(c) for c in learning.BASE_FEATURES])
+
+
+@query
+def feature_schema(spark: SparkSession, sf: str) -> DataFrame:
+    """The order of the features of cards with popularity and without authority."""
+    rows = learning.extract(R.parts(R.enriched(spark, sf)).select("request_id", "item_id", "types", "popularity", F.lit(None).cast("double").alias("authority")))
+    return spark.createDataFrame(list(enumerate(learning.schema(rows))), "place long, feature string")
 
 
 @query
 def train_ranker(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _features(spark, sf)
-    model, _ = learning.train(rows, FEATURES)
-    return learning.predict(model, rows, FEATURES).select("request_id", "item_id", "learned_score")
+    rows, names = _samples(spark, sf), list(learning.BASE_FEATURES)
+    model, reason = learning.train(rows, names)
+    if model is None:
+        return rows.select("request_id", "item_id", F.lit(None).cast("double").alias("learned_score"))
+    return learning.predict(model, rows, names).select("request_id", "item_id", "learned_score")
 
 
 def _shadow(spark: SparkSession, sf: str) -> DataFrame:
-    return learning.shadow_positions(_cards(spark, sf).withColumn("learned_score", F.round(F.col("novelty") * 0.7 + F.col("popularity") * 0.3, 9)))
+    """Cards with a learned score, but for the lists of requests in debt."""
+    debt = domain.table(spark, sf, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("request_id"), F.lit(True).alias("debt"))
+    rows = _cards(spark, sf).join(F.broadcast(debt), "request_id", "left").withColumn("learned_score", F.when(F.col("debt").isNull(), F.round(F.col("novelty") * 0.7 + F.col("popularity") * 0.3, 9)))
+    return learning.shadow_positions(rows)
 
 
 @query
@@ -430,10 +578,33 @@ def duplicate_rate(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.duplicate_rate(_cards(spark, sf)).select("request_id", _r("dup_artist_norm"), _r("dup_title_norm"), _r("dup_album_norm"))
 
 
+@query
+def shadow_report(spark: SparkSession, sf: str) -> DataFrame:
+    got = metrics.shadow_report(_shadow(spark, sf), 5)
+    said = F.transform("disagreements", lambda d: F.concat_ws(":", d["rank"], d["item_id"], d["learned_position"]))
+    return got.select("request_id", "n_scored", _r("mean_learned"), _r("var_learned"), _r("min_learned"), _r("max_learned"), _r("overlap"), _r("rank_correlation"), "n_disagreements", _join(said).alias("disagreements"))
+
+
+@query
+def embedding_share(spark: SparkSession, sf: str) -> DataFrame:
+    h = domain.hits(spark, sf)
+    emb = h.where("source_type = 'artist'").withColumn("source_type", F.lit("embedding")).withColumn("item_id", F.col("item_id") + 1)
+    return metrics.embedding_share(retrieval.merge_hits(retrieval.merge_channels(h, emb))).select("request_id", _r("embedding_share"))
+
+
+BUNDLE = ["artist_coverage", "album_coverage", "mean_novelty", "mean_unpopularity", "embedding_share", "dup_artist", "dup_title", "dup_album", "mean_score", "var_score", "min_score", "max_score", "diversity"]
+
+
+@query
+def list_bundle(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.bundle(_cards(spark, sf), 10).select("request_id", "n_items", "n_types", *[_r(c) for c in BUNDLE])
+
+
 @query
 def macro_average(spark: SparkSession, sf: str) -> DataFrame:
-    lists = metrics.novelty(_cards(spark, sf)).join(metrics.score_distribution(_cards(spark, sf)), "request_id")
-    return metrics.macro_average(lists, ["mean_novelty", "mean_score"]).select("n_lists", _r("mean_mean_novelty"), _r("mean_mean_score"))
+    """Means over lists; those of learned scores over the lists that have some."""
+    lists = _shadow(spark, sf).groupBy("request_id").agg(F.avg("novelty").alias("mean_novelty"), F.avg("score").alias("mean_score"), F.avg("learned_score").alias("mean_learned"))
+    return metrics.macro_average(lists, ["mean_novelty", "mean_score", "mean_learned"]).select("n_lists", _r("mean_mean_novelty"), _r("mean_mean_score"), _r("mean_mean_learned"))
 
 
 @query

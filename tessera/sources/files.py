@@ -33,6 +33,16 @@ def read_profiles(spark: SparkSession, path: str) -> DataFrame:
     return rows.where(F.col("profile_id").isNotNull()).fillna({"content_weight": 0.5, "novelty": 0.3, "diversity": 0.3, "k": 10})
 
 
+class FixtureSearch:
+    """A search over lists in memory: that of the query in lower case, or else the default list, cut to the limit."""
+
+    def __init__(self, lists: dict[str, list[dict]], default: list[dict] | None = None):
+        self.lists, self.default = {k.lower(): v for k, v in lists.items()}, default or []
+
+    def __call__(self, query: str, limit: int) -> list[dict]:
+        return self.lists.get(query.lower(), self.default)[:limit]
+
+
 class CachedSearch:
     """A search function with a cache by (query, limit); a failed search counts as empty, and that is kept too."""
 

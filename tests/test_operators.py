@@ -1,14 +1,17 @@
 import datetime as dt
 import json
 import math
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessera import config
 from tessera.functions import text as X
-from tessera.operators import enrich, learning, metrics, rerank, store
-from tessera.plans import recommend
+from tessera.functions import scoring as S
+from tessera.operators import enrich, learning, metrics, rerank, semantic, store
+from tessera.plans import recommend, response
 from tessera.sources import files
 from tessera.streaming import feedback
 
@@ -59,7 +62,9 @@ def test_upsert(spark, tmp_path):
 
 def test_enrich_rules(spark):
     grade = lambda level, rate: one(spark, enrich.audio_grade(F.lit(level).cast("string"), F.lit(rate).cast("int")), t="")
-    assert [grade("lossless", 1), grade(None, 999_000), grade(None, 320_000), grade(None, 1), grade(None, None)] == [1.0, 1.0, 0.85, 0.35, None]
+    assert [grade("lossless", 1), grade("exhigh", 1), grade("higher", 1), grade("medium", 1), grade("low", 1)] == [1.0, 1.0, 0.8, 0.6, 0.4]
+    assert [grade(None, 999_000), grade("odd", 320_000), grade(None, 1), grade(None, 0), grade(None, None)] == [1.0, 0.85, 0.35, 0.35, None]
+    assert one(spark, enrich.playable(F.lit("u"), F.lit(200), F.lit(0)), t="") and not one(spark, enrich.playable(F.lit("u"), F.lit(200), F.lit(1)), t="") and not one(spark, enrich.playable(F.lit(""), F.lit(None), F.lit(None)), t="")
     assert one(spark, enrich.first_truthy(F.lit(0), F.lit(None), F.lit(7), F.lit(3)), t="") == 7
     assert [enrich.budget(k) for k in (1, 5, 50)] == [6, 10, 16]
 
@@ -92,16 +97,112 @@ def test_streamed_counts_equal_batch(spark, tmp_path):
 
 
 def test_mmr_and_content_weigh_text(spark):
-    row = lambda i, score, terms: (1, i, f"t{i}", f"a{i}", "", [], [(t, 1.0) for t in terms], score)
-    df = spark.createDataFrame([row(1, 0.9, "xy"), row(2, 0.8, "xy"), row(3, 0.79, "z")], "request_id long, item_id long, title string, artist_norm string, album_norm string, taste_tokens array<string>, text_terms array<struct<token:string,w:double>>, score double")
+    row = lambda i, score, codes: (1, i, f"t{i}", f"a{i}", "", [], codes, [1 / math.sqrt(len(codes))] * len(codes), score)
+    df = spark.createDataFrame([row(1, 0.9, [0, 1]), row(2, 0.8, [0, 1]), row(3, 0.79, [2])], "request_id long, item_id long, title string, artist_norm string, album_norm string, taste_tokens array<string>, text_codes array<int>, text_weights array<double>, score double")
     assert [r.item_id for r in rerank.mmr(df, 3, 0.5).orderBy("rank").collect()] == [1, 3, 2]
-    pool = spark.createDataFrame(
-        [(1, i, t, "Abba", "Rock", ["rock"], ["rock"], q, "dancing queen abba rock".split()) for i, t, q in ((1, "Dancing Queen", ["abba"]), (2, "Waterloo rock", ["abba", "rock"]))],
-        "request_id long, item_id long, title string, artist string, album string, tag_phrases array<string>, tag_tokens array<string>, query_tokens array<string>, profile_words array<string>",
-    )
-    # words of 1: dancing queen abba rock abba; of 2: waterloo abba rock abba rock rock
+    words = "dancing queen abba rock".split()
+    pool = spark.createDataFrame([(9, 1, ["x"], ["x"], None), (1, 1, "dancing queen abba rock abba".split(), words, None), (1, 2, "waterloo abba rock abba rock rock".split(), None, None), (1, 3, ["gone"], None, "liked")], "request_id long, item_id long, text_words array<string>, profile_words array<string>, dropped string")
     idf = lambda df: math.log(4 / (1 + df)) + 1
     p, a, b = ({"d": n * idf(2), "q": n * idf(2), "w": m * idf(1), "abba": x * idf(3), "rock": y * idf(3)} for n, m, x, y in ((1, 0, 1, 1), (1, 0, 2, 1), (0, 1, 2, 3)))
     cos = lambda u, v: sum(u[k] * v[k] for k in u) / math.sqrt(sum(x * x for x in u.values()) * sum(x * x for x in v.values()))
-    got = {r.item_id: r.text_similarity for r in recommend.with_text(recommend.text_words(pool).select("request_id", "item_id", "text_words"), pool.limit(1)).collect()}
-    assert got == {1: pytest.approx(cos(p, a)), 2: pytest.approx(cos(p, b))}
+    got = {(r.request_id, r.item_id): r.text_similarity for r in recommend.with_text(pool).collect()}
+    assert got == {(9, 1): pytest.approx(1), (1, 1): pytest.approx(cos(p, a)), (1, 2): pytest.approx(cos(p, b))}
+
+
+def brute_mmr(rows, k, diversity):
+    """rows: (item, title, artist, album, taste, score); the plain greedy choice."""
+    most_artist, most_album = rerank.caps(k)
+    rows, chosen = sorted(rows, key=lambda r: (-r[5], r[1], r[0])), []
+
+    def similarity(a, b):
+        parts = [(0.35, float(a[2] == b[2] != ""))]
+        if a[4] and b[4]:
+            parts.append((0.25, len(set(a[4]) & set(b[4])) / len(set(a[4]) | set(b[4]))))
+        if a[3] and b[3]:
+            parts.append((0.20, float(a[3] == b[3])))
+        return sum(w * x for w, x in parts) / sum(w for w, _ in parts)
+
+    while len(chosen) < k:
+        open_ = [r for r in rows if r not in chosen and (not r[2] or sum(c[2] == r[2] for c in chosen) < most_artist) and (not r[3] or sum(c[3] == r[3] for c in chosen) < most_album)]
+        if not open_:
+            break
+        chosen.append(max(open_, key=lambda r: round((1 - diversity) * r[5] - diversity * max([similarity(r, c) for c in chosen], default=0), 12)))
+    return [r[0] for r in chosen]
+
+
+@pytest.mark.parametrize("k,diversity", [(5, 0.3), (10, 0.7), (12, 0.0)])
+def test_mmr_against_brute_force(spark, k, diversity):
+    r = random.Random(k)
+    lists = {q: [(i, f"t{r.randint(0, 9)}", r.choice(["", "a", "b", "c", "d"]), r.choice(["", "x", "y"]), r.sample("pqrs", r.randint(0, 3)), r.randint(0, 20) / 20) for i in range(r.randint(1, 40))] for q in range(25)}
+    rows = [(q, i, t, a, b, taste, s) for q, pool in lists.items() for i, t, a, b, taste, s in pool]
+    df = spark.createDataFrame(rows, "request_id long, item_id long, title string, artist_norm string, album_norm string, taste_tokens array<string>, score double").repartition(3)
+    got = {}
+    for x in rerank.mmr(df, k, diversity).orderBy("request_id", "rank").collect():
+        got.setdefault(x.request_id, []).append(x.item_id)
+    assert got == {q: brute_mmr(pool, k, diversity) for q, pool in lists.items()}
+
+
+def test_agreement_and_affinity(spark):
+    got = lambda n, types, similar=None: one(spark, S.agreement(F.lit(n), F.array(*map(F.lit, types)), None if similar is None else F.lit(similar)), t="")
+    assert got(1, ["artist_context"]) == pytest.approx(0.175) and got(2, ["artist", "genre"]) == pytest.approx(0.65)
+    assert got(1, ["title"]) == pytest.approx(0.175 * 0.35) and got(1, ["tag"], 50) == pytest.approx(0.85 * 0.175 + 0.2) and got(1, ["tag"], 0) == pytest.approx(0.175)
+    norms, weights = F.array(F.lit("a"), F.lit("b")), F.array(F.lit(1.0), F.lit(0.75))
+    assert one(spark, S.artist_affinity(F.lit(0.2), norms, weights, [F.lit("b"), F.lit("c")]), t="") == 0.75
+
+
+def test_index_against_numpy(spark):
+    """Fit, encode and recall: the projection of the truncated decomposition of the TF-IDF matrix, and the life of an index."""
+    r = random.Random(4)
+    vocab = [f"w{i}" for i in range(30)]
+    texts = [" ".join(r.choice(vocab) for _ in range(r.randint(3, 12))) for _ in range(60)]
+    df = spark.createDataFrame([*enumerate(texts), (100, "  "), (101, None)], "id long, text string")
+    built = semantic.fit(df, wanted=5)
+    names = sorted({w for t in texts for w in t.split()})
+    a = np.array([[t.split().count(w) for w in names] for t in texts], float)
+    a *= np.log((1 + len(texts)) / (1 + (a > 0).sum(0))) + 1
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    v = a @ np.linalg.svd(a)[2][:5].T
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    got = {x.item_id: np.array(x.v) for x in built.items.collect()}
+    assert len(got) == 60 and np.allclose([[got[i] @ got[j] for j in range(60)] for i in range(60)], v @ v.T, atol=1e-4)
+    found = built.recall(spark.createDataFrame([(7, texts[7]), (8, "unknown")], "id long, text string"), 3)
+    rows = found.orderBy("rank").collect()
+    assert rows[0].item_id == 7 and rows[0].score == pytest.approx(1) and {x.query_id for x in rows} == {7}
+    assert semantic.as_hits(found, 0.68).columns == ["request_id", "plan_idx", "source_type", "query", "reliability", "item_id", "position"]
+    assert semantic.fit(df.limit(1)) is None and semantic.index(df.limit(10), None, None) is None
+    ids = df.where("trim(text) <> ''").select("id")
+    assert semantic.index(df.withColumn("text", F.concat("text", F.lit(" more"))), ids, built) is built and semantic.index(df.where("id < 50"), ids, built) is not built
+
+
+def test_response(spark):
+    control = response.control_echo(spark.createDataFrame([(1, 2.0, None, 0.3, 99)], "request_id long, content_weight double, novelty double, diversity double, k int"))
+    assert tuple(control.first()) == (1, 1.0, 0.0, 0.3, 50)
+    profiles = spark.createDataFrame([(1, [2], ["A"], ["t"], ["t"])], "request_id long, liked_ids array<long>, artists array<string>, tag_phrases array<string>, tag_tokens array<string>")
+    counters = response.no_input(profiles)
+    trace = response.trace(profiles, counters.withColumnsRenamed({"total_unique": "after_dedup"}).withColumn("final_candidate_count", F.lit(0)), 12.345, {"score": 1.239}, ("m", "r"))
+    t = trace.first()
+    assert t.latency_ms == 12.35 or t.latency_ms == 12.34
+    assert t.stage_latencies_ms == {"score": 1.24} and t.liked_songs == 1 and "request_id=1" in t.log_line
+    cards = spark.createDataFrame([(1, 1, 5)], "request_id long, rank int, item_id long")
+    got = response.assemble(1, cards.limit(0), control, counters, profiles, response.model_info(("m", "r")), None, trace)
+    assert len(got) == 8 and got["fallback_used"] == "no_candidates" and got["control"]["k"] == 50 and got["candidate_summary"]["total_unique"] == 0
+    assert response.assemble(1, cards, control, counters, profiles, {}, None)["items"] == [{"request_id": 1, "rank": 1, "item_id": 5}]
+
+
+def test_store_reads_and_sinks(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a", " x "), (2, "b", " "), (3, "c", None)], "item_id long, title string, text_for_embedding string")
+    store.append(rows, f"{tmp_path}/s")
+    kept = store.read_store(spark, f"{tmp_path}/s")
+    assert kept.count() == 3 and [r.item_id for r in store.texts(kept).collect()] == [1] and store.lookup(kept, rows.where("item_id = 2")).count() == 1
+    learning.write_schema(["a", "b"], {"n": 1}, f"{tmp_path}/schema")
+    assert learning.read_schema(f"{tmp_path}/schema") == ["a", "b"]
+    rows = spark.createDataFrame([(float(i % 2), i % 2, 1.0) for i in range(60)], "a double, binary int, weight double")
+    model, _ = learning.train(rows, ["a"])
+    learning.save(model, f"{tmp_path}/model")
+    score = lambda m: [r.learned_score for r in learning.predict(m, rows, ["a"]).orderBy("a").collect()]
+    assert score(learning.load(f"{tmp_path}/model")) == score(model)
+    assert store.with_ids(rows).select("feedback_id").distinct().count() == 60
+    search = files.FixtureSearch({"Abba": [{"id": 1}, {"id": 2}]}, [{"id": 9}])
+    assert search("ABBA", 1) == [{"id": 1}] and search("x", 5) == [{"id": 9}]
+    excerpt, similar = enrich.deep(F.lit("a b  c"), F.array(F.lit(0), F.lit(4), F.lit(5)), 2, 1)
+    assert one(spark, excerpt, t="") == "a b" and one(spark, similar, t="") == [4]
