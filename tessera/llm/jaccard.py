@@ -142,7 +142,7 @@ def scan(docs: DataFrame, width: int) -> DataFrame:
                 key, n = np.unique(h, return_counts=True)
                 keys.append(key[n > 1])
                 counts.append(n[n > 1])
-                if sum(map(len, keys)) > 20 * MAX_FREQUENT:
+                if sum(map(len, keys)) > 6 * MAX_FREQUENT:
                     key, n = _merged(keys, counts)
                     top = np.argsort(-n, kind="stable")[:MAX_FREQUENT]
                     keys, counts = [key[top]], [n[top]]

@@ -14,9 +14,9 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at once; a longer document is a piece of its own.
-PIECE = 1 << 20
+PIECE = 1 << 19
 #: Bytes of words that are hashed at once.
-BLOCK = 1 << 20
+BLOCK = 1 << 17
 
 _RNG = np.random.default_rng(20240229)
 CODES = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
