@@ -78,6 +78,12 @@ def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_groups(table(spark, sf_dir, "documents"), width=4, percent=85)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.trie import build, gather, rebuild
+
+    return build(rebuild(gather(table(spark, sf_dir, "conversations"))))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -95,6 +101,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_jaccard": op9_jaccard,
     "op10_decontaminate": op10_decontaminate,
+    "op11_prefix_trie": op11_prefix_trie,
     "pipeline": pipeline,
 }
 
@@ -184,4 +191,38 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT node, min(root) AS component_id FROM r GROUP BY node) c ON c.node = d.doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_chat": _OP1, "op6_quality": _OP6, "op8_warc": _OP8, "op9_jaccard": _OP9}
+#: CRC-32 of a string's bytes; {0} is the string.
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, strlen({0}) + 1), lambda i: CAST(ascii(substr({0}, i, 1)) AS BIGINT))),
+  lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)))"""
+
+_OP11 = f"""
+WITH t AS (
+  SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS ts
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), h AS (
+  SELECT *, CAST(conv_id AS VARCHAR) AS c, {_CRC.format("CAST(conv_id AS VARCHAR)")} % 6 AS h FROM t
+), r AS (
+  SELECT a.conv_id, list_concat(coalesce(b.ts[1 : a.h], []), a.ts[a.h + 1 : ]) AS ts FROM h a LEFT JOIN h b ON b.conv_id = a.conv_id - a.conv_id % 100
+), p AS (
+  SELECT conv_id, ts, len(ts) AS n, unnest(range(len(ts) + 1)) AS d FROM r
+), m AS (
+  SELECT conv_id, n, d, sha256(CAST(to_json(ts[1 : d]) AS VARCHAR)) AS node, CASE WHEN d > 0 THEN sha256(CAST(to_json(ts[1 : d - 1]) AS VARCHAR)) END AS above,
+         CASE WHEN d > 0 THEN length(ts[d].text) ELSE 0 END AS chars FROM p
+), v AS (
+  SELECT node, any_value(above) AS above, d, any_value(chars) AS chars, min(conv_id) AS conv_id, count(*) AS n,
+         coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = d), '') AS ids
+  FROM m GROUP BY node, d
+), k AS (
+  SELECT above, count(*) AS kids FROM v WHERE d > 0 GROUP BY above
+), w AS (
+  SELECT v.*, coalesce(kids, 0) AS kids FROM v LEFT JOIN k ON k.above = v.node
+), s AS (
+  SELECT m.node, sum((w.n - 1) * w.chars) AS saved, count(*) FILTER (w.kids = 0) AS leaves
+  FROM w JOIN m ON m.conv_id = w.conv_id AND m.d <= w.d GROUP BY m.node
+)
+SELECT w.conv_id, CAST(w.d AS BIGINT) AS depth, u.conv_id AS parent_conv_id, CAST(w.n AS BIGINT) AS n_convs, CAST(w.kids AS BIGINT) AS n_children,
+       CAST(s.leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(w.ids) AS ends_sha256
+FROM w JOIN s ON s.node = w.node LEFT JOIN v u ON u.node = w.above
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_chat": _OP1, "op6_quality": _OP6, "op8_warc": _OP8, "op9_jaccard": _OP9, "op11_prefix_trie": _OP11}
