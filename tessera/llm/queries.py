@@ -84,6 +84,13 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build(rebuild(gather(table(spark, sf_dir, "conversations"))))
 
 
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.repair import damage, repair, report
+
+    rows = table(spark, sf_dir, "conversations")
+    return report(rows, repair(damage(rows)))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -102,6 +109,7 @@ QUERIES = {
     "op9_jaccard": op9_jaccard,
     "op10_decontaminate": op10_decontaminate,
     "op11_prefix_trie": op11_prefix_trie,
+    "op13_structure_repair": op13_structure_repair,
     "pipeline": pipeline,
 }
 
@@ -225,4 +233,54 @@ SELECT w.conv_id, CAST(w.d AS BIGINT) AS depth, u.conv_id AS parent_conv_id, CAS
 FROM w JOIN s ON s.node = w.node LEFT JOIN v u ON u.node = w.above
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_chat": _OP1, "op6_quality": _OP6, "op8_warc": _OP8, "op9_jaccard": _OP9, "op11_prefix_trie": _OP11}
+#: Best (cost, audit) by state of the grammar, row by row: e0 nothing yet, e1 after system, e2 after user, e3 after assistant.
+_OP13 = rf"""
+WITH RECURSIVE k AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations
+), d AS (
+  SELECT *, {_CRC.format("name")} % 20 AS kind FROM k
+), e AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END))
+  FROM d WHERE kind <> 0
+), f AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM e
+), g AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank'
+                 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'duplicate'
+                 WHEN NOT regexp_matches(text, '[.!?][ 	-]*$') THEN 'truncated' ELSE '' END AS fault, left(role, 1) AS ini FROM f
+), r AS (
+  SELECT *, lag(ini) OVER (PARTITION BY conv_id ORDER BY pos) || ini AS pair, CASE WHEN fault IN ('', 'truncated') THEN CASE WHEN fault = '' THEN 0 ELSE 5 END END AS x FROM g
+), c AS (
+  SELECT conv_id, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps,
+         count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, max(pos) AS n FROM r GROUP BY conv_id
+), s AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS i, {{'c': 0, 'a': ''}} AS e0, {{'c': CAST(NULL AS INT), 'a': ''}} AS e1, {{'c': 5, 'a': 'I'}} AS e2, {{'c': 10, 'a': 'II'}} AS e3 FROM c
+  UNION ALL
+  SELECT conv_id, i, n0, n1, m2, list_sort(list_filter([n3, {{'c': m2.c + 5, 'a': m2.a || 'I'}}], lambda z: z.c IS NOT NULL))[1] FROM (
+    SELECT *, list_sort(list_filter([n2, {{'c': n0.c + 5, 'a': n0.a || 'I'}}, {{'c': n1.c + 5, 'a': n1.a || 'I'}}, {{'c': n3.c + 5, 'a': n3.a || 'I'}}], lambda z: z.c IS NOT NULL))[1] AS m2 FROM (
+      SELECT s.conv_id, r.pos AS i, {{'c': e0.c + 2, 'a': e0.a || 'D'}} AS n0,
+             coalesce(list_sort(list_filter([{{'c': e1.c + 2, 'a': e1.a || 'D'}}, {{'c': e0.c + CASE WHEN ini = 's' THEN x END, 'a': e0.a || 'K'}}], lambda z: z.c IS NOT NULL))[1], {{'c': NULL, 'a': ''}}) AS n1,
+             list_sort(list_filter(list_concat([{{'c': e2.c + 2, 'a': e2.a || 'D'}}], flatten([[{{'c': y.c + CASE WHEN ini = 'u' THEN x END, 'a': y.a || 'K'}}, {{'c': y.c + x + 1, 'a': y.a || 'R'}}] FOR y IN [e0, e1, e3]])), lambda z: z.c IS NOT NULL))[1] AS n2,
+             list_sort(list_filter([{{'c': e3.c + 2, 'a': e3.a || 'D'}}, {{'c': e2.c + CASE WHEN ini = 'a' THEN x END, 'a': e2.a || 'K'}}, {{'c': e2.c + x + 1, 'a': e2.a || 'R'}}], lambda z: z.c IS NOT NULL))[1] AS n3
+      FROM s JOIN r ON r.conv_id IS NOT DISTINCT FROM s.conv_id AND r.pos = s.i + 1))
+), b AS (
+  SELECT c.*, list_sort([e0, e3])[1] AS best FROM c JOIN s ON s.conv_id IS NOT DISTINCT FROM c.conv_id AND s.i = c.n
+), o AS (
+  SELECT conv_id, best.a AS audit, unnest(range(1, length(best.a) + 1)) AS j FROM b
+), p AS (
+  SELECT conv_id, j, audit[j] AS letter, length(replace(audit[1 : j], 'I', '')) AS src, row_number() OVER (PARTITION BY conv_id ORDER BY j) AS place FROM o WHERE audit[j] <> 'D'
+), q AS (
+  SELECT p.*, r.role, CASE WHEN letter = 'I' THEN '' ELSE r.text END AS text, bool_or(place = 1 AND letter = 'K' AND ini = 's') OVER (PARTITION BY p.conv_id) AS led
+  FROM p LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM p.conv_id AND r.pos = p.src
+), t AS (
+  SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN (place - CAST(led AS INT)) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY j) AS repaired FROM q GROUP BY conv_id
+)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       CAST(coalesce(best.c, 0) AS BIGINT) AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM a.conv_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_chat": _OP1, "op6_quality": _OP6, "op8_warc": _OP8, "op9_jaccard": _OP9, "op11_prefix_trie": _OP11, "op13_structure_repair": _OP13}
