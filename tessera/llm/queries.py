@@ -84,6 +84,12 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build(rebuild(gather(table(spark, sf_dir, "conversations"))))
 
 
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.urls import judge, outcomes
+
+    return judge(table(spark, sf_dir, "pages"), outcomes(table(spark, sf_dir, "labels")))
+
+
 def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.repair import damage, repair, report
 
@@ -109,6 +115,7 @@ QUERIES = {
     "op9_jaccard": op9_jaccard,
     "op10_decontaminate": op10_decontaminate,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_url_filter": op12_url_filter,
     "op13_structure_repair": op13_structure_repair,
     "pipeline": pipeline,
 }
@@ -233,6 +240,71 @@ SELECT w.conv_id, CAST(w.d AS BIGINT) AS depth, u.conv_id AS parent_conv_id, CAS
 FROM w JOIN s ON s.node = w.node LEFT JOIN v u ON u.node = w.above
 """
 
+_TWO = "'ac.jp', 'ac.uk', 'co.in', 'co.jp', 'co.kr', 'co.nz', 'co.uk', 'co.za', 'com.ar', 'com.au', 'com.br', 'com.cn', 'com.mx', 'com.tr', 'com.tw', 'edu.au', 'gov.au', 'gov.uk', 'ne.jp', 'net.au', 'or.jp', 'org.au', 'org.uk'"
+
+#: A beta prior's strength from its mean {0} and the variance {1}.
+_PRIOR = "CASE WHEN {1} <= 0 THEN 1e6 ELSE least(greatest({0} * (1.0::DOUBLE - {0}) / {1} - 1.0::DOUBLE, 2.0::DOUBLE), 1e6) END"
+
+#: Sum in billionths.
+_SUM = "(sum(CAST(floor(({0}) * 1e9) AS HUGEINT))::DOUBLE / 1e9)"
+
+_OP12 = rf"""
+WITH l AS (
+  SELECT doc_id AS page_id, max(greatest(toxic, 1 - quality)) AS bad FROM labels WHERE doc_id IS NOT NULL AND coalesce(toxic, quality) IS NOT NULL GROUP BY doc_id
+), u AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), p AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u
+), b AS (
+  SELECT host, count(l.bad) AS n, CAST(coalesce(sum(l.bad), 0) AS BIGINT) AS k,
+         regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '\.$', '') AS bare
+  FROM p LEFT JOIN l ON l.page_id = p.page_id GROUP BY host
+), x AS (
+  SELECT *, regexp_matches(bare, '^[0-9]+(\.[0-9]+){{3}}$') OR bare LIKE '[%' AS address, string_split(bare, '.') AS parts FROM b
+), h AS (
+  SELECT host, n, k, CASE WHEN address THEN bare WHEN array_to_string(parts[-2:], '.') IN ({_TWO}) THEN array_to_string(parts[-3:], '.') ELSE array_to_string(parts[-2:], '.') END AS domain,
+         CASE WHEN address THEN '' WHEN array_to_string(parts[-2:], '.') IN ({_TWO}) THEN array_to_string(parts[-2:], '.') ELSE parts[-1] END AS suffix FROM x
+), d AS (
+  SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM h GROUP BY domain, suffix
+), s AS (
+  SELECT suffix, sum(n) AS n, sum(k) AS k FROM h GROUP BY suffix
+), h2 AS (
+  SELECT domain, suffix, k / n AS r, k * (k - 1.0::DOUBLE) / (n * (n - 1.0::DOUBLE)) AS r2 FROM h WHERE n > 1
+), d2 AS (
+  SELECT *, CASE WHEN h > 1 THEN (s1 * s1 - s2) / (h * (h - 1)) END AS x
+  FROM (SELECT domain, suffix, count(*)::DOUBLE AS h, {_SUM.format("r")} AS s1, {_SUM.format("r * r")} AS s2, {_SUM.format("r2")} AS p FROM h2 GROUP BY domain, suffix)
+), dv AS (
+  SELECT coalesce(greatest({_SUM.format("(h - 1) * (p / h - x)")} / nullif(sum(h - 1), 0), 0), 0) AS vh FROM d2 WHERE h > 1
+), s2 AS (
+  SELECT *, CASE WHEN h > 1 THEN (s1 * s1 - s2) / (h * (h - 1)) END AS x
+  FROM (SELECT suffix, count(*)::DOUBLE AS h, {_SUM.format("r")} AS s1, {_SUM.format("r * r")} AS s2, {_SUM.format("r2")} AS p
+        FROM (SELECT suffix, s1 / h AS r, coalesce(x, p - vh) AS r2 FROM d2, dv) GROUP BY suffix)
+), sv AS (
+  SELECT coalesce(greatest({_SUM.format("(h - 1) * (p / h - x)")} / nullif(sum(h - 1), 0), 0), 0) AS vd FROM s2 WHERE h > 1
+), a2 AS (
+  SELECT count(*)::DOUBLE AS h, {_SUM.format("r")} AS s1, {_SUM.format("r * r")} AS s2, {_SUM.format("r2")} AS p FROM (SELECT s1 / h AS r, coalesce(x, p - vd) AS r2 FROM s2, sv)
+), av AS (
+  SELECT coalesce(greatest({_SUM.format("(h - 1) * (p / h - (s1 * s1 - s2) / (h * (h - 1)))")} / nullif(sum(h - 1), 0), 0), 0) AS vs FROM a2 WHERE h > 1
+), w AS (
+  SELECT coalesce((SELECT sum(k) FROM h)::DOUBLE / nullif((SELECT sum(n) FROM h), 0)::DOUBLE, 0) AS mean, vh, vd, vs FROM dv, sv, av
+), s1 AS (
+  SELECT suffix, (z * mean + k) / (z + n) AS m FROM (SELECT *, {_PRIOR.format("mean", "vs")} AS z FROM s, w)
+), d1 AS (
+  SELECT domain, suffix, (z * m + k) / (z + n) AS m FROM (SELECT d.*, s1.m, {_PRIOR.format("s1.m", "vd")} AS z FROM d JOIN s1 USING (suffix), w)
+), h1 AS (
+  SELECT host, (z * m + k) / (z + n) AS post, z * m + k AS a, z * (1.0::DOUBLE - m) + (n - k) AS b FROM (SELECT h.*, d1.m, {_PRIOR.format("d1.m", "vh")} AS z FROM h JOIN d1 USING (domain, suffix), w)
+), g AS (
+  SELECT host, post - sqrt(4.0::DOUBLE / (9.0::DOUBLE * 0.05::DOUBLE) - 1.0::DOUBLE) * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) > 0.5 AS poor FROM h1
+), r(rule_host, rule_path, says) AS (
+  VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')
+), f AS (
+  SELECT host, path, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule, arg_max(says, length(rule_host || rule_path)) AS says
+  FROM (SELECT DISTINCT host, path FROM p), r WHERE (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY host, path
+)
+SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.says, CASE WHEN g.poor THEN 'block' ELSE 'allow' END) AS verdict
+FROM p JOIN g ON g.host = p.host LEFT JOIN f ON f.host = p.host AND f.path = p.path
+"""
+
 #: Best (cost, audit) by state of the grammar, row by row: e0 nothing yet, e1 after system, e2 after user, e3 after assistant.
 _OP13 = rf"""
 WITH RECURSIVE k AS (
@@ -247,9 +319,11 @@ WITH RECURSIVE k AS (
 ), f AS (
   SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM e
 ), g AS (
-  SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank'
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'blank'
                  WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'duplicate'
-                 WHEN NOT regexp_matches(text, '[.!?][ 	-]*$') THEN 'truncated' ELSE '' END AS fault, left(role, 1) AS ini FROM f
+                 WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*$') THEN 'truncated' ELSE '' END AS fault, left(role, 1) AS ini FROM f
 ), r AS (
   SELECT *, lag(ini) OVER (PARTITION BY conv_id ORDER BY pos) || ini AS pair, CASE WHEN fault IN ('', 'truncated') THEN CASE WHEN fault = '' THEN 0 ELSE 5 END END AS x FROM g
 ), c AS (
@@ -283,4 +357,4 @@ SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coales
 FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM a.conv_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_chat": _OP1, "op6_quality": _OP6, "op8_warc": _OP8, "op9_jaccard": _OP9, "op11_prefix_trie": _OP11, "op13_structure_repair": _OP13}
+ORACLE_SQL: dict[str, str] = {"op1_chat": _OP1, "op6_quality": _OP6, "op8_warc": _OP8, "op9_jaccard": _OP9, "op11_prefix_trie": _OP11, "op12_url_filter": _OP12, "op13_structure_repair": _OP13}
