@@ -18,7 +18,7 @@ def merge_hits(hits: DataFrame) -> DataFrame:
     name = F.concat_ws(":", "source_type", "query")
     return hits.groupBy("request_id", "item_id").agg(
         F.count("*").alias("n_hits"),
-        F.count_distinct(name).alias("n_names"),
+        F.size(F.collect_set(name)).cast("long").alias("n_names"),
         F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("plan_idx", name.alias("name")))), lambda s: s["name"])).alias("sources"),
         F.array_sort(F.collect_set("source_type")).alias("types"),
         F.min(F.struct("plan_idx", "position")).alias("first_hit"),

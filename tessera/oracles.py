@@ -45,7 +45,7 @@ ITEMS = "items AS (SELECT p_partkey AS item_id, p_name AS title, p_brand AS arti
 LIKED = f"""{ITEMS}, own AS (
   SELECT o_custkey AS request_id, l_partkey AS item_id, row_number() OVER (PARTITION BY o_custkey ORDER BY l_partkey) AS pos
   FROM (SELECT DISTINCT o_custkey, l_partkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey)
-), liked AS (SELECT own.*, title, artist, album FROM own JOIN items USING (item_id) WHERE pos <= 30)"""
+), liked AS (SELECT own.*, title, artist, album FROM own JOIN items USING (item_id))"""
 def dedupe(x: str) -> str:
     """The first phrase of each normal form."""
     keys = f"list_transform({x}, lambda v: {norm_artist('v')})"
@@ -85,12 +85,12 @@ def profile(liked: str = LIKED, kind: str = "JOIN") -> str:
 PROFILE = profile()
 
 
-def ask(kind: str, query: str, reliability: float, limit: int = 2) -> str:
+def ask(kind: str, query: str, reliability: float, limit: int = 12) -> str:
     return f"{{'t': '{kind}', 'q': trim(regexp_replace(coalesce({query}, ''), '\\s+', ' ', 'g')), 'r': {reliability}::DOUBLE, 'l': {limit}}}"
 
 
 _G, _M, _T = "genres[1]", "moods[1]", "coalesce(tags[1], tag_phrases[1])"
-_SEEDS = ", ".join(ask(*x) for x in (("seed_song", "nullif(s.t, '') || ' ' || nullif(s.a, '')", 0.78), ("seed_album", f"nullif(s.a, '') || ' ' || nullif(array_to_string({tok('s.b')}[1:2], ' '), '')", 0.70), ("title", "s.t", 0.45, 4)))
+_SEEDS = ", ".join(ask(*x) for x in (("seed_song", "nullif(s.t, '') || ' ' || nullif(s.a, '')", 0.78), ("seed_album", f"nullif(s.a, '') || ' ' || nullif(array_to_string({tok('s.b')}[1:2], ' '), '')", 0.70), ("title", "s.t", 0.45, 8)))
 _ASKED = f"""list_concat(
   flatten(list_transform(artists[1:6], lambda a: [{ask('artist', 'a', 0.85)}, {ask('artist_context', "a || ' ' || " + _G, 0.8)}, {ask('artist_context', "a || ' ' || " + _M, 0.8)}])),
   list_transform(genres[1:4], lambda g: {ask('genre', 'g', 0.75)}), list_transform(moods[1:4], lambda m: {ask('mood', 'm', 0.65)}), list_transform(tags[1:4], lambda g: {ask('tag', 'g', 0.75)}),
@@ -269,9 +269,19 @@ SELECT prof.request_id, has_signal, CASE WHEN NOT has_signal THEN 'no_input' END
 SQL["plan_queries"] = f"WITH {PLAN} SELECT * FROM planned"
 SQL["merge_hits"] = f"WITH {HITS}, m AS ({merged()}) SELECT request_id, item_id, n_hits, n_names, {join('types')} AS types, array_to_string({firsts('source_list')}, '; ') AS sources, first_hit.a AS first_plan, {r('best_value', 'mean_value', 'mean_position')} FROM m"
 SQL["route_counts"] = f"WITH {HITS} SELECT CASE WHEN source_type IN ('artist', 'artist_context', 'seed_song', 'seed_album') THEN 'artist' WHEN source_type IN ('title', 'discovery') THEN source_type ELSE 'tag' END AS bucket, count(*) AS n_hits, count(DISTINCT item_id) AS n_items FROM hits GROUP BY ALL"
-SQL["merge_channels"] = f"""WITH {HITS}, emb AS (SELECT request_id, item_id + 1 AS item_id FROM hits WHERE source_type = 'artist'), both_ AS (SELECT request_id, item_id FROM hits UNION ALL SELECT * FROM emb),
-added AS (SELECT request_id, count(*) AS n FROM (SELECT DISTINCT request_id, item_id FROM emb EXCEPT SELECT request_id, item_id FROM hits) GROUP BY request_id)
-SELECT b.request_id, count(DISTINCT item_id) AS n_candidates, count(*) AS n_hits, coalesce(any_value(added.n), 0) AS n_added FROM both_ b LEFT JOIN added ON added.request_id = b.request_id GROUP BY b.request_id"""
+# recall: TF-IDF of the items' texts over lower-case runs of letters, digits and underscores, cosine with the profile's words; the 30 best, then without liked items
+_RECALL = f"""{HITS}, it AS (SELECT item_id, unnest(regexp_extract_all(lower(concat_ws(' ', title, artist, album)), '[\\p{{L}}\\p{{N}}_]+')) AS token FROM items
+), ic AS (SELECT item_id, token, count(*) AS n FROM it GROUP BY item_id, token), size AS (SELECT count(DISTINCT item_id) AS docs FROM it
+), idf AS (SELECT token, ln((1 + any_value(docs))::DOUBLE / (1 + count(*))) + 1 AS idf FROM ic, size GROUP BY token
+), iw AS (SELECT item_id, token, n * idf AS w FROM ic JOIN idf USING (token)), iu AS (SELECT item_id, token, w / sqrt(sum(w * w) OVER (PARTITION BY item_id)) AS w FROM iw
+), pc AS (SELECT request_id, token, count(*) AS n FROM (SELECT request_id, unnest(profile_words) AS token FROM prof WHERE has_signal) GROUP BY request_id, token
+), pw AS (SELECT request_id, token, n * idf AS w FROM pc JOIN idf USING (token)), pu AS (SELECT request_id, token, w / sqrt(sum(w * w) OVER (PARTITION BY request_id)) AS w FROM pw
+), sims AS (SELECT request_id, item_id, round(sum(pu.w * iu.w), 9) AS score FROM pu JOIN iu USING (token) GROUP BY request_id, item_id
+), best AS (SELECT request_id, item_id, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, item_id) - 1 AS rank FROM sims WHERE score > 0 QUALIFY rank < 30
+), emb AS (SELECT best.* FROM best JOIN prof USING (request_id) WHERE NOT list_contains(liked_ids, item_id))"""
+SQL["lexical_recall"] = f"WITH {_RECALL} SELECT request_id, item_id, rank, 0.68::DOUBLE AS reliability, 'embedding' AS source_type FROM emb"
+SQL["merge_channels"] = f"""WITH {_RECALL}, b AS (SELECT request_id, item_id, false AS e FROM hits UNION ALL SELECT request_id, item_id, true FROM emb), m AS (SELECT request_id, item_id, count(*) AS n, bool_and(e) AS added FROM b GROUP BY request_id, item_id)
+SELECT request_id, count(*) AS n_candidates, CAST(sum(n) AS BIGINT) AS n_hits, count(*) FILTER (added) AS n_added FROM m GROUP BY request_id"""
 _SCORES = {"retrieval_confidence": ("metadata", "confidence"), "multi_source_agreement": ("agreement",), "artist_match": ("artist_match", "known_artist"), "artist_affinity": ("affinity",), "tag_match": ("tag_match", "title_overlap"), "title_match": ("title_match",), "novelty": ("novelty", "seed_album"), "final_score": ("content", "retrieval", "quality", "base", "gate", "score")}
 for _name, _columns in _SCORES.items():
     SQL[_name] = f"{SCORED if _name == 'final_score' else PARTS} SELECT request_id, item_id, {', '.join(f'round({c} + 1e-10, 8) AS {c}' for c in _columns)} FROM scored"
@@ -367,7 +377,7 @@ SQL["macro_average"] = f"{SHADOW}, l AS (SELECT request_id, avg(novelty) AS n, a
 SQL["shadow_report"] = f"""{SHADOW}, s AS (SELECT * FROM shadow WHERE learned_score IS NOT NULL) SELECT request_id, count(*) AS n_scored, round(avg(learned_score), 6) AS mean_learned, round(var_pop(learned_score), 6) AS var_learned, round(min(learned_score), 6) AS min_learned, round(max(learned_score), 6) AS max_learned,
   round(count(*) FILTER (rank <= 5 AND learned_position <= 5)::DOUBLE / least(5, count(*)), 6) AS overlap, round(coalesce(CASE WHEN count(*) < 2 THEN 0 ELSE corr(rank::DOUBLE, learned_position::DOUBLE) END, 0), 6) AS rank_correlation, count(*) FILTER (abs(rank - learned_position) >= 2) AS n_disagreements,
   coalesce(string_agg(rank || ':' || item_id || ':' || learned_position, ',' ORDER BY rank) FILTER (abs(rank - learned_position) >= 2), '') AS disagreements FROM s GROUP BY request_id"""
-SQL["embedding_share"] = f"""WITH {HITS}, b AS (SELECT request_id, item_id, false AS e FROM hits UNION ALL SELECT request_id, item_id + 1, true FROM hits WHERE source_type = 'artist'), m AS (SELECT request_id, item_id, bool_or(e) AS e FROM b GROUP BY request_id, item_id)
+SQL["embedding_share"] = f"""WITH {_RECALL}, b AS (SELECT request_id, item_id, false AS e FROM hits UNION ALL SELECT request_id, item_id, true FROM emb), m AS (SELECT request_id, item_id, bool_or(e) AS e FROM b GROUP BY request_id, item_id)
 SELECT request_id, round(avg(CASE WHEN e THEN 1.0 ELSE 0.0 END), 6) AS embedding_share FROM m GROUP BY request_id"""
 _DUP = ", ".join(f"round(1 - coalesce(count(DISTINCT nullif({c}_norm, ''))::DOUBLE / nullif(count(nullif({c}_norm, '')), 0), 1), 6) AS dup_{c}" for c in ("artist", "title", "album"))
 SQL["list_bundle"] = f"""{CARDS}, tp AS (SELECT request_id, count(DISTINCT t) AS n_types FROM (SELECT request_id, unnest(types) AS t FROM cards) GROUP BY request_id), dv AS (SELECT a.request_id, avg(1 - (CASE WHEN a.artist_norm = b.artist_norm THEN 0.4::DOUBLE ELSE 0 END + CASE WHEN a.album_norm <> '' AND a.album_norm = b.album_norm THEN 0.2::DOUBLE ELSE 0 END

@@ -13,9 +13,12 @@ from pyspark.sql import functions as F
 from tessera.functions import text as X
 from tessera.operators import enrich
 
-MAX_LIKED, MAX_ARTISTS, MAX_TAGS, MAX_TITLES = 30, 6, 4, 3
+#: Artists, genres (moods, tags) and titles that a plan asks for.
+MAX_ARTISTS, MAX_TAGS, MAX_TITLES = 6, 4, 3
 #: Hits that a request wants of each query, and of each discovery query.
-PER_SIGNAL, DISCOVERY_LIMIT = 2, 2
+PER_SIGNAL, DISCOVERY_LIMIT = 12, 12
+#: The most hits that a search of any type gives.
+MOST_HITS = 12
 MOODS = ("automobile", "building", "furniture", "household", "machinery")
 #: How far a discovery search looks past the first hits.
 PAST = 3
@@ -36,11 +39,11 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def liked(spark: SparkSession, sf_dir: str, least_price: float = 0.0) -> DataFrame:
-    """(request_id, item_id, pos, title, artist, album): the first MAX_LIKED items of each request, by id."""
+    """(request_id, item_id, pos, title, artist, album): all items of each request, in order of id."""
     orders = table(spark, sf_dir, "orders").where(F.col("o_totalprice") >= least_price).select("o_orderkey", "o_custkey")
     bought = orders.join(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey"), F.col("o_orderkey") == F.col("l_orderkey"))
     own = bought.select(F.col("o_custkey").alias("request_id"), F.col("l_partkey").alias("item_id")).distinct()
-    own = own.withColumn("pos", F.row_number().over(Window.partitionBy("request_id").orderBy("item_id"))).where(F.col("pos") <= MAX_LIKED)
+    own = own.withColumn("pos", F.row_number().over(Window.partitionBy("request_id").orderBy("item_id")))
     return own.join(catalogue(spark, sf_dir), "item_id")
 
 
@@ -156,8 +159,10 @@ def search_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
         one("discovery", both(album, m)), each("discovery", lambda w: w), each("discovery", lambda w: both(F.col("artist"), w)),
     )
     found = parts.select("item_id", F.explode(texts).alias("t")).select("t.source_type", "t.query", "item_id")
-    place = F.row_number().over(Window.partitionBy("source_type", "query").orderBy("item_id")) - 1
-    return found.withColumn("position", place - F.when(F.col("source_type") == "discovery", PAST).otherwise(0)).where("position BETWEEN 0 AND 11")
+    # a filter on the bare row number lets each task cut its lists before the shuffle: a mood's items never meet in one task
+    first = found.withColumn("nth", F.row_number().over(Window.partitionBy("source_type", "query").orderBy("item_id"))).where(F.col("nth") <= MOST_HITS + PAST)
+    place = F.col("nth") - 1 - F.when(F.col("source_type") == "discovery", PAST).otherwise(0)
+    return first.select("source_type", "query", "item_id", place.alias("position")).where(F.col("position").between(0, MOST_HITS - 1))
 
 
 def hits(spark: SparkSession, sf_dir: str, planned: DataFrame | None = None) -> DataFrame:

@@ -11,9 +11,10 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, S
 from tessera.config import WEIGHTS
 from tessera.functions import scoring as S
 from tessera.functions import text as X
-from tessera.operators import enrich, explain, filters, rerank
+from tessera.operators import enrich, explain, filters, rerank, semantic
 from tessera.operators.batches import over_requests
-from tessera.operators.retrieval import merge_hits
+from tessera.operators.retrieval import merge_channels, merge_hits
+from tessera.operators.tables import written
 from tessera.plans import domain
 
 CONTENT_WEIGHT, NOVELTY_WEIGHT, DIVERSITY, K = 0.5, 0.3, 0.3, 10
@@ -26,10 +27,35 @@ SIGNAL_TYPES = {"comments": "long", "hot": "long", "red": "long", "followers": "
 SIGNALS = tuple(SIGNAL_TYPES)
 
 
-def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Merged hits with their item and their request's profile."""
-    merged = merge_hits(domain.hits(spark, sf_dir)).join(domain.items(spark, sf_dir), "item_id")
-    return merged.join(domain.profiles(spark, sf_dir), "request_id")
+#: How many items semantic recall finds for a profile; those that the request has stay out after the cut.
+RECALLED = 30
+
+
+def recalled(spark: SparkSession, sf_dir: str, profiles: DataFrame, k: int = RECALLED, dimensions: int = 64) -> DataFrame | None:
+    """Hits of semantic recall: each profile's whole text against the index of the catalogue's texts; None without an index.
+
+    dimensions: of the projection; 0 compares the TF-IDF vectors themselves.
+    """
+    texts = domain.catalogue(spark, sf_dir).select(F.col("item_id").alias("id"), F.concat_ws(" ", "title", "artist", "album").alias("text"))
+    built = semantic.index(texts, None, None, wanted=dimensions)
+    if built is None:
+        return None
+    own = profiles.select(F.col("request_id").alias("query_id"), F.explode("liked_ids").alias("item_id"))
+    asked = profiles.where("has_signal").select(F.col("request_id").alias("id"), F.array_join("profile_words", " ").alias("text"))
+    return semantic.as_hits(built.recall(asked, k, own), WEIGHTS.embedding_reliability)
+
+
+def all_hits(spark: SparkSession, sf_dir: str, profiles: DataFrame, dimensions: int = 64) -> DataFrame:
+    """Hits of both channels: those of searches first, then those of recall."""
+    searched = domain.hits(spark, sf_dir, domain.plan(profiles.where("has_signal")))
+    more = recalled(spark, sf_dir, profiles, dimensions=dimensions)
+    return searched if more is None else merge_channels(searched, more.select(searched.columns))
+
+
+def candidates(spark: SparkSession, sf_dir: str, profiles: DataFrame | None = None, hits: DataFrame | None = None) -> DataFrame:
+    """Merged hits (of searches alone, if none are given) with their item and their request's profile."""
+    merged = merge_hits(domain.hits(spark, sf_dir) if hits is None else hits).join(domain.items(spark, sf_dir), "item_id")
+    return merged.join(domain.profiles(spark, sf_dir) if profiles is None else profiles, "request_id")
 
 
 def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,8 +63,12 @@ def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_words(rows: DataFrame) -> DataFrame:
-    """rows with text_words: title without the profile's tags, artist, artists, album, the queries that found it, and the profile's tags that those hold."""
-    said = F.flatten(F.filter("phrase_tokens", lambda p: (F.size(p) > 0) & (F.size(F.array_except(p, F.col("query_tokens"))) == 0)))
+    """rows with text_words: title without the profile's tags, artist, artists, album, the queries that found it, and the profile's tags that those hold.
+
+    Recall's query is the whole profile text, which holds all tags; its own words are added by with_text.
+    """
+    by_profile = F.array_contains("types", "embedding")
+    said = F.flatten(F.filter("phrase_tokens", lambda p: (F.size(p) > 0) & (by_profile | (F.size(F.array_except(p, F.col("query_tokens"))) == 0))))
     return rows.withColumn("text_words", F.concat(X.without(F.col("t_title"), F.col("tag_tokens")), "t_artist", "t_artist", "t_album", "query_tokens", said))
 
 
@@ -52,8 +82,8 @@ def with_text(rows: DataFrame) -> DataFrame:
     """rows with text_similarity (TF-IDF cosine of profile and candidate), and text_codes, text_weights: a vector of length 1.
 
     A request's profile_words, which one of its rows has, and its candidates' text_words are a corpus of their own, with
-    weights as in semantic.tfidf; rows with `dropped` have no part in it and go. Codes number tokens, and mean nothing
-    beyond a request. One pass over many pools at a time, instead of a shuffle of each candidate's tokens.
+    weights as in semantic.tfidf; rows with `dropped` have no part in it and go. A candidate that recall has found has the
+    profile's words as well: they were its query. Codes number tokens, and mean nothing beyond a request. One pass over many pools at a time, instead of a shuffle of each candidate's tokens.
     """
 
     def weigh(pool: pa.Table, at: np.ndarray) -> pa.Table:
@@ -68,7 +98,15 @@ def with_text(rows: DataFrame) -> DataFrame:
         size = np.diff(lists.offsets.to_numpy())
         encoded = lists.flatten().dictionary_encode()
         v = max(1, len(encoded.dictionary))
-        key, count = np.unique(np.repeat(np.arange(docs), size) * v + encoded.indices.to_numpy().astype(np.int64), return_counts=True)
+        indices, holder = encoded.indices.to_numpy().astype(np.int64), np.repeat(np.arange(docs), size)
+        if "by_profile" in pool.column_names:
+            found = np.flatnonzero(pool.column("by_profile").to_numpy().astype(bool)[live])
+            profile = first + np.searchsorted(of[first:], of[found])
+            length, start = size[profile], (np.cumsum(size) - size)[profile]
+            spots = np.repeat(start - (np.cumsum(length) - length), length) + np.arange(length.sum())
+            holder, indices = np.concatenate([holder, np.repeat(found, length)]), np.concatenate([indices, indices[spots]])
+            size = np.bincount(holder, minlength=docs)
+        key, count = np.unique(holder * v + indices, return_counts=True)
         doc, code = key // v, key % v
         token = of[doc] * v + code
         _, where, times = np.unique(token, return_inverse=True, return_counts=True)
@@ -86,7 +124,9 @@ def with_text(rows: DataFrame) -> DataFrame:
         out = out.append_column("text_similarity", pa.array(near)).append_column("text_codes", pa.ListArray.from_arrays(offsets, pa.array(code[:cut], pa.int32())))
         return out.append_column("text_weights", pa.ListArray.from_arrays(offsets, pa.array(unit[:cut])))
 
-    kept = [c for c in rows.columns if c not in ("text_words", "profile_words", "dropped")]
+    if "types" in rows.columns:
+        rows = rows.withColumn("by_profile", F.array_contains("types", "embedding"))
+    kept = [c for c in rows.columns if c not in ("text_words", "profile_words", "dropped", "by_profile")]
     more = [StructField("text_similarity", DoubleType()), StructField("text_codes", ArrayType(IntegerType())), StructField("text_weights", ArrayType(DoubleType()))]
     return over_requests(rows, ["item_id"], weigh, StructType([*(rows.schema[c] for c in kept), *more]))
 
@@ -174,12 +214,16 @@ def cards(rows: DataFrame, promoted: Column, profiles: DataFrame) -> DataFrame:
     return rows.withColumns({"reasons": why, "explanation": explain.explanation(c("pick"), c("title"), c("artist"), c("tags"))})
 
 
-def ranked_pool(spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:
+def ranked_pool(spark: SparkSession, sf_dir: str, k: int = K, found: DataFrame | None = None) -> DataFrame:
     """The pool of each request before the choice: candidates that all rules keep, with the scores of the second round.
 
     Scored without signals first; the best budget(k) of a request get theirs; the whole pool goes on, whatever its size.
+    found: candidates; by default those of both channels.
     """
-    pool = filters.before_signals(features(candidates(spark, sf_dir))).where("dropped IS NULL")
+    if found is None:
+        profiles = written(domain.profiles(spark, sf_dir), "profiles")
+        found = candidates(spark, sf_dir, profiles, all_hits(spark, sf_dir, profiles))
+    pool = filters.before_signals(features(found)).where("dropped IS NULL")
     pool = profile_once(text_words(pool).select(*CARRIED, "text_words", "profile_words"))
     kept = pool.withColumns({"words": F.col("text_words"), "own_words": F.col("profile_words"), "enriched": F.lit(False), **{c: F.lit(None).cast(t) for c, t in SIGNAL_TYPES.items()}})
     first = totals(with_text(signal_features(kept))).withColumn("place", by_score())
@@ -190,5 +234,7 @@ def ranked_pool(spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:
 
 def recommend(spark: SparkSession, sf_dir: str, k: int = K, diversity: float = DIVERSITY) -> DataFrame:
     """Cards: request_id, rank, item, scores, pick type, reasons, explanation. Requests without any signal have none."""
-    chosen = rerank.mmr(ranked_pool(spark, sf_dir, k), k, diversity).drop("text_codes", "text_weights")
-    return cards(chosen, F.col("promoted"), domain.profiles(spark, sf_dir))
+    profiles = written(domain.profiles(spark, sf_dir), "profiles")
+    found = candidates(spark, sf_dir, profiles, all_hits(spark, sf_dir, profiles))
+    chosen = rerank.mmr(ranked_pool(spark, sf_dir, k, found), k, diversity).drop("text_codes", "text_weights")
+    return cards(chosen, F.col("promoted"), profiles)

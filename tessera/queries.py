@@ -178,12 +178,15 @@ def vector_topk_excluding(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def semantic_recall(spark: SparkSession, sf: str) -> DataFrame:
     """Each profile's text against the index of the catalogue's texts; liked items are dropped after the cut."""
-    items = domain.catalogue(spark, sf).select(F.col("item_id").alias("id"), F.concat_ws(" ", "title", "artist", "album").alias("text"))
-    built = semantic.index(items, None, None)
-    profiles = domain.profiles(spark, sf)
-    own = profiles.select(F.col("request_id").alias("query_id"), F.explode("liked_ids").alias("item_id"))
-    found = built.recall(profiles.select(F.col("request_id").alias("id"), F.array_join("profile_words", " ").alias("text")), 30, own)
-    return found.select(F.col("query_id").alias("request_id"), "item_id", _r("score", 4), "rank")
+    found = R.recalled(spark, sf, domain.profiles(spark, sf))
+    return found.select("request_id", "item_id", F.col("position").alias("rank"))
+
+
+@query
+def lexical_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """The same recall by the TF-IDF vectors themselves."""
+    found = R.recalled(spark, sf, domain.profiles(spark, sf), dimensions=0)
+    return found.select("request_id", "item_id", F.col("position").alias("rank"), "reliability", "source_type")
 
 
 # profiles and retrieval
@@ -238,14 +241,16 @@ def route_counts(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.route_counts(domain.hits(spark, sf))
 
 
+def _both_channels(spark: SparkSession, sf: str) -> DataFrame:
+    return R.all_hits(spark, sf, domain.profiles(spark, sf), dimensions=0)
+
+
 @query
 def merge_channels(spark: SparkSession, sf: str) -> DataFrame:
-    h = domain.hits(spark, sf)
-    emb = h.where("source_type = 'artist'").withColumn("source_type", F.lit("embedding")).withColumn("item_id", F.col("item_id") + 1).withColumn("reliability", F.lit(WEIGHTS.embedding_reliability))
-    both = retrieval.merge_hits(retrieval.merge_channels(h, emb))
-    new = emb.join(h, ["request_id", "item_id"], "left_anti").select("request_id", "item_id").distinct()
-    added = new.groupBy("request_id").agg(F.count("*").alias("n_added"))
-    return both.groupBy("request_id").agg(F.count("*").alias("n_candidates"), F.sum("n_hits").alias("n_hits")).join(added, "request_id", "left").fillna(0, ["n_added"])
+    """Candidates and hits of each request, and the items that recall adds to those of searches."""
+    both = retrieval.merge_hits(_both_channels(spark, sf))
+    new = F.count_if(F.size(F.array_remove("types", "embedding")) == 0)
+    return both.groupBy("request_id").agg(F.count("*").alias("n_candidates"), F.sum("n_hits").alias("n_hits"), new.alias("n_added"))
 
 
 # scores
@@ -587,9 +592,7 @@ def shadow_report(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def embedding_share(spark: SparkSession, sf: str) -> DataFrame:
-    h = domain.hits(spark, sf)
-    emb = h.where("source_type = 'artist'").withColumn("source_type", F.lit("embedding")).withColumn("item_id", F.col("item_id") + 1)
-    return metrics.embedding_share(retrieval.merge_hits(retrieval.merge_channels(h, emb))).select("request_id", _r("embedding_share"))
+    return metrics.embedding_share(retrieval.merge_hits(_both_channels(spark, sf))).select("request_id", _r("embedding_share"))
 
 
 BUNDLE = ["artist_coverage", "album_coverage", "mean_novelty", "mean_unpopularity", "embedding_share", "dup_artist", "dup_title", "dup_album", "mean_score", "var_score", "min_score", "max_score", "diversity"]
