@@ -76,9 +76,6 @@ def after_signals(rows: DataFrame) -> DataFrame:
     return rows.withColumn("dropped", F.when(unplayable(), "unplayable").when(trust, "low_trust"))
 
 
-def funnel(rows: DataFrame, rules: list[tuple[str, Column]]) -> DataFrame:
-    """(rule, n): rows that each rule is the first to drop, and those that stay."""
-    first = None
-    for name, bad in rules:
-        first = F.when(bad, name) if first is None else first.when(bad, name)
-    return rows.groupBy(first.otherwise("kept").alias("rule")).agg(F.count("*").alias("n"))
+def funnel(rows: DataFrame) -> DataFrame:
+    """(rule, n): rows that each rule drops, by `dropped`, and those that stay."""
+    return rows.groupBy(F.coalesce("dropped", F.lit("kept")).alias("rule")).agg(F.count("*").alias("n"))

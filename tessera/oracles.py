@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 STOP = "['a','an','the','of','and','or','to','in','on','for','by','with','from','is','was','are','be','feat','ft','vs','live','cover','acoustic','instrumental','demo','radio','karaoke','mono','stereo','remix','version','edit','mix','remastered','remaster']"
 VERSION = "['live','cover','acoustic','instrumental','demo','radio','karaoke','mono','stereo','remix','version','edit','mix','remastered','remaster']"
 TASTE = "('artist_context','genre','mood','tag','genre_mood','tag_combo','discovery')"
@@ -41,44 +43,51 @@ def firsts(x: str) -> str:
     return f"list_filter({x}, lambda v, i: list_position({x}, v) = i)"
 
 
-ITEMS = "items AS (SELECT p_partkey AS item_id, p_name AS title, p_brand AS artist, p_type AS album FROM part)"
+#: The catalogue with the tokens and normal forms of its texts, made once an item.
+ITEMS = f"""items0 AS (SELECT p_partkey AS item_id, p_name AS title, p_brand AS artist, p_type AS album FROM part
+), items AS MATERIALIZED (SELECT *, {tok('title')} AS tt, {tok('artist')} AS ta, {tok('album')} AS tb, {raw('title')} AS rt, {norm_title('title')} AS nt, {norm_artist('artist')} AS na, {norm_title('album')} AS nb,
+  {norm_artist('album')} AS kb, string_split(title, ' ') AS ws, list_transform(string_split(title, ' '), lambda v: {norm_artist('v')}) AS kw, list_has_any(list_concat({raw('title')}, {raw('artist')}, {raw('album')}), {VERSION}) AS versioned FROM items0)"""
 LIKED = f"""{ITEMS}, own AS (
-  SELECT o_custkey AS request_id, l_partkey AS item_id, row_number() OVER (PARTITION BY o_custkey ORDER BY l_partkey) AS pos
-  FROM (SELECT DISTINCT o_custkey, l_partkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey)
-), liked AS (SELECT own.*, title, artist, album FROM own JOIN items USING (item_id))"""
+  SELECT o_custkey AS request_id, l_partkey AS item_id FROM (SELECT DISTINCT o_custkey, l_partkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey)
+), liked AS (SELECT own.request_id, items.*, own.item_id AS pos FROM own JOIN items USING (item_id))"""
+
+
 def dedupe(x: str) -> str:
     """The first phrase of each normal form."""
     keys = f"list_transform({x}, lambda v: {norm_artist('v')})"
     return f"list_filter({x}, lambda v, i: {norm_artist('v')} <> '' AND list_position({keys}, {norm_artist('v')}) = i)"
 
 
+def first_keys(values: str, keys: str) -> str:
+    """The first value of each key that is not blank; both lists have one order."""
+    return f"list_filter({values}, lambda v, i: {keys}[i] <> '' AND list_position({keys}, {keys}[i]) = i)"
+
+
 def words_of(x: str) -> str:
     return f"flatten(list_transform({x}, lambda v: {tok('v')}))"
 
 
-STATED = """stated AS (SELECT c_custkey AS request_id, CASE WHEN c_acctbal >= 0 THEN ['Brand#' || (c_nationkey + 1)] ELSE [] END AS liked_artists, CASE WHEN c_acctbal >= 0 THEN [lower(c_mktsegment)] ELSE [] END AS moods FROM customer)"""
+STATED = f"""stated0 AS (SELECT c_custkey AS request_id, CASE WHEN c_acctbal >= 0 THEN ['Brand#' || (c_nationkey + 1)] ELSE [] END AS liked_artists, CASE WHEN c_acctbal >= 0 THEN [lower(c_mktsegment)] ELSE [] END AS moods FROM customer
+), stated AS (SELECT *, list_transform(liked_artists, lambda v: {norm_artist('v')}) AS sn, {words_of('liked_artists')} AS sw, list_has_any(flatten(list_transform(list_concat(liked_artists, moods), lambda v: {raw('v')})), {VERSION}) AS sv FROM stated0)"""
 
 
 def profile(liked: str = LIKED, kind: str = "JOIN") -> str:
     return f"""{liked}, {STATED}, lists AS (
-  SELECT request_id, list(artist ORDER BY pos) AS al0, list(album ORDER BY pos) AS bl0, list(title ORDER BY pos) AS tl0, list(item_id ORDER BY item_id) AS ids0 FROM liked GROUP BY request_id
+  SELECT request_id, list(artist ORDER BY pos) AS al, list(album ORDER BY pos) AS bl, list(title ORDER BY pos) AS tl, list(item_id ORDER BY item_id) AS liked_ids, list(na ORDER BY pos) AS nal, list(kb ORDER BY pos) AS kbl, list(nt) AS ntl, list(nb) AS nbl,
+    flatten(list(ws ORDER BY pos)) AS wl, flatten(list(kw ORDER BY pos)) AS kl, flatten(list(tt ORDER BY pos)) AS ttw, flatten(list(ta ORDER BY pos)) AS taw, flatten(list(tb ORDER BY pos)) AS tbw, bool_or(versioned) AS versioned FROM liked GROUP BY request_id
 ), prof0 AS (
-  SELECT stated.request_id, coalesce(ids0, []) AS liked_ids, coalesce(al0, []) AS al, coalesce(bl0, []) AS bl, coalesce(tl0, []) AS tl, liked_artists, moods, list_concat(coalesce(al0, []), liked_artists) AS credits
+  SELECT stated.*, coalesce(versioned, false) AS versioned, {', '.join(f'coalesce({c}, []) AS {c}' for c in ('liked_ids', 'al', 'bl', 'tl', 'nal', 'kbl', 'ntl', 'nbl', 'wl', 'kl', 'ttw', 'taw', 'tbw'))}
   FROM stated {'LEFT ' if kind == 'LEFT' else ''}JOIN lists ON lists.request_id = stated.request_id
 ), prof1 AS (
-  SELECT *, list_filter({firsts('credits')}, lambda v: {norm_artist('v')} <> '') AS artists, {dedupe('bl')}[1:4] AS genres, flatten(list_transform(tl, lambda v: string_split(v, ' '))) AS title_words,
-    {firsts(f"list_filter(list_transform(credits, lambda v: {norm_artist('v')}), lambda v: v <> '')")} AS artist_norms,
-    list_filter(list_distinct(list_transform(tl, lambda v: {norm_title('v')})), lambda v: v <> '') AS title_norms,
-    list_filter(list_distinct(list_transform(bl, lambda v: {norm_title('v')})), lambda v: v <> '') AS album_norms,
-    list_distinct({words_of('tl')}) AS title_tokens, list_distinct({words_of('credits')}) AS artist_tokens FROM prof0
-), prof2 AS (SELECT *, {dedupe('title_words')}[1:4] AS tags FROM prof1
-), prof3 AS (SELECT *, list_concat(genres, moods, tags) AS phrases0, list_transform(artist_norms, lambda n: len(list_filter(al, lambda v: {norm_artist('v')} = n)) + 0.75::DOUBLE * len(list_filter(liked_artists, lambda v: {norm_artist('v')} = n))) AS w0 FROM prof2
-), prof4 AS (SELECT *, {dedupe('phrases0')} AS tag_phrases FROM prof3
-), prof5 AS (SELECT *, {words_of('tag_phrases')} AS all_tags, {words_of('list_concat(tag_phrases, artists, tl)')} AS all_intent FROM prof4
-), prof AS (SELECT request_id, liked_ids, al, bl, tl, artists, genres, moods, tags, tag_phrases, artist_norms, title_norms, album_norms, title_tokens, artist_tokens, {firsts('all_tags')} AS tag_tokens, {firsts('all_intent')} AS intent_terms,
-  list_transform(w0, lambda w: least(1.0, w / list_max(w0))) AS artist_weights,
-  list_concat({words_of('tl')}, {words_of('tl')}, {words_of('al')}, {words_of('al')}, {words_of('bl')}, {words_of('artists')}, {words_of('genres')}, {words_of('moods')}, {words_of('tags')}) AS profile_words,
-  list_has_any(flatten(list_transform(list_concat(tl, credits, genres, moods, tags), lambda v: {raw('v')})), {VERSION}) AS wants_versions,
+  SELECT *, list_concat(al, liked_artists) AS credits, list_concat(nal, sn) AS cn, {first_keys('bl', 'kbl')}[1:4] AS genres, {first_keys('wl', 'kl')}[1:4] AS tags FROM prof0
+), prof2 AS (
+  SELECT *, list_filter(credits, lambda v, i: cn[i] <> '' AND list_position(credits, v) = i) AS artists, list_filter(cn, lambda v, i: v <> '' AND list_position(cn, v) = i) AS artist_norms, list_concat(genres, moods, tags) AS phrases0 FROM prof1
+), prof3 AS (SELECT *, {dedupe('phrases0')} AS tag_phrases, list_transform(artist_norms, lambda n: len(list_filter(nal, lambda v: v = n)) + 0.75::DOUBLE * len(list_filter(sn, lambda v: v = n))) AS w0 FROM prof2
+), prof4 AS (SELECT *, list_transform(tag_phrases, lambda v: {tok('v')}) AS pt, list_transform(tag_phrases, lambda v: {norm_title('v')}) AS pn, {words_of('artists')} AS aw FROM prof3
+), prof5 AS (SELECT *, flatten(pt) AS all_tags, list_concat(flatten(pt), aw, ttw) AS all_intent FROM prof4
+), prof AS MATERIALIZED (SELECT request_id, liked_ids, al, bl, tl, artists, genres, moods, tags, tag_phrases, pt, pn, artist_norms, list_filter(list_distinct(ntl), lambda v: v <> '') AS title_norms, list_filter(list_distinct(nbl), lambda v: v <> '') AS album_norms,
+  list_distinct(ttw) AS title_tokens, list_distinct(list_concat(taw, sw)) AS artist_tokens, {firsts('all_tags')} AS tag_tokens, {firsts('all_intent')} AS intent_terms, list_transform(w0, lambda w: least(1.0, w / list_max(w0))) AS artist_weights,
+  list_concat(ttw, ttw, taw, taw, tbw, aw, {words_of('genres')}, {words_of('moods')}, {words_of('tags')}) AS profile_words, versioned OR sv AS wants_versions,
   len(liked_ids) > 0 OR len(artist_norms) > 0 OR len(all_tags) > 0 AS has_signal FROM prof5)"""
 
 
@@ -113,19 +122,20 @@ HITS = f"""{PLAN}, facets AS (
   UNION ALL SELECT 'tag_combo', array_to_string(string_split(title, ' ')[1:2], ' '), item_id FROM facets UNION ALL SELECT 'seed_song', title || ' ' || artist, item_id FROM facets
   UNION ALL SELECT 'seed_album', artist || ' ' || array_to_string({tok('album')}[1:2], ' '), item_id FROM facets UNION ALL SELECT 'title', title, item_id FROM facets
   UNION ALL SELECT 'discovery', album || ' ' || mood, item_id FROM facets UNION ALL SELECT 'discovery', w, item_id FROM words UNION ALL SELECT 'discovery', artist || ' ' || w, item_id FROM words
-), found AS (SELECT *, row_number() OVER (PARTITION BY source_type, query ORDER BY item_id) - 1 - CASE WHEN source_type = 'discovery' THEN 3 ELSE 0 END AS position FROM answers
-), hits AS (
-  SELECT request_id, plan_idx, p.source_type, p.query, reliability, item_id, position FROM planned p JOIN found f ON p.source_type = f.source_type AND p.query = f.query
-  WHERE position BETWEEN 0 AND 11 AND position < max_hits
+), found AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY source_type, query ORDER BY item_id) - 1 - CASE WHEN source_type = 'discovery' THEN 3 ELSE 0 END AS position FROM answers QUALIFY position BETWEEN 0 AND 11
+), asked AS MATERIALIZED (SELECT *, {tok('query')} AS qt FROM (SELECT DISTINCT query FROM planned)
+), hits AS MATERIALIZED (
+  SELECT request_id, plan_idx, p.source_type, p.query, reliability, item_id, position, qt FROM planned p JOIN found f ON p.source_type = f.source_type AND p.query = f.query JOIN asked ON asked.query = p.query
+  WHERE position < max_hits
 )"""
 
 
-def merged(source: str = "hits") -> str:
-    return f"""SELECT request_id, item_id, count(*) AS n_hits, count(DISTINCT source_type || ':' || query) AS n_names, list_sort(list(DISTINCT source_type)) AS types,
+def merged(source: str = "hits", sources: bool = False) -> str:
+    more = ", list(source_type || ':' || query ORDER BY plan_idx, source_type || ':' || query) AS source_list" if sources else ""
+    return f"""SELECT request_id, item_id, count(*) AS n_hits, count(DISTINCT (source_type, query)) AS n_names, list_sort(list(DISTINCT source_type)) AS types,
       min({{'a': plan_idx, 'b': position}}) AS first_hit, max(reliability / (1 + 0.2::DOUBLE * position)) AS best_value, avg(reliability / (1 + 0.2::DOUBLE * position)) AS mean_value, avg(position) AS mean_position,
       max(reliability) AS max_reliability, max(1 / (1 + 0.2::DOUBLE * position)) AS max_rank,
-      list_distinct(flatten(list(CASE WHEN source_type IN {TASTE} THEN {tok('query')} ELSE [] END))) AS taste_tokens, flatten(list({tok('query')})) AS query_tokens,
-      list(source_type || ':' || query ORDER BY plan_idx, source_type || ':' || query) AS source_list
+      list_distinct(flatten(list(CASE WHEN source_type IN {TASTE} THEN qt ELSE [] END))) AS taste_tokens, flatten(list(qt)) AS query_tokens{more}
     FROM {source} GROUP BY request_id, item_id"""
 
 
@@ -133,8 +143,23 @@ SIGNALS = """signals AS (
   SELECT l_partkey AS item_id, count(*) AS comments, count(DISTINCT l_suppkey) AS hot, CAST(trunc(sum(l_quantity)) AS BIGINT) AS red, count(*) * 5 AS followers,
     sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) * 2 <= count(*) AS playable, max(l_discount) AS max_discount FROM lineitem GROUP BY l_partkey
 )"""
-CANDS = f"{HITS}, cands AS (SELECT m.*, items.* EXCLUDE (item_id), prof.* EXCLUDE (request_id) FROM ({merged()}) m JOIN items USING (item_id) JOIN prof USING (request_id))"
-RICH = f"{CANDS}, {SIGNALS}, rich AS (SELECT cands.*, signals.* EXCLUDE (item_id), signals.comments IS NOT NULL AS enriched FROM cands LEFT JOIN signals USING (item_id))"
+#: What candidates need of items and profiles; lists that grow with a profile are told from the profile itself.
+_OF_ITEM = "title, artist, album, tt, ta, tb, rt, nt, na, nb"
+_OF_PROFILE = "liked_ids, al, tl, artists, genres, tag_phrases, pt, pn, artist_norms, title_norms, album_norms, title_tokens, artist_tokens, tag_tokens, artist_weights, wants_versions"
+
+
+def cands(sources: bool = False) -> str:
+    return f"{HITS}, cands AS (SELECT m.*, {_OF_ITEM}, {_OF_PROFILE} FROM ({merged(sources=sources)}) m JOIN items ON items.item_id = m.item_id JOIN prof ON prof.request_id = m.request_id)"
+
+
+CANDS = cands()
+
+
+def rich(sources: bool = False) -> str:
+    return f"{cands(sources)}, {SIGNALS}, rich AS (SELECT cands.*, signals.* EXCLUDE (item_id), signals.comments IS NOT NULL AS enriched FROM cands LEFT JOIN signals USING (item_id))"
+
+
+RICH = rich()
 
 POP = "CASE WHEN NOT enriched THEN 0.55 WHEN comments + 3 * hot + 0.5 * red <= 0 THEN 0.0 ELSE least(1.0, ln(1 + (comments + 3 * hot + red / 2.0)::DOUBLE) / ln(5001::DOUBLE)) END"
 AUTH = "CASE WHEN NOT enriched OR followers IS NULL THEN 0.55 WHEN followers <= 0 THEN 0.0 ELSE least(1.0, ln(1 + followers::DOUBLE) / ln(500001::DOUBLE)) END"
@@ -142,37 +167,42 @@ AUDIO = "CASE WHEN max_discount >= 0.1 THEN 1.0 WHEN max_discount >= 0.09 THEN 0
 PLAY = "CASE WHEN NOT enriched OR playable IS NULL THEN 0.6 WHEN playable THEN 1.0 ELSE 0.0 END"
 
 
-_SAID = f"flatten(list_transform(list_filter(tag_phrases, lambda p: len({tok('p')}) > 0 AND len(list_filter({tok('p')}, lambda x: NOT list_contains(query_tokens, x))) = 0), lambda p: {tok('p')}))"
-_WORDS_OF_CANDIDATE = f"list_concat(list_filter({tok('title')}, lambda x: NOT list_contains(tag_tokens, x)), {tok('artist')}, {tok('artist')}, {tok('album')}, query_tokens, {_SAID})"
-_HAVE = f"list_concat({tok('artist')}, {tok('album')})"
-_ALLTAGS = f"list_concat(list_filter(tag_phrases, lambda p: len({tok('p')}) > 0 AND len(list_filter({tok('p')}, lambda x: NOT list_contains({_HAVE}, x))) = 0), list_filter(flatten(list_transform(tag_phrases, lambda p: {tok('p')})), lambda x: list_contains({_HAVE}, x)))"
+_SAID = "flatten(list_filter(pt, lambda p: len(p) > 0 AND list_has_all(query_tokens, p)))"
+_WORDS_OF_CANDIDATE = f"list_concat(list_filter(tt, lambda x: NOT list_contains(tag_tokens, x)), ta, ta, tb, query_tokens, {_SAID})"
+#: What recall has found has the profile's text as a query, which holds all tags.
+_WORDS_OF_BOTH = f"CASE WHEN list_contains(types, 'embedding') THEN list_concat(list_filter(tt, lambda x: NOT list_contains(tag_tokens, x)), ta, ta, tb, query_tokens, profile_words, flatten(pt)) ELSE {_WORDS_OF_CANDIDATE} END"
+_HAVE = "list_concat(ta, tb)"
+_ALLTAGS = f"list_concat(list_filter(tag_phrases, lambda p, i: len(pt[i]) > 0 AND list_has_all({_HAVE}, pt[i])), list_filter(flatten(pt), lambda x: list_contains({_HAVE}, x)))"
 
 
-def text(source: str = "rich") -> str:
-    """TF-IDF of each request's profile (item -1) and candidates: terms tw, lengths tn, cosine with the profile txt."""
-    return f"""tdocs AS (SELECT request_id, item_id, {_WORDS_OF_CANDIDATE} AS w FROM {source} UNION ALL SELECT request_id, -1, profile_words FROM prof WHERE request_id IN (SELECT request_id FROM {source})
-), tcount AS (SELECT request_id, item_id, token, any_value(n) AS n, count(*) AS c FROM (SELECT request_id, item_id, len(w) AS n, unnest(w) AS token FROM tdocs) GROUP BY request_id, item_id, token
+def text(source: str = "rich", words: str = _WORDS_OF_CANDIDATE) -> str:
+    """TF-IDF of each request's profile (item -1) and candidates: terms tw, lengths tn, cosine with the profile txt.
+
+    Tokens are numbered once, documents are one number (request and item), so that the grouped pass is over integers.
+    """
+    return f"""tdocs AS (SELECT request_id, item_id, {words} AS w FROM {source} UNION ALL SELECT request_id, -1, profile_words FROM prof WHERE request_id IN (SELECT request_id FROM {source})
+), tlong AS MATERIALIZED (SELECT request_id, item_id, len(w) AS n, unnest(w) AS word FROM tdocs), tnames AS MATERIALIZED (SELECT word, CAST(row_number() OVER () AS INTEGER) AS token FROM (SELECT DISTINCT word FROM tlong)
+), tcount AS MATERIALIZED (SELECT request_id, item_id, token, any_value(n) AS n, count(*) AS c FROM tlong JOIN tnames USING (word) GROUP BY request_id, item_id, token
 ), tdf AS (SELECT request_id, token, count(*) AS df FROM tcount GROUP BY request_id, token), tsize AS (SELECT request_id, count(*) AS docs FROM tdocs GROUP BY request_id
-), tw AS (SELECT c.request_id, item_id, c.token, c.c::DOUBLE / n * (ln((1 + docs)::DOUBLE / (1 + df)) + 1) AS w FROM tcount c JOIN tdf ON tdf.request_id = c.request_id AND tdf.token = c.token JOIN tsize ON tsize.request_id = c.request_id
-), tn AS (SELECT request_id, item_id, sqrt(sum(w * w)) AS norm FROM tw GROUP BY request_id, item_id
-), tdot AS (SELECT a.request_id, a.item_id, sum(a.w * b.w) AS dot FROM tw a JOIN tw b ON a.request_id = b.request_id AND a.token = b.token AND b.item_id = -1 WHERE a.item_id <> -1 GROUP BY a.request_id, a.item_id
-), txt AS (SELECT d.request_id, d.item_id, round(least(1.0, dot / (x.norm * y.norm)), 9) AS cos FROM tdot d JOIN tn x ON x.request_id = d.request_id AND x.item_id = d.item_id JOIN tn y ON y.request_id = d.request_id AND y.item_id = -1)"""
+), tw AS MATERIALIZED (SELECT c.request_id, item_id, c.token, c.c::DOUBLE / n * (ln((1 + docs)::DOUBLE / (1 + df)) + 1) AS w FROM tcount c JOIN tdf ON tdf.request_id = c.request_id AND tdf.token = c.token JOIN tsize ON tsize.request_id = c.request_id
+), tp AS (SELECT request_id, token, w FROM tw WHERE item_id = -1), tn AS MATERIALIZED (SELECT tw.request_id, item_id, sqrt(sum(tw.w * tw.w)) AS norm, sum(tw.w * tp.w) AS dot FROM tw LEFT JOIN tp ON tp.request_id = tw.request_id AND tp.token = tw.token GROUP BY tw.request_id, item_id
+), txt AS (SELECT x.request_id, x.item_id, round(least(1.0, coalesce(x.dot, 0) / (x.norm * y.norm)), 9) AS cos FROM tn x JOIN tn y ON x.request_id = y.request_id AND y.item_id = -1 WHERE x.item_id <> -1)"""
 
 
-def scored(source: str = "rich", with_text: bool = True) -> str:
-    known = f"CASE WHEN list_contains(artist_norms, {norm_artist('artist')}) THEN 1.0 ELSE 0.0 END::DOUBLE"
+def scored(source: str = "rich", with_text: bool = True, words: str = _WORDS_OF_CANDIDATE) -> str:
+    known = f"CASE WHEN list_contains(artist_norms, na) THEN 1.0 ELSE 0.0 END::DOUBLE"
     joined = f"(SELECT {source}.*, coalesce(txt.cos, 0.0) AS text_similarity FROM {source} LEFT JOIN txt ON txt.request_id = {source}.request_id AND txt.item_id = {source}.item_id)" if with_text else f"(SELECT *, 0.0 AS text_similarity FROM {source})"
-    return f"""{text(source) + ', ' if with_text else ''}s1 AS (
-  SELECT *, {norm_artist('artist')} AS artist_norm, {norm_title('album')} AS album_norm, {norm_title('title')} AS title_norm,
+    return f"""{text(source, words) + ', ' if with_text else ''}s1 AS (
+  SELECT *, na AS artist_norm, nb AS album_norm, nt AS title_norm,
     (CASE WHEN title <> '' THEN 0.35 ELSE 0 END + CASE WHEN artist <> '' THEN 0.3 ELSE 0 END + CASE WHEN album <> '' THEN 0.15 ELSE 0 END + CASE WHEN item_id <> 0 THEN 0.1 ELSE 0 END)::DOUBLE AS metadata,
     (0.4::DOUBLE * least(1.0, n_names / 4.0) + 0.3::DOUBLE * least(1.0, len(types) / 4.0) + CASE WHEN list_has_any(types, ['artist','artist_context','seed_song','seed_album']) AND list_has_any(types, ['genre','mood','tag','genre_mood','tag_combo','discovery']) THEN 0.3::DOUBLE ELSE 0.0 END)
       * CASE WHEN types = ['title'] THEN 0.35::DOUBLE ELSE 1.0 END AS agreement,
-    {POP}::DOUBLE AS popularity, {AUTH}::DOUBLE AS authority, {PLAY}::DOUBLE AS play, ({AUDIO})::DOUBLE AS audio_score, {known} AS known_artist, coalesce(artist_weights[list_position(artist_norms, {norm_artist('artist')})], 0.0) AS own_weight,
-    CASE WHEN {known} = 1 THEN 1.0 ELSE {jaccard(tok('artist'), 'artist_tokens')} END::DOUBLE AS artist_match,
-    least(1.0, 0.7::DOUBLE * {share('tag_tokens', f"list_concat({tok('artist')}, {tok('album')})")} + 0.3::DOUBLE * {share('tag_tokens', 'taste_tokens')}) AS tag_match,
-    {share('tag_tokens', tok('title'))} AS title_overlap,
-    CASE WHEN len(title_tokens) > 0 THEN least(1.0, len(list_intersect(list_distinct({tok('title')}), title_tokens)) / greatest(1.0, sqrt(len(title_tokens)::DOUBLE))) ELSE 0.0 END::DOUBLE AS title_match,
-    CASE WHEN list_contains(album_norms, {norm_title('album')}) THEN 1.0 ELSE 0.0 END::DOUBLE AS seed_album
+    {POP}::DOUBLE AS popularity, {AUTH}::DOUBLE AS authority, {PLAY}::DOUBLE AS play, ({AUDIO})::DOUBLE AS audio_score, {known} AS known_artist, coalesce(artist_weights[list_position(artist_norms, na)], 0.0) AS own_weight,
+    CASE WHEN {known} = 1 THEN 1.0 ELSE {jaccard('ta', 'artist_tokens')} END::DOUBLE AS artist_match,
+    least(1.0, 0.7::DOUBLE * {share('tag_tokens', 'list_concat(ta, tb)')} + 0.3::DOUBLE * {share('tag_tokens', 'taste_tokens')}) AS tag_match,
+    {share('tag_tokens', 'tt')} AS title_overlap,
+    CASE WHEN len(title_tokens) > 0 THEN least(1.0, len(list_intersect(list_distinct(tt), title_tokens)) / greatest(1.0, sqrt(len(title_tokens)::DOUBLE))) ELSE 0.0 END::DOUBLE AS title_match,
+    CASE WHEN list_contains(album_norms, nb) THEN 1.0 ELSE 0.0 END::DOUBLE AS seed_album
   FROM {joined}
 ), s2 AS (
   SELECT *, greatest(artist_match, own_weight) AS affinity, least(1.0, (0.7::DOUBLE * best_value + 0.3::DOUBLE * mean_value) * (0.8::DOUBLE + 0.2::DOUBLE * metadata)) AS confidence,
@@ -189,12 +219,12 @@ def scored(source: str = "rich", with_text: bool = True) -> str:
 SCORED = f"WITH {RICH}, {scored()}"
 PARTS = f"WITH {RICH}, {scored(with_text=False)}"
 RANKED = f"{SCORED}, ranked AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, title, item_id) AS rank FROM scored QUALIFY rank <= 10)"
-CARDS = f"{RANKED}, cards AS (SELECT *, list_distinct({tok('title')}) AS title_set FROM ranked)"
+CARDS = f"{RANKED}, cards AS (SELECT *, list_distinct(tt) AS title_set FROM ranked)"
 _REASONS = """list_filter([CASE WHEN known_artist = 1 THEN 'By an artist you like: ' || list_filter(artists, lambda v: {norm} = artist_norm)[1] WHEN artist_match >= 0.5 OR affinity >= 0.5 THEN 'Close to artists you like' END,
   CASE WHEN len(matched) > 0 THEN 'Fits your tags: ' || array_to_string(matched[1:3], ', ') WHEN tag_match >= 0.34 THEN 'Fits your tags' END, CASE WHEN title_match >= 0.34 AND tl[1] IS NOT NULL THEN 'Its title resembles: ' || tl[1] END,
   CASE WHEN agreement >= 0.5 OR len(types) >= 2 THEN 'Found in several ways' END, CASE WHEN quality >= 0.6 OR metadata >= 0.9 THEN 'Well documented and well known' END,
   CASE pick WHEN 'exploratory' THEN 'Here to discover: relevant but less obvious' WHEN 'diverse' THEN 'Here for variety of artists and albums' END], lambda x: x IS NOT NULL)""".replace("{norm}", norm_artist("v"))
-SHOWN = f"""{CARDS}, m0 AS (SELECT *, {_ALLTAGS} AS all_matched FROM cards), m1 AS (SELECT *, list_transform(all_matched, lambda x: lower(trim(x))) AS ls FROM m0), m2 AS (SELECT *, list_filter(all_matched, lambda x, i: list_position(ls, ls[i]) = i) AS matched,
+SHOWN = f"""{CARDS.replace(RICH, rich(True))}, m0 AS (SELECT *, {_ALLTAGS} AS all_matched FROM cards), m1 AS (SELECT *, list_transform(all_matched, lambda x: lower(trim(x))) AS ls FROM m0), m2 AS (SELECT *, list_filter(all_matched, lambda x, i: list_position(ls, ls[i]) = i) AS matched,
   CASE WHEN rank > 8 THEN 'diverse' WHEN base >= 0.62 AND (affinity >= 0.75 OR content >= 0.55 OR confidence >= 0.75) THEN 'safe' WHEN title_overlap >= 0.5 AND tag_match <= 0 THEN 'exploratory' WHEN novelty >= 0.55 AND gate >= 0.65 THEN 'exploratory' ELSE 'balanced' END AS pick FROM m1
 ), shown0 AS (SELECT *, {_REASONS} AS why FROM m2), shown AS (SELECT *, CASE WHEN len(why) > 0 THEN why ELSE ['Fits your profile in general'] END AS reasons FROM shown0)"""
 SHADOW = f"{CARDS}, shadow AS (SELECT cards.*, CASE WHEN c_acctbal < 0 THEN NULL ELSE round(novelty * 0.7::DOUBLE + popularity * 0.3::DOUBLE, 9) END AS learned_score, row_number() OVER (PARTITION BY request_id ORDER BY learned_score DESC NULLS LAST, rank) AS learned_position FROM cards JOIN customer ON c_custkey = request_id)"
@@ -211,7 +241,7 @@ LABELS = f"""{FEEDBACK}, labs AS (
 
 
 def r(*columns: str) -> str:
-    return ", ".join(f"round({c}, 6) AS {c}" for c in columns)
+    return ", ".join(f"round({c} + 1e-10, 6) AS {c}" for c in columns)
 
 
 SQL: dict[str, str] = {}
@@ -240,10 +270,10 @@ WITH {PROFILE}, p AS (SELECT request_id, list_concat(artists, list_transform(art
 k AS (SELECT request_id, ph, list_transform(ph, lambda v: {norm_artist('v')}) AS ks, list_transform(ph, lambda v: lower(trim(v))) AS ls FROM p)
 SELECT request_id, {join("list_filter(ph, lambda v, i: ks[i] <> '' AND list_position(ks, ks[i]) = i)")} AS phrases, {join("list_filter(ph, lambda v, i: trim(v) <> '' AND list_position(ls, ls[i]) = i)")} AS kept FROM k"""
 SQL["contains_phrase"] = f"WITH {ITEMS}, t AS (SELECT item_id, {raw('title')} AS t FROM items) SELECT item_id, contains(' ' || array_to_string(t, ' ') || ' ', ' red widget ') AS has, len(t) > 0 AS starts, {join('list_filter(t, lambda v: v <> ' + chr(39) + 'red' + chr(39) + ')')} AS rest FROM t"
-SQL["jaccard_pairs"] = f"WITH {ITEMS}, t AS (SELECT item_id, list_distinct(list_concat({tok('title')}, {tok('album')})) AS t FROM items) SELECT a.item_id, round({jaccard('a.t', 'b.t')}, 6) AS jaccard, round({share('a.t', 'b.t')}, 6) AS coverage FROM t a JOIN t b ON b.item_id = a.item_id + 1"
+SQL["jaccard_pairs"] = f"WITH {ITEMS}, t AS (SELECT item_id, list_distinct(list_concat({tok('title')}, {tok('album')})) AS t FROM items) SELECT a.item_id, round({jaccard('a.t', 'b.t')} + 1e-10, 6) AS jaccard, round({share('a.t', 'b.t')} + 1e-10, 6) AS coverage FROM t a JOIN t b ON b.item_id = a.item_id + 1"
 SQL["lenient_casts"] = """
 WITH e AS (SELECT event_id, props, CASE WHEN event_id % 4 = 0 THEN 'x1' ELSE json_extract_string(props, '$.k') END AS raw FROM events)
-SELECT event_id, TRY_CAST(raw AS BIGINT) AS k, round(least(1.0, greatest(0.0, coalesce(TRY_CAST(raw AS DOUBLE) / 50, 0.0))), 6) AS share, CAST(CASE WHEN event_id % 2 = 0 THEN 2 ELSE 0 END AS BIGINT) AS n_list,
+SELECT event_id, TRY_CAST(raw AS BIGINT) AS k, round(least(1.0, greatest(0.0, coalesce(TRY_CAST(raw AS DOUBLE) / 50, 0.0))) + 1e-10, 6) AS share, CAST(CASE WHEN event_id % 2 = 0 THEN 2 ELSE 0 END AS BIGINT) AS n_list,
   CASE WHEN event_id % 3 = 1 THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END AS object_k FROM e"""
 SQL["strip_tag_terms"] = f"WITH {ITEMS} SELECT item_id, CASE WHEN album = 'SMALL' THEN title ELSE array_to_string(list_filter({tok('title')}, lambda x: x NOT IN ('red', 'ring')), ' ') END AS rest, array_to_string(list_concat({tok('title')}, {tok('artist')}, {tok('album')}), ' ') AS whole FROM items"
 SQL["text_for_embedding"] = "SELECT p_partkey AS item_id, p_name || ' ' || p_brand || CASE WHEN p_type <> 'SMALL' THEN ' ' || p_type ELSE '' END || ' genre' AS text FROM part"
@@ -253,98 +283,115 @@ _TFIDF = f"""docs AS (SELECT conv_id AS corpus, turn AS doc, {tok('text')} AS to
 c AS (SELECT corpus, doc, token, len, count(*) AS c FROM (SELECT corpus, doc, len(tokens) AS len, unnest(tokens) AS token FROM docs) GROUP BY ALL), df AS (SELECT corpus, token, count(*) AS df FROM c GROUP BY corpus, token),
 v AS (SELECT c.corpus, doc, c.token, c.c::DOUBLE / len * (ln((1 + n)::DOUBLE / (1 + df)) + 1) AS w FROM c JOIN df USING (corpus, token) JOIN n USING (corpus)), norms AS (SELECT corpus, doc, sqrt(sum(w * w)) AS norm, count(*) AS n_terms FROM v GROUP BY corpus, doc)"""
 SQL["tfidf_norms"] = f"WITH {_TFIDF} SELECT corpus, doc, {r('norm')}, n_terms FROM norms"
-SQL["tfidf_cosine"] = f"""WITH {_TFIDF} SELECT a.corpus, a.doc, round(least(1.0, coalesce(dot / (a.norm * b.norm), 0.0)), 6) AS cosine FROM norms a JOIN norms b ON a.corpus = b.corpus AND b.doc = 0
+SQL["tfidf_cosine"] = f"""WITH {_TFIDF} SELECT a.corpus, a.doc, round(least(1.0, coalesce(dot / (a.norm * b.norm), 0.0)) + 1e-10, 6) AS cosine FROM norms a JOIN norms b ON a.corpus = b.corpus AND b.doc = 0
 LEFT JOIN (SELECT x.corpus, x.doc, sum(x.w * y.w) AS dot FROM v x JOIN v y ON x.corpus = y.corpus AND x.token = y.token AND y.doc = 0 GROUP BY x.corpus, x.doc) d ON d.corpus = a.corpus AND d.doc = a.doc"""
 _TOPK = """e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), q AS (SELECT vec_id AS query_id, label, v FROM e WHERE vec_id % 20 = 0),
 s AS (SELECT query_id, vec_id AS item_id, round(list_cosine_similarity(q.v, e.v), 9) AS score FROM q, e), t AS (SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) - 1 AS rank FROM s),
-k AS (SELECT query_id, item_id, round(least(1.0, score), 6) AS score, rank FROM t WHERE rank < 30 AND score > 0)"""
+k AS (SELECT query_id, item_id, round(least(1.0, score) + 1e-10, 6) AS score, rank FROM t WHERE rank < 30 AND score > 0)"""
 SQL["vector_topk"] = f"WITH {_TOPK} SELECT * FROM k"
 SQL["vector_topk_excluding"] = f"WITH {_TOPK} SELECT k.* FROM k JOIN q ON q.query_id = k.query_id JOIN e ON e.vec_id = k.item_id WHERE e.label IS DISTINCT FROM q.label"
-SQL["profile_artist_weights"] = f"WITH {PROFILE}, w AS (SELECT request_id, unnest(artist_norms) AS artist_norm, unnest(artist_weights) AS weight FROM prof) SELECT request_id, artist_norm, round(weight, 6) AS weight FROM w"
+SQL["profile_artist_weights"] = f"WITH {PROFILE}, w AS (SELECT request_id, unnest(artist_norms) AS artist_norm, unnest(artist_weights) AS weight FROM prof) SELECT request_id, artist_norm, round(weight + 1e-10, 6) AS weight FROM w"
 SQL["profile_features"] = f"WITH {PROFILE} SELECT request_id, len(liked_ids) AS n_liked, {', '.join(join(c) + ' AS ' + c for c in ('artists', 'genres', 'moods', 'tags', 'tag_phrases', 'tag_tokens', 'intent_terms'))}, {join('list_sort(title_tokens)')} AS title_tokens, md5(array_to_string(list_sort(profile_words), ' ')) AS words_md5, wants_versions FROM prof"
 SQL["profile_echo"] = f"WITH {PROFILE} SELECT request_id, {join('list_sort(liked_ids)')} AS liked_ids, {', '.join(join(c) + ' AS ' + c for c in ('artists', 'tag_phrases', 'genres', 'moods', 'tags', 'tag_tokens', 'intent_terms'))}, {join('list_sort(title_tokens)')} AS title_tokens FROM prof"
-SQL["control_echo"] = "SELECT c_custkey AS request_id, round(least(1.0, greatest(0.0, c_acctbal / 5000)), 6) AS content_weight, round(CASE WHEN c_nationkey > 3 THEN least(1.0, c_nationkey / 20.0) ELSE 0 END, 6)::DOUBLE AS novelty, 0.3::DOUBLE AS diversity, greatest(1, least(50, c_nationkey * 3 - 5)) AS k FROM customer"
+SQL["control_echo"] = "SELECT c_custkey AS request_id, round(least(1.0, greatest(0.0, c_acctbal / 5000)) + 1e-10, 6) AS content_weight, round(CASE WHEN c_nationkey > 3 THEN least(1.0, c_nationkey / 20.0) ELSE 0 END + 1e-10, 6)::DOUBLE AS novelty, 0.3::DOUBLE AS diversity, greatest(1, least(50, c_nationkey * 3 - 5)) AS k FROM customer"
 SQL["no_input_gate"] = f"""WITH {plan(profile(LIKED.replace('ON o_orderkey = l_orderkey)', 'ON o_orderkey = l_orderkey WHERE o_totalprice >= 450000)'), 'LEFT'))}, n AS (SELECT request_id, count(*) AS n FROM planned GROUP BY request_id)
 SELECT prof.request_id, has_signal, CASE WHEN NOT has_signal THEN 'no_input' END AS fallback, coalesce(n.n, 0) AS n_queries FROM prof LEFT JOIN n ON n.request_id = prof.request_id"""
 SQL["plan_queries"] = f"WITH {PLAN} SELECT * FROM planned"
-SQL["merge_hits"] = f"WITH {HITS}, m AS ({merged()}) SELECT request_id, item_id, n_hits, n_names, {join('types')} AS types, array_to_string({firsts('source_list')}, '; ') AS sources, first_hit.a AS first_plan, {r('best_value', 'mean_value', 'mean_position')} FROM m"
+SQL["merge_hits"] = f"WITH {HITS}, m AS ({merged(sources=True)}) SELECT request_id, item_id, n_hits, n_names, {join('types')} AS types, array_to_string({firsts('source_list')}, '; ') AS sources, first_hit.a AS first_plan, {r('best_value', 'mean_value', 'mean_position')} FROM m"
 SQL["route_counts"] = f"WITH {HITS} SELECT CASE WHEN source_type IN ('artist', 'artist_context', 'seed_song', 'seed_album') THEN 'artist' WHEN source_type IN ('title', 'discovery') THEN source_type ELSE 'tag' END AS bucket, count(*) AS n_hits, count(DISTINCT item_id) AS n_items FROM hits GROUP BY ALL"
-# recall: TF-IDF of the items' texts over lower-case runs of letters, digits and underscores, cosine with the profile's words; the 30 best, then without liked items
-_RECALL = f"""{HITS}, it AS (SELECT item_id, unnest(regexp_extract_all(lower(concat_ws(' ', title, artist, album)), '[\\p{{L}}\\p{{N}}_]+')) AS token FROM items
-), ic AS (SELECT item_id, token, count(*) AS n FROM it GROUP BY item_id, token), size AS (SELECT count(DISTINCT item_id) AS docs FROM it
-), idf AS (SELECT token, ln((1 + any_value(docs))::DOUBLE / (1 + count(*))) + 1 AS idf FROM ic, size GROUP BY token
-), iw AS (SELECT item_id, token, n * idf AS w FROM ic JOIN idf USING (token)), iu AS (SELECT item_id, token, w / sqrt(sum(w * w) OVER (PARTITION BY item_id)) AS w FROM iw
-), pc AS (SELECT request_id, token, count(*) AS n FROM (SELECT request_id, unnest(profile_words) AS token FROM prof WHERE has_signal) GROUP BY request_id, token
-), pw AS (SELECT request_id, token, n * idf AS w FROM pc JOIN idf USING (token)), pu AS (SELECT request_id, token, w / sqrt(sum(w * w) OVER (PARTITION BY request_id)) AS w FROM pw
-), sims AS (SELECT request_id, item_id, round(sum(pu.w * iu.w), 9) AS score FROM pu JOIN iu USING (token) GROUP BY request_id, item_id
-), best AS (SELECT request_id, item_id, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, item_id) - 1 AS rank FROM sims WHERE score > 0 QUALIFY rank < 30
-), emb AS (SELECT best.* FROM best JOIN prof USING (request_id) WHERE NOT list_contains(liked_ids, item_id))"""
-SQL["lexical_recall"] = f"WITH {_RECALL} SELECT request_id, item_id, rank, 0.68::DOUBLE AS reliability, 'embedding' AS source_type FROM emb"
-SQL["merge_channels"] = f"""WITH {_RECALL}, b AS (SELECT request_id, item_id, false AS e FROM hits UNION ALL SELECT request_id, item_id, true FROM emb), m AS (SELECT request_id, item_id, count(*) AS n, bool_and(e) AS added FROM b GROUP BY request_id, item_id)
-SELECT request_id, count(*) AS n_candidates, CAST(sum(n) AS BIGINT) AS n_hits, count(*) FILTER (added) AS n_added FROM m GROUP BY request_id"""
 _SCORES = {"retrieval_confidence": ("metadata", "confidence"), "multi_source_agreement": ("agreement",), "artist_match": ("artist_match", "known_artist"), "artist_affinity": ("affinity",), "tag_match": ("tag_match", "title_overlap"), "title_match": ("title_match",), "novelty": ("novelty", "seed_album"), "final_score": ("content", "retrieval", "quality", "base", "gate", "score")}
 for _name, _columns in _SCORES.items():
     SQL[_name] = f"{SCORED if _name == 'final_score' else PARTS} SELECT request_id, item_id, {', '.join(f'round({c} + 1e-10, 8) AS {c}' for c in _columns)} FROM scored"
 SQL["signal_scores"] = f"""WITH {ITEMS}, {SIGNALS}, s AS (SELECT items.item_id, signals.* EXCLUDE (item_id), comments IS NOT NULL AS enriched FROM items LEFT JOIN signals USING (item_id))
-SELECT item_id, enriched, round({POP}, 6)::DOUBLE AS popularity, round({AUTH}, 6)::DOUBLE AS authority, ({PLAY})::DOUBLE AS play, ({AUDIO})::DOUBLE AS audio FROM s"""
+SELECT item_id, enriched, round({POP} + 1e-10, 6)::DOUBLE AS popularity, round({AUTH} + 1e-10, 6)::DOUBLE AS authority, ({PLAY})::DOUBLE AS play, ({AUDIO})::DOUBLE AS audio FROM s"""
 # by the level first (hires, jyeffect, lossless, exhigh: 1; higher, standard: .8; medium .6; low .4), else by the bitrate; no bitrate: unknown
 SQL["audio_grades"] = """WITH p AS (SELECT p_partkey, p_size, CASE WHEN p_size % 4 <> 0 THEN CAST(trunc(p_retailprice * 700) AS BIGINT) - 600000 END AS br FROM part)
 SELECT p_partkey AS item_id, (CASE p_size % 10 WHEN 0 THEN 1.0 WHEN 1 THEN 1.0 WHEN 2 THEN 1.0 WHEN 3 THEN 1.0 WHEN 4 THEN 0.8 WHEN 5 THEN 0.8 WHEN 6 THEN 0.6 WHEN 7 THEN 0.4 ELSE
   CASE WHEN br IS NULL THEN NULL WHEN br >= 999000 THEN 1.0 WHEN br >= 320000 THEN 0.85 WHEN br >= 192000 THEN 0.7 WHEN br >= 128000 THEN 0.55 ELSE 0.35 END END)::DOUBLE AS grade FROM p"""
 SQL["signal_payload"] = f"WITH {SIGNALS} SELECT item_id, comments, followers, playable, CAST(NULL AS BIGINT) AS hot FROM signals"
-SQL["text_similarity"] = f"{SCORED} SELECT request_id, item_id, round(text_similarity, 6) AS text_similarity FROM scored"
-SQL["trust_score"] = f"{PARTS} SELECT request_id, item_id, round(trust, 6) AS trust FROM scored"
+SQL["text_similarity"] = f"{SCORED} SELECT request_id, item_id, round(text_similarity + 1e-10, 6) AS text_similarity FROM scored"
+SQL["trust_score"] = f"{PARTS} SELECT request_id, item_id, round(trust + 1e-10, 6) AS trust FROM scored"
 SQL["score_order"] = f"{RANKED} SELECT request_id, rank, item_id, {r('score')} FROM ranked"
-SQL["enrich_budget"] = f"{SCORED}, b AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, title, item_id) AS place FROM scored QUALIFY place <= 16) SELECT request_id, count(*) AS n, max(place) AS last, round(min(score), 6) AS least FROM b GROUP BY request_id"
+SQL["enrich_budget"] = f"{SCORED}, b AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, title, item_id) AS place FROM scored QUALIFY place <= 16) SELECT request_id, count(*) AS n, max(place) AS last, round(min(score) + 1e-10, 6) AS least FROM b GROUP BY request_id"
 _LIKED = "list_contains(liked_ids, item_id)"
-_SEM = f"list_filter({raw('title')}, lambda t: NOT list_contains({STOP}, t))"
-_VARIANT = f"(list_contains(title_norms, {norm_title('title')}) OR (list_has_any({raw('title')}, {VERSION}) AND len(list_filter(title_norms, lambda k: contains(' ' || array_to_string({_SEM}, ' ') || ' ', ' ' || k || ' '))) > 0))"
+_SEM = f"list_filter(rt, lambda t: NOT list_contains({STOP}, t))"
+_VARIANT = f"(list_contains(title_norms, nt) OR (list_has_any(rt, {VERSION}) AND len(list_filter(title_norms, lambda k: contains(' ' || array_to_string({_SEM}, ' ') || ' ', ' ' || k || ' '))) > 0))"
 
 
 def tag_title(title: str, album: str) -> str:
     key = norm_title(title)
-    return f"""({key} <> '' AND (len(list_filter(tag_phrases, lambda p: {norm_title('p')} = {key})) > 0 OR (list_has_any({tok(title)}, tag_tokens)
-      AND len(list_filter(types, lambda t: t NOT IN ('genre','mood','tag','genre_mood','tag_combo','discovery'))) = 0 AND NOT list_has_any(list_concat({tok('artist')}, {tok(album)}), tag_tokens))))"""
+    return f"""({key} <> '' AND (list_contains(pn, {key}) OR (list_has_any({tok(title)}, tag_tokens)
+      AND len(list_filter(types, lambda t: t NOT IN ('genre','mood','tag','genre_mood','tag_combo','discovery'))) = 0 AND NOT list_has_any(list_concat(ta, {tok(album)}), tag_tokens))))"""
 
 
-_TAG = tag_title("title", "album")
+_TAG = f"(nt <> '' AND (list_contains(pn, nt) OR (list_has_any(tt, tag_tokens) AND len(list_filter(types, lambda t: t NOT IN ('genre','mood','tag','genre_mood','tag_combo','discovery'))) = 0 AND NOT list_has_any(list_concat(ta, tb), tag_tokens))))"
 _UNPLAYABLE = "NOT coalesce(playable, true)"
 for _name, _bad in (("filter_liked", _LIKED), ("filter_title_variant", _VARIANT), ("filter_unplayable", _UNPLAYABLE)):
     SQL[_name] = f"WITH {RICH} SELECT request_id, item_id FROM rich WHERE {_bad}"
 SQL["filter_tag_title"] = f"""WITH {CANDS}, c AS (SELECT * EXCLUDE (title, album), CASE item_id % 11 WHEN 0 THEN album WHEN 1 THEN genres[1] || ' nights' ELSE title END AS title, CASE WHEN item_id % 11 = 1 THEN 'x9' ELSE album END AS album FROM cands)
-SELECT request_id, item_id FROM c WHERE {_TAG}"""
-SQL["dedup_versions"] = f"""WITH {RICH}, k AS (SELECT *, {norm_title('title')} AS tk, {norm_artist('artist')} AS ak FROM rich), d AS (
-SELECT request_id, item_id, row_number() OVER (PARTITION BY request_id, tk, ak ORDER BY max_reliability DESC, max_rank DESC, CASE WHEN title <> '' THEN 1 ELSE 0 END + CASE WHEN artist <> '' THEN 1 ELSE 0 END + CASE WHEN album <> '' THEN 1 ELSE 0 END DESC, first_hit, item_id) AS nth, wants_versions AND list_has_any({raw('title')}, {VERSION}) AS wanted FROM k WHERE tk <> '' AND ak <> '')
+SELECT request_id, item_id FROM c WHERE {tag_title('title', 'album')}"""
+SQL["dedup_versions"] = f"""WITH {RICH}, k AS (SELECT *, nt AS tk, na AS ak FROM rich), d AS (
+SELECT request_id, item_id, row_number() OVER (PARTITION BY request_id, tk, ak ORDER BY max_reliability DESC, max_rank DESC, CASE WHEN title <> '' THEN 1 ELSE 0 END + CASE WHEN artist <> '' THEN 1 ELSE 0 END + CASE WHEN album <> '' THEN 1 ELSE 0 END DESC, first_hit, item_id) AS nth, wants_versions AND list_has_any(rt, {VERSION}) AS wanted FROM k WHERE tk <> '' AND ak <> '')
 SELECT request_id, item_id FROM d WHERE nth > 1 AND NOT wanted"""
 SQL["filter_missing"] = f"""WITH {CANDS}, c AS (SELECT request_id, trim(title) <> '' AND item_id % 7 <> 0 AS ok FROM cands), f AS (SELECT request_id, ok, bool_or(ok) OVER (PARTITION BY request_id) AS has_full FROM c)
 SELECT request_id, CAST(sum(CASE WHEN NOT ok AND has_full THEN 1 ELSE 0 END) AS BIGINT) AS dropped, count(*) AS n FROM f GROUP BY request_id"""
 SQL["filter_low_trust"] = f"""WITH {RICH}, weak AS (SELECT * EXCLUDE (comments, followers), comments % 12 AS comments, (comments % 12) * 5 AS followers FROM rich), {scored('weak', False)}
 SELECT request_id, item_id FROM scored WHERE enriched AND ((comments < 10 AND followers < 77 AND agreement <= 0.35 AND confidence <= 0.55) OR (popularity <= 0.05 AND authority <= 0.05 AND agreement < 0.25 AND confidence < 0.45))"""
-SQL["filter_funnel"] = f"WITH {RICH} SELECT CASE WHEN {_LIKED} THEN 'liked' WHEN {_VARIANT} THEN 'variant' WHEN {_TAG} THEN 'tag_title' WHEN {_UNPLAYABLE} THEN 'unplayable' ELSE 'kept' END AS rule, count(*) AS n FROM rich GROUP BY ALL"
-SQL["funnel_summary"] = f"""WITH {CANDS}, f1 AS (SELECT *, CASE WHEN {_LIKED} THEN 'liked' WHEN {_VARIANT} THEN 'same_title' WHEN {_TAG} THEN 'tag_title' END AS rule, {norm_title('title')} AS tk, {norm_artist('artist')} AS ak, wants_versions AND list_has_any({raw('title')}, {VERSION}) AS wanted FROM cands
-), f2 AS (SELECT *, CASE WHEN rule IS NULL AND tk <> '' AND ak <> '' AND NOT wanted AND row_number() OVER (PARTITION BY request_id, tk, ak, rule IS NULL ORDER BY max_reliability DESC, max_rank DESC, first_hit, item_id) > 1 THEN 'duplicate_version' ELSE rule END AS dropped FROM f1
-), n AS (SELECT request_id, count(*) AS after_dedup, count(*) FILTER (dropped = 'liked') AS filtered_liked, count(*) FILTER (dropped = 'same_title') AS filtered_same_title, count(*) FILTER (dropped = 'tag_title') AS filtered_tag_title,
-  count(*) FILTER (dropped = 'duplicate_version') AS filtered_duplicate_version, 0::BIGINT AS filtered_missing_metadata, count(*) FILTER (dropped IS NULL) AS final_candidate_count FROM f2 GROUP BY request_id
+# recall: TF-IDF of the items' texts over lower-case runs of letters, digits and underscores, cosine with the profile's words; the 30 best, then without liked items
+_RECALL = f"""{HITS}, it AS (SELECT item_id, unnest(regexp_extract_all(lower(concat_ws(' ', title, artist, album)), '[\\p{{L}}\\p{{N}}_]+')) AS token FROM items
+), ic AS (SELECT item_id, token, count(*) AS n FROM it GROUP BY item_id, token), size AS (SELECT count(DISTINCT item_id) AS docs FROM it
+), idf AS (SELECT token, ln((1 + any_value(docs))::DOUBLE / (1 + count(*))) + 1 AS idf FROM ic, size GROUP BY token
+), iw AS (SELECT item_id, token, n * idf AS w FROM ic JOIN idf USING (token)), iu AS (SELECT item_id, token, w / sqrt(sum(w * w) OVER (PARTITION BY item_id)) AS w FROM iw
+), pc AS (SELECT request_id, token, count(*) AS n FROM (SELECT request_id, unnest(profile_words) AS token FROM prof WHERE has_signal) GROUP BY request_id, token
+), pw AS (SELECT request_id, token, n * idf AS w FROM pc JOIN idf USING (token)), pu AS (SELECT request_id, token, w / sqrt(sum(w * w) OVER (PARTITION BY request_id)) AS w FROM pw
+), sims AS (SELECT request_id, item_id, round(sum(pu.w * iu.w), 9) AS score FROM pu JOIN iu USING (token) GROUP BY request_id, item_id
+), best AS (SELECT request_id, item_id, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, item_id) - 1 AS rank FROM sims WHERE score > 0 QUALIFY rank < 30
+), emb AS (SELECT best.* FROM best JOIN prof USING (request_id) WHERE NOT list_contains(liked_ids, item_id))"""
+# both channels merged; the five rules without signals, each on what those before it have left; the first round's order; signals of the 16 best; the two rules that need them
+_STEPS = f"""{_RECALL}, both_hits AS (SELECT request_id, plan_idx, source_type, query, reliability, item_id, position, qt FROM hits UNION ALL SELECT request_id, 1048576 AS plan_idx, 'embedding', CAST(item_id AS VARCHAR), 0.68::DOUBLE, item_id, rank, [] FROM emb
+), cands AS (SELECT m.*, {_OF_ITEM}, {_OF_PROFILE}, profile_words FROM ({merged('both_hits')}) m JOIN items ON items.item_id = m.item_id JOIN prof ON prof.request_id = m.request_id
+), f1 AS (SELECT *, CASE WHEN {_LIKED} THEN 'liked' WHEN (trim(title) = '' OR trim(artist) = '') AND bool_or(trim(title) <> '' AND trim(artist) <> '' AND NOT {_LIKED}) OVER (PARTITION BY request_id) THEN 'missing_metadata' WHEN {_VARIANT} THEN 'same_title' WHEN {_TAG} THEN 'tag_title' END AS rule,
+  wants_versions AND list_has_any(rt, {VERSION}) AS wanted FROM cands
+), before_ AS MATERIALIZED (SELECT *, CASE WHEN rule IS NULL AND nt <> '' AND na <> '' AND NOT wanted AND row_number() OVER (PARTITION BY request_id, nt, na, rule IS NULL ORDER BY max_reliability DESC, max_rank DESC, first_hit, item_id) > 1 THEN 'duplicate_version' ELSE rule END AS dropped FROM f1
+), {SIGNALS}, kept AS (SELECT * EXCLUDE (rule, wanted, dropped), false AS enriched, NULL::BIGINT AS comments, NULL::BIGINT AS hot, NULL::BIGINT AS red, NULL::BIGINT AS followers, NULL::BOOLEAN AS playable, NULL::DOUBLE AS max_discount FROM before_ WHERE dropped IS NULL
+), {scored('kept', True, _WORDS_OF_BOTH)}, placed AS MATERIALIZED (SELECT request_id, item_id, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, title, item_id) AS place FROM scored)"""
+#: The second round has names of its own.
+_AGAIN = scored("late", True, _WORDS_OF_BOTH)
+for _n in ("tdocs", "tlong", "tnames", "tcount", "tdf", "tsize", "tw", "tp", "tn", "txt", "s1", "s2", "s3", "s4", "scored"):
+    _AGAIN = re.sub(rf"\b{_n}\b", f"{_n}_b", _AGAIN)
+_AFTER = f"""{_STEPS}, late0 AS (SELECT k.* EXCLUDE (enriched, comments, hot, red, followers, playable, max_discount), place, coalesce(place <= 16 AND s.comments IS NOT NULL, false) AS enriched, {', '.join(f'CASE WHEN place <= 16 THEN s.{c} END AS {c}' for c in ('comments', 'hot', 'red', 'followers', 'playable', 'max_discount'))}
+  FROM kept k JOIN placed p ON p.request_id = k.request_id AND p.item_id = k.item_id LEFT JOIN signals s ON s.item_id = k.item_id
+), late1 AS (SELECT l.*, agreement AS agr, confidence AS conf, {POP}::DOUBLE AS pop, {AUTH}::DOUBLE AS auth FROM (SELECT late0.*, scored.agreement, scored.confidence FROM late0 JOIN scored ON scored.request_id = late0.request_id AND scored.item_id = late0.item_id) l
+), after_ AS MATERIALIZED (SELECT * EXCLUDE (agreement, confidence), CASE WHEN NOT coalesce(playable, true) THEN 'unplayable' WHEN enriched AND ((comments < 10 AND followers < 77 AND agr <= 0.35 AND conf <= 0.55) OR (pop <= 0.05 AND auth <= 0.05 AND agr < 0.25 AND conf < 0.45)) THEN 'low_trust' END AS dropped_late FROM late1)"""
+SQL["lexical_recall"] = f"WITH {_RECALL} SELECT request_id, item_id, rank, 0.68::DOUBLE AS reliability, 'embedding' AS source_type FROM emb"
+SQL["merge_channels"] = f"""WITH {_RECALL}, b AS (SELECT request_id, item_id, false AS e FROM hits UNION ALL SELECT request_id, item_id, true FROM emb), m AS (SELECT request_id, item_id, count(*) AS n, bool_and(e) AS added FROM b GROUP BY request_id, item_id)
+SELECT request_id, count(*) AS n_candidates, CAST(sum(n) AS BIGINT) AS n_hits, count(*) FILTER (added) AS n_added FROM m GROUP BY request_id"""
+SQL["filter_funnel"] = f"WITH {_AFTER} SELECT coalesce(d, 'kept') AS rule, count(*) AS n FROM (SELECT dropped AS d FROM before_ WHERE dropped IS NOT NULL UNION ALL SELECT dropped_late FROM after_) GROUP BY ALL"
+SQL["funnel_summary"] = f"""WITH {_AFTER}, n AS (SELECT request_id, count(*) AS after_dedup, {', '.join(f"count(*) FILTER (dropped = '{d}') AS filtered_{d}" for d in ('liked', 'same_title', 'tag_title', 'duplicate_version', 'missing_metadata'))} FROM before_ GROUP BY request_id
 ), h AS (SELECT request_id, count(*) FILTER (source_type IN ('artist', 'artist_context', 'seed_song', 'seed_album')) AS artist, count(*) FILTER (source_type IN ('genre', 'mood', 'tag', 'genre_mood', 'tag_combo')) AS tag, count(*) FILTER (source_type = 'title') AS title,
-  count(*) FILTER (source_type = 'discovery') AS discovery, count(*) FILTER (source_type = 'embedding') AS embedding, count(*) AS retrieved_total FROM hits GROUP BY request_id)
-SELECT h.*, n.* EXCLUDE (request_id) FROM h JOIN n ON n.request_id = h.request_id"""
+  count(*) FILTER (source_type = 'discovery') AS discovery, count(*) FILTER (source_type = 'embedding') AS embedding, count(*) FILTER (source_type <> 'embedding') AS retrieved_total FROM both_hits GROUP BY request_id
+), z AS (SELECT request_id, count(*) FILTER (enriched) AS enriched_count, count(*) FILTER (dropped_late = 'unplayable') AS filtered_unplayable, count(*) FILTER (dropped_late = 'low_trust') AS filtered_low_trust, count(*) FILTER (dropped_late IS NULL) AS n FROM after_ GROUP BY request_id)
+SELECT h.*, n.* EXCLUDE (request_id), coalesce(enriched_count, 0) AS enriched_count, coalesce(filtered_unplayable, 0) AS filtered_unplayable, coalesce(filtered_low_trust, 0) AS filtered_low_trust, coalesce(z.n, 0) AS final_candidate_count, coalesce(z.n, 0) AS total_unique
+FROM h JOIN n ON n.request_id = h.request_id LEFT JOIN z ON z.request_id = h.request_id"""
+SQL["pool_scores"] = f"""WITH {_AFTER}, late AS (SELECT * EXCLUDE (agr, conf, pop, auth, dropped_late) FROM after_ WHERE dropped_late IS NULL), {_AGAIN}
+SELECT request_id, item_id, place, enriched, {r('text_similarity', 'content', 'score')} FROM scored_b"""
 SQL["artist_cap"] = f"{SCORED}, c AS (SELECT *, row_number() OVER (PARTITION BY request_id, artist_norm ORDER BY score DESC, title, item_id) AS nth FROM scored) SELECT request_id, item_id, {r('score')} FROM c WHERE artist_norm = '' OR nth <= 2"
 SQL["pair_similarity"] = f"""{RANKED}, pd AS (SELECT a.request_id, a.item_id AS ia, b.item_id AS ib, sum(x.w * y.w) AS dot FROM ranked a JOIN ranked b ON a.request_id = b.request_id AND a.rank < b.rank
   JOIN tw x ON x.request_id = a.request_id AND x.item_id = a.item_id JOIN tw y ON y.request_id = b.request_id AND y.item_id = b.item_id AND y.token = x.token GROUP BY a.request_id, a.item_id, b.item_id
-), p AS (SELECT a.request_id, a.rank AS rank_a, b.rank AS rank_b, a.artist_norm AS aa, b.artist_norm AS ab, a.album_norm AS ba, b.album_norm AS bb, a.taste_tokens AS ta, b.taste_tokens AS tb, least(1.0, coalesce(dot, 0) / (na.norm * nb.norm)) AS cos
+), p AS (SELECT a.request_id, a.rank AS rank_a, b.rank AS rank_b, a.artist_norm AS aa, b.artist_norm AS ab, a.album_norm AS ba, b.album_norm AS bb, a.taste_tokens AS ta, b.taste_tokens AS tb, least(1.0, coalesce(pd.dot, 0) / (na.norm * nb.norm)) AS cos
   FROM ranked a JOIN ranked b ON a.request_id = b.request_id AND a.rank < b.rank JOIN tn na ON na.request_id = a.request_id AND na.item_id = a.item_id JOIN tn nb ON nb.request_id = b.request_id AND nb.item_id = b.item_id
   LEFT JOIN pd ON pd.request_id = a.request_id AND pd.ia = a.item_id AND pd.ib = b.item_id)
 SELECT request_id, rank_a, rank_b, round((CASE WHEN aa = ab AND aa <> '' THEN 0.35::DOUBLE ELSE 0 END + CASE WHEN len(ta) > 0 AND len(tb) > 0 THEN 0.25::DOUBLE * {jaccard('ta', 'tb')} ELSE 0 END + CASE WHEN ba <> '' AND ba = bb THEN 0.2::DOUBLE ELSE 0 END + 0.2::DOUBLE * cos)
-  / (0.55::DOUBLE + CASE WHEN len(ta) > 0 AND len(tb) > 0 THEN 0.25::DOUBLE ELSE 0 END + CASE WHEN ba <> '' AND bb <> '' THEN 0.2::DOUBLE ELSE 0 END), 6) AS similarity FROM p"""
+  / (0.55::DOUBLE + CASE WHEN len(ta) > 0 AND len(tb) > 0 THEN 0.25::DOUBLE ELSE 0 END + CASE WHEN ba <> '' AND bb <> '' THEN 0.2::DOUBLE ELSE 0 END) + 1e-10, 6) AS similarity FROM p"""
 SQL["matched_tags"] = f"WITH {RICH}, m AS (SELECT request_id, item_id, {_ALLTAGS} AS v FROM rich), k AS (SELECT *, list_transform(v, lambda x: lower(trim(x))) AS ls FROM m) SELECT request_id, item_id, {join('list_filter(v, lambda x, i: list_position(ls, ls[i]) = i)')} AS tags FROM k"
 SQL["pick_types"] = f"""{SHOWN} SELECT request_id, item_id, pick, array_to_string(reasons, '; ') AS reasons,
   CASE pick WHEN 'safe' THEN 'A close match: artists, content or reliable searches speak for it.' WHEN 'exploratory' THEN 'A wider pick that keeps ' || CASE WHEN len(matched) > 0 THEN array_to_string(matched[1:2], ', ') ELSE 'your profile' END || ' in view and comes from ' || artist || '.'
   WHEN 'diverse' THEN 'Added so that the list repeats itself less; it still fits your profile.' ELSE 'A balanced pick: ' || title || ' by ' || artist || ' resembles your profile and was found reliably.' END AS explanation FROM shown"""
 _PARTS = {"content_score": "content", "retrieval_score": "retrieval", "multi_source_agreement": "agreement", "quality_score": "quality", "personalized_relevance": "personal", "base_relevance": "base", "novelty_score": "novelty", "novelty_bonus": "0.3::DOUBLE * novelty * gate", "relevance_gate": "gate", "final_score": "score", "rank_score": "score", "content_text_similarity": "text_similarity", "artist_match": "artist_match", "tag_match": "tag_match", "tag_title_overlap": "title_overlap", "title_match": "title_match", "retrieval_confidence_score": "confidence", "artist_affinity_score": "affinity", "popularity_score": "popularity", "artist_authority_score": "authority", "playable_score": "play", "audio_quality_score": "audio_score", "metadata_quality_score": "metadata", "trust_score": "trust"}
 SQL["cards"] = f"""{SHOWN} SELECT request_id, rank, item_id, title, artist, album, CASE WHEN item_id = 0 THEN '' ELSE 'https://example.org/song?id=' || item_id END AS url, pick AS pick_type, array_to_string({firsts('source_list')}, '; ') AS sources, array_to_string(list_sort(types), '; ') AS source_types, array_to_string(matched, '; ') AS matched_tags,
-  {', '.join(f'round({c}, 6)::DOUBLE AS {k}' for k, c in _PARTS.items())} FROM shown"""
-SQL["upsert_merge"] = f"""WITH {HITS}, o AS (SELECT item_id, round(max(reliability), 6) AS q, list(DISTINCT query) AS t, list(DISTINCT source_type) AS k FROM hits WHERE source_type IN ('artist', 'genre') GROUP BY item_id
-), n AS (SELECT item_id, round(max(reliability) FILTER (source_type <> 'mood'), 6) AS q, list(DISTINCT query) FILTER (source_type <> 'mood') AS t, list(DISTINCT CASE source_type WHEN 'mood' THEN 'embedding' ELSE source_type END) AS k FROM hits WHERE source_type IN ('tag', 'title', 'mood') GROUP BY item_id)
+  {', '.join(f'round({c} + 1e-10, 6)::DOUBLE AS {k}' for k, c in _PARTS.items())} FROM shown"""
+SQL["upsert_merge"] = f"""WITH {HITS}, o AS (SELECT item_id, round(max(reliability) + 1e-10, 6) AS q, list(DISTINCT query) AS t, list(DISTINCT source_type) AS k FROM hits WHERE source_type IN ('artist', 'genre') GROUP BY item_id
+), n AS (SELECT item_id, round(max(reliability) FILTER (source_type <> 'mood') + 1e-10, 6) AS q, list(DISTINCT query) FILTER (source_type <> 'mood') AS t, list(DISTINCT CASE source_type WHEN 'mood' THEN 'embedding' ELSE source_type END) AS k FROM hits WHERE source_type IN ('tag', 'title', 'mood') GROUP BY item_id)
 SELECT coalesce(n.item_id, o.item_id) AS item_id, CASE WHEN o.item_id IS NULL OR n.item_id IS NULL THEN 1 ELSE 2 END AS seen, CASE WHEN o.item_id IS NULL THEN TIMESTAMP '2024-01-02 00:00:00' ELSE TIMESTAMP '2024-01-01 00:00:00' END AS first_seen,
   CASE WHEN n.item_id IS NULL THEN TIMESTAMP '2024-01-01 00:00:00' ELSE TIMESTAMP '2024-01-02 00:00:00' END AS last_seen, coalesce(n.q, o.q) AS quality, array_to_string(list_sort(list_distinct(list_concat(coalesce(o.t, []), coalesce(n.t, [])))), '; ') AS query_texts,
   array_to_string(list_sort(list_distinct(list_concat(coalesce(o.k, []), coalesce(n.k, [])))), ',') AS source_types, 0::BIGINT AS n_tags, CAST(NULL AS BIGINT) AS duration_ms FROM o FULL JOIN n ON o.item_id = n.item_id"""
@@ -357,32 +404,46 @@ SQL["feedback_valid"] = "SELECT event_id, CASE WHEN event_type = 'click' THEN 'a
 SQL["weak_labels"] = f"WITH {LABELS} SELECT * FROM labelled"
 SQL["label_summary"] = f"WITH {LABELS} SELECT count(*) AS samples, count(*) FILTER (kind = 'positive') AS positive, count(*) FILTER (kind = 'negative') AS negative, count(*) FILTER (kind = 'weak_negative') AS weak_negative FROM labelled"
 SQL["feature_matrix"] = f"""{SHOWN}, {LABELS}, x AS (SELECT s.*, coalesce(l."binary", 0) AS "binary", coalesce(l.weight, 0.3::DOUBLE) AS weight, coalesce(l.kind, 'weak_negative') AS kind FROM shown s LEFT JOIN labelled l ON l.request_id = s.request_id AND l.item_id = s.item_id)
-SELECT request_id, item_id, "binary", weight, kind, {', '.join(f'round({c}, 6)::DOUBLE AS f_{k}' for k, c in {'content': 'content', 'retrieval': 'retrieval', 'agreement': 'agreement', 'quality': 'quality', 'novelty': 'novelty', 'score': 'score', 'rank_score': 'score', 'rank': 'rank', 'content_weight': '0.5', 'novelty_weight': '0.3', 'diversity': '0.3', 'n_types': 'len(types)'}.items())},
+SELECT request_id, item_id, "binary", weight, kind, {', '.join(f'round({c} + 1e-10, 6)::DOUBLE AS f_{k}' for k, c in {'content': 'content', 'retrieval': 'retrieval', 'agreement': 'agreement', 'quality': 'quality', 'novelty': 'novelty', 'score': 'score', 'rank_score': 'score', 'rank': 'rank', 'content_weight': '0.5', 'novelty_weight': '0.3', 'diversity': '0.3', 'n_types': 'len(types)'}.items())},
   {', '.join(f"CASE WHEN list_has_any(types, {list(v)}) THEN 1.0 ELSE 0.0 END::DOUBLE AS f_{k}" for k, v in {'has_embedding_source': ('embedding',), 'has_artist_source': ('artist', 'artist_context'), 'has_genre_source': ('genre', 'genre_mood'), 'has_mood_source': ('mood', 'genre_mood'), 'has_tag_source': ('tag', 'tag_combo'), 'has_seed_song_source': ('seed_song', 'seed_album'), 'has_discovery_source': ('discovery',)}.items())},
   {', '.join(f"CASE WHEN pick = '{p}' THEN 1.0 ELSE 0.0 END::DOUBLE AS f_pick_{p}" for p in ('safe', 'exploratory', 'diverse', 'balanced'))} FROM x"""
 SQL["feature_schema"] = "SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, 'f_{c}')" for i, c in enumerate("content retrieval agreement quality novelty score rank_score rank content_weight novelty_weight diversity n_types has_embedding_source has_artist_source has_genre_source has_mood_source has_tag_source has_seed_song_source has_discovery_source pick_safe pick_exploratory pick_diverse pick_balanced popularity".split())) + ") v(place, feature)"
-SQL["exposure_log"] = f"{SHOWN} SELECT request_id, item_id, rank, {r('score')}, round(score, 6) AS rank_score, round(quality, 6) AS quality, {join('list_sort(types)')} AS types, len(reasons) AS n_reasons, pick, true AS was_impressed FROM shown"
+SQL["exposure_log"] = f"{SHOWN} SELECT request_id, item_id, rank, {r('score')}, round(score + 1e-10, 6) AS rank_score, round(quality + 1e-10, 6) AS quality, {join('list_sort(types)')} AS types, len(reasons) AS n_reasons, pick, true AS was_impressed FROM shown"
 SQL["shadow_positions"] = f"{SHADOW} SELECT request_id, item_id, rank, learned_position FROM shadow"
-SQL["shadow_overlap"] = f"{SHADOW} SELECT request_id, round(count(*) FILTER (rank <= 5 AND learned_position <= 5)::DOUBLE / count(*) FILTER (rank <= 5), 6) AS overlap, count(*) FILTER (abs(rank - learned_position) >= 2) AS disagreements FROM shadow GROUP BY request_id"
-SQL["spearman"] = f"{SHADOW} SELECT request_id, round(coalesce(CASE WHEN count(*) < 2 THEN 0 ELSE corr(rank::DOUBLE, learned_position::DOUBLE) END, 0), 6) AS rank_correlation FROM shadow GROUP BY request_id"
-SQL["coverage"] = f"{CARDS}, t AS (SELECT request_id, count(DISTINCT t) AS n_types FROM (SELECT request_id, unnest(types) AS t FROM cards) GROUP BY request_id) SELECT c.request_id, count(*) AS n, round(count(DISTINCT artist)::DOUBLE / count(*), 6) AS artist_coverage, round(count(DISTINCT album)::DOUBLE / count(*), 6) AS album_coverage, any_value(n_types) AS n_types FROM cards c JOIN t ON t.request_id = c.request_id GROUP BY c.request_id"
-SQL["diversity"] = f"""{CARDS}, d AS (SELECT a.request_id, 1 - (CASE WHEN a.artist_norm = b.artist_norm THEN 0.4::DOUBLE ELSE 0 END + CASE WHEN a.album_norm <> '' AND a.album_norm = b.album_norm THEN 0.2::DOUBLE ELSE 0 END + 0.2::DOUBLE * {jaccard('a.types', 'b.types')} + 0.2::DOUBLE * {jaccard('a.title_set', 'b.title_set')})
-  / (0.8::DOUBLE + CASE WHEN a.album_norm <> '' AND b.album_norm <> '' THEN 0.2::DOUBLE ELSE 0 END) AS d FROM cards a JOIN cards b ON a.request_id = b.request_id AND a.rank < b.rank), m AS (SELECT request_id, avg(d) AS m FROM d GROUP BY request_id)
-SELECT r.request_id, round(coalesce(m, 0), 6) AS diversity FROM (SELECT DISTINCT request_id FROM cards) r LEFT JOIN m ON m.request_id = r.request_id"""
-SQL["novelty_at_k"] = f"{CARDS} SELECT request_id, round(avg(novelty), 6) AS mean_novelty, round(avg(1 - popularity), 6) AS mean_unpopularity FROM cards GROUP BY request_id"
-SQL["source_mix"] = f"{CARDS}, t AS (SELECT request_id, source_type, count(*) AS n FROM (SELECT request_id, unnest(types) AS source_type FROM cards) GROUP BY ALL) SELECT request_id, source_type, n, round(n::DOUBLE / sum(n) OVER (PARTITION BY request_id), 6) AS share FROM t"
-SQL["score_distribution"] = f"{CARDS} SELECT request_id, round(avg(score), 6) AS mean_score, round(var_pop(score), 6) AS var_score, round(min(score), 6) AS min_score, round(max(score), 6) AS max_score FROM cards GROUP BY request_id"
-SQL["duplicate_rate"] = f"{CARDS} SELECT request_id, " + ", ".join(f"round(1 - coalesce(count(DISTINCT nullif({c}, ''))::DOUBLE / nullif(count(nullif({c}, '')), 0), 1), 6) AS dup_{c}" for c in ("artist_norm", "title_norm", "album_norm")) + " FROM cards GROUP BY request_id"
-SQL["macro_average"] = f"{SHADOW}, l AS (SELECT request_id, avg(novelty) AS n, avg(score) AS s, avg(learned_score) AS d FROM shadow GROUP BY request_id) SELECT count(*) AS n_lists, round(avg(n), 6) AS mean_mean_novelty, round(avg(s), 6) AS mean_mean_score, round(avg(d), 6) AS mean_mean_learned FROM l"
-SQL["shadow_report"] = f"""{SHADOW}, s AS (SELECT * FROM shadow WHERE learned_score IS NOT NULL) SELECT request_id, count(*) AS n_scored, round(avg(learned_score), 6) AS mean_learned, round(var_pop(learned_score), 6) AS var_learned, round(min(learned_score), 6) AS min_learned, round(max(learned_score), 6) AS max_learned,
-  round(count(*) FILTER (rank <= 5 AND learned_position <= 5)::DOUBLE / least(5, count(*)), 6) AS overlap, round(coalesce(CASE WHEN count(*) < 2 THEN 0 ELSE corr(rank::DOUBLE, learned_position::DOUBLE) END, 0), 6) AS rank_correlation, count(*) FILTER (abs(rank - learned_position) >= 2) AS n_disagreements,
-  coalesce(string_agg(rank || ':' || item_id || ':' || learned_position, ',' ORDER BY rank) FILTER (abs(rank - learned_position) >= 2), '') AS disagreements FROM s GROUP BY request_id"""
+# places among the scored cards of the first five
+_SHADOW5 = f"""{SHADOW}, sc AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY rank) AS a, row_number() OVER (PARTITION BY request_id ORDER BY learned_score DESC, rank) AS b FROM shadow WHERE learned_score IS NOT NULL AND rank <= 5
+), rep AS (SELECT request_id, count(*) AS n_scored, avg(learned_score) AS mean_learned, var_pop(learned_score) AS var_learned, min(learned_score) AS min_learned, max(learned_score) AS max_learned, count(*) FILTER (a <= 5 AND b <= 5)::DOUBLE / least(5, count(*)) AS overlap,
+  coalesce(CASE WHEN count(*) < 2 THEN 0 ELSE corr(a::DOUBLE, b::DOUBLE) END, 0) AS rank_correlation, count(*) FILTER (abs(a - b) >= 2) AS n_disagreements, coalesce(string_agg(a || ':' || item_id || ':' || b, ',' ORDER BY a) FILTER (abs(a - b) >= 2), '') AS disagreements FROM sc GROUP BY request_id)"""
+SQL["shadow_overlap"] = f"{_SHADOW5} SELECT request_id, {r('overlap')}, n_disagreements AS disagreements FROM rep"
+SQL["shadow_report"] = f"{_SHADOW5} SELECT request_id, n_scored, {r('mean_learned', 'var_learned', 'min_learned', 'max_learned', 'overlap', 'rank_correlation')}, n_disagreements, disagreements FROM rep"
+SQL["spearman"] = f"{SHADOW} SELECT request_id, round(coalesce(CASE WHEN count(*) < 2 THEN 0 ELSE corr(rank::DOUBLE, learned_position::DOUBLE) END, 0) + 1e-10, 6) AS rank_correlation FROM shadow GROUP BY request_id"
+_TYPES = "len(list_distinct(flatten(list(types))))"
+_SHARE = "count(DISTINCT nullif({0}_norm, ''))::DOUBLE / count(*)"
+SQL["coverage"] = f"{CARDS} SELECT request_id, count(*) AS n, {', '.join(f'round({_SHARE.format(c)} + 1e-10, 6) AS {c}_coverage' for c in ('artist', 'album'))}, {_TYPES} AS n_types FROM cards GROUP BY request_id"
+
+
+def pairs(cards: str) -> str:
+    """Mean distance dv.d of the pairs of a list's cards: each part counts where both cards have it, an artist's always."""
+    both = {"album": "a.album_norm <> '' AND b.album_norm <> ''", "types": "len(a.types) > 0 AND len(b.types) > 0", "title": "len(a.title_set) > 0 AND len(b.title_set) > 0"}
+    value = {"album": "CASE WHEN a.album_norm = b.album_norm THEN 1 ELSE 0 END", "types": jaccard("a.types", "b.types"), "title": jaccard("a.title_set", "b.title_set")}
+    total = " + ".join(f"CASE WHEN {both[c]} THEN 0.2::DOUBLE * {value[c]} ELSE 0 END" for c in both)
+    weight = " + ".join(f"CASE WHEN {both[c]} THEN 0.2::DOUBLE ELSE 0 END" for c in both)
+    return f"""dv AS (SELECT a.request_id, avg(1 - (CASE WHEN a.artist_norm <> '' AND a.artist_norm = b.artist_norm THEN 0.4::DOUBLE ELSE 0 END + {total}) / (0.4::DOUBLE + {weight})) AS d
+  FROM {cards} a JOIN {cards} b ON a.request_id = b.request_id AND a.rank < b.rank GROUP BY a.request_id)"""
+
+
+SQL["diversity"] = f"{CARDS}, {pairs('cards')} SELECT r.request_id, round(coalesce(d, 0) + 1e-10, 6) AS diversity FROM (SELECT DISTINCT request_id FROM cards) r LEFT JOIN dv ON dv.request_id = r.request_id"
+SQL["novelty_at_k"] = f"{CARDS} SELECT request_id, round(avg(novelty) + 1e-10, 6) AS mean_novelty, round(avg(1 - popularity) + 1e-10, 6) AS mean_unpopularity FROM cards GROUP BY request_id"
+SQL["source_mix"] = f"{CARDS}, t AS (SELECT request_id, source_type, count(*) AS n FROM (SELECT request_id, unnest(types) AS source_type FROM cards) GROUP BY ALL) SELECT request_id, source_type, n, round(n::DOUBLE / sum(n) OVER (PARTITION BY request_id) + 1e-10, 6) AS share FROM t"
+SQL["score_distribution"] = f"{CARDS} SELECT request_id, round(avg(score) + 1e-10, 6) AS mean_score, round(var_pop(score) + 1e-10, 6) AS var_score, round(min(score) + 1e-10, 6) AS min_score, round(max(score) + 1e-10, 6) AS max_score FROM cards GROUP BY request_id"
+_RATE = "coalesce(1 - count(DISTINCT nullif({0}_norm, ''))::DOUBLE / nullif(count(nullif({0}_norm, '')), 0), 0)"
+SQL["duplicate_rate"] = f"{CARDS} SELECT request_id, {', '.join(f'round({_RATE.format(c)} + 1e-10, 6) AS dup_{c}_norm' for c in ('artist', 'title', 'album'))} FROM cards GROUP BY request_id"
 SQL["embedding_share"] = f"""WITH {_RECALL}, b AS (SELECT request_id, item_id, false AS e FROM hits UNION ALL SELECT request_id, item_id, true FROM emb), m AS (SELECT request_id, item_id, bool_or(e) AS e FROM b GROUP BY request_id, item_id)
-SELECT request_id, round(avg(CASE WHEN e THEN 1.0 ELSE 0.0 END), 6) AS embedding_share FROM m GROUP BY request_id"""
-_DUP = ", ".join(f"round(1 - coalesce(count(DISTINCT nullif({c}_norm, ''))::DOUBLE / nullif(count(nullif({c}_norm, '')), 0), 1), 6) AS dup_{c}" for c in ("artist", "title", "album"))
-SQL["list_bundle"] = f"""{CARDS}, tp AS (SELECT request_id, count(DISTINCT t) AS n_types FROM (SELECT request_id, unnest(types) AS t FROM cards) GROUP BY request_id), dv AS (SELECT a.request_id, avg(1 - (CASE WHEN a.artist_norm = b.artist_norm THEN 0.4::DOUBLE ELSE 0 END + CASE WHEN a.album_norm <> '' AND a.album_norm = b.album_norm THEN 0.2::DOUBLE ELSE 0 END
-  + 0.2::DOUBLE * {jaccard('a.types', 'b.types')} + 0.2::DOUBLE * {jaccard('a.title_set', 'b.title_set')}) / (0.8::DOUBLE + CASE WHEN a.album_norm <> '' AND b.album_norm <> '' THEN 0.2::DOUBLE ELSE 0 END)) AS d FROM cards a JOIN cards b ON a.request_id = b.request_id AND a.rank < b.rank GROUP BY a.request_id
-), x AS (SELECT request_id, count(*) AS n_items, round(count(DISTINCT artist)::DOUBLE / count(*), 6) AS artist_coverage, round(count(DISTINCT album)::DOUBLE / count(*), 6) AS album_coverage, round(avg(novelty), 6) AS mean_novelty, round(avg(1 - popularity), 6) AS mean_unpopularity, 0.0::DOUBLE AS embedding_share, {_DUP},
-  round(avg(score), 6) AS mean_score, round(var_pop(score), 6) AS var_score, round(min(score), 6) AS min_score, round(max(score), 6) AS max_score FROM cards GROUP BY request_id)
-SELECT x.*, n_types, round(coalesce(d, 0), 6) AS diversity FROM x JOIN tp USING (request_id) LEFT JOIN dv USING (request_id)"""
+SELECT request_id, round(avg(CASE WHEN e THEN 1.0 ELSE 0.0 END) + 1e-10, 6) AS embedding_share FROM m GROUP BY request_id"""
+_BUNDLE = f"""{_SHADOW5}, five AS (SELECT * FROM shadow WHERE rank <= 5), {pairs('five')}, bun AS (SELECT f.request_id, count(*) AS n_items, {_SHARE.format('artist')} AS artist_coverage, {_SHARE.format('album')} AS album_coverage, {_TYPES} AS n_types, avg(novelty) AS mean_novelty, avg(1 - popularity) AS mean_unpopularity,
+  avg(CASE WHEN list_contains(types, 'embedding') THEN 1.0 ELSE 0.0 END) AS embedding_share, {', '.join(f'{_RATE.format(c)} AS dup_{c}' for c in ('artist', 'title', 'album'))}, avg(score) AS mean_score, var_pop(score) AS var_score, min(score) AS min_score, max(score) AS max_score FROM five f GROUP BY f.request_id
+), lst AS (SELECT bun.*, coalesce(d, 0) AS diversity, n_scored, rank_correlation, overlap, n_disagreements FROM bun LEFT JOIN dv USING (request_id) LEFT JOIN rep USING (request_id))"""
+_BUNDLED = ("artist_coverage", "album_coverage", "mean_novelty", "mean_unpopularity", "embedding_share", "dup_artist", "dup_title", "dup_album", "mean_score", "var_score", "min_score", "max_score", "diversity", "rank_correlation", "overlap")
+SQL["list_bundle"] = f"{_BUNDLE} SELECT request_id, n_items, n_types, n_scored, n_disagreements, {r(*_BUNDLED)} FROM lst"
+SQL["macro_average"] = f"{_BUNDLE} SELECT count(*) AS n_lists, count(n_scored) AS n_with_learned, {', '.join(f'round(coalesce(avg({c}), 0) + 1e-10, 6) AS avg_{c}' for c in ('diversity', 'embedding_share', 'mean_novelty', 'artist_coverage', 'dup_artist', 'mean_score', 'rank_correlation', 'overlap', 'n_disagreements'))} FROM lst"
 SQL["daily_feedback"] = f"WITH {FEEDBACK} SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type, count(*) AS n FROM feedback WHERE event_type IS NOT NULL GROUP BY ALL"

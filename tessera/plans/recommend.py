@@ -214,6 +214,24 @@ def cards(rows: DataFrame, promoted: Column, profiles: DataFrame) -> DataFrame:
     return rows.withColumns({"reasons": why, "explanation": explain.explanation(c("pick"), c("title"), c("artist"), c("tags"))})
 
 
+def filtered(found: DataFrame) -> DataFrame:
+    """Candidates with their scores and `dropped`, the first rule without signals that drops one."""
+    return filters.before_signals(features(found))
+
+
+def first_round(rows: DataFrame) -> DataFrame:
+    """What filtered() keeps, scored without signals, with the place of each in its request and with its words for the next round."""
+    pool = profile_once(text_words(rows.where("dropped IS NULL")).select(*CARRIED, "text_words", "profile_words"))
+    kept = pool.withColumns({"words": F.col("text_words"), "own_words": F.col("profile_words"), "enriched": F.lit(False), **{c: F.lit(None).cast(t) for c, t in SIGNAL_TYPES.items()}})
+    first = totals(with_text(signal_features(kept))).withColumn("place", by_score())
+    return first.select(*CARRIED, F.col("words").alias("text_words"), F.col("own_words").alias("profile_words"), F.col("score").alias("first_score"), "place")
+
+
+def with_signals(rows: DataFrame, signals: DataFrame, k: int = K) -> DataFrame:
+    """first_round() rows of which the best budget(k) of a request have signals, with `dropped` of the rules that need them."""
+    return filters.after_signals(signal_features(enrich.attach(rows, signals, F.col("place") <= enrich.budget(k))))
+
+
 def ranked_pool(spark: SparkSession, sf_dir: str, k: int = K, found: DataFrame | None = None) -> DataFrame:
     """The pool of each request before the choice: candidates that all rules keep, with the scores of the second round.
 
@@ -223,13 +241,7 @@ def ranked_pool(spark: SparkSession, sf_dir: str, k: int = K, found: DataFrame |
     if found is None:
         profiles = written(domain.profiles(spark, sf_dir), "profiles")
         found = candidates(spark, sf_dir, profiles, all_hits(spark, sf_dir, profiles))
-    pool = filters.before_signals(features(found)).where("dropped IS NULL")
-    pool = profile_once(text_words(pool).select(*CARRIED, "text_words", "profile_words"))
-    kept = pool.withColumns({"words": F.col("text_words"), "own_words": F.col("profile_words"), "enriched": F.lit(False), **{c: F.lit(None).cast(t) for c, t in SIGNAL_TYPES.items()}})
-    first = totals(with_text(signal_features(kept))).withColumn("place", by_score())
-    rows = first.select(*CARRIED, F.col("words").alias("text_words"), F.col("own_words").alias("profile_words"), "place")
-    rows = signal_features(enrich.attach(rows, domain.signals(spark, sf_dir), F.col("place") <= enrich.budget(k)))
-    return totals(with_text(filters.after_signals(rows)))
+    return totals(with_text(with_signals(first_round(filtered(found)), domain.signals(spark, sf_dir), k)))
 
 
 def recommend(spark: SparkSession, sf_dir: str, k: int = K, diversity: float = DIVERSITY) -> DataFrame:

@@ -20,8 +20,13 @@ def query(f):
     return f
 
 
-def _r(c: str, d: int = 6):
-    return F.round(F.col(c), d).alias(c)
+def _six(c):
+    """Six places; the addend settles values that are ties after an earlier rounding to nine, which engines round differently."""
+    return F.round((F.col(c) if isinstance(c, str) else c) + 1e-10, 6)
+
+
+def _r(c: str):
+    return _six(c).alias(c)
 
 
 def _join(c):
@@ -104,7 +109,7 @@ def contains_phrase(spark: SparkSession, sf: str) -> DataFrame:
 def jaccard_pairs(spark: SparkSession, sf: str) -> DataFrame:
     p = domain.catalogue(spark, sf).select("item_id", F.array_union(X.tokens(F.col("title")), X.tokens(F.col("album"))).alias("t"))
     q = p.select((F.col("item_id") - 1).alias("item_id"), F.col("t").alias("u"))
-    return p.join(q, "item_id").select("item_id", F.round(X.jaccard(F.col("t"), F.col("u")), 6).alias("jaccard"), F.round(X.coverage(F.col("t"), F.col("u")), 6).alias("coverage"))
+    return p.join(q, "item_id").select("item_id", _six(X.jaccard(F.col("t"), F.col("u"))).alias("jaccard"), _six(X.coverage(F.col("t"), F.col("u"))).alias("coverage"))
 
 
 @query
@@ -134,7 +139,7 @@ def lenient_casts(spark: SparkSession, sf: str) -> DataFrame:
     raw = F.when(F.col("event_id") % 4 == 0, F.lit("x1")).otherwise(F.get_json_object("props", "$.k"))
     props = F.when(F.col("event_id") % 3 == 0, F.lit("{bad")).when(F.col("event_id") % 3 == 1, F.col("props"))
     return e.select(
-        "event_id", X.maybe_int(raw).alias("k"), F.round(X.clip01(X.maybe_float(raw) / 50), 6).alias("share"), F.size(X.json_list(F.when(F.col("event_id") % 2 == 0, F.lit('["a", "b"]')).otherwise(F.col("props")))).cast("long").alias("n_list"),
+        "event_id", X.maybe_int(raw).alias("k"), _six(X.clip01(X.maybe_float(raw) / 50)).alias("share"), F.size(X.json_list(F.when(F.col("event_id") % 2 == 0, F.lit('["a", "b"]')).otherwise(F.col("props")))).cast("long").alias("n_list"),
         X.json_object(props, "k long")["k"].alias("object_k"),
     )
 
@@ -195,7 +200,7 @@ def lexical_recall(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def profile_artist_weights(spark: SparkSession, sf: str) -> DataFrame:
     p = domain.profiles(spark, sf).select("request_id", F.explode(F.arrays_zip("artist_norms", "artist_weights")).alias("w"))
-    return p.select("request_id", F.col("w.artist_norms").alias("artist_norm"), F.round("w.artist_weights", 6).alias("weight"))
+    return p.select("request_id", F.col("w.artist_norms").alias("artist_norm"), _six("w.artist_weights").alias("weight"))
 
 
 @query
@@ -292,7 +297,7 @@ def text_similarity(spark: SparkSession, sf: str) -> DataFrame:
 def signal_scores(spark: SparkSession, sf: str) -> DataFrame:
     s = enrich.attach(domain.catalogue(spark, sf), domain.signals(spark, sf))
     c = F.col
-    return s.select("item_id", "enriched", F.round(S.popularity(c("comments"), c("hot"), c("red"), c("enriched")), 6).alias("popularity"), F.round(S.authority(c("followers"), c("enriched")), 6).alias("authority"), S.playable(c("playable"), c("enriched")).alias("play"), F.round(S.audio_quality(c("audio")), 6).alias("audio"))
+    return s.select("item_id", "enriched", _six(S.popularity(c("comments"), c("hot"), c("red"), c("enriched"))).alias("popularity"), _six(S.authority(c("followers"), c("enriched"))).alias("authority"), S.playable(c("playable"), c("enriched")).alias("play"), _six(S.audio_quality(c("audio"))).alias("audio"))
 
 
 @query
@@ -326,13 +331,11 @@ def score_order(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def enrich_budget(spark: SparkSession, sf: str) -> DataFrame:
-    return enrich.within_budget(_scored(spark, sf), 10).groupBy("request_id").agg(F.count("*").alias("n"), F.max("place").alias("last"), F.round(F.min("score"), 6).alias("least"))
+    return enrich.within_budget(_scored(spark, sf), 10).groupBy("request_id").agg(F.count("*").alias("n"), F.max("place").alias("last"), _six(F.min("score")).alias("least"))
 
 
 # filters
 
-RULES = [("liked", filters.liked_or_excluded), ("variant", filters.liked_title_variant), ("tag_title", filters.tag_title), ("unplayable", filters.unplayable)]
-
 
 def _filter_query(name: str, bad):
     def run(spark: SparkSession, sf: str) -> DataFrame:
@@ -367,16 +370,32 @@ def filter_low_trust(spark: SparkSession, sf: str) -> DataFrame:
     return rows.where(filters.low_trust(c("agreement"), c("confidence"), c("popularity"), c("authority"), c("enriched"))).select("request_id", "item_id")
 
 
+def _steps(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Hits of both channels (recall by TF-IDF vectors), candidates after the first rules, and after those that need signals."""
+    profiles = domain.profiles(spark, sf)
+    hits = R.all_hits(spark, sf, profiles, dimensions=0)
+    before = R.filtered(R.candidates(spark, sf, profiles, hits))
+    return hits, before, R.with_signals(R.first_round(before), domain.signals(spark, sf))
+
+
 @query
 def filter_funnel(spark: SparkSession, sf: str) -> DataFrame:
-    return filters.funnel(R.enriched(spark, sf), [(n, f()) for n, f in RULES])
+    """Candidates of both channels by the rule that drops them: the five without signals, then the two that need them."""
+    _, before, after = _steps(spark, sf)
+    return filters.funnel(before.where("dropped IS NOT NULL").select("dropped").unionByName(after.select("dropped")))
 
 
 @query
 def funnel_summary(spark: SparkSession, sf: str) -> DataFrame:
     """The counters of each request, rules in their order, a rule seeing what those before it have left."""
-    rows = filters.before_signals(R.candidates(spark, sf))
-    return response.funnel(domain.hits(spark, sf), rows)
+    return response.funnel(*_steps(spark, sf))
+
+
+@query
+def pool_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """The pool that cards are chosen from: scores of the second round, on what all rules keep."""
+    _, _, after = _steps(spark, sf)
+    return R.totals(R.with_text(after)).select("request_id", "item_id", "place", "enriched", _r("text_similarity"), _r("content"), _r("score"))
 
 
 # lists
@@ -394,7 +413,7 @@ def artist_cap(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def pair_similarity(spark: SparkSession, sf: str) -> DataFrame:
     got = rerank.pairs_of_lists(_ranked(spark, sf), ["artist_norm", "album_norm", "taste_tokens", "text_codes", "text_weights"], rerank.pair_similarity)
-    return got.select("request_id", F.explode("pairs").alias("p")).select("request_id", "p.rank_a", "p.rank_b", F.round("p.value", 6).alias("similarity"))
+    return got.select("request_id", F.explode("pairs").alias("p")).select("request_id", "p.rank_a", "p.rank_b", _six("p.value").alias("similarity"))
 
 
 @query
@@ -418,7 +437,7 @@ def cards(spark: SparkSession, sf: str) -> DataFrame:
     """The cards' texts, and their breakdown as columns."""
     c = response.card(_shown(spark, sf).withColumn("rank_score", F.col("score")), "https://example.org/song?id=")
     lists = [F.array_join(x, "; ").alias(x) for x in ("sources", "source_types", "matched_tags")]
-    return c.select("request_id", "rank", "item_id", "title", "artist", "album", "url", "pick_type", *lists, *[F.round(f"score_breakdown.{x}", 6).alias(x) for x in response.BREAKDOWN if x not in ("text_similarity",)])
+    return c.select("request_id", "rank", "item_id", "title", "artist", "album", "url", "pick_type", *lists, *[_six(f"score_breakdown.{x}").alias(x) for x in response.BREAKDOWN])
 
 
 @query
@@ -440,7 +459,7 @@ def upsert_merge(spark: SparkSession, sf: str) -> DataFrame:
     """What the first searches of a plan have found, then what the later ones and an embedding channel find."""
     h = domain.hits(spark, sf)
     day = lambda d: F.lit(d).cast("timestamp_ntz")
-    quality = lambda rows: rows.groupBy("item_id").agg(F.round(F.max("reliability"), 6).alias("quality"))
+    quality = lambda rows: rows.groupBy("item_id").agg(_six(F.max("reliability")).alias("quality"))
     first = h.where("source_type IN ('artist', 'genre')")
     later = h.where("source_type IN ('tag', 'title')").unionByName(h.where("source_type = 'mood'").withColumn("source_type", F.lit("embedding")))
     old, new = (store.observed(rows, quality(rows.where("source_type <> 'embedding'")), day(at)) for rows, at in ((first, "2024-01-01 00:00:00"), (later, "2024-01-02 00:00:00")))
@@ -542,7 +561,8 @@ def shadow_positions(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def shadow_overlap(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.shadow(_shadow(spark, sf), 5).select("request_id", _r("overlap"), "disagreements")
+    got = metrics.shadow_report(_shadow(spark, sf), 5)
+    return got.select("request_id", _r("overlap"), F.col("n_disagreements").alias("disagreements"))
 
 
 @query
@@ -586,7 +606,7 @@ def duplicate_rate(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def shadow_report(spark: SparkSession, sf: str) -> DataFrame:
     got = metrics.shadow_report(_shadow(spark, sf), 5)
-    said = F.transform("disagreements", lambda d: F.concat_ws(":", d["rank"], d["item_id"], d["learned_position"]))
+    said = F.transform("disagreements", lambda d: F.concat_ws(":", d["shown"], d["item_id"], d["learned"]))
     return got.select("request_id", "n_scored", _r("mean_learned"), _r("var_learned"), _r("min_learned"), _r("max_learned"), _r("overlap"), _r("rank_correlation"), "n_disagreements", _join(said).alias("disagreements"))
 
 
@@ -595,19 +615,19 @@ def embedding_share(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.embedding_share(retrieval.merge_hits(_both_channels(spark, sf))).select("request_id", _r("embedding_share"))
 
 
-BUNDLE = ["artist_coverage", "album_coverage", "mean_novelty", "mean_unpopularity", "embedding_share", "dup_artist", "dup_title", "dup_album", "mean_score", "var_score", "min_score", "max_score", "diversity"]
+BUNDLE = ["artist_coverage", "album_coverage", "mean_novelty", "mean_unpopularity", "embedding_share", "dup_artist", "dup_title", "dup_album", "mean_score", "var_score", "min_score", "max_score", "diversity", "rank_correlation", "overlap"]
 
 
 @query
 def list_bundle(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.bundle(_cards(spark, sf), 10).select("request_id", "n_items", "n_types", *[_r(c) for c in BUNDLE])
+    return metrics.bundle(_shadow(spark, sf), 5).select("request_id", "n_items", "n_types", "n_scored", "n_disagreements", *[_r(c) for c in BUNDLE])
 
 
 @query
 def macro_average(spark: SparkSession, sf: str) -> DataFrame:
     """Means over lists; those of learned scores over the lists that have some."""
-    lists = _shadow(spark, sf).groupBy("request_id").agg(F.avg("novelty").alias("mean_novelty"), F.avg("score").alias("mean_score"), F.avg("learned_score").alias("mean_learned"))
-    return metrics.macro_average(lists, ["mean_novelty", "mean_score", "mean_learned"]).select("n_lists", _r("mean_mean_novelty"), _r("mean_mean_score"), _r("mean_mean_learned"))
+    got = metrics.macro_average(metrics.bundle(_shadow(spark, sf), 5))
+    return got.select("n_lists", "n_with_learned", *[_r(f"avg_{c}") for c in (*metrics.MEANS, *metrics.LEARNED_MEANS)])
 
 
 @query
