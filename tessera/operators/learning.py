@@ -6,13 +6,13 @@ import json
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.config import NEGATIVE_EVENTS, PICK_TYPES, POSITIVE_EVENTS, WEIGHTS
+from tessera.operators.tables import written
 
 
 def weak_labels(events: DataFrame, weak_weight: float = WEIGHTS.weak_negative_weight) -> DataFrame:
@@ -97,7 +97,7 @@ def train(rows: DataFrame, features: list[str], kind: str = "logistic", min_samp
         return None, "one class only"
     common = {"featuresCol": "scaled", "labelCol": "binary", "weightCol": "weight"}
     last = {
-        "logistic": lambda: LogisticRegression(maxIter=1000, standardization=False, regParam=1 / total, **common),
+        "logistic": lambda: LogisticRegression(maxIter=1000, tol=1e-9, standardization=False, regParam=1 / total, **common),
         "boosted": lambda: GBTClassifier(seed=42, **common),
         "forest": lambda: RandomForestClassifier(numTrees=200, seed=42, **common),
     }[kind]()
@@ -115,8 +115,43 @@ def importance(model: PipelineModel, features: list[str]) -> dict[str, float]:
     return dict(zip(features, map(float, values.toArray())))
 
 
-def train_auc(model: PipelineModel, rows: DataFrame, features: list[str]) -> float:
-    return BinaryClassificationEvaluator(labelCol="binary", rawPredictionCol="learned_score").evaluate(predict(model, rows, features).withColumn("learned_score", F.col("learned_score").cast("double")))
+def auc(rows: DataFrame, score: str = "learned_score", label: str = "binary") -> DataFrame:
+    """(n_positive, n_negative, auc): the share of (positive, negative) pairs in which the positive has the higher score, ties half.
+
+    Scores are counted first, and their order is made in two steps: a total for each of the ranges that a sorted shuffle deals
+    out, then running totals within a range. So no task sorts all rows; ranges hold distinct scores, so a hot one is one row.
+    """
+    counts = rows.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("n"))
+    spark = rows.sparkSession
+    ranged = written(counts.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "s").withColumn("part", F.spark_partition_id()), "scores")
+    parts = ranged.groupBy("part").agg(F.sum("n").alias("all_n"))
+    # one row per range: their running total is a small window, whatever the number of rows
+    before = parts.withColumn("below_part", F.sum("all_n").over(Window.orderBy("part")) - F.col("all_n")).drop("all_n")
+    below = F.sum("n").over(Window.partitionBy("part").orderBy("s")) - F.col("n")
+    placed = ranged.join(F.broadcast(before), "part").withColumn("below", F.col("below_part") + below)
+    won = F.sum(F.col("p") * (2 * F.col("below") + F.col("n")))
+    got = placed.agg(F.coalesce(F.sum("p"), F.lit(0)).alias("n_positive"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_negative"), won.alias("won"))
+    pairs = F.col("n_positive") * F.col("n_negative")
+    return got.select("n_positive", "n_negative", F.when(pairs > 0, F.col("won") / (2 * pairs)).alias("auc"))
+
+
+def train_auc(model: PipelineModel, rows: DataFrame, features: list[str]) -> float | None:
+    """Of the samples that the model was trained on."""
+    return auc(predict(model, rows, features)).first().auc
+
+
+def gradient(model: PipelineModel, rows: DataFrame, features: list[str]) -> DataFrame:
+    """(feature, gradient) of the logistic ranker's objective at its coefficients: mean weighted loss and the penalty, by scaled
+    feature and for the intercept. At the optimum all are 0."""
+    scaler, last = model.stages[-2], model.stages[-1]
+    mean, std, beta = scaler.mean.toArray(), scaler.std.toArray(), last.coefficients.toArray()
+    miss = F.col("weight") * (F.col("learned_score") - F.col("binary"))
+    got = predict(model, rows, features)
+    scaled = [(F.coalesce(c, F.lit(0.0)) - float(m)) / float(s) if s > 0 else F.lit(0.0) for c, m, s in zip(map(F.col, features), mean, std)]
+    sums = got.agg(F.sum("weight").alias("w"), F.sum(miss).alias("intercept"), *[F.sum(miss * x).alias(f"g{i}") for i, x in enumerate(scaled)])
+    terms = [F.struct(F.lit("intercept").alias("feature"), (F.col("intercept") / F.col("w")).alias("gradient"))]
+    terms += [F.struct(F.lit(name).alias("feature"), (F.col(f"g{i}") / F.col("w") + F.lit(float(last.getRegParam() * beta[i]))).alias("gradient")) for i, name in enumerate(features)]
+    return sums.select(F.explode(F.array(*terms)).alias("t")).select("t.*")
 
 
 def save(model: PipelineModel, path: str) -> None:

@@ -122,10 +122,10 @@ def exposures(cards: DataFrame) -> DataFrame:
 
 
 def write_health(accepted: DataFrame, quarantined: DataFrame) -> DataFrame:
-    """(n_success, n_failure, healthy) of a write: the counters of what was accepted and what was not."""
+    """(n_success, n_failure, healthy) of a batch of events: what was accepted and what was not; healthy until the first failure."""
     both = accepted.select(F.lit(1).alias("ok")).unionByName(quarantined.select(F.lit(0).alias("ok")))
     got = both.agg(F.coalesce(F.sum("ok"), F.lit(0)).alias("n_success"), F.count_if(F.col("ok") == 0).alias("n_failure"))
-    return got.withColumn("healthy", (F.col("n_failure") == 0) | (F.col("n_success") > 0))
+    return got.withColumn("healthy", F.col("n_failure") == 0)
 
 
 def with_ids(events: DataFrame) -> DataFrame:

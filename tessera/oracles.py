@@ -398,7 +398,7 @@ SELECT coalesce(n.item_id, o.item_id) AS item_id, CASE WHEN o.item_id IS NULL OR
 SQL["feedback_read"] = f"WITH {FEEDBACK} SELECT request_id, event_id, event_type, row_number() OVER (PARTITION BY request_id ORDER BY ts, event_id) AS place FROM feedback JOIN customer ON c_custkey = request_id WHERE c_acctbal < 0"
 SQL["record_casts"] = """SELECT event_id AS item_id, CASE WHEN event_id % 5 <> 0 THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END AS hot, CASE event_id % 3 WHEN 1 THEN false WHEN 2 THEN true END AS playable, CASE WHEN event_id % 2 = 0 THEN 'x,y' ELSE '' END AS artists,
   CASE WHEN event_id % 7 <> 0 THEN event_type ELSE '' END AS title, CASE WHEN event_id % 2 = 0 THEN 'x' ELSE '' END AS artist FROM events"""
-SQL["write_health"] = "SELECT count(*) FILTER (event_type = 'click') AS n_success, count(*) FILTER (event_type <> 'click') AS n_failure, true AS healthy FROM events"
+SQL["write_health"] = "SELECT count(*) FILTER (event_type = 'click') AS n_success, count(*) FILTER (event_type <> 'click') AS n_failure, count(*) FILTER (event_type <> 'click') = 0 AS healthy FROM events"
 SQL["feedback_latest"] = f"WITH {FEEDBACK} SELECT request_id, event_id, event_type FROM feedback QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY ts DESC, event_id DESC) = 1"
 SQL["feedback_valid"] = "SELECT event_id, CASE WHEN event_type = 'click' THEN 'accepted' ELSE 'quarantined' END AS state FROM events"
 SQL["weak_labels"] = f"WITH {LABELS} SELECT * FROM labelled"
@@ -447,3 +447,39 @@ _BUNDLED = ("artist_coverage", "album_coverage", "mean_novelty", "mean_unpopular
 SQL["list_bundle"] = f"{_BUNDLE} SELECT request_id, n_items, n_types, n_scored, n_disagreements, {r(*_BUNDLED)} FROM lst"
 SQL["macro_average"] = f"{_BUNDLE} SELECT count(*) AS n_lists, count(n_scored) AS n_with_learned, {', '.join(f'round(coalesce(avg({c}), 0) + 1e-10, 6) AS avg_{c}' for c in ('diversity', 'embedding_share', 'mean_novelty', 'artist_coverage', 'dup_artist', 'mean_score', 'rank_correlation', 'overlap', 'n_disagreements'))} FROM lst"
 SQL["daily_feedback"] = f"WITH {FEEDBACK} SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type, count(*) AS n FROM feedback WHERE event_type IS NOT NULL GROUP BY ALL"
+SQL["train_auc"] = f"""{SHOWN}, {LABELS}, x AS (SELECT s.score AS v, coalesce(l."binary", 0) AS y FROM shown s LEFT JOIN labelled l ON l.request_id = s.request_id AND l.item_id = s.item_id
+), k AS (SELECT y, (rank() OVER (ORDER BY v) + rank() OVER (ORDER BY v) + count(*) OVER (PARTITION BY v) - 1) / 2.0 AS place FROM x), n AS (SELECT count(*) FILTER (y = 1) AS p, count(*) FILTER (y <> 1) AS n, sum(place) FILTER (y = 1) AS places FROM k)
+SELECT p AS n_positive, n AS n_negative, CASE WHEN p * n > 0 THEN round((places - p * (p + 1) / 2.0) / (p * n) + 1e-10, 6) END AS auc FROM n"""
+_FEATURES = ["f_" + c for c in "content retrieval agreement quality novelty score rank_score rank content_weight novelty_weight diversity n_types has_embedding_source has_artist_source has_genre_source has_mood_source has_tag_source has_seed_song_source has_discovery_source pick_safe pick_exploratory pick_diverse pick_balanced".split()]
+# at the optimum of the objective its gradient is 0, by feature
+SQL["ranker_gradient"] = "SELECT unnest(" + str(["intercept", *_FEATURES]) + ") AS feature, 0.0::DOUBLE AS gradient"
+_BODIES = """e AS (SELECT event_id, event_type AS t, coalesce(json_extract_string(props, '$.k'), '1') AS k FROM events), b AS (SELECT event_id, CASE event_id % 9 WHEN 0 THEN '{"liked_songs": ['
+  WHEN 1 THEN '{"liked_songs":[{"netease_song_id":"' || k || '","title":" T' || k || ' ","artists":["' || t || '",""," b "],"deep":{"x":[1]}},{"netease_song_id":' || k || '},"x",{"netease_song_id":0}],"k":"' || k || '"}'
+  WHEN 2 THEN '{"liked_artists":[" ' || t || ' ","' || t || '",null,' || k || '],"excluded_song_ids":[' || k || ',"' || k || '",0,"x",7],"novelty":' || k || '}' WHEN 3 THEN '{"genres":"' || t || '"}' WHEN 4 THEN '{"novelty":"high","k":3}'
+  WHEN 5 THEN '{"n":' || k || ',"content_weight":"0.25","tags":["t' || k || '"],"k":null}' WHEN 6 THEN '[' || k || ']' WHEN 7 THEN '{"n":' || k || '}'
+  ELSE '{"tags":[' || array_to_string(list_transform(range(1, 61), lambda i: '"t' || (i % 40) || '"'), ',') || ']}' END AS body FROM e)"""
+_LISTS = ("liked_songs", "liked_artists", "genres", "moods", "tags", "excluded_song_ids")
+
+
+def _strings(name: str, most: int) -> str:
+    values = f"list_filter(list_transform(CAST(json_extract(v, '$.{name}[*]') AS JSON[]), lambda x: trim(coalesce(json_extract_string(x, '$'), ''))), lambda x: x <> '')"
+    return f"list_filter({values}, lambda x, i: list_position(list_transform({values}, lambda y: lower(y)), lower(x)) = i)[1:{most}]"
+
+
+_IDS = "list_filter(list_transform(CAST(json_extract(v, '$.excluded_song_ids[*]') AS JSON[]), lambda x: TRY_CAST(json_extract_string(x, '$') AS BIGINT)), lambda x: x IS NOT NULL AND x <> 0)"
+_SONGS = "list_filter(list_transform(list_filter(CAST(json_extract(v, '$.liked_songs[*]') AS JSON[]), lambda x: json_type(x) = 'OBJECT'), lambda x: {'i': TRY_CAST(json_extract_string(x, '$.netease_song_id') AS BIGINT), 't': trim(coalesce(json_extract_string(x, '$.title'), '')), 'a': array_to_string(list_filter(list_transform(CAST(json_extract(x, '$.artists[*]') AS JSON[]), lambda y: trim(json_extract_string(y, '$'))), lambda y: y <> ''), '+')}), lambda x: x.i IS NOT NULL AND x.i <> 0)"
+SQL["coerced_requests"] = f"""WITH {_BODIES}, j AS (SELECT event_id, CASE WHEN json_valid(body) THEN body::JSON END AS v FROM b), c AS (
+SELECT event_id, v, CASE WHEN v IS NULL OR json_type(v) <> 'OBJECT' THEN 'Request body must be a JSON object.' {' '.join(f"WHEN json_type(v, '$.{c}') NOT IN ('ARRAY', 'NULL') THEN '`{c}` must be a list'" for c in _LISTS)} WHEN json_extract_string(v, '$.novelty') <> '' AND TRY_CAST(json_extract_string(v, '$.novelty') AS DOUBLE) IS NULL THEN '`novelty` must be a number' END AS error,
+  {_SONGS} AS so, {_IDS} AS ids, TRY_CAST(json_extract_string(v, '$.novelty') AS DOUBLE) AS nov, TRY_CAST(json_extract_string(v, '$.content_weight') AS DOUBLE) AS cw, TRY_CAST(CASE WHEN json_exists(v, '$.k') THEN json_extract_string(v, '$.k') ELSE json_extract_string(v, '$.n') END AS BIGINT) AS kk FROM j)
+SELECT event_id, error, coalesce(array_to_string(list_transform(list_filter(so, lambda x, i: list_position(list_transform(so, lambda y: y.i), x.i) = i), lambda x: x.i || '/' || x.t || '/' || x.a), ','), '') AS songs, {', '.join(f"coalesce({join(_strings(c, n))}, '') AS {c}" for c, n in (('liked_artists', 15), ('genres', 20), ('tags', 20)))},
+  coalesce(array_to_string(list_filter(ids, lambda x, i: list_position(ids, x) = i), ','), '') AS excluded, CASE WHEN cw IS NULL THEN 0.5 ELSE least(1, greatest(0, cw)) END::DOUBLE AS content_weight, CASE WHEN json_extract_string(v, '$.novelty') = 'high' THEN 0.0 WHEN nov IS NULL THEN 0.3 ELSE least(1, greatest(0, nov)) END::DOUBLE AS novelty, CAST(CASE WHEN kk IS NULL THEN 10 ELSE greatest(1, least(30, kk)) END AS INTEGER) AS k FROM c"""
+_ASKED_OF = "asked_of AS (SELECT DISTINCT request_id, query, max_hits FROM planned WHERE source_type <> 'discovery'), debt AS (SELECT c_custkey AS request_id FROM customer WHERE c_acctbal < 0)"
+SQL["cached_search"] = f"WITH {HITS}, {_ASKED_OF}, a AS (SELECT DISTINCT query, max_hits FROM asked_of) SELECT a.query, CAST(max_hits AS INTEGER) AS max_hits, CAST(position AS INTEGER) AS position, item_id FROM a JOIN found f ON f.query = a.query AND f.source_type IN ('artist', 'genre', 'mood', 'tag') WHERE position < max_hits"
+SQL["cache_counters"] = f"""WITH {HITS}, {_ASKED_OF}, one AS (SELECT DISTINCT query, max_hits FROM asked_of WHERE request_id IN (SELECT request_id FROM debt)), two AS (SELECT DISTINCT query, max_hits FROM asked_of)
+SELECT 'first' AS run, count(*) AS n_asked, 0::BIGINT AS n_hits, count(*) AS n_misses, 0::BIGINT AS n_failed FROM one UNION ALL SELECT 'second', (SELECT count(*) FROM two), (SELECT count(*) FROM one), (SELECT count(*) FROM two) - (SELECT count(*) FROM one), 0"""
+SQL["seed_profiles"] = """WITH s AS (SELECT c_nationkey AS n FROM customer GROUP BY c_nationkey)
+SELECT CASE WHEN n <> 11 THEN 'nation-' || n END AS profile_id, CASE n WHEN 11 THEN 'profile_id: missing' WHEN 5 THEN 'content_weight: no number: much' END AS error, CAST(n % 12 + 1 AS INTEGER) AS k, CASE WHEN n = 5 THEN 0.0 ELSE round(least(1, n / 24.0) + 1e-10, 6) END::DOUBLE AS content_weight, 0.3::DOUBLE AS novelty, 0.3::DOUBLE AS diversity, ['red', 'blue', 'green'][n % 3 + 1] AS tags FROM s"""
+SQL["feedback_stream"] = f"WITH {FEEDBACK}, f AS (SELECT * FROM feedback WHERE event_type IN ('like', 'click', 'why_clicked', 'dislike', 'impression')) SELECT request_id, event_id, event_type FROM f WHERE request_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY ts DESC, event_id DESC) = 1"
+SQL["store_versions"] = f"""WITH {HITS}, o AS (SELECT item_id, list(DISTINCT source_type) AS k FROM hits WHERE source_type IN ('artist', 'genre') GROUP BY item_id), n AS (SELECT item_id, list(DISTINCT source_type) AS k FROM hits WHERE source_type IN ('tag', 'title') GROUP BY item_id),
+b AS (SELECT CASE WHEN o.item_id IS NULL OR n.item_id IS NULL THEN 1 ELSE 2 END AS seen, len(list_concat(coalesce(o.k, []), coalesce(n.k, []))) AS t, CASE WHEN o.item_id IS NULL THEN TIMESTAMP '2024-01-02 00:00:00' ELSE TIMESTAMP '2024-01-01 00:00:00' END AS f FROM o FULL JOIN n ON o.item_id = n.item_id)
+SELECT 0 AS version, count(*) AS n_items, count(*) AS seen, CAST(sum(len(k)) AS BIGINT) AS n_types, TIMESTAMP '2024-01-01 00:00:00' AS newest FROM o UNION ALL SELECT 1, count(*), CAST(sum(seen) AS BIGINT), CAST(sum(t) AS BIGINT), max(f) FROM b"""

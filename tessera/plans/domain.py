@@ -55,26 +55,30 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(F.col("c_custkey").alias("request_id"), stated(brand).alias("liked_artists"), stated(F.lower("c_mktsegment")).alias("moods"))
 
 
-def profiles(spark: SparkSession, sf_dir: str, own: DataFrame | None = None, keep_all: bool = False) -> DataFrame:
+def profiles(spark: SparkSession, sf_dir: str, own: DataFrame | None = None, keep_all: bool = False, asked: DataFrame | None = None) -> DataFrame:
     """One row per request: ordered artists, genres, moods, tags, titles, norm sets, tag and intent tokens, artist weights,
     the words of the whole profile, and has_signal (some liked id, artist or tag token).
 
-    keep_all: requests without a liked item have a row, too.
+    keep_all: requests without a liked item have a row, too. asked: requests in place of the customers', with the columns of
+    requests(), and maybe genres and tags (else they follow from the liked items) and others, which are kept.
     """
+    asked = requests(spark, sf_dir) if asked is None else asked
+    stated = [c for c in ("genres", "tags") if c in asked.columns]
+    more = [c for c in asked.columns if c not in ("request_id", "liked_artists", "moods", "genres", "tags")]
     own = liked(spark, sf_dir) if own is None else own
     ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("pos", c))), lambda s: s[c])
     got = own.groupBy("request_id").agg(ordered("artist").alias("artist_list"), ordered("album").alias("album_list"), ordered("title").alias("title_list"), F.sort_array(F.collect_list("item_id")).alias("liked_ids"))
-    got = requests(spark, sf_dir).join(got, "request_id", "left" if keep_all else "inner")
+    got = asked.withColumnsRenamed({c: f"stated_{c}" for c in stated}).join(got, "request_id", "left" if keep_all else "inner")
     none = lambda c, kind: F.coalesce(c, F.array().cast(f"array<{kind}>")).alias(c)
-    got = got.select("request_id", "liked_artists", "moods", *[none(c, "string") for c in ("artist_list", "album_list", "title_list")], none("liked_ids", "bigint"))
+    got = got.select("request_id", *more, *[none(c, "string") for c in ("liked_artists", "moods", *(f"stated_{c}" for c in stated), "artist_list", "album_list", "title_list")], none("liked_ids", "bigint"))
     words = lambda c: F.flatten(F.transform(c, X.tokens))
     filled = lambda c, norm: F.array_remove(F.array_distinct(F.transform(c, norm)), "")
     got = got.withColumn("credits", F.concat("artist_list", "liked_artists"))
     got = got.select(
         "*",
         F.filter(F.array_distinct("credits"), lambda a: X.norm_artist(a) != "").alias("artists"),
-        F.slice(X.dedupe_phrases(F.col("album_list")), 1, MAX_TAGS).alias("genres"),
-        F.slice(X.dedupe_phrases(F.flatten(F.transform("title_list", lambda t: F.split(t, " ")))), 1, MAX_TAGS).alias("tags"),
+        (X.dedupe_phrases(F.col("stated_genres")) if "genres" in stated else F.slice(X.dedupe_phrases(F.col("album_list")), 1, MAX_TAGS)).alias("genres"),
+        (X.dedupe_phrases(F.col("stated_tags")) if "tags" in stated else F.slice(X.dedupe_phrases(F.flatten(F.transform("title_list", lambda t: F.split(t, " ")))), 1, MAX_TAGS)).alias("tags"),
     )
     got = got.withColumn("tag_phrases", X.dedupe_phrases(F.concat("genres", "moods", "tags")))
     # a weight is 1 for each credit of a liked item and .75 for a liked artist
@@ -82,7 +86,7 @@ def profiles(spark: SparkSession, sf_dir: str, own: DataFrame | None = None, kee
     weights = lambda all_norms: F.transform("artist_norms", lambda n: count(F.slice(all_norms, 1, F.size("artist_list")), n) + 0.75 * count(F.slice(all_norms, F.size("artist_list") + 1, F.size("liked_artists")), n))
     got = got.withColumn("artist_norms", filled("credits", X.norm_artist)).withColumn("weights", X.let(F.transform("credits", X.norm_artist), weights))
     return got.select(
-        "request_id", "liked_ids", "artists", "genres", "moods", "tags", "tag_phrases", "artist_norms", "artist_list", "album_list", "title_list",
+        "request_id", *more, "liked_ids", "artists", "genres", "moods", "tags", "tag_phrases", "artist_norms", "artist_list", "album_list", "title_list",
         filled("title_list", X.norm_title).alias("title_norms"), filled("album_list", X.norm_title).alias("album_norms"),
         F.array_distinct(words("title_list")).alias("title_tokens"), F.array_distinct(words("credits")).alias("artist_tokens"),
         F.array_distinct(words("tag_phrases")).alias("tag_tokens"),

@@ -23,6 +23,8 @@ CARRIED = (
     "request_id", "item_id", "title", "artist", "album", "artist_norm", "album_norm", "title_norm", "types", "sources", "taste_tokens",
     "artist_match", "known_artist", "affinity", "tag_match", "title_match", "title_overlap", "agreement", "confidence", "retrieval", "novelty", "metadata", "seed_album",
 )
+#: What a request may set for itself; where rows have these columns they count instead of the defaults.
+CONTROLS = ("content_weight", "novelty_weight", "diversity", "k")
 SIGNAL_TYPES = {"comments": "long", "hot": "long", "red": "long", "followers": "long", "playable": "boolean", "audio": "double"}
 SIGNALS = tuple(SIGNAL_TYPES)
 
@@ -173,12 +175,13 @@ def signal_features(rows: DataFrame) -> DataFrame:
 def totals(rows: DataFrame) -> DataFrame:
     """rows with content, personal, base, gate, bonus and score; text_similarity is the text's part of content."""
     c = F.col
+    content_weight, novelty_weight = (c(name) if name in rows.columns else F.lit(default) for name, default in (("content_weight", CONTENT_WEIGHT), ("novelty_weight", NOVELTY_WEIGHT)))
     content = S.blend({"text": c("text_similarity"), "artist": c("artist_match"), "tag": c("tag_match"), "title": c("title_match")}, WEIGHTS.content)
-    rows = rows.withColumn("content", content).withColumn("personal", CONTENT_WEIGHT * c("content") + (1 - CONTENT_WEIGHT) * c("retrieval"))
-    base, gate, final = S.final(c("content"), c("retrieval"), c("quality"), c("authority"), c("novelty"), F.lit(CONTENT_WEIGHT), F.lit(NOVELTY_WEIGHT))
+    rows = rows.withColumn("content", content).withColumn("personal", content_weight * c("content") + (1 - content_weight) * c("retrieval"))
+    base, gate, final = S.final(c("content"), c("retrieval"), c("quality"), c("authority"), c("novelty"), content_weight, novelty_weight)
     # rounded once, so that orders by score do not hang on the last bit
     rows = rows.withColumn("base", F.round(base, 9)).withColumn("gate", F.round(gate, 9)).withColumn("score", F.round(final, 9))
-    return rows.withColumn("bonus", NOVELTY_WEIGHT * c("novelty") * c("gate"))
+    return rows.withColumn("bonus", novelty_weight * c("novelty") * c("gate"))
 
 
 def parts(rows: DataFrame) -> DataFrame:
@@ -221,10 +224,11 @@ def filtered(found: DataFrame) -> DataFrame:
 
 def first_round(rows: DataFrame) -> DataFrame:
     """What filtered() keeps, scored without signals, with the place of each in its request and with its words for the next round."""
-    pool = profile_once(text_words(rows.where("dropped IS NULL")).select(*CARRIED, "text_words", "profile_words"))
+    carried = [*CARRIED, *(c for c in CONTROLS if c in rows.columns)]
+    pool = profile_once(text_words(rows.where("dropped IS NULL")).select(*carried, "text_words", "profile_words"))
     kept = pool.withColumns({"words": F.col("text_words"), "own_words": F.col("profile_words"), "enriched": F.lit(False), **{c: F.lit(None).cast(t) for c, t in SIGNAL_TYPES.items()}})
     first = totals(with_text(signal_features(kept))).withColumn("place", by_score())
-    return first.select(*CARRIED, F.col("words").alias("text_words"), F.col("own_words").alias("profile_words"), F.col("score").alias("first_score"), "place")
+    return first.select(*carried, F.col("words").alias("text_words"), F.col("own_words").alias("profile_words"), F.col("score").alias("first_score"), "place")
 
 
 def with_signals(rows: DataFrame, signals: DataFrame, k: int = K) -> DataFrame:

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.config import WEIGHTS
+from tessera.functions import requests
 from tessera.functions import scoring as S
 from tessera.functions import text as X
-from tessera.operators import catalog, enrich, explain, filters, learning, metrics, rerank, retrieval, semantic, store
-from tessera.plans import domain, response
+from tessera.operators import catalog, enrich, explain, filters, learning, metrics, rerank, retrieval, semantic, store, tables, versions
+from tessera.plans import domain, evaluate, response
 from tessera.plans import recommend as R
+from tessera.sources import cache
 
 QUERIES: dict = {}
 
@@ -144,6 +147,29 @@ def lenient_casts(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _bodies(spark: SparkSession, sf: str) -> DataFrame:
+    """(event_id, body): a request's JSON text for each event: broken, nested, too long, of wrong kinds, and right."""
+    e = domain.table(spark, sf, "events").withColumn("k", F.coalesce(F.get_json_object("props", "$.k"), F.lit("1")))
+    said = lambda text: F.replace(F.replace(F.lit(text), F.lit("<k>"), F.col("k")), F.lit("<t>"), F.col("event_type"))
+    texts = (
+        '{"liked_songs": [', '{"liked_songs":[{"netease_song_id":"<k>","title":" T<k> ","artists":["<t>",""," b "],"deep":{"x":[1]}},{"netease_song_id":<k>},"x",{"netease_song_id":0}],"k":"<k>"}',
+        '{"liked_artists":[" <t> ","<t>",null,<k>],"excluded_song_ids":[<k>,"<k>",0,"x",7],"novelty":<k>}', '{"genres":"<t>"}', '{"novelty":"high","k":3}', '{"n":<k>,"content_weight":"0.25","tags":["t<k>"],"k":null}', "[<k>]", '{"n":<k>}',
+    )
+    many = F.concat(F.lit('{"tags":['), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(60)), lambda i: F.concat(F.lit('"t'), (i % 40).cast("string"), F.lit('"'))), ","), F.lit("]}"))
+    kind = F.col("event_id") % 9
+    body = many
+    for i, text in enumerate(texts):
+        body = F.when(kind == i, said(text)).otherwise(body)
+    return e.select("event_id", body.alias("body"))
+
+
+@query
+def coerced_requests(spark: SparkSession, sf: str) -> DataFrame:
+    got = _bodies(spark, sf).select("event_id", requests.coerce(F.col("body")).alias("q")).select("event_id", "q.*")
+    songs = _join(F.transform("liked_songs", lambda x: F.concat_ws("/", x["item_id"], x["title"], F.array_join(x["artists"], "+"))))
+    return got.select("event_id", "error", songs.alias("songs"), *[_join(F.col(c)).alias(c) for c in ("liked_artists", "genres", "tags")], _join(F.col("excluded_song_ids").cast("array<string>")).alias("excluded"), "content_weight", "novelty", "k")
+
+
 # semantic recall
 
 
@@ -241,6 +267,30 @@ def merge_hits(spark: SparkSession, sf: str) -> DataFrame:
     return m.select("request_id", "item_id", "n_hits", "n_names", _join(F.col("types")).alias("types"), F.array_join("sources", "; ").alias("sources"), F.col("first_hit.plan_idx").alias("first_plan"), _r("best_value"), _r("mean_value"), _r("mean_position"))
 
 
+def _cached(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Two runs over one cache of searches: requests in debt, then all. Hits of the second, and the counters of both."""
+    lists = domain.search_lists(spark, sf).where("source_type IN ('artist', 'genre', 'mood', 'tag')")
+    planned = domain.plan(domain.profiles(spark, sf)).where("source_type <> 'discovery'")
+    debt = domain.table(spark, sf, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("request_id"))
+
+    def look_up(missing: DataFrame) -> DataFrame:
+        return missing.join(lists, "query").where("position < `limit`").select("query", "limit", "position", "item_id", F.lit(None).cast("string").alias("error"))
+
+    folder = f"{tables.shared_folder(spark)}/cache-{uuid.uuid4().hex}"
+    cache.search(planned.join(debt, "request_id", "left_semi"), folder, look_up, "first")
+    return cache.search(planned, folder, look_up, "second"), cache.counters(spark, folder)
+
+
+@query
+def cached_search(spark: SparkSession, sf: str) -> DataFrame:
+    return _cached(spark, sf)[0].withColumnRenamed("limit", "max_hits")
+
+
+@query
+def cache_counters(spark: SparkSession, sf: str) -> DataFrame:
+    return _cached(spark, sf)[1]
+
+
 @query
 def route_counts(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.route_counts(domain.hits(spark, sf))
@@ -540,13 +590,29 @@ def feature_schema(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def train_ranker(spark: SparkSession, sf: str) -> DataFrame:
-    rows, names = _samples(spark, sf), list(learning.BASE_FEATURES)
+    rows, names = tables.written(_samples(spark, sf), "samples"), list(learning.BASE_FEATURES)
     model, reason = learning.train(rows, names)
     if model is None:
         return rows.select("request_id", "item_id", F.lit(None).cast("double").alias("learned_score"))
     return learning.predict(model, rows, names).select("request_id", "item_id", "learned_score")
 
 
+@query
+def train_auc(spark: SparkSession, sf: str) -> DataFrame:
+    """How well the final score tells the samples with a positive event from the others: ties count half."""
+    return learning.auc(_samples(spark, sf), "f_score").select("n_positive", "n_negative", _r("auc"))
+
+
+@query
+def ranker_gradient(spark: SparkSession, sf: str) -> DataFrame:
+    """The objective's gradient at the trained ranker's coefficients: 0 at the optimum, by feature."""
+    rows, names = tables.written(_samples(spark, sf), "samples"), list(learning.BASE_FEATURES)
+    model, _ = learning.train(rows, names)
+    if model is None:
+        return spark.createDataFrame([(n, 0.0) for n in ("intercept", *names)], "feature string, gradient double")
+    return learning.gradient(model, rows, names).select("feature", (F.round("gradient", 4) + 0.0).alias("gradient"))
+
+
 def _shadow(spark: SparkSession, sf: str) -> DataFrame:
     """Cards with a learned score, but for the lists of requests in debt."""
     debt = domain.table(spark, sf, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("request_id"), F.lit(True).alias("debt"))
@@ -630,6 +696,55 @@ def macro_average(spark: SparkSession, sf: str) -> DataFrame:
     return got.select("n_lists", "n_with_learned", *[_r(f"avg_{c}") for c in (*metrics.MEANS, *metrics.LEARNED_MEANS)])
 
 
+def _seeds(spark: SparkSession, sf: str) -> DataFrame:
+    """A seed profile for each nation, from its first customer; those of the nations 5 and 11 are broken."""
+    c = domain.table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("n")).agg(F.min(F.struct("c_custkey", "c_mktsegment", "c_acctbal")).alias("c"))
+    word = F.array(F.element_at(F.array(*map(F.lit, ("red", "blue", "green"))), (F.col("n") % 3 + 1).cast("int")))
+    return c.select(
+        F.concat(F.lit("nation-"), F.when(F.col("n") != 11, F.col("n")).otherwise(F.lit(None).cast("long")).cast("string")).alias("profile_id"), F.array(F.concat(F.lit("Brand#"), (F.col("n") + 1).cast("string"))).alias("liked_artists"), F.array(F.lit("STANDARD")).alias("genres"),
+        F.array(F.lower("c.c_mktsegment")).alias("moods"), word.alias("tags"), F.when(F.col("n") == 5, "much").otherwise((F.col("n") / 24).cast("string")).alias("content_weight"), F.lit(None).cast("string").alias("novelty"), F.lit("0.3").alias("diversity"), (F.col("n") % 12 + 1).cast("string").alias("k"),
+    )
+
+
+@query
+def seed_profiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Which seeds are requests, with which controls, and what is wrong with the others."""
+    got = evaluate.checked(_seeds(spark, sf))
+    return got.select("profile_id", "error", "k", _r("content_weight"), "novelty", "diversity", _join(F.col("tags")).alias("tags"))
+
+
+@query
+def evaluation_report(spark: SparkSession, sf: str) -> DataFrame:
+    """A row for each seed profile: its diagnostics, or why it has none."""
+    report, _, _ = evaluate.evaluate(spark, sf, _seeds(spark, sf), f"{tables.shared_folder(spark)}/evaluation-{uuid.uuid4().hex}")
+    return report.drop("latency_ms")
+
+
+@query
+def feedback_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The last accepted event of each request, as the streaming sink keeps it."""
+    from tessera.streaming import feedback, sink
+
+    folder = f"{tables.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    _feedback(spark, sf).withColumn("ts", F.col("ts").cast("timestamp")).repartition(4).write.parquet(f"{folder}/in")
+    events = feedback.read_events(spark, f"{folder}/in", spark.read.parquet(f"{folder}/in").schema, files_per_batch=1)
+    sink.start(events, f"{folder}/out", f"{folder}/checkpoint", late="3650 days").awaitTermination()
+    return sink.latest(spark, f"{folder}/out").select("request_id", "event_id", "event_type")
+
+
+@query
+def store_versions(spark: SparkSession, sf: str) -> DataFrame:
+    """Two commits of what searches have found; each version as it is read afterwards."""
+    path = f"{tables.shared_folder(spark)}/store-{uuid.uuid4().hex}"
+    h = domain.hits(spark, sf)
+    for kinds, day in (("'artist', 'genre'", "2024-01-01"), ("'tag', 'title'", "2024-01-02")):
+        rows = h.where(f"source_type IN ({kinds})")
+        versions.commit(store.observed(rows, rows.groupBy("item_id").agg(F.max("reliability").alias("quality")), F.lit(day).cast("timestamp_ntz")), path)
+    read = [versions.read(spark, path, v).select(F.lit(v).alias("version"), "seen", F.size("source_types").alias("n_types"), "first_seen") for v in versions.versions(spark, path)]
+    got = read[0].unionByName(read[1])
+    return got.groupBy("version").agg(F.count("*").alias("n_items"), F.sum("seen").alias("seen"), F.sum("n_types").alias("n_types"), F.max("first_seen").alias("newest"))
+
+
 @query
 def daily_feedback(spark: SparkSession, sf: str) -> DataFrame:
     from tessera.streaming.feedback import daily_counts

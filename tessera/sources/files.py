@@ -1,10 +1,7 @@
-"""Readers of JSON inputs, a cached search, and report sinks."""
+"""Readers of JSON inputs, and a report sink."""
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,41 +30,6 @@ def read_profiles(spark: SparkSession, path: str) -> DataFrame:
     return rows.where(F.col("profile_id").isNotNull()).fillna({"content_weight": 0.5, "novelty": 0.3, "diversity": 0.3, "k": 10})
 
 
-class FixtureSearch:
-    """A search over lists in memory: that of the query in lower case, or else the default list, cut to the limit."""
-
-    def __init__(self, lists: dict[str, list[dict]], default: list[dict] | None = None):
-        self.lists, self.default = {k.lower(): v for k, v in lists.items()}, default or []
-
-    def __call__(self, query: str, limit: int) -> list[dict]:
-        return self.lists.get(query.lower(), self.default)[:limit]
-
-
-class CachedSearch:
-    """A search function with a cache by (query, limit); a failed search counts as empty, and that is kept too."""
-
-    def __init__(self, search: Callable[[str, int], list[dict]]):
-        self.search, self.kept, self.hits, self.misses = search, {}, 0, 0
-
-    def __call__(self, query: str, limit: int) -> list[dict]:
-        key = (query, limit)
-        if key in self.kept:
-            self.hits += 1
-            return self.kept[key]
-        self.misses += 1
-        try:
-            self.kept[key] = self.search(query, limit)
-        except Exception:  # the channel is optional; an empty list is its defined result
-            self.kept[key] = []
-        return self.kept[key]
-
-
-def write_report(rows: DataFrame, path: str, limit: int = 10_000) -> None:
-    """A small report (aggregates) as one JSON file on the driver."""
-    with open(path, "w") as f:
-        json.dump([json.loads(x) for x in rows.limit(limit).toJSON().collect()], f, indent=2)
-
-
 def write_report_table(rows: DataFrame, path: str) -> None:
     """A report of any size, as JSON lines."""
     rows.write.mode("overwrite").json(path)

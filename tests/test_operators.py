@@ -11,7 +11,7 @@ from tessera import config
 from tessera.functions import text as X
 from tessera.functions import scoring as S
 from tessera.operators import enrich, learning, metrics, rerank, semantic, store
-from tessera.plans import recommend, response
+from tessera.plans import recommend
 from tessera.sources import files
 from tessera.streaming import feedback
 
@@ -84,8 +84,6 @@ def test_sources(spark, tmp_path):
     (tmp_path / "p.json").write_text(json.dumps({"profiles": [{"profile_id": "p", "k": 5}, {"label": "no id"}]}))
     (p,) = files.read_profiles(spark, str(tmp_path / "p.json")).collect()
     assert (p.profile_id, p.k, p.novelty) == ("p", 5, 0.3)
-    s = files.CachedSearch(lambda q, n: [{"q": q}] if q != "bad" else 1 / 0)
-    assert s("a", 1) == s("a", 1) == [{"q": "a"}] and s("bad", 1) == s("bad", 1) == [] and (s.hits, s.misses) == (2, 2)
 
 
 def test_streamed_counts_equal_batch(spark, tmp_path):
@@ -168,28 +166,13 @@ def test_index_against_numpy(spark):
     found = built.recall(spark.createDataFrame([(7, texts[7]), (8, "unknown")], "id long, text string"), 3)
     rows = found.orderBy("rank").collect()
     assert rows[0].item_id == 7 and rows[0].score == pytest.approx(1) and {x.query_id for x in rows} == {7}
-    assert semantic.as_hits(found, 0.68).columns == ["request_id", "plan_idx", "source_type", "query", "reliability", "item_id", "position"]
+    assert semantic.as_hits(found, 0.68).columns == ["request_id", "plan_idx", "source_type", "query", "query_tokens", "reliability", "item_id", "position"]
     assert semantic.fit(df.limit(1)) is None and semantic.index(df.limit(10), None, None) is None
     df = df.where("id < 60")
     ids = df.select("id")
     assert semantic.index(df.withColumn("text", F.concat("text", F.lit(" more"))), ids, built) is built and semantic.index(df.where("id < 50"), ids, built) is not built
 
 
-def test_response(spark):
-    control = response.control_echo(spark.createDataFrame([(1, 2.0, None, 0.3, 99)], "request_id long, content_weight double, novelty double, diversity double, k int"))
-    assert tuple(control.first()) == (1, 1.0, 0.0, 0.3, 50)
-    profiles = spark.createDataFrame([(1, [2], ["A"], ["t"], ["t"])], "request_id long, liked_ids array<long>, artists array<string>, tag_phrases array<string>, tag_tokens array<string>")
-    counters = response.no_input(profiles)
-    trace = response.trace(profiles, counters.withColumnsRenamed({"total_unique": "after_dedup"}).withColumn("final_candidate_count", F.lit(0)), 12.345, {"score": 1.239}, ("m", "r"))
-    t = trace.first()
-    assert t.latency_ms == 12.35 or t.latency_ms == 12.34
-    assert t.stage_latencies_ms == {"score": 1.24} and t.liked_songs == 1 and "request_id=1" in t.log_line
-    cards = spark.createDataFrame([(1, 1, 5)], "request_id long, rank int, item_id long")
-    got = response.assemble(1, cards.limit(0), control, counters, profiles, response.model_info(("m", "r")), None, trace)
-    assert len(got) == 8 and got["fallback_used"] == "no_candidates" and got["control"]["k"] == 50 and got["candidate_summary"]["total_unique"] == 0
-    assert response.assemble(1, cards, control, counters, profiles, {}, None)["items"] == [{"request_id": 1, "rank": 1, "item_id": 5}]
-
-
 def test_store_reads_and_sinks(spark, tmp_path):
     rows = spark.createDataFrame([(1, "a", " x "), (2, "b", " "), (3, "c", None)], "item_id long, title string, text_for_embedding string")
     store.append(rows, f"{tmp_path}/s")
@@ -203,7 +186,5 @@ def test_store_reads_and_sinks(spark, tmp_path):
     score = lambda m: [r.learned_score for r in learning.predict(m, rows, ["a"]).orderBy("a").collect()]
     assert score(learning.load(f"{tmp_path}/model")) == score(model)
     assert store.with_ids(rows).select("feedback_id").distinct().count() == 60
-    search = files.FixtureSearch({"Abba": [{"id": 1}, {"id": 2}]}, [{"id": 9}])
-    assert search("ABBA", 1) == [{"id": 1}] and search("x", 5) == [{"id": 9}]
     excerpt, similar = enrich.deep(F.lit("a b  c"), F.array(F.lit(0), F.lit(4), F.lit(5)), 2, 1)
     assert one(spark, excerpt, t="") == "a b" and one(spark, similar, t="") == [4]
