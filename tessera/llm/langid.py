@@ -11,12 +11,12 @@ language under equal priors. `und`, score 0: null texts, texts without a letter
 learned. Whole texts are scored.
 
 Training reads only text and non-null lang of rows whose crc32(id as text) mod 4 is not 2; of each language, about
-ROWS_PER_LANG rows chosen by a hash of the id, with their whole texts. Of a language's counts the most frequent
-4-grams are kept, MODEL_CELLS / languages ** 2 of them, so that the tables of the model (4-grams by languages) have
-MODEL_CELLS numbers of 4 bytes at most; with up to 8 languages that is a million 4-grams each. Both bounds are the
-same for any size of input. The score is near 1 for any text of some length, as code lengths add up: it tells short
-texts apart, and is no measure of confidence for long ones. Null id: never learned from. Repeated rows: scored each.
-Empty table: empty result. Only the id, text and lang columns are read.
+ROWS_PER_LANG rows chosen by a hash of the id, with their whole texts. All counts of that sample are kept. The model is cut by
+languages into shards whose tables (4-grams by languages) have SHARD_CELLS numbers of 4 bytes; one shard is built, and one is
+scored with, at a time, and what they say of a text is put together exactly, so that the cut changes no result. The score is near
+1 for any text of some length, as code lengths add up: it tells short texts apart, and is no measure of confidence for
+long ones. Null id: never learned from. Repeated rows: scored each. Empty table: empty result. Very long texts: in blocks. Only
+the id, text and lang columns are read.
 """
 
 from __future__ import annotations
@@ -25,14 +25,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.core.broadcast import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.shared import materialise, release
 from tessera.llm.words import pieces
 
 ROWS_PER_LANG = 2000
-#: Numbers in the largest table of a model.
-MODEL_CELLS = 1 << 26
+#: Numbers in the largest table of a shard, unless one language alone has more.
+SHARD_CELLS = 1 << 26
+#: Languages whose shares are broadcast; the shares of more are joined by shuffle.
+FEW_LANGS = 10_000
 #: Bytes that are turned into 4-grams at once.
 BLOCK = 1 << 18
 ORDER = 3
@@ -61,11 +65,10 @@ def count_grams(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows
     """(lang, gram, n) over the training sample; counts are merged in each task before the shuffle."""
     usable = ~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull()
     labelled = docs.where(usable).select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    # a row for each language: a few hundred at most, so it may be collected and broadcast
-    sizes = labelled.groupBy("lang").count().collect()
-    share = docs.sparkSession.createDataFrame([(x["lang"], rows_per_lang / x["count"]) for x in sizes], "lang string, share double")
+    share = labelled.groupBy("lang").agg((F.lit(float(rows_per_lang)) / F.count("*")).alias("share"))
+    few = share.limit(FEW_LANGS + 1).count() <= FEW_LANGS
     chance = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("langid")), F.lit(1 << 20)) / float(1 << 20)
-    picked = labelled.select("lang", "text", chance.alias("chance")).join(F.broadcast(share), "lang").where("chance < share").select("lang", "text")
+    picked = labelled.select("lang", "text", chance.alias("chance")).join(F.broadcast(share) if few else share, "lang").where("chance < share").select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -77,10 +80,7 @@ def count_grams(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows
                         g, n = np.unique(grams(data, at, s, min(len(data), s + 16 * BLOCK)), return_counts=True)
                         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
 
-    counts = picked.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    most = MODEL_CELLS // max(1, len(sizes)) ** 2
-    by_count = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    return counts.withColumn("nth", F.row_number().over(by_count)).where(F.col("nth") <= most).drop("nth")
+    return picked.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 class Table:
@@ -119,6 +119,8 @@ class Model:
     def __init__(self, langs: list[str], counts: list[tuple[np.ndarray, np.ndarray]]):
         """counts: for each language its 4-grams (uint32, distinct) and how often they occur."""
         self.langs = langs
+        # parts are rounded before they are added, so that a table's entry equals the sum that stands for it elsewhere
+        fixed = lambda x: np.round(x * UNIT).astype(np.int32)
         by_order = []
         for g, n in counts:
             orders = []
@@ -128,19 +130,20 @@ class Model:
                 context, where = np.unique(key >> np.uint32(8), return_inverse=True)
                 # of order k the context is what stands before the byte
                 total, distinct = np.bincount(where, c, len(context)), np.bincount(where, minlength=len(context))
-                orders.append({"key": key, "bits": -np.log2(c / (total + distinct)[where]), "context": context, "escape": -np.log2(distinct / (total + distinct))})
+                orders.append({"key": key, "bits": fixed(-np.log2(c / (total + distinct)[where])), "context": context, "escape": fixed(-np.log2(distinct / (total + distinct)))})
             by_order.append(orders)
         n_langs = len(langs)
         whole = lambda k: np.unique(np.concatenate([o[k]["key"] for o in by_order])) if by_order else np.zeros(0, np.uint32)
-        self.pair = np.zeros((1 << 16, n_langs))
+        zeros = lambda *shape: np.zeros(shape, np.int32)
+        self.pair = zeros(1 << 16, n_langs)
         key3, key4 = whole(2), whole(3)
         context3 = np.unique(key4 >> np.uint32(8))
-        bits3, bits4 = np.zeros((len(key3), n_langs)), np.zeros((len(key4), n_langs))
-        self.escape2, escape3 = np.zeros((1 << 16, n_langs)), np.zeros((len(context3), n_langs))
+        bits3, bits4 = zeros(len(key3), n_langs), zeros(len(key4), n_langs)
+        self.escape2, escape3 = zeros(1 << 16, n_langs), zeros(len(context3), n_langs)
         for j, o in enumerate(by_order):
-            single = np.full(256, o[0]["escape"][0] + 8)
+            single = np.full(256, o[0]["escape"][0] + 8 * UNIT, np.int32)
             single[o[0]["key"]] = o[0]["bits"]
-            escape1 = np.zeros(256)
+            escape1 = zeros(256)
             escape1[o[1]["context"]] = o[1]["escape"]
             pair = (escape1[:, None] + single[None, :]).ravel()
             pair[o[1]["key"]] = o[1]["bits"]
@@ -151,8 +154,7 @@ class Model:
             bits4[:, j] = escape3[np.searchsorted(context3, key4 >> np.uint32(8)), j] + bits3[np.searchsorted(key3, key4 & np.uint32(0xFFFFFF)), j]
             bits4[np.searchsorted(key4, o[3]["key"]), j] = o[3]["bits"]
             self.pair[:, j] = pair
-        fixed = lambda x: np.round(x * UNIT).astype(np.int32)
-        self.pair, self.bits3, self.bits4, self.escape2, self.escape3 = map(fixed, (self.pair, bits3, bits4, self.escape2, escape3))
+        self.bits3, self.bits4, self.escape3 = bits3, bits4, escape3
         self.table3, self.table4, self.contexts = Table(key3), Table(key4), Table(context3)
 
     def lengths(self, g: np.ndarray) -> np.ndarray:
@@ -179,34 +181,69 @@ class Model:
         return out
 
 
-def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_lang: int = ROWS_PER_LANG) -> Model:
-    """The frozen model of a bounded sample; its counts (bounded likewise) are the only rows sent to the driver."""
-    got = count_grams(docs, id_col, text_col, lang_col, rows_per_lang).toArrow().combine_chunks()
-    lang, gram, n = (np.asarray(got.column(c).to_pylist(), object) if c == "lang" else got.column(c).to_numpy() for c in ("lang", "gram", "n"))
-    langs = sorted(set(lang))
-    order = np.argsort(gram, kind="stable")
-    return Model(langs, [(gram[order][lang[order] == x].astype(np.uint32), n[order][lang[order] == x]) for x in langs])
+class Shards:
+    """A model cut by languages, in order of their names; each shard is a broadcast."""
+
+    def __init__(self, kept: list[Broadcast], n_langs: int):
+        self.kept, self.n_langs = kept, n_langs
+
+    def each(self) -> Iterator[Model]:
+        """The shards one after another: of several, only one is held at a time."""
+        for b in self.kept:
+            yield b.value if len(self.kept) == 1 else b.load_from_path(b._path)
+
+
+def cut_languages(sizes: list[tuple[str, int]], cells: int) -> list[list[str]]:
+    """Languages (name, 4-grams) in order of names, cut where a table of all their 4-grams would have more cells."""
+    out: list[list[str]] = []
+    total = 0
+    for name, n in sorted(sizes):
+        if not out or (total + n) * (len(out[-1]) + 1) > cells:
+            out.append([])
+            total = 0
+        out[-1].append(name)
+        total += n
+    return out
+
+
+def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_lang: int = ROWS_PER_LANG, shard_cells: int = SHARD_CELLS) -> Shards:
+    """The frozen model of a bounded sample; the driver gathers one shard's counts at a time, and a number for each language."""
+    counts = materialise(count_grams(docs, id_col, text_col, lang_col, rows_per_lang), "grams")
+    sizes = [(r["lang"], r["n"]) for r in counts.groupBy("lang").agg(F.count("*").alias("n")).collect()]
+    kept = []
+    for langs in cut_languages(sizes, shard_cells):
+        got = counts.where(F.col("lang").isin(langs)).toArrow().combine_chunks()
+        lang, gram, n = (np.asarray(got.column(c).to_pylist(), object) if c == "lang" else got.column(c).to_numpy() for c in ("lang", "gram", "n"))
+        order = np.argsort(gram, kind="stable")
+        model = Model(langs, [(gram[order][lang[order] == x].astype(np.uint32), n[order][lang[order] == x]) for x in langs])
+        kept.append(docs.sparkSession.sparkContext.broadcast(model))
+    release(counts)
+    return Shards(kept, len(sizes))
 
 
-def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def predict(docs: DataFrame, model: Shards, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, held_out, lang_pred, score. No shuffle."""
-    kept = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = kept.value
-        names = np.array([*m.langs, "und"], object)
         for batch in batches:
-            for a, b, data, at in pieces(batch.column("text")):
-                some = batch.column("letters").slice(a, b - a).to_numpy(zero_copy_only=False).astype(bool)
-                if m.langs:
+            n = batch.num_rows
+            # the shortest code of each text, its language, and the sum of all languages' likelihoods relative to it
+            least, best, total = np.full(n, np.inf), np.full(n, "und", object), np.zeros(n)
+            for m in model.each():
+                names = np.array(m.langs, object)
+                for a, b, data, at in pieces(batch.column("text")):
                     bits = m.text_lengths(data, at) / UNIT
-                    best = np.where(some, bits.argmin(1), len(m.langs))
-                    score = np.where(some, 1 / np.exp2(np.maximum(bits.min(1, keepdims=True) - bits, -1000)).sum(1), 0.0)
-                else:
-                    best, score = np.zeros(b - a, int), np.zeros(b - a)
-                rows = [batch.column(c).slice(a, b - a) for c in ("id", "held_out")]
-                yield pa.RecordBatch.from_arrays([*rows, pa.array(names[best], pa.string()), pa.array(score)], ["id", "held_out", "lang_pred", "score"])
+                    low = bits.min(1)
+                    more = np.exp2(np.maximum(low[:, None] - bits, -1000)).sum(1)
+                    old, new = least[a:b], np.minimum(least[a:b], low)
+                    total[a:b] = total[a:b] * np.exp2(np.maximum(new - old, -1000)) + more * np.exp2(np.maximum(new - low, -1000))
+                    best[a:b] = np.where(low < old, names[bits.argmin(1)], best[a:b])
+                    least[a:b] = new
+            some = batch.column("letters").to_numpy(zero_copy_only=False).astype(bool) & (total > 0)
+            rows = [batch.column(c) for c in ("id", "held_out")]
+            score = np.divide(1.0, total, out=np.zeros(n), where=some)
+            yield pa.RecordBatch.from_arrays([*rows, pa.array(np.where(some, best, "und"), pa.string()), pa.array(score)], ["id", "held_out", "lang_pred", "score"])
 
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held_out"), text.alias("text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letters"))

@@ -92,6 +92,23 @@ def test_edges(spark):
     assert langid.predict(docs.limit(0), model).count() == 0
 
 
+def test_shards_change_nothing_and_drop_nothing(spark):
+    """Many languages, each with letters of its own: the same results in one shard, in some, and in one for each language."""
+    r = random.Random(7)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    sets = {f"l{i:02d}": "".join(r.sample(letters, 6)) + " " for i in range(12)}
+    rows = [(1000 * i + j, "".join(r.choice(a) for _ in range(40)), lang) for i, (lang, a) in enumerate(sets.items()) for j in range(8)]
+    docs = spark.createDataFrame([*rows, (5, "", None), (6, None, None), (7, "xyz", None)], "doc_id long, text string, lang string").repartition(3)
+    assert langid.cut_languages([("a", 10), ("b", 10), ("c", 5), ("d", 100)], 40) == [["a", "b"], ["c"], ["d"]]
+    got = []
+    for cells in (1 << 26, 3000, 1):
+        model = langid.train(docs, shard_cells=cells)
+        got.append(sorted((x.doc_id, x.lang_pred, round(x.score, 9)) for x in langid.predict(docs, model).collect()))
+        assert model.n_langs == 12 and len(model.kept) == {1 << 26: 1, 1: 12}.get(cells, len(model.kept)) and (cells != 3000 or 1 < len(model.kept) < 12)
+    assert got[0] == got[1] == got[2]
+    assert sum(p == dict((i, lang) for i, _, lang in rows).get(d) for d, p, _ in got[0]) >= 90
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
