@@ -12,7 +12,9 @@ cross documents, and strings are judged on the input.
    right and the (reversed) left sides of those anchors are suffixes; they are sorted by hash comparisons with binary
    search (see suffixes.py, which verifies against the bytes and falls back to them), and runs of common length give,
    for each distance, the classes of equal windows; all but the earliest of a class are repeats. A group of more than
-   HOT anchors is not sorted in one task but dealt out window by window, by 128 bits of each window's bytes.
+   LARGE anchors is cut before it is sorted: windows that start far before the anchor by the bytes left of it that they
+   share, the others by the bytes right of it, and halves that are still large again, down to windows of one distance;
+   those of one distance that are still many are equal but for chance, and are compared as bytes by an aggregation.
 4. Repeated windows are put together by document.
 
 Null text: empty. Null id: compared with nothing, kept whole. Repeated rows (one id and one text): one document, each
@@ -42,8 +44,10 @@ BLOCK = 1 << 18
 _LOW = np.uint64((1 << 21) - 1)
 #: Anchors whose suffixes are sorted at once.
 CHUNK = 100_000
-#: A group of anchors (one string, different surroundings) above this size is dealt out window by window.
-HOT = 2_000
+#: Groups of anchors (one string, different surroundings) above this size are cut by the bytes next to the anchor.
+LARGE = 2_000
+#: Distinct windows that may be broadcast to find their copies.
+MOST_WINDOWS = 50_000
 
 KEY = ["id", "sub"]
 
@@ -234,30 +238,38 @@ def remove(docs: DataFrame, spans: DataFrame) -> DataFrame:
     return met.select("id", "text", "spans").mapInArrow(run, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def deal_out(ends: DataFrame, width: int, gram: int) -> DataFrame:
-    """What sort_ends returns, for groups too large for one task: each window is a row, keyed by 128 bits of its bytes.
+def cut_large(ends: DataFrame, width: int, gram: int) -> DataFrame:
+    """(key, start, end) of repeated windows among anchors with sides whose groups are too large for one task.
 
-    All but the earliest of a key are repeats; the earliest is found by an aggregation that merges in each task first.
+    A window that starts o bytes before the anchor holds the o bytes left of it and the width - o bytes from it on. Of a group
+    with distances a to b, windows with o >= middle share `middle` bytes on the left if they are equal, the others width -
+    middle + 1 bytes on the right: so each half is a set of groups of its own, of which sort_ends takes those that are small
+    enough. No window is lost: equal ones always meet in one group. A hash of the bytes names a group; where two kinds of
+    bytes share it, the sort, or the comparison at the end, tells them apart.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in (*KEY, "place", "low", "high", "left", "right")))
-            out: list[list] = [[], [], [], [], []]
-            for i, sub, place, low, high, left, right in rows:
-                around = left[::-1] + right
-                for o in range(low, high + 1):
-                    start = len(left) - o
-                    key = xxhash.xxh3_128_digest(around[start : start + width])
-                    for c, v in zip(out, (int.from_bytes(key[:8], "big", signed=True), int.from_bytes(key[8:], "big", signed=True), i, sub, place - o)):
-                        c.append(v)
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:4]), pa.array(out[4], pa.int32())], ["k1", "k2", *KEY, "start"])
-
-    spot = F.struct(*KEY, "start")
-    windows = materialise(ends.mapInArrow(run, "k1 long, k2 long, id long, sub long, start int"), "windows")
-    first = windows.groupBy("k1", "k2").agg(F.min(spot).alias("first"), F.max(spot).alias("last")).where("first <> last").drop("last")
-    again = windows.join(first, ["k1", "k2"]).where(spot != F.col("first"))
-    return again.select(*KEY, "start", (F.col("start") + width).alias("end"))
+    spot = F.struct(*KEY, (F.col("place") - F.col("a")).alias("start"))
+    rows = ends.withColumn("a", F.lit(0)).withColumn("b", F.lit(width - gram))
+    out = None
+    add = lambda more: more if out is None else out.unionByName(more)
+    while True:
+        rows = materialise(rows, "large")
+        large = materialise(rows.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") > LARGE).select("hash"), "hot")
+        out = add(sort_ends(join_ids(rows, large, "hash", "left_anti").drop("a", "b"), width, gram))
+        if not large.limit(1).count():
+            return out
+        still = join_ids(rows, large, "hash", "left_semi")
+        # one distance: the window itself is the key, left side (reversed) and right side
+        window = F.concat(F.expr("substring(left, 1, a)"), F.expr(f"substring(right, 1, {width} - a)"))
+        last = still.where("a = b").select("a", window.alias("window"), spot.alias("spot"))
+        first = materialise(last.groupBy("a", "window").agg(F.min("spot").alias("first"), F.max("spot").alias("end")).where("first <> end").drop("end"), "windows")
+        again = join_ids(last, first, ["a", "window"], "inner", MOST_WINDOWS).where("spot <> first")
+        out = add(again.select(*[F.col(f"spot.{c}").alias(c) for c in KEY], F.col("spot.start").alias("start"), (F.col("spot.start") + width).alias("end")))
+        mid = F.floor((F.col("a") + F.col("b") + 1) / 2).cast("int")
+        halves = still.where("a < b").withColumn("mid", mid)
+        name = lambda side, n: F.xxhash64("hash", "mid", F.lit(side), F.expr(f"substring({side}, 1, {n})"))
+        far = halves.where("high >= mid").withColumns({"hash": name("left", "mid"), "low": F.greatest("low", "mid"), "a": F.col("mid")})
+        near = halves.where("low < mid").withColumns({"hash": name("right", f"{width} - mid + 1"), "high": F.least("high", F.col("mid") - 1), "b": F.col("mid") - 1})
+        rows = far.unionByName(near).drop("mid")
 
 
 def find_spans(docs: DataFrame, width: int, gram: int) -> DataFrame:
@@ -268,11 +280,11 @@ def find_spans(docs: DataFrame, width: int, gram: int) -> DataFrame:
     found = materialise(found.where("again OR least <> most").select("hash", *KEY, "place", "low", "high", "again"), "anchors")
     whole = found.where("again").select(*KEY, (F.col("place") - F.col("high")).alias("start"), (F.col("place") - F.col("low") + width).alias("end"))
     ends = found.where("NOT again").drop("again")
-    hot = materialise(ends.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("hash"), "hot")
+    hot = materialise(ends.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") > LARGE).select("hash"), "hot")
     if not hot.limit(1).count():
         return whole.unionByName(sort_ends(sides(docs, ends, width, gram), width, gram))
     usual, large = join_ids(ends, hot, "hash", "left_anti"), join_ids(ends, hot, "hash", "left_semi")
-    return whole.unionByName(sort_ends(sides(docs, usual, width, gram), width, gram)).unionByName(deal_out(sides(docs, large, width, gram), width, gram))
+    return whole.unionByName(sort_ends(sides(docs, usual, width, gram), width, gram)).unionByName(cut_large(sides(docs, large, width, gram), width, gram))
 
 
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM) -> DataFrame:

@@ -54,10 +54,11 @@ def test_a_collision_falls_back_to_bytes(monkeypatch):
     assert perm.tolist() == [2, 0, 1, 3] and common.tolist() == [0, 2, 2, 0]
 
 
-@pytest.mark.parametrize("seed,width,gram,hot", [(1, 100, 40, 2000), (2, 20, 8, 3), (3, 12, 3, 2000)])
-def test_against_brute_force(spark, monkeypatch, seed, width, gram, hot):
+@pytest.mark.parametrize("seed,width,gram,large", [(1, 100, 40, 2000), (2, 20, 8, 3), (3, 12, 3, 2000), (4, 30, 10, 1)])
+def test_against_brute_force(spark, monkeypatch, seed, width, gram, large):
     monkeypatch.setattr(substrings, "BLOCK", 97)
-    monkeypatch.setattr(substrings, "HOT", hot)
+    monkeypatch.setattr(substrings, "LARGE", large)
+    monkeypatch.setattr(substrings, "MOST_WINDOWS", 5)
     r = random.Random(seed)
     alphabet = ["a", "b", "é", "漢", " "] if seed != 3 else ["a", "b"]
     text = lambda n: "".join(r.choice(alphabet) for _ in range(n))
@@ -78,6 +79,22 @@ def test_against_brute_force(spark, monkeypatch, seed, width, gram, hot):
         assert tuple(x)[1:] == want[x.doc_id], x
 
 
+def test_a_large_group_is_cut_and_no_task_sorts_it_whole(spark, monkeypatch):
+    """Six hundred documents share a passage, each between texts of its own, some with the bytes next to it in common."""
+    sorted_ = []
+    real = substrings.sort_ends
+    monkeypatch.setattr(substrings, "LARGE", 50)
+    monkeypatch.setattr(substrings, "sort_ends", lambda ends, width, gram: sorted_.append(ends.groupBy("hash").count().agg({"count": "max"}).first()[0]) or real(ends, width, gram))
+    r = random.Random(11)
+    word = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
+    passage, near = word(130), [word(k) for k in (5, 25, 45)]
+    rows = [(i, word(60) + (r.choice(near) if i % 2 else "") + passage + (r.choice(near) if i % 3 else "") + word(60)) for i in range(600)]
+    got = substrings.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    want = brute(rows, 100)
+    assert all(tuple(x)[1:] == want[x.doc_id] for x in got) and len(got) == 600
+    assert len(sorted_) > 2 and max(x or 0 for x in sorted_) <= 50
+
+
 def test_edges(spark):
     long = "".join(chr(97 + i * i % 23) for i in range(300))
     rows = [(None, long), (1, long), (2, "x" + long), (2, long + "y"), (3, "short")]
