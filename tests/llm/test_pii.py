@@ -51,64 +51,129 @@ def test_patterns_find_more(spark):
     assert pii.digests(pii.find(docs.limit(0))).count() == 0
 
 
-def brute_patterns(seeds, tokens):
-    """{left: kind}: seeds (left, value, kind) and tokens (left, value) as in the docstring of score_patterns."""
-    known = {(v, k): 1.0 for _, v, k in seeds}
-    values = {}
-    for left, v, *_ in [*seeds, *tokens]:
-        values.setdefault(left, set()).add(v)
-    score, accepted = dict(known), None
+def left(gap, n):
+    m = re.search(r"(\S+\s+){0,%d}\S+\s*$" % (n - 1), gap[-64:])
+    return re.sub(r"\s+", " ", re.sub("[0-9]", "0", m.group().lower())) if m else ""
+
+
+def lexical(text, a, b):
+    """(strong, pattern) of the value text[a:b], the only one of its text."""
+    value, out = text[a:b], []
+    m = re.search(r"^\s*\S+", text[b : b + 64])
+    right = re.sub("[0-9]", "0", m.group().lower()) if m else ""
+    x = re.sub(r"\s", " ", re.sub(r"[^\W\d_]+", "a", re.sub("[0-9]", "0", value)))
+    if left(text[:a], 2):
+        out += [(True, left(text[:a], 2)), (False, ("left", left(text[:a], 1), x))]
+    if right:
+        out.append((False, ("right", right, x)))
+    out.append((False, ("shape", x)))
+    if len(x) >= pii.TAIL and len(re.sub("[^0-9]", "", value)) >= pii.NUMBER_DIGITS:
+        out.append((False, ("end", x[-pii.TAIL :])))
+    if len(re.sub(r"[^\W_]", "", x)) >= 3:
+        out.append((False, ("form", re.sub("0+", "0", x))))
+    return out
+
+
+def refuted(value):
+    """Kinds whose pattern the whole value matches though none of its spans is of the kind."""
+    return {k for k, p in GIVEN.items() if re.fullmatch(p, value)} - {k for k, *_ in brute(value)}
+
+
+def brute_kinds(spans):
+    """spans: (text, start, end, kind or None). (kind) that the method gives each of those without one, or None."""
+    inst = {}
+    known = {}
+    for text, a, b, kind in spans:
+        v = text[a:b]
+        for strong, p in lexical(text, a, b):
+            inst.setdefault((strong, p), set()).add(v)
+        if kind:
+            known[v, kind] = 1.0
+    no = {text[a:b]: set() if kind else refuted(text[a:b]) for text, a, b, kind in spans}
+    for text, a, b, kind in spans:  # a seed anywhere has passed its check
+        if kind:
+            no[text[a:b]] = set()
+    score, shares = dict(known), {}
     while True:
-        share = {}
-        for left, vs in values.items():
+        now = {}
+        for (strong, p), vs in inst.items():
             for kind in pii.KINDS:
-                total = sum(score.get((v, kind), 0) for v in vs)
-                if total >= pii.MIN_KNOWN - 1e-9 and total / len(vs) >= pii.MIN_SHARE - 1e-9:
-                    share[left, kind] = total / len(vs)
-        if accepted is not None and len(share) == accepted:
+                may = [v for v in vs if strong or kind not in no[v]]
+                total = sum(score.get((v, kind), 0) for v in may)
+                if total >= (pii.MIN_KNOWN if strong else pii.MIN_SHAPED) - 1e-9 and total / len(may) >= pii.MIN_SHARE - 1e-9:
+                    now[strong, p, kind] = total / len(may)
+        if max([s - shares.get(k, 0) for k, s in now.items()], default=0) <= pii.SETTLED:
             break
-        accepted, score = len(share), dict(known)
-        for (left, kind), s in share.items():
-            for v in values[left]:
-                score[v, kind] = max(score.get((v, kind), 0), s)
-    best = {}
-    for (left, kind), s in share.items():
-        best[left] = max(best.get(left, (0, "")), (s, kind))
-    return {left: kind for left, (_, kind) in best.items()}
+        shares, score = now, dict(known)
+        for (strong, p, kind), s in shares.items():
+            for v in inst[strong, p]:
+                if strong or kind not in no[v]:
+                    score[v, kind] = max(score.get((v, kind), 0), s)
+    out = []
+    for text, a, b, kind in spans:
+        best = [(s, k) for (strong, p, k), s in shares.items() if (strong, p) in lexical(text, a, b) and (strong or k not in refuted(text[a:b]))]
+        out.append(None if kind else max(best, default=(0, None))[1])
+    return out
+
+
+def identifiers(r):
+    card = lambda: (lambda s: s + next(c for c in "0123456789" if luhn(s + c)))("4" + "".join(r.choice("0123456789") for _ in range(14)))
+    digits = lambda n: "".join(r.choice("123456789") for _ in range(n))
+    wrong = lambda: (lambda c: c[:-1] + str((int(c[-1]) + 1) % 10))(card())
+    return card, digits, wrong
 
 
 def test_added_spans_against_brute_force(spark):
-    """Tokens after learnt words, in several rounds; recall of identifiers that no base pattern matches is measured."""
+    """Patterns of all sorts, in several rounds; recall of identifiers that no base pattern matches is measured."""
     r = random.Random(12)
-    card = lambda: (lambda s: s + next(c for c in "0123456789" if luhn(s + c)))("4" + "".join(r.choice("0123456789") for _ in range(14)))
-    phone = lambda: "+1" + "".join(r.choice("0123456789") for _ in range(9))
-    good = {"pay with": card, "phone is": phone, "mail to": lambda: f"u{r.randint(0, 10**6)}@ex.org", "code was": lambda: str(r.randint(10**7, 10**8))}
-    bad = {"pay with": lambda: (lambda c: c[:-1] + str((int(c[-1]) + 1) % 10))(card()), "phone is": lambda: f"017/{r.randint(10**6, 10**7)}", "mail to": lambda: f"u{r.randint(0, 10**6)}@intranet", "code was": lambda: str(r.randint(10**7, 10**8))}
-    late = [str(r.randint(10**9, 10**10)) for _ in range(5)]  # met after a learnt pattern, then after one with no seeds
-    texts, hidden, seeds, tokens = [], [], set(), set()
-    for i in range(160):
-        left = r.choice(list(good))
+    card, digits, wrong = identifiers(r)
+    good = {"pay with": card, "phone is": lambda: f"+1 ({digits(3)}) {digits(3)}-{digits(4)}", "mail to": lambda: f"u{digits(5)}@ex.org", "code was": lambda: digits(8)}
+    bad = {"pay with": wrong, "phone is": lambda: f"017/{digits(7)}", "mail to": lambda: f"u{digits(5)}@intranet", "code was": lambda: digits(8)}
+    words = [f"w{chr(97 + i)}" for i in range(20)]
+    texts, meant = [], []
+    add = lambda before, value, after, kind: (texts.append((f"{before} {value} {after}", len(before) + 1, value)), meant.append(kind))
+    for _ in range(160):
+        before = r.choice(list(good))
         isgood = r.random() < 0.85
-        value = (good if isgood else bad)[left]()
-        texts.append(f"so {left} {value} now")
-        kind = {"pay with": "card", "phone is": "phone", "mail to": "email"}.get(left)
-        if isgood and kind:
-            seeds.add((left + " ", value, kind))
-        else:
-            tokens.add((left + " ", value))
-            hidden.append((i, kind, texts[-1].index(value), value))
-    for k, v in enumerate(late):
-        for left in ("pay with", "kept under"):
-            tokens.add((left + " ", v))
-            hidden.append((len(texts), "card", len(f"so {left} "), v))
-            texts.append(f"so {left} {v} now")
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    learnt = brute_patterns(seeds, tokens)
+        add("so " + before, (good if isgood else bad)[before](), "now", None if isgood else {"pay with": "card", "phone is": "phone", "mail to": "email"}.get(before))
+    late = [digits(10) for _ in range(5)]  # met after a learnt pattern, then after one with no seeds
+    for before in ("pay with", "kept under"):
+        for v in late:
+            add("so " + before, v, "now", "card")
+    for _ in range(40):  # no context recurs: shapes alone tell, and a number that fails the check is none
+        a, b, c = r.choice(words), r.choice(words), r.choice(words)
+        kind = r.choice(["phone", "clear", "short", "wrong"])
+        value = {"phone": good["phone is"], "short": lambda: f"({digits(3)}) {digits(3)}-{digits(4)}", "wrong": wrong, "clear": lambda: digits(9)}[kind]()
+        add(f"{a}{r.choice(words)} {b}{r.choice(words)}", value, c, "phone" if kind == "short" else None)
+    rows = [(i, t) for i, (t, _, _) in enumerate(texts)]
+    spans = []
+    for t, at, value in texts:
+        base = [x for x in brute(t) if x[1] >= at]
+        spans.append((t, at, at + len(value), base[0][0] if base else None))
+    # words of the context that are tokens themselves are of no kind, and too short to be candidates
+    want = brute_kinds(spans)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS n", "2 AS weak", "3 AS pattern").repartition(3)
     got = {x.doc_id: x.spans for x in pii.digests(pii.find(docs)).collect()}
-    for i, _, at, value in hidden:
-        kind = learnt.get(texts[i][3:at])
-        assert got[i] == (f"{kind}:{at}:{at + len(value)}" if kind else ""), texts[i]
-    meant = [(i, kind) for i, kind, _, _ in hidden if kind]
-    recall = sum(got[i].startswith(kind + ":") for i, kind in meant) / len(meant)
-    assert recall >= 0.9, (recall, learnt, [(texts[i], got[i]) for i, k in meant if not got[i].startswith(k + ":")][:6])
-    assert not any(got[i] for i, kind, _, _ in hidden if kind is None)
+    for i, ((t, at, end, base), kind) in enumerate(zip(spans, want)):
+        line = f"{base or kind}:{at}:{end}" if base or kind else ""
+        assert got[i] == line, (t, got[i], line)
+    asked = [(w, k) for w, k, s in zip(want, meant, spans) if k and not s[3]]
+    assert len(asked) > 30 and sum(w == k for w, k in asked) >= 0.9 * len(asked), asked
+    assert not any(w for w, k, s in zip(want, meant, spans) if not k and not s[3])
+    again = {x.doc_id: x.spans for x in pii.digests(pii.find(docs.unionByName(docs))).collect()}  # repeated rows and a null id change nothing
+    assert again == got
+
+
+def test_hidden_seeds_of_the_tables_are_found_again(spark):
+    """A fifth of the base values of the given documents, as if no base pattern matched them: shapes recur there, contexts do not."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r.kind: r for r in pii.recall_of_hidden(docs).collect()}
+    hidden, found = sum(r.n_hidden for r in got.values()), sum(r.n_found for r in got.values())
+    assert hidden >= 10 and found >= 0.9 * hidden and sum(r.n_wrong for r in got.values()) <= 0.05 * hidden, got
+
+
+def test_nothing_learnt_without_seeds(spark):
+    rows = [(i, f"number {i}23456789 here") for i in range(1, 30)] + [(None, "number 123456789 here"), (3, None), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {x.spans for x in pii.digests(pii.find(docs)).collect()} == {""}
+    assert pii.recall_of_hidden(docs).count() == 0
