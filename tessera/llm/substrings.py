@@ -12,9 +12,9 @@ cross documents, and strings are judged on the input.
    right and the (reversed) left sides of those anchors are suffixes; they are sorted by hash comparisons with binary
    search (see suffixes.py, which verifies against the bytes and falls back to them), and runs of common length give,
    for each distance, the classes of equal windows; all but the earliest of a class are repeats. A group of more than
-   LARGE anchors is cut before it is sorted: windows that start far before the anchor by the bytes left of it that they
-   share, the others by the bytes right of it, and halves that are still large again, down to windows of one distance;
-   those of one distance that are still many are equal but for chance, and are compared as bytes by an aggregation.
+   LARGE anchors is first held, byte by byte, against its earliest anchor: windows within what the two have in common are
+   repeats, and what goes beyond that meets again only with anchors that leave the earliest one at the same byte, in
+   the same way. Those are smaller groups of their own, to be sorted, or to be held against their own earliest anchor.
 4. Repeated windows are put together by document.
 
 Null text: empty. Null id: compared with nothing, kept whole. Repeated rows (one id and one text): one document, each
@@ -25,6 +25,7 @@ empty result. Only the id and text columns are read.
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,10 +45,10 @@ BLOCK = 1 << 18
 _LOW = np.uint64((1 << 21) - 1)
 #: Anchors whose suffixes are sorted at once.
 CHUNK = 100_000
-#: Groups of anchors (one string, different surroundings) above this size are cut by the bytes next to the anchor.
+#: Groups of anchors (one string, different surroundings) above this size are cut by where they leave the earliest anchor.
 LARGE = 2_000
-#: Distinct windows that may be broadcast to find their copies.
-MOST_WINDOWS = 50_000
+#: Large groups whose earliest anchors may be broadcast, with 2 * WIDTH bytes each.
+MOST_GROUPS = 100_000
 
 KEY = ["id", "sub"]
 
@@ -238,38 +239,50 @@ def remove(docs: DataFrame, spans: DataFrame) -> DataFrame:
     return met.select("id", "text", "spans").mapInArrow(run, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
+def _against_first(batch: pa.RecordBatch, width: int) -> pa.RecordBatch:
+    """Anchors with the earliest of their group -> spans that repeat it (start, end), and the anchors' other windows, regrouped."""
+    out: list[list] = [[] for _ in range(10)]
+    for g, i, sub, place, low, high, left, right, first in zip(*(batch.column(c).to_pylist() for c in ("hash", *KEY, "place", "low", "high", "left", "right", "first"))):
+        common_l, common_r = len(os.path.commonprefix([left, first["left"]])), len(os.path.commonprefix([right, first["right"]]))
+        a, b = max(low, width - common_r), min(high, common_l)
+        rest = []
+        if a <= b and (i, sub, place) != (first["id"], first["sub"], first["place"]):
+            rest.append((None, None, None, None, None, place - b, place - a + width))
+        name = lambda side, n, data, g=g: xxhash.xxh3_64_intdigest(b"%d %s %d " % (g, side, n) + data[: n + 1]) - (1 << 63)
+        if common_l < high:
+            rest.append((name(b"left", common_l, left), max(low, common_l + 1), high, left, right, None, None))
+        if low <= (end := min(high, common_l, width - common_r - 1)):
+            rest.append((name(b"right", common_r, right), low, end, left, right, None, None))
+        for h, lo, hi, x, y, start, stop in rest:
+            for c, v in zip(out, (h, i, sub, place, lo, hi, x, y, start, stop)):
+                c.append(v)
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.int32()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["hash", *KEY, "place", "low", "high", "left", "right", "start", "end"])
+
+
 def cut_large(ends: DataFrame, width: int, gram: int) -> DataFrame:
     """(key, start, end) of repeated windows among anchors with sides whose groups are too large for one task.
 
-    A window that starts o bytes before the anchor holds the o bytes left of it and the width - o bytes from it on. Of a group
-    with distances a to b, windows with o >= middle share `middle` bytes on the left if they are equal, the others width -
-    middle + 1 bytes on the right: so each half is a set of groups of its own, of which sort_ends takes those that are small
-    enough. No window is lost: equal ones always meet in one group. A hash of the bytes names a group; where two kinds of
-    bytes share it, the sort, or the comparison at the end, tells them apart.
+    If two anchors have an equal window that the earliest one has not, both leave the earliest one at the same byte of that
+    window, with the same byte in its place; so they meet again in a group that is named by the side, the place and the bytes up to
+    there. Groups get smaller, and what their members share gets longer, until all fit. A group's name is a hash: where two share
+    it, the bytes tell them apart, here as in the sort.
     """
-    spot = F.struct(*KEY, (F.col("place") - F.col("a")).alias("start"))
-    rows = ends.withColumn("a", F.lit(0)).withColumn("b", F.lit(width - gram))
-    out = None
-    add = lambda more: more if out is None else out.unionByName(more)
+    rows, out = ends, None
+    schema = "hash long, id long, sub long, place int, low int, high int, left binary, right binary, start int, end int"
     while True:
-        rows = materialise(rows, "large")
-        large = materialise(rows.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") > LARGE).select("hash"), "hot")
-        out = add(sort_ends(join_ids(rows, large, "hash", "left_anti").drop("a", "b"), width, gram))
+        first = materialise(rows.groupBy("hash").agg(F.min(F.struct(*KEY, "place", "left", "right")).alias("first")), "first")
+        met = join_ids(rows, first, "hash", "inner", MOST_GROUPS)
+        parts = materialise(met.mapInArrow(lambda batches: (_against_first(b, width) for b in batches), schema), "parts")
+        spans = parts.where("start IS NOT NULL").select(*KEY, "start", "end")
+        out = spans if out is None else out.unionByName(spans)
+        rows = parts.where("start IS NULL").drop("start", "end")
+        counts = rows.groupBy("hash").agg(F.count("*").alias("n"))
+        large = materialise(counts.where(F.col("n") > LARGE).select("hash"), "hot")
         if not large.limit(1).count():
-            return out
-        still = join_ids(rows, large, "hash", "left_semi")
-        # one distance: the window itself is the key, left side (reversed) and right side
-        window = F.concat(F.expr("substring(left, 1, a)"), F.expr(f"substring(right, 1, {width} - a)"))
-        last = still.where("a = b").select("a", window.alias("window"), spot.alias("spot"))
-        first = materialise(last.groupBy("a", "window").agg(F.min("spot").alias("first"), F.max("spot").alias("end")).where("first <> end").drop("end"), "windows")
-        again = join_ids(last, first, ["a", "window"], "inner", MOST_WINDOWS).where("spot <> first")
-        out = add(again.select(*[F.col(f"spot.{c}").alias(c) for c in KEY], F.col("spot.start").alias("start"), (F.col("spot.start") + width).alias("end")))
-        mid = F.floor((F.col("a") + F.col("b") + 1) / 2).cast("int")
-        halves = still.where("a < b").withColumn("mid", mid)
-        name = lambda side, n: F.xxhash64("hash", "mid", F.lit(side), F.expr(f"substring({side}, 1, {n})"))
-        far = halves.where("high >= mid").withColumns({"hash": name("left", "mid"), "low": F.greatest("low", "mid"), "a": F.col("mid")})
-        near = halves.where("low < mid").withColumns({"hash": name("right", f"{width} - mid + 1"), "high": F.least("high", F.col("mid") - 1), "b": F.col("mid") - 1})
-        rows = far.unionByName(near).drop("mid")
+            return out.unionByName(sort_ends(rows, width, gram))
+        out = out.unionByName(sort_ends(join_ids(rows, large, "hash", "left_anti"), width, gram))
+        rows = join_ids(rows, large, "hash", "left_semi")
 
 
 def find_spans(docs: DataFrame, width: int, gram: int) -> DataFrame:
@@ -284,7 +297,7 @@ def find_spans(docs: DataFrame, width: int, gram: int) -> DataFrame:
     if not hot.limit(1).count():
         return whole.unionByName(sort_ends(sides(docs, ends, width, gram), width, gram))
     usual, large = join_ids(ends, hot, "hash", "left_anti"), join_ids(ends, hot, "hash", "left_semi")
-    return whole.unionByName(sort_ends(sides(docs, usual, width, gram), width, gram)).unionByName(cut_large(sides(docs, large, width, gram), width, gram))
+    return whole.unionByName(sort_ends(sides(docs, usual, width, gram), width, gram)).unionByName(cut_large(materialise(sides(docs, large, width, gram), "large"), width, gram))
 
 
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM) -> DataFrame:
