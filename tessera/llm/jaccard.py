@@ -372,14 +372,21 @@ def link_classes(docs: DataFrame, seen: DataFrame, copies: DataFrame, order: Bro
     links = [checked(allowed(met_one(star, F.col("m"))))]
     # a class of the smallest component, another one for each shingle, meets the classes of the others
     links.append(checked(allowed(met_one(labelled(shared, links).where("label <> low"), F.col("m")))))
-    # all pairs of different components: a shingle that two such classes share has several components; documents that
-    # resemble a large group without linking to it would meet all its members, so signatures are part of the join
+    # pairs of different components: a shingle that two such classes share has several components; documents that resemble a
+    # large group without linking to it would meet all its members, so signatures are part of the join, and of two classes that
+    # share a shingle after many that are theirs alone (see _gaps_allow: one must be light) no pair is formed at all
     signed = seen.where(f"kind = 0 AND n <= {SHORT_SET}").select("id", shortened(F.col("signature")).alias("signature"))
-    now = materialise(labelled(shared.join(signed, "id", "left"), links).select("shingle", "id", *mine, "label", "signature"), "open")
-    a, b = (side(now, c, F.col("label").alias("l" + c), F.col("signature").alias("s" + c)) for c in "xy")
+    light = 2 * percent * F.least("gone", "lone") <= (100 - percent) * F.col("n")
+    now = labelled(shared.join(signed, "id", "left"), links).select("shingle", "id", *mine, "label", "signature").withColumn("light", light)
+    now = materialise(now, "open")
+    a, b = (side(rows, c, F.col("label").alias("l" + c), F.col("signature").alias("s" + c), F.col("light").alias("light" + c)) for rows, c in ((now.where("light"), "x"), (now, "y")))
     near = F.when(F.col("sx").isNull() | F.col("sy").isNull(), F.lit(True)).otherwise(_differ_allows(percent))
-    met = a.join(b, "shingle").where((F.col("lx") < F.col("ly")) & allow & near)
-    whole = met.groupBy("x", "y").agg(F.count("*").alias("c"), F.max("placex").alias("i"), F.max("placey").alias("j"), F.max("nx").alias("nx"), F.max("ny").alias("ny"))
+    met = a.join(b, "shingle").where((F.col("lx") < F.col("ly")) | (~F.col("lighty") & (F.col("lx") > F.col("ly")))).where(allow & near)
+    # the class of the smaller component is x, so that all that a pair shares is counted together
+    turned = F.col("lx") > F.col("ly")
+    one = lambda c, other: F.when(turned, F.col(other)).otherwise(F.col(c))
+    met = met.select(*[one(c + k, c + other).alias(c + k) for c in ("n", "place") for k, other in ("xy", "yx")], one("x", "y").alias("p"), one("y", "x").alias("q"))
+    whole = met.groupBy(F.col("p").alias("x"), F.col("q").alias("y")).agg(F.count("*").alias("c"), F.max("placex").alias("i"), F.max("placey").alias("j"), F.max("nx").alias("nx"), F.max("ny").alias("ny"))
     links.append(checked(whole.where(_prefix_allows(percent))))
     release(now, shared)
     return components(reduce(DataFrame.unionByName, links))
@@ -394,8 +401,10 @@ def _groups(docs: DataFrame, width: int, percent: int) -> DataFrame:
     order = docs.sparkSession.sparkContext.broadcast(Order(often[by], weight[by]))
     nodes = seen.where("kind = 0").select("id", "n", "a", "b")
     some = nodes.where("n > 0 AND id IS NOT NULL")
-    classes = some.groupBy("n", "a", "b").agg(F.min("id").alias("rep"))
-    member = materialise(some.join(classes, ["n", "a", "b"]), "members")
+    # sets of several ids alone are joined back: few, and then broadcast, so that a large group of copies meets in no task
+    classes = some.groupBy("n", "a", "b").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep <> last").drop("last")
+    member = join_ids(some, materialise(classes, "classes"), ["n", "a", "b"], "left")
+    member = materialise(member.withColumn("rep", F.coalesce("rep", "id")).select("n", "a", "b", "id", "rep"), "members")
     copies = materialise(member.where("id <> rep").select("id").distinct(), "copies")
     label = link_classes(docs, seen, copies, order, width, percent)
     out = member.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("id", "n", "a", "b", F.coalesce("label", "rep").alias("component_id"))

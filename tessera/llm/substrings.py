@@ -310,8 +310,9 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wi
         nodes = nodes.withColumn("sub", F.lit(0).cast("long"))
     rows = rows.select("id", (F.xxhash64("text") if twice else F.lit(0).cast("long")).alias("sub"), "text")
     long = nodes.where((F.col("n_bytes") >= width) & F.col("id").isNotNull())
-    first = long.groupBy("sha").agg(F.min("id").alias("first"))
-    copies = materialise(long.join(first, "sha").where("id <> first").select(*KEY).distinct(), "copies")
+    # digests of several ids alone are joined back: few, and then broadcast, so that a large group of copies meets in no task
+    first = materialise(long.groupBy("sha").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last").select("sha", "first"), "firsts")
+    copies = materialise(join_ids(long, first, "sha", "inner").where("id <> first").select(*KEY).distinct(), "copies")
     own = join_ids(rows.where((F.octet_length("text") >= width) & F.col("id").isNotNull()), copies, KEY, "left_anti")
     if long.groupBy(*KEY).count().where("count > 1").limit(1).count():
         own = own.dropDuplicates(KEY)

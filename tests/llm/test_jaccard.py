@@ -52,6 +52,31 @@ def test_against_brute_force(spark, seed, width, percent):
     assert got == brute(rows, width, percent)
 
 
+@pytest.mark.parametrize("pure", [False, True])
+def test_a_passage_that_many_share_forms_few_pairs(spark, monkeypatch, pure):
+    """Each of 500 documents is a passage and some words of its own, too few and too many to link: their prefixes hold the passage's
+    shingles, but no two of them meet. A document that is the passage alone links with all."""
+    formed, real = [], jaccard.materialise
+
+    def spy(df, tag):
+        got = real(df, tag)
+        if tag == "open":
+            formed.append(sum(r.light * r.n for r in got.selectExpr("shingle", "int(light) AS l").groupBy("shingle").agg({"l": "sum", "shingle": "count"}).toDF("shingle", "light", "n").collect()))
+        elif tag == "pairs":
+            formed.append(got.count())
+        return got
+
+    monkeypatch.setattr(jaccard, "materialise", spy)
+    r = random.Random(9)
+    passage = [f"p{i}" for i in range(200)]
+    rows = [(i, " ".join([*passage[:100], *(f"own{i}x{j}" for j in range(17)), *passage[100:]])) for i in range(500)]
+    rows += [(900, " ".join(passage))] * pure
+    r.shuffle(rows)
+    got = {x.doc_id: x.component_id for x in jaccard.find_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), width=4, percent=85).collect()}
+    assert got == ({i: 0 for i, _ in rows} if pure else {i: i for i, _ in rows})
+    assert sum(formed) <= 20 * len(rows), formed
+
+
 def test_edges(spark, monkeypatch):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (None, "a b c d e f"), (None, None), (3, "x " * 30000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
