@@ -95,8 +95,8 @@ def _firsts(values: Column, key: Callable[[Column], Column]) -> Column:
 
 
 def dedupe_phrases(phrases: Column) -> Column:
-    """The first phrase of each normal form, in order; phrases without a token go."""
-    return _firsts(phrases, norm_artist)
+    """The first phrase of each normal form, trimmed, in order; phrases without a token go."""
+    return F.transform(_firsts(phrases, norm_artist), lambda p: F.trim(p))
 
 
 def dedupe_keep_order(values: Column) -> Column:

@@ -40,11 +40,6 @@ def attach(rows: DataFrame, signals: DataFrame, within: Column | None = None) ->
     return got.withColumn("enriched", any_known(known))
 
 
-def count_enriched(rows: DataFrame) -> DataFrame:
-    """(request_id, n_enriched)."""
-    return rows.groupBy("request_id").agg(F.count_if("enriched").alias("n_enriched"))
-
-
 def to_payload(rows: DataFrame, signals: list[str]) -> DataFrame:
     """(item_id, payload): the signals as JSON text, nulls left out, as a cache keeps them."""
     return rows.select("item_id", F.to_json(F.struct(*signals)).alias("payload"))

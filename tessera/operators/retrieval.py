@@ -32,6 +32,16 @@ def merge_hits(hits: DataFrame) -> DataFrame:
     )
 
 
+def merge_tracks(hits: DataFrame) -> DataFrame:
+    """(request_id, item_id, ...): what hits say of an item, title, artist, artists, album and cover_url as far as hits have them; of
+    each the first that is not empty, in order of the searches and places. One shuffle, merged in each task first."""
+    order = lambda ok: F.when(ok, F.struct("plan_idx", "position"))
+    fields = [c for c in ("title", "artist", "artists", "album", "cover_url") if c in hits.columns]
+    filled = {c: F.size(c) > 0 if c == "artists" else F.coalesce(F.col(c), F.lit("")) != "" for c in fields}
+    empty = {c: F.array().cast(hits.schema[c].dataType) if c == "artists" else F.lit("") for c in fields}
+    return hits.groupBy("request_id", "item_id").agg(*[F.coalesce(F.min_by(c, order(filled[c])), empty[c]).alias(c) for c in fields])
+
+
 def merge_channels(first: DataFrame, second: DataFrame) -> DataFrame:
     """Hits of two channels as one table; those of the second come after the first's."""
     last = F.lit(1 << 20)

@@ -298,6 +298,10 @@ SQL["no_input_gate"] = f"""WITH {plan(profile(LIKED.replace('ON o_orderkey = l_o
 SELECT prof.request_id, has_signal, CASE WHEN NOT has_signal THEN 'no_input' END AS fallback, coalesce(n.n, 0) AS n_queries FROM prof LEFT JOIN n ON n.request_id = prof.request_id"""
 SQL["plan_queries"] = f"WITH {PLAN} SELECT * FROM planned"
 SQL["merge_hits"] = f"WITH {HITS}, m AS ({merged(sources=True)}) SELECT request_id, item_id, n_hits, n_names, {join('types')} AS types, array_to_string({firsts('source_list')}, '; ') AS sources, first_hit.a AS first_plan, {r('best_value', 'mean_value', 'mean_position')} FROM m"
+_FIRST = "coalesce(arg_min({0}, (plan_idx, position)) FILTER ({1}), {2})"
+SQL["merge_tracks"] = f"""WITH {HITS}, g AS (SELECT request_id, hits.item_id, plan_idx, position, CASE WHEN (plan_idx + position) % 2 <> 0 THEN title || ' ' || source_type ELSE '' END AS title, CASE WHEN (plan_idx + position) % 3 <> 0 THEN artist || ' ' || source_type ELSE '' END AS artist,
+  CASE WHEN (plan_idx + position) % 5 <> 0 THEN album || ' ' || source_type ELSE '' END AS album, CASE WHEN plan_idx % 4 = 1 THEN source_type ELSE '' END AS artists FROM hits JOIN items ON items.item_id = hits.item_id)
+SELECT request_id, item_id, {', '.join(_FIRST.format(c, f"{c} <> ''", "''") + f' AS {c}' for c in ('title', 'artist', 'album', 'artists'))} FROM g GROUP BY request_id, item_id"""
 SQL["route_counts"] = f"WITH {HITS} SELECT CASE WHEN source_type IN ('artist', 'artist_context', 'seed_song', 'seed_album') THEN 'artist' WHEN source_type IN ('title', 'discovery') THEN source_type ELSE 'tag' END AS bucket, count(*) AS n_hits, count(DISTINCT item_id) AS n_items FROM hits GROUP BY ALL"
 _SCORES = {"retrieval_confidence": ("metadata", "confidence"), "multi_source_agreement": ("agreement",), "artist_match": ("artist_match", "known_artist"), "artist_affinity": ("affinity",), "tag_match": ("tag_match", "title_overlap"), "title_match": ("title_match",), "novelty": ("novelty", "seed_album"), "final_score": ("content", "retrieval", "quality", "base", "gate", "score")}
 for _name, _columns in _SCORES.items():

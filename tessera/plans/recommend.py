@@ -55,13 +55,14 @@ def all_hits(spark: SparkSession, sf_dir: str, profiles: DataFrame, dimensions:
 
 
 def candidates(spark: SparkSession, sf_dir: str, profiles: DataFrame | None = None, hits: DataFrame | None = None) -> DataFrame:
-    """Merged hits (of searches alone, if none are given) with their item and their request's profile."""
+    """Merged hits (of searches alone, if none are given) with their item and their request's profile, but for its long word list."""
     merged = merge_hits(domain.hits(spark, sf_dir) if hits is None else hits).join(domain.items(spark, sf_dir), "item_id")
-    return merged.join(domain.profiles(spark, sf_dir) if profiles is None else profiles, "request_id")
+    return merged.join((domain.profiles(spark, sf_dir) if profiles is None else profiles).drop("profile_words"), "request_id")
 
 
-def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return enrich.attach(candidates(spark, sf_dir), domain.signals(spark, sf_dir))
+def enriched(spark: SparkSession, sf_dir: str, profiles: DataFrame | None = None) -> DataFrame:
+    hits = None if profiles is None else domain.hits(spark, sf_dir, domain.plan(profiles))
+    return enrich.attach(candidates(spark, sf_dir, profiles, hits), domain.signals(spark, sf_dir))
 
 
 def text_words(rows: DataFrame) -> DataFrame:
@@ -74,10 +75,17 @@ def text_words(rows: DataFrame) -> DataFrame:
     return rows.withColumn("text_words", F.concat(X.without(F.col("t_title"), F.col("tag_tokens")), "t_artist", "t_artist", "t_album", "query_tokens", said))
 
 
-def profile_once(rows: DataFrame) -> DataFrame:
-    """rows whose profile_words stay on one row of each request only, so that they travel once."""
-    first = F.row_number().over(Window.partitionBy("request_id").orderBy("item_id")) == 1
-    return rows.withColumn("profile_words", F.when(first, F.col("profile_words")))
+def profile_once(rows: DataFrame, profiles: DataFrame) -> DataFrame:
+    """rows with profile_words on one row of each request, so that they are joined to that one and travel once."""
+    placed = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("request_id").orderBy("item_id")))
+    own = profiles.select(F.col("request_id").alias("_request"), "profile_words")
+    return placed.join(own, (F.col("request_id") == F.col("_request")) & (F.col("_nth") == 1), "left").drop("_nth", "_request")
+
+
+def signal_words(rows: DataFrame) -> DataFrame:
+    """rows with the words of lyric and wiki in text_words, where signals have brought such columns."""
+    more = [X.tokens(F.col(c)) for c in ("lyric", "wiki") if c in rows.columns]
+    return rows.withColumn("text_words", F.concat("text_words", *more)).drop("lyric", "wiki") if more else rows
 
 
 def with_text(rows: DataFrame) -> DataFrame:
@@ -189,10 +197,10 @@ def parts(rows: DataFrame) -> DataFrame:
     return signal_features(features(rows))
 
 
-def scored(rows: DataFrame) -> DataFrame:
+def scored(rows: DataFrame, profiles: DataFrame) -> DataFrame:
     """Enriched candidates with all their scores, without their profiles' lists."""
-    rows = text_words(features(rows)).select(*CARRIED, *SIGNALS, "enriched", "text_words", "profile_words")
-    return totals(with_text(signal_features(profile_once(rows))))
+    rows = text_words(features(rows)).select(*CARRIED, *SIGNALS, "enriched", "text_words")
+    return totals(with_text(signal_features(profile_once(rows, profiles))))
 
 
 def by_score() -> Column:
@@ -222,10 +230,10 @@ def filtered(found: DataFrame) -> DataFrame:
     return filters.before_signals(features(found))
 
 
-def first_round(rows: DataFrame) -> DataFrame:
+def first_round(rows: DataFrame, profiles: DataFrame) -> DataFrame:
     """What filtered() keeps, scored without signals, with the place of each in its request and with its words for the next round."""
     carried = [*CARRIED, *(c for c in CONTROLS if c in rows.columns)]
-    pool = profile_once(text_words(rows.where("dropped IS NULL")).select(*carried, "text_words", "profile_words"))
+    pool = profile_once(text_words(rows.where("dropped IS NULL")).select(*carried, "text_words"), profiles)
     kept = pool.withColumns({"words": F.col("text_words"), "own_words": F.col("profile_words"), "enriched": F.lit(False), **{c: F.lit(None).cast(t) for c, t in SIGNAL_TYPES.items()}})
     first = totals(with_text(signal_features(kept))).withColumn("place", by_score())
     return first.select(*carried, F.col("words").alias("text_words"), F.col("own_words").alias("profile_words"), F.col("score").alias("first_score"), "place")
@@ -233,24 +241,21 @@ def first_round(rows: DataFrame) -> DataFrame:
 
 def with_signals(rows: DataFrame, signals: DataFrame, k: int = K) -> DataFrame:
     """first_round() rows of which the best budget(k) of a request have signals, with `dropped` of the rules that need them."""
-    return filters.after_signals(signal_features(enrich.attach(rows, signals, F.col("place") <= enrich.budget(k))))
+    rows = enrich.attach(rows, signals, F.col("place") <= enrich.budget(k))
+    return filters.after_signals(signal_features(signal_words(rows)))
 
 
-def ranked_pool(spark: SparkSession, sf_dir: str, k: int = K, found: DataFrame | None = None) -> DataFrame:
+def ranked_pool(spark: SparkSession, sf_dir: str, profiles: DataFrame, found: DataFrame, k: int = K) -> DataFrame:
     """The pool of each request before the choice: candidates that all rules keep, with the scores of the second round.
 
     Scored without signals first; the best budget(k) of a request get theirs; the whole pool goes on, whatever its size.
-    found: candidates; by default those of both channels.
     """
-    if found is None:
-        profiles = written(domain.profiles(spark, sf_dir), "profiles")
-        found = candidates(spark, sf_dir, profiles, all_hits(spark, sf_dir, profiles))
-    return totals(with_text(with_signals(first_round(filtered(found)), domain.signals(spark, sf_dir), k)))
+    return totals(with_text(with_signals(first_round(filtered(found), profiles), domain.signals(spark, sf_dir), k)))
 
 
 def recommend(spark: SparkSession, sf_dir: str, k: int = K, diversity: float = DIVERSITY) -> DataFrame:
     """Cards: request_id, rank, item, scores, pick type, reasons, explanation. Requests without any signal have none."""
     profiles = written(domain.profiles(spark, sf_dir), "profiles")
     found = candidates(spark, sf_dir, profiles, all_hits(spark, sf_dir, profiles))
-    chosen = rerank.mmr(ranked_pool(spark, sf_dir, k, found), k, diversity).drop("text_codes", "text_weights")
+    chosen = rerank.mmr(ranked_pool(spark, sf_dir, profiles, found, k), k, diversity).drop("text_codes", "text_weights")
     return cards(chosen, F.col("promoted"), profiles)

@@ -300,6 +300,15 @@ def _both_channels(spark: SparkSession, sf: str) -> DataFrame:
     return R.all_hits(spark, sf, domain.profiles(spark, sf), dimensions=0)
 
 
+@query
+def merge_tracks(spark: SparkSession, sf: str) -> DataFrame:
+    """Fields of items as several searches tell them, each with gaps: the first that is not empty, in order of the searches."""
+    h = domain.hits(spark, sf).join(domain.catalogue(spark, sf), "item_id")
+    gap = lambda c, n: F.when((F.col("plan_idx") + F.col("position")) % n != 0, F.concat(F.col(c), F.lit(" "), F.col("source_type"))).otherwise("")
+    h = h.withColumns({"title": gap("title", 2), "artist": gap("artist", 3), "album": gap("album", 5), "artists": F.when(F.col("plan_idx") % 4 == 1, F.array("source_type")).otherwise(F.array().cast("array<string>"))})
+    return retrieval.merge_tracks(h).select("request_id", "item_id", "title", "artist", "album", _join(F.col("artists")).alias("artists"))
+
+
 @query
 def merge_channels(spark: SparkSession, sf: str) -> DataFrame:
     """Candidates and hits of each request, and the items that recall adds to those of searches."""
@@ -312,7 +321,8 @@ def merge_channels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, sf: str) -> DataFrame:
-    return R.scored(R.enriched(spark, sf))
+    profiles = tables.written(domain.profiles(spark, sf), "profiles")
+    return R.scored(R.enriched(spark, sf, profiles), profiles)
 
 
 def _score_query(name: str, columns: list[str], whole: bool):
@@ -422,10 +432,10 @@ def filter_low_trust(spark: SparkSession, sf: str) -> DataFrame:
 
 def _steps(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Hits of both channels (recall by TF-IDF vectors), candidates after the first rules, and after those that need signals."""
-    profiles = domain.profiles(spark, sf)
+    profiles = tables.written(domain.profiles(spark, sf), "profiles")
     hits = R.all_hits(spark, sf, profiles, dimensions=0)
     before = R.filtered(R.candidates(spark, sf, profiles, hits))
-    return hits, before, R.with_signals(R.first_round(before), domain.signals(spark, sf))
+    return hits, before, R.with_signals(R.first_round(before, profiles), domain.signals(spark, sf))
 
 
 @query

@@ -25,7 +25,13 @@ def test_norm_title(spark, title, want):
     assert one(spark, X.norm_title(F.col("t")), t=title) == want
 
 
+def test_words_of_signals(spark):
+    rows = spark.createDataFrame([(1, ["a"], "Dancing the queen", None)], "request_id long, text_words array<string>, lyric string, wiki string")
+    assert recommend.signal_words(rows).first().text_words == ["a", "dancing", "queen"] and recommend.signal_words(rows.drop("lyric", "wiki")).columns == ["request_id", "text_words"]
+
+
 def test_phrases(spark):
+    assert one(spark, X.dedupe_phrases(F.array(F.lit(" Indie  pop "), F.lit("indie pop"))), t="") == ["Indie  pop"]
     assert one(spark, X.dedupe_phrases(F.array(*map(F.lit, ["Indie", "indie!", "r&b", "j-pop", "pop"])))  , t="") == ["Indie", "j-pop"]
     a, b = (F.array(*map(F.lit, w.split())) for w in ("my red hat", "red hat"))
     assert one(spark, X.contains_phrase(a, b), t="") and not one(spark, X.starts_with(a, b), t="")
