@@ -12,8 +12,9 @@ the next one is made, so neither the driver nor a worker holds more than a block
 table beyond the broadcast bound has to be joined away.
 
 Null or empty text: matches nothing. Items of fewer than MIN_TILE words: match nothing. Ties between matches of one
-length: the first in the item, then in the document. Repeated rows: each gets its rows. Empty tables: empty result.
-Only the id and text columns are read.
+length: the first in the item, then in the document. Repeated rows: each gets its rows. Null id, of a document or an item: a row
+like others, with that id. Very long texts: whole, hashed in blocks; the words of one text (about 13 bytes for each byte
+of it) are held at once. Empty tables: empty result. Only the id and text columns are read.
 """
 
 from __future__ import annotations

@@ -8,8 +8,9 @@ updates the sums above it. build_trees makes the leaves' figures a table, and ed
 that a later run encodes what its edits touch and nothing else; count_tokens does both at once for documents.
 
 Edits are applied in order to the text as it then is; positions count characters and are cut to the text's length.
-Null text: empty. Null edits: none. Repeated rows: each counted. Empty table: empty result. Only the id, text and
-edits columns are read.
+Null text: empty. Null edits: none. Null id: a row like others. Repeated rows: each counted. Very long texts: whole, as a tree of
+short leaves; a run without a safe boundary is one leaf, encoded at its cost. Empty table: empty result. Only the id,
+text and edits columns are read.
 """
 
 from __future__ import annotations

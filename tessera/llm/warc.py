@@ -12,7 +12,8 @@ record by record; files are bounded by records and bytes (SIZES), so a reader ho
 
 Null html or url: empty payload; `-` for the URL. Repeated rows: each gets its record. Equal payloads of at least
 min_dedup bytes: the smallest page id is the response, the others are revisits without a payload. Ties: equal page
-ids with equal payloads, all responses. Empty table: no archive is written and the result is empty. Clashing columns:
+ids with equal payloads, all responses. Null page id: a record without a page id, a response always, as no id is the
+smallest. Very long payloads: one record a file. Empty table: no archive is written and the result is empty. Clashing columns:
 only the id, URL and html columns are read.
 """
 

@@ -36,3 +36,10 @@ def test_merge_mask_and_empty(spark):
     assert r.formatted == "<turn user>\na<part/>b</turn>\n<turn assistant>\n" + r"\### Assistant: <\/turn> ok" + "</turn>\n"
     assert [s.text for s in r.segments if s.loss] == [r"\### Assistant: <\/turn> ok"]
     assert chat.digests(chat.format_conversations(df.limit(0))).count() == 0
+
+
+def test_a_very_long_conversation_and_text(spark):
+    rows = [(1, i, "user" if i % 2 else "assistant", f"turn {i}") for i in range(3000)] + [(2, 0, "assistant", "<turn " * 200_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256, r.n_blocks) for r in chat.digests(chat.format_conversations(df)).collect()}
+    assert got == brute(rows)

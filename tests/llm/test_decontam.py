@@ -85,3 +85,14 @@ def test_tiling_covers_what_the_plain_method_covers():
         least = r.randint(2, 5)
         tiles = decontam.tile(np.array(t, np.uint64), np.array(d, np.uint64), least)
         assert sum(k for *_, k in tiles) == brute_tiles(t, d, least), (t, d, least)
+
+
+def test_long_texts_and_null_ids(spark):
+    """A passage deep in a text of two million characters, and rows without an id on either side."""
+    item = " ".join(f"q{i}" for i in range(30))
+    long = " ".join(f"w{i % 977}" for i in range(200_000))
+    docs = spark.createDataFrame([(1, f"{long} {item} {long}"), (2, long), (None, item), (3, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, item), (None, "alpha beta gamma delta epsilon")], "item_id long, text string")
+    got = decontam.find(docs, items).select("doc_id", "item_id", "covered").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, 7, 30), (None, 7, 30)], key=str)
+    assert sorted(x.doc_id for x in decontam.drop_contaminated(docs, items).select("doc_id").collect()) == [2, 3]

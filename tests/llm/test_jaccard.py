@@ -141,3 +141,9 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 7), (200, 201), (5, 5), (200, 201)]
     got = {r.node: r.label for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 0, 200: 200, 201: 200}
+
+
+def test_components_that_do_not_settle_raise(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long")
+    with pytest.raises(RuntimeError, match="settle"):
+        graph.components(edges, rounds=2)

@@ -60,3 +60,10 @@ def test_files_are_whole_archives(spark, tmp_path):
     warc.write_archive(df, str(tmp_path / "w"))
     records = [r for f in (tmp_path / "w").glob("*.gz") for r in warc.read_warc(gzip.decompress(f.read_bytes()))]
     assert len(records) == len(PAGES)
+
+
+def test_pages_without_an_id(spark):
+    pages = [(None, "u", "same"), (None, "u", "same"), (3, "u", "same"), (4, "u", "same"), (None, "u", None)]
+    got = warc.archive_pages(spark.createDataFrame(pages, "page_id long, url string, html string"))
+    kinds = sorted(((x.page_id, x.record_type, x.refers_to) for x in got.collect()), key=str)
+    assert kinds == sorted([(None, "response", None), (None, "response", None), (3, "response", None), (4, "revisit", 3), (None, "response", None)], key=str)
