@@ -133,9 +133,12 @@ def plan(profiles_: DataFrame, per_signal: int = PER_SIGNAL, discovery_limit: in
     found = F.array(*[ask("discovery", 0.55, q, discovery_limit) for q in discovery]) if discovery_limit > 0 else F.array()
     parts = [F.flatten(artists), each("genres", MAX_TAGS, "genre", 0.75), each("moods", MAX_TAGS, "mood", 0.65), each("tags", MAX_TAGS, "tag", 0.75), F.array(*mixed), F.flatten(songs)]
     queries = F.concat(*parts, found) if discovery_limit > 0 else F.concat(*parts)
-    got = profiles_.select("request_id", F.posexplode(queries).alias("plan_idx", "q")).select("request_id", "plan_idx", "q.*").where("query <> ''")
-    first = Window.partitionBy("request_id", "source_type", F.lower("query")).orderBy("plan_idx")
-    return got.withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth")
+    # the first of each (type, query) within the array, a few dozen entries: no shuffle
+    numbered = F.filter(F.transform(queries, lambda q, i: F.struct(i.cast("int").alias("plan_idx"), q.alias("q"))), lambda x: x["q"]["query"] != "")
+    key = lambda x: F.concat_ws("\n", x["q"]["source_type"], F.lower(x["q"]["query"]))
+    first = lambda xs: X.let(F.transform(xs, key), lambda keys: F.filter(xs, lambda x, i: F.array_position(keys, F.get(keys, i)) == i + 1))
+    got = profiles_.select("request_id", F.explode(X.let(numbered, first)).alias("x"))
+    return got.select("request_id", "x.plan_idx", "x.q.*")
 
 
 def album_keyword(album: Column) -> Column:
