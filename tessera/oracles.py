@@ -487,3 +487,9 @@ SQL["feedback_stream"] = f"WITH {FEEDBACK}, f AS (SELECT * FROM feedback WHERE e
 SQL["store_versions"] = f"""WITH {HITS}, o AS (SELECT item_id, list(DISTINCT source_type) AS k FROM hits WHERE source_type IN ('artist', 'genre') GROUP BY item_id), n AS (SELECT item_id, list(DISTINCT source_type) AS k FROM hits WHERE source_type IN ('tag', 'title') GROUP BY item_id),
 b AS (SELECT CASE WHEN o.item_id IS NULL OR n.item_id IS NULL THEN 1 ELSE 2 END AS seen, len(list_concat(coalesce(o.k, []), coalesce(n.k, []))) AS t, CASE WHEN o.item_id IS NULL THEN TIMESTAMP '2024-01-02 00:00:00' ELSE TIMESTAMP '2024-01-01 00:00:00' END AS f FROM o FULL JOIN n ON o.item_id = n.item_id)
 SELECT 0 AS version, count(*) AS n_items, count(*) AS seen, CAST(sum(len(k)) AS BIGINT) AS n_types, TIMESTAMP '2024-01-01 00:00:00' AS newest FROM o UNION ALL SELECT 1, count(*), CAST(sum(seen) AS BIGINT), CAST(sum(t) AS BIGINT), max(f) FROM b"""
+SQL["card_chips"] = f"""{SHOWN}, ch AS (SELECT request_id, item_id, pick, list_filter([CASE WHEN contains(lower(array_to_string(reasons, ' ')), 'artist') OR artist_match > 0.5 THEN 'same artist' END, CASE WHEN len(matched) > 0 OR tag_match > 0 THEN 'matched genre' END, CASE WHEN contains(lower(array_to_string(reasons, ' ')), 'mood') THEN 'matched mood' END,
+  CASE WHEN len({firsts('source_list')}) > 1 OR agreement > 0 THEN 'multi-source match' END, CASE WHEN pick = 'exploratory' OR novelty > 0.25 THEN 'discovery pick' END, CASE WHEN pick = 'diverse' THEN 'diversity pick' END], lambda x: x IS NOT NULL) AS c FROM shown)
+SELECT request_id, item_id, CASE WHEN len(c) = 0 THEN pick || ' pick' ELSE array_to_string(c[1:6], ',') END AS chips FROM ch"""
+SQL["shown_fields"] = """WITH p AS (SELECT *, CASE WHEN p_size > 5 THEN CAST(trunc(p_retailprice * 300) AS BIGINT) WHEN p_size > 2 THEN 0 END AS ms FROM part)
+SELECT p_partkey AS item_id, replace(p_name, ' ', ',') || ',' || p_brand AS parts, CASE p_size % 3 WHEN 0 THEN 'https://example.org/a?u=http://b' WHEN 1 THEN 'https://example.org' ELSE '' END AS url,
+  CASE WHEN ms > 0 THEN CAST((CAST(floor(ms / 1000.0 + 0.5) AS BIGINT)) // 60 AS VARCHAR) || ':' || lpad(CAST(CAST(floor(ms / 1000.0 + 0.5) AS BIGINT) % 60 AS VARCHAR), 2, '0') ELSE '' END AS duration, CASE p_size % 4 WHEN 0 THEN 0.2 WHEN 1 THEN 0.5 WHEN 2 THEN 0.75 END::DOUBLE AS diversity FROM p"""

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import requests
+from tessera.functions import requests, shown
 from tessera.functions import scoring as S
 from tessera.functions import text as X
 from tessera.operators import catalog, enrich, explain, filters, learning, metrics, rerank, retrieval, semantic, store, tables, versions
@@ -500,6 +500,24 @@ def cards(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("request_id", "rank", "item_id", "title", "artist", "album", "url", "pick_type", *lists, *[_six(f"score_breakdown.{x}").alias(x) for x in response.BREAKDOWN])
 
 
+@query
+def card_chips(spark: SparkSession, sf: str) -> DataFrame:
+    c = F.col
+    got = shown.chips(c("reasons"), c("artist_match"), c("tags"), c("tag_match"), c("sources"), c("agreement"), c("pick"), c("novelty"))
+    return _shown(spark, sf).select("request_id", "item_id", _join(got).alias("chips"))
+
+
+@query
+def shown_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """Lists, addresses, durations and presets as a page shows them."""
+    p = domain.table(spark, sf, "part")
+    raw = F.concat(F.lit(" , "), F.replace("p_name", F.lit(" "), F.lit(" ,")), F.lit(", "), F.col("p_brand"))
+    url = F.when(F.col("p_size") % 3 == 0, "HTTP://example.org/a?u=http://b").when(F.col("p_size") % 3 == 1, "https://example.org")
+    ms = F.when(F.col("p_size") > 5, (F.col("p_retailprice") * 300).cast("long")).when(F.col("p_size") > 2, F.lit(0))
+    preset = F.element_at(F.array(*map(F.lit, ("safe", "balanced", "discovery", "none"))), (F.col("p_size") % 4 + 1).cast("int"))
+    return p.select(F.col("p_partkey").alias("item_id"), _join(shown.parse_csv(raw)).alias("parts"), shown.https(url).alias("url"), shown.duration(ms).alias("duration"), shown.sliders(preset)["diversity"].alias("diversity"))
+
+
 @query
 def recommend_mmr(spark: SparkSession, sf: str) -> DataFrame:
     got = R.recommend(spark, sf)
