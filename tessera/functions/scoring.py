@@ -34,10 +34,10 @@ def agreement(n_names: Column, types: Column, n_similar: Column | None = None) -
     return F.least(F.lit(1.0), score)
 
 
-def artist_affinity(artist_match: Column, norms: Column, weights: Column, artists: list[Column]) -> Column:
-    """The match, or the largest weight among the item's artists (norms), whichever is larger."""
-    own = [F.coalesce(F.get(weights, F.array_position(norms, a).cast("int") - 1), F.lit(0.0)) for a in artists]
-    return F.greatest(artist_match, *own)
+def artist_affinity(artist_match: Column, norms: Column, weights: Column, artists: Column) -> Column:
+    """The match, or the largest weight among the item's artists (array of normal forms), whichever is larger."""
+    own = F.transform(artists, lambda a: F.coalesce(F.get(weights, F.array_position(norms, a).cast("int") - 1), F.lit(0.0)))
+    return F.greatest(artist_match, F.coalesce(F.array_max(own), F.lit(0.0)))
 
 
 def popularity(comments: Column, hot: Column, red: Column, enriched: Column) -> Column:

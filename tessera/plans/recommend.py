@@ -142,9 +142,18 @@ def with_text(rows: DataFrame) -> DataFrame:
 
 
 def features(rows: DataFrame) -> DataFrame:
-    """The scores of candidates that neither signals nor text have a part in."""
+    """The scores of candidates that neither signals nor text have a part in.
+
+    An item's artists are those of the column item_artists, if rows have it and it names some, else its artist.
+    """
     title, artist, album = F.col("t_title"), F.col("t_artist"), F.col("t_album")
-    known = F.array_contains("artist_norms", F.col("artist_norm")).cast("double")
+    credited = F.array("artist_norm")
+    if "item_artists" in rows.columns:
+        some = F.size(F.coalesce("item_artists", F.array().cast("array<string>"))) > 0
+        credited = F.when(some, F.transform("item_artists", X.norm_artist)).otherwise(credited)
+        artist = F.when(some, F.flatten(F.transform("item_artists", X.tokens))).otherwise(artist)
+    credited = F.array_remove(credited, "")
+    known = F.arrays_overlap("artist_norms", credited).cast("double")
     rows = rows.withColumns(
         {
             "metadata": S.metadata_quality(F.col("title"), F.col("artist"), F.col("album"), F.lit(None).cast("string"), F.col("item_id")),
@@ -159,7 +168,7 @@ def features(rows: DataFrame) -> DataFrame:
     )
     rows = rows.withColumns(
         {
-            "affinity": S.artist_affinity(F.col("artist_match"), F.col("artist_norms"), F.col("artist_weights"), [F.col("artist_norm")]),
+            "affinity": S.artist_affinity(F.col("artist_match"), F.col("artist_norms"), F.col("artist_weights"), credited),
             "confidence": S.retrieval_confidence(F.col("best_value"), F.col("mean_value"), F.col("metadata")),
             "novelty": S.novelty(F.col("known_artist"), F.col("mean_position"), F.col("tag_match"), F.size("tag_tokens") > 0, F.col("seed_album")),
         }

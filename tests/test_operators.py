@@ -151,7 +151,18 @@ def test_agreement_and_affinity(spark):
     assert got(1, ["artist_context"]) == pytest.approx(0.175) and got(2, ["artist", "genre"]) == pytest.approx(0.65)
     assert got(1, ["title"]) == pytest.approx(0.175 * 0.35) and got(1, ["tag"], 50) == pytest.approx(0.85 * 0.175 + 0.2) and got(1, ["tag"], 0) == pytest.approx(0.175)
     norms, weights = F.array(F.lit("a"), F.lit("b")), F.array(F.lit(1.0), F.lit(0.75))
-    assert one(spark, S.artist_affinity(F.lit(0.2), norms, weights, [F.lit("b"), F.lit("c")]), t="") == 0.75
+    assert one(spark, S.artist_affinity(F.lit(0.2), norms, weights, F.array(F.lit("b"), F.lit("c"))), t="") == 0.75
+    assert one(spark, S.artist_affinity(F.lit(0.2), norms, weights, F.array().cast("array<string>")), t="") == 0.2
+
+
+def test_items_with_several_artists(spark):
+    """One liked artist among several makes a match; without one, the tokens of all are compared."""
+    sf = "/root/testdata/sf0.001"
+    rows = recommend.candidates(spark, sf)
+    rows = rows.withColumn("item_artists", F.when(F.col("item_id") % 3 == 0, F.array(F.lit("nobody"), F.get("artists", 0))).when(F.col("item_id") % 3 == 1, F.array(F.lit("nobody"), F.lit("brand other"))).otherwise(F.array().cast("array<string>")))
+    got = recommend.features(rows).select((F.col("item_id") % 3).alias("k"), "known_artist", "artist_match", "affinity", F.array_contains("artist_norms", F.col("artist_norm")).alias("own"))
+    for x in got.groupBy("k").agg(F.min("artist_match").alias("low"), F.max("artist_match").alias("high"), F.max((F.col("known_artist") == 1) != F.col("own")).alias("differs")).collect():
+        assert {0: (x.low, x.high) == (1, 1), 1: 0 < x.low and x.high < 1, 2: not x.differs}[x.k], x
 
 
 def test_index_against_numpy(spark):
