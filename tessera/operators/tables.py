@@ -19,8 +19,23 @@ def shared_folder(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/tessera-{spark.sparkContext.applicationId}"
+
+
+def fresh_folder(spark: SparkSession, tag: str) -> str:
+    """A folder of its own among the application's tables."""
+    return f"{_own_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """df, computed once and read from its files from now on: lost executors do not cost it."""
-    path = f"{shared_folder(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    """df, computed once and read from its files from now on: lost executors do not cost it. See sweep()."""
+    path = fresh_folder(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete all tables that this application has written, once their results have been read: plans are lazy, so only its user knows when."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -276,7 +274,7 @@ def _cached(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     def look_up(missing: DataFrame) -> DataFrame:
         return missing.join(lists, "query").where("position < `limit`").select("query", "limit", "position", "item_id", F.lit(None).cast("string").alias("error"))
 
-    folder = f"{tables.shared_folder(spark)}/cache-{uuid.uuid4().hex}"
+    folder = tables.fresh_folder(spark, "cache")
     cache.search(planned.join(debt, "request_id", "left_semi"), folder, look_up, "first")
     return cache.search(planned, folder, look_up, "second"), cache.counters(spark, folder)
 
@@ -744,7 +742,7 @@ def seed_profiles(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def evaluation_report(spark: SparkSession, sf: str) -> DataFrame:
     """A row for each seed profile: its diagnostics, or why it has none."""
-    report, _, _ = evaluate.evaluate(spark, sf, _seeds(spark, sf), f"{tables.shared_folder(spark)}/evaluation-{uuid.uuid4().hex}")
+    report, _, _ = evaluate.evaluate(spark, sf, _seeds(spark, sf), tables.fresh_folder(spark, "evaluation"))
     return report.drop("latency_ms")
 
 
@@ -753,7 +751,7 @@ def feedback_stream(spark: SparkSession, sf: str) -> DataFrame:
     """The last accepted event of each request, as the streaming sink keeps it."""
     from tessera.streaming import feedback, sink
 
-    folder = f"{tables.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    folder = tables.fresh_folder(spark, "stream")
     _feedback(spark, sf).withColumn("ts", F.col("ts").cast("timestamp")).repartition(4).write.parquet(f"{folder}/in")
     events = feedback.read_events(spark, f"{folder}/in", spark.read.parquet(f"{folder}/in").schema, files_per_batch=1)
     sink.start(events, f"{folder}/out", f"{folder}/checkpoint", late="3650 days").awaitTermination()
@@ -763,7 +761,7 @@ def feedback_stream(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def store_versions(spark: SparkSession, sf: str) -> DataFrame:
     """Two commits of what searches have found; each version as it is read afterwards."""
-    path = f"{tables.shared_folder(spark)}/store-{uuid.uuid4().hex}"
+    path = tables.fresh_folder(spark, "store")
     h = domain.hits(spark, sf)
     for kinds, day in (("'artist', 'genre'", "2024-01-01"), ("'tag', 'title'", "2024-01-02")):
         rows = h.where(f"source_type IN ({kinds})")
