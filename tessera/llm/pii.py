@@ -52,7 +52,7 @@ MIN_KNOWN, MIN_SHAPED, MIN_SHARE = 3, 10, 0.5
 #: Characters of a shape's end that are a pattern, for values of NUMBER_DIGITS digits and more.
 TAIL = 14
 #: Rounds end when no pattern is new and no share has grown by more than this.
-SETTLED = 1e-6
+SETTLED = 1e-3
 
 _BLOCK = 64
 
@@ -137,9 +137,9 @@ def candidate_tokens(text: Column) -> Column:
 def _weak(s: Column) -> Column:
     """Hashes of the patterns that hold a shape."""
     def of(x: Column) -> Column:
-        tail = F.when((F.length(x) > TAIL) & (F.length(_digits(s["value"])) >= NUMBER_DIGITS), F.concat(F.lit("end\t"), F.substring(x, -TAIL, TAIL)))
-        # a short number is its own end, so that it meets the ends of longer ones
-        tail = F.coalesce(tail, F.when((F.length(x) == TAIL) & (F.length(_digits(s["value"])) >= NUMBER_DIGITS), F.concat(F.lit("end\t"), x)))
+        # the end of a shape starts where a piece of the value starts, and a short number is its own end
+        whole = (F.length(x) == TAIL) | ~F.substring(x, -TAIL - 1, 1).rlike(r"[\p{L}0]")
+        tail = F.when((F.length(x) >= TAIL) & whole & (F.length(_digits(s["value"])) >= NUMBER_DIGITS), F.concat(F.lit("end\t"), F.substring(x, -TAIL, TAIL)))
         form = F.when(F.length(F.regexp_replace(x, r"[\p{L}0]", "")) >= 3, F.concat(F.lit("form\t"), F.regexp_replace(x, "0+", "0")))
         texts = F.array(F.when(s["word"] != "", F.concat(F.lit("left\t"), s["word"], F.lit("\t"), x)), F.when(s["right"] != "", F.concat(F.lit("right\t"), s["right"], F.lit("\t"), x)), F.concat(F.lit("shape\t"), x), tail, form)
         return F.transform(F.array_compact(texts), lambda t: F.xxhash64(t))

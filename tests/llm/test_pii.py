@@ -67,7 +67,7 @@ def lexical(text, a, b):
     if right:
         out.append((False, ("right", right, x)))
     out.append((False, ("shape", x)))
-    if len(x) >= pii.TAIL and len(re.sub("[^0-9]", "", value)) >= pii.NUMBER_DIGITS:
+    if len(x) >= pii.TAIL and not re.search(r"[^\W_]$", x[: -pii.TAIL]) and len(re.sub("[^0-9]", "", value)) >= pii.NUMBER_DIGITS:
         out.append((False, ("end", x[-pii.TAIL :])))
     if len(re.sub(r"[^\W_]", "", x)) >= 3:
         out.append((False, ("form", re.sub("0+", "0", x))))
@@ -142,8 +142,8 @@ def test_added_spans_against_brute_force(spark):
             add("so " + before, v, "now", "card")
     for _ in range(40):  # no context recurs: shapes alone tell, and a number that fails the check is none
         a, b, c = r.choice(words), r.choice(words), r.choice(words)
-        kind = r.choice(["phone", "clear", "short", "wrong"])
-        value = {"phone": good["phone is"], "short": lambda: f"({digits(3)}) {digits(3)}-{digits(4)}", "wrong": wrong, "clear": lambda: digits(9)}[kind]()
+        kind = r.choice(["phone", "clear", "short", "wrong", "invoice"])
+        value = {"invoice": lambda: f"ID{digits(14)}", "phone": good["phone is"], "short": lambda: f"({digits(3)}) {digits(3)}-{digits(4)}", "wrong": wrong, "clear": lambda: digits(9)}[kind]()
         add(f"{a}{r.choice(words)} {b}{r.choice(words)}", value, c, "phone" if kind == "short" else None)
     rows = [(i, t) for i, (t, _, _) in enumerate(texts)]
     spans = []
