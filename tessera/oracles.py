@@ -170,29 +170,36 @@ PLAY = "CASE WHEN NOT enriched OR playable IS NULL THEN 0.6 WHEN playable THEN 1
 _SAID = "flatten(list_filter(pt, lambda p: len(p) > 0 AND list_has_all(query_tokens, p)))"
 _WORDS_OF_CANDIDATE = f"list_concat(list_filter(tt, lambda x: NOT list_contains(tag_tokens, x)), ta, ta, tb, query_tokens, {_SAID})"
 #: What recall has found has the profile's text as a query, which holds all tags.
-_WORDS_OF_BOTH = f"CASE WHEN list_contains(types, 'embedding') THEN list_concat(list_filter(tt, lambda x: NOT list_contains(tag_tokens, x)), ta, ta, tb, query_tokens, profile_words, flatten(pt)) ELSE {_WORDS_OF_CANDIDATE} END"
+_WORDS_OF_BOTH = f"CASE WHEN list_contains(types, 'embedding') THEN list_concat(list_filter(tt, lambda x: NOT list_contains(tag_tokens, x)), ta, ta, tb, query_tokens, flatten(pt)) ELSE {_WORDS_OF_CANDIDATE} END"
+
+
 _HAVE = "list_concat(ta, tb)"
 _ALLTAGS = f"list_concat(list_filter(tag_phrases, lambda p, i: len(pt[i]) > 0 AND list_has_all({_HAVE}, pt[i])), list_filter(flatten(pt), lambda x: list_contains({_HAVE}, x)))"
 
 
-def text(source: str = "rich", words: str = _WORDS_OF_CANDIDATE) -> str:
+def text(source: str = "rich", both: bool = False) -> str:
     """TF-IDF of each request's profile (item -1) and candidates: terms tw, lengths tn, cosine with the profile txt.
 
-    Tokens are numbered once, documents are one number (request and item), so that the grouped pass is over integers.
+    Tokens are numbered once, and counted in a grouped pass over integers. What recall has found (both) has the counts of the
+    profile's words added to its own.
     """
-    return f"""tdocs AS (SELECT request_id, item_id, {words} AS w FROM {source} UNION ALL SELECT request_id, -1, profile_words FROM prof WHERE request_id IN (SELECT request_id FROM {source})
-), tlong AS MATERIALIZED (SELECT request_id, item_id, len(w) AS n, unnest(w) AS word FROM tdocs), tnames AS MATERIALIZED (SELECT word, CAST(row_number() OVER () AS INTEGER) AS token FROM (SELECT DISTINCT word FROM tlong)
-), tcount AS MATERIALIZED (SELECT request_id, item_id, token, any_value(n) AS n, count(*) AS c FROM tlong JOIN tnames USING (word) GROUP BY request_id, item_id, token
+    words, found = (_WORDS_OF_BOTH, "list_contains(types, 'embedding')") if both else (_WORDS_OF_CANDIDATE, "false")
+    more = "UNION ALL SELECT d.request_id, d.item_id, p.token, p.c FROM tdocs d JOIN town p ON p.request_id = d.request_id AND p.item_id = -1 WHERE d.found" if both else ""
+    return f"""tdocs AS MATERIALIZED (SELECT request_id, item_id, {words} AS w, {found} AS found FROM {source} UNION ALL SELECT request_id, -1, profile_words, false FROM prof WHERE request_id IN (SELECT request_id FROM {source})
+), tlong AS MATERIALIZED (SELECT request_id, item_id, unnest(w) AS word FROM tdocs), tnames AS MATERIALIZED (SELECT word, CAST(row_number() OVER () AS INTEGER) AS token FROM (SELECT DISTINCT word FROM tlong)
+), town AS MATERIALIZED (SELECT request_id, item_id, token, count(*) AS c FROM tlong JOIN tnames USING (word) GROUP BY request_id, item_id, token
+), tcount AS MATERIALIZED (SELECT request_id, item_id, token, CAST(sum(c) AS BIGINT) AS c FROM (SELECT * FROM town {more}) GROUP BY request_id, item_id, token
 ), tdf AS (SELECT request_id, token, count(*) AS df FROM tcount GROUP BY request_id, token), tsize AS (SELECT request_id, count(*) AS docs FROM tdocs GROUP BY request_id
-), tw AS MATERIALIZED (SELECT c.request_id, item_id, c.token, c.c::DOUBLE / n * (ln((1 + docs)::DOUBLE / (1 + df)) + 1) AS w FROM tcount c JOIN tdf ON tdf.request_id = c.request_id AND tdf.token = c.token JOIN tsize ON tsize.request_id = c.request_id
+), tlen AS (SELECT request_id, item_id, sum(c)::DOUBLE AS n FROM tcount GROUP BY request_id, item_id
+), tw AS MATERIALIZED (SELECT c.request_id, c.item_id, c.token, c.c::DOUBLE / n * (ln((1 + docs)::DOUBLE / (1 + df)) + 1) AS w FROM tcount c JOIN tdf ON tdf.request_id = c.request_id AND tdf.token = c.token JOIN tsize ON tsize.request_id = c.request_id JOIN tlen ON tlen.request_id = c.request_id AND tlen.item_id = c.item_id
 ), tp AS (SELECT request_id, token, w FROM tw WHERE item_id = -1), tn AS MATERIALIZED (SELECT tw.request_id, item_id, sqrt(sum(tw.w * tw.w)) AS norm, sum(tw.w * tp.w) AS dot FROM tw LEFT JOIN tp ON tp.request_id = tw.request_id AND tp.token = tw.token GROUP BY tw.request_id, item_id
 ), txt AS (SELECT x.request_id, x.item_id, round(least(1.0, coalesce(x.dot, 0) / (x.norm * y.norm)), 9) AS cos FROM tn x JOIN tn y ON x.request_id = y.request_id AND y.item_id = -1 WHERE x.item_id <> -1)"""
 
 
-def scored(source: str = "rich", with_text: bool = True, words: str = _WORDS_OF_CANDIDATE) -> str:
+def scored(source: str = "rich", with_text: bool = True, both: bool = False) -> str:
     known = f"CASE WHEN list_contains(artist_norms, na) THEN 1.0 ELSE 0.0 END::DOUBLE"
     joined = f"(SELECT {source}.*, coalesce(txt.cos, 0.0) AS text_similarity FROM {source} LEFT JOIN txt ON txt.request_id = {source}.request_id AND txt.item_id = {source}.item_id)" if with_text else f"(SELECT *, 0.0 AS text_similarity FROM {source})"
-    return f"""{text(source, words) + ', ' if with_text else ''}s1 AS (
+    return f"""{text(source, both) + ', ' if with_text else ''}s1 AS (
   SELECT *, na AS artist_norm, nb AS album_norm, nt AS title_norm,
     (CASE WHEN title <> '' THEN 0.35 ELSE 0 END + CASE WHEN artist <> '' THEN 0.3 ELSE 0 END + CASE WHEN album <> '' THEN 0.15 ELSE 0 END + CASE WHEN item_id <> 0 THEN 0.1 ELSE 0 END)::DOUBLE AS metadata,
     (0.4::DOUBLE * least(1.0, n_names / 4.0) + 0.3::DOUBLE * least(1.0, len(types) / 4.0) + CASE WHEN list_has_any(types, ['artist','artist_context','seed_song','seed_album']) AND list_has_any(types, ['genre','mood','tag','genre_mood','tag_combo','discovery']) THEN 0.3::DOUBLE ELSE 0.0 END)
@@ -358,10 +365,10 @@ _STEPS = f"""{_RECALL}, both_hits AS (SELECT request_id, plan_idx, source_type,
   wants_versions AND list_has_any(rt, {VERSION}) AS wanted FROM cands
 ), before_ AS MATERIALIZED (SELECT *, CASE WHEN rule IS NULL AND nt <> '' AND na <> '' AND NOT wanted AND row_number() OVER (PARTITION BY request_id, nt, na, rule IS NULL ORDER BY max_reliability DESC, max_rank DESC, first_hit, item_id) > 1 THEN 'duplicate_version' ELSE rule END AS dropped FROM f1
 ), {SIGNALS}, kept AS (SELECT * EXCLUDE (rule, wanted, dropped), false AS enriched, NULL::BIGINT AS comments, NULL::BIGINT AS hot, NULL::BIGINT AS red, NULL::BIGINT AS followers, NULL::BOOLEAN AS playable, NULL::DOUBLE AS max_discount FROM before_ WHERE dropped IS NULL
-), {scored('kept', True, _WORDS_OF_BOTH)}, placed AS MATERIALIZED (SELECT request_id, item_id, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, title, item_id) AS place FROM scored)"""
+), {scored('kept', both=True)}, placed AS MATERIALIZED (SELECT request_id, item_id, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, title, item_id) AS place FROM scored)"""
 #: The second round has names of its own.
-_AGAIN = scored("late", True, _WORDS_OF_BOTH)
-for _n in ("tdocs", "tlong", "tnames", "tcount", "tdf", "tsize", "tw", "tp", "tn", "txt", "s1", "s2", "s3", "s4", "scored"):
+_AGAIN = scored("late", both=True)
+for _n in ("tdocs", "tlong", "tnames", "town", "tcount", "tdf", "tsize", "tlen", "tw", "tp", "tn", "txt", "s1", "s2", "s3", "s4", "scored"):
     _AGAIN = re.sub(rf"\b{_n}\b", f"{_n}_b", _AGAIN)
 _AFTER = f"""{_STEPS}, late0 AS (SELECT k.* EXCLUDE (enriched, comments, hot, red, followers, playable, max_discount), place, coalesce(place <= 16 AND s.comments IS NOT NULL, false) AS enriched, {', '.join(f'CASE WHEN place <= 16 THEN s.{c} END AS {c}' for c in ('comments', 'hot', 'red', 'followers', 'playable', 'max_discount'))}
   FROM kept k JOIN placed p ON p.request_id = k.request_id AND p.item_id = k.item_id LEFT JOIN signals s ON s.item_id = k.item_id
