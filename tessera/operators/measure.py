@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RECORDS = "place int, stage string, ms double, n_rows long, error string, optional boolean"
@@ -21,16 +21,21 @@ class Stages:
         self.records.append((len(self.records), name, (time.perf_counter() - start) * 1000, rows, error, optional))
 
     def table(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-        """Build and write a stage, and read it back; its rows are counted while they are written."""
+        """Build and write a stage, and read it back; its rows are told by the footers of its files.
+
+        Not by observe(): a session that has observed once can't send fitted models of pyspark.ml to tasks any more.
+        """
         start, path = time.perf_counter(), f"{self.folder}/{len(self.records):02d}-{name.replace(' ', '-')}"
         try:
-            df, seen = build(), Observation(name)
-            df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+            df = build()
+            df.write.parquet(path)
+            back = self.spark.read.schema(df.schema).parquet(path)
+            rows = back.count()
         except Exception as e:
             self._record(name, start, None, f"{type(e).__name__}: {e}".splitlines()[0], False)
             raise
-        self._record(name, start, int(seen.get["n"]), None, False)
-        return self.spark.read.schema(df.schema).parquet(path)
+        self._record(name, start, rows, None, False)
+        return back
 
     def sink(self, name: str, write: Callable[[], int | None]) -> bool:
         """A write that the result does not hang on: a failure is recorded, and the run goes on. write may return rows written."""
