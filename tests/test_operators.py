@@ -11,7 +11,7 @@ from tessera import config
 from tessera.functions import text as X
 from tessera.functions import scoring as S
 from tessera.operators import enrich, learning, metrics, rerank, semantic, store
-from tessera.plans import recommend
+from tessera.plans import domain, recommend
 from tessera.sources import files
 from tessera.streaming import feedback
 
@@ -205,3 +205,21 @@ def test_store_reads_and_sinks(spark, tmp_path):
     assert store.with_ids(rows).select("feedback_id").distinct().count() == 60
     excerpt, similar = enrich.deep(F.lit("a b  c"), F.array(F.lit(0), F.lit(4), F.lit(5)), 2, 1)
     assert one(spark, excerpt, t="") == "a b" and one(spark, similar, t="") == [4]
+
+
+def above(df, operator):
+    """The physical plan above the first such operator."""
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    assert operator in plan
+    return plan[: plan.index(operator)]
+
+
+def test_candidates_are_not_shuffled_by_item(spark):
+    """What is known of an item comes with the hits: the only join above their merging is that of profiles, and results stay."""
+    sf, profiles = "/root/testdata/sf0.001", domain.profiles(spark, "/root/testdata/sf0.001")
+    rows = recommend.enriched(spark, sf)
+    assert above(rows.select("request_id", "title", "comments", "taste_tokens", "tag_tokens"), "ObjectHashAggregate").count("Join") == 1
+    apart = recommend.candidates(spark, sf, profiles, domain.hits(spark, sf, domain.plan(profiles)))
+    same = ["request_id", "item_id", "n_hits", "sources", "types", "title", "t_title", "album_norm", "comments", "audio", "enriched", "tag_tokens"]
+    got, want = rows.select(same), enrich.attach(apart, domain.signals(spark, sf)).select(same)
+    assert set(rows.columns) == {*apart.columns, "enriched", *recommend.SIGNALS} and got.count() == want.count() and not got.exceptAll(want).limit(1).count()
