@@ -4,13 +4,14 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tessera import config
 from tessera.functions import text as X
 from tessera.functions import scoring as S
-from tessera.operators import enrich, learning, metrics, rerank, semantic, store
+from tessera.operators import enrich, learning, metrics, rerank, semantic, store, tables
 from tessera.plans import domain, recommend
 from tessera.sources import files
 from tessera.streaming import feedback
@@ -223,3 +224,13 @@ def test_candidates_are_not_shuffled_by_item(spark):
     same = ["request_id", "item_id", "n_hits", "sources", "types", "title", "t_title", "album_norm", "comments", "audio", "enriched", "tag_tokens"]
     got, want = rows.select(same), enrich.attach(apart, domain.signals(spark, sf)).select(same)
     assert set(rows.columns) == {*apart.columns, "enriched", *recommend.SIGNALS} and got.count() == want.count() and not got.exceptAll(want).limit(1).count()
+
+
+def test_products_in_parts():
+    """The scores of a cell never lie in memory whole, and are those of all pairs."""
+    r = np.random.default_rng(3)
+    tables_ = [pa.table({"v": pa.array(list(r.normal(size=(n, 5))))}) for n in (2 * semantic.AT_ONCE + 7, 11)]
+    parts = list(semantic._products(*tables_))
+    assert [(start, len(score)) for start, score in parts] == [(0, semantic.AT_ONCE), (semantic.AT_ONCE, semantic.AT_ONCE), (2 * semantic.AT_ONCE, 7)]
+    a, b = (np.array(t.column("v").to_pylist()) for t in tables_)
+    assert np.allclose(np.concatenate([score for _, score in parts]), a @ b.T)
