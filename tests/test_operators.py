@@ -226,6 +226,14 @@ def test_candidates_are_not_shuffled_by_item(spark):
     assert set(rows.columns) == {*apart.columns, "enriched", *recommend.SIGNALS} and got.count() == want.count() and not got.exceptAll(want).limit(1).count()
 
 
+def test_profiles_are_not_broadcast(spark):
+    """Whatever size their files have."""
+    profiles = tables.written(domain.profiles(spark, "/root/testdata/sf0.001"), "profiles")
+    rows = profiles.select("request_id", F.explode("liked_ids").alias("item_id"), F.array("request_id").alias("phrase"))
+    assert "BroadcastHashJoin" not in above(recommend.profile_once(rows, profiles), "FileScan")
+    assert "BroadcastHashJoin" not in above(recommend.with_profile(rows, profiles.select("request_id", "artists")), "FileScan")
+
+
 def test_products_in_parts():
     """The scores of a cell never lie in memory whole, and are those of all pairs."""
     r = np.random.default_rng(3)
