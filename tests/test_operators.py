@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tessera import config
 from tessera.functions import text as X
 from tessera.functions import scoring as S
-from tessera.operators import enrich, learning, metrics, rerank, semantic, store, tables
+from tessera.operators import enrich, learning, metrics, rerank, retrieval, semantic, store, tables
 from tessera.plans import domain, recommend
 from tessera.sources import files
 from tessera.streaming import feedback
@@ -242,3 +242,9 @@ def test_products_in_parts():
     assert [(start, len(score)) for start, score in parts] == [(0, semantic.AT_ONCE), (semantic.AT_ONCE, semantic.AT_ONCE), (2 * semantic.AT_ONCE, 7)]
     a, b = (np.array(t.column("v").to_pylist()) for t in tables_)
     assert np.allclose(np.concatenate([score for _, score in parts]), a @ b.T)
+
+
+def test_counts_of_rows_that_stand_for_several(spark):
+    hits = spark.createDataFrame([("artist", 1, 3), ("artist", 1, 2), ("tag", 2, 1), ("tag", 3, 4)], "source_type string, item_id long, n long")
+    whole = hits.select("source_type", "item_id", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).drop("col")
+    assert sorted(retrieval.route_counts(hits, "n").collect()) == sorted(retrieval.route_counts(whole).collect()) == [("artist", 5, 1), ("tag", 5, 2)]
