@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera import config
+from tessera import config, queries
 from tessera.functions import text as X
 from tessera.functions import scoring as S
 from tessera.operators import enrich, learning, metrics, rerank, retrieval, semantic, store, tables
@@ -248,3 +248,12 @@ def test_counts_of_rows_that_stand_for_several(spark):
     hits = spark.createDataFrame([("artist", 1, 3), ("artist", 1, 2), ("tag", 2, 1), ("tag", 3, 4)], "source_type string, item_id long, n long")
     whole = hits.select("source_type", "item_id", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).drop("col")
     assert sorted(retrieval.route_counts(hits, "n").collect()) == sorted(retrieval.route_counts(whole).collect()) == [("artist", 5, 1), ("tag", 5, 2)]
+
+
+def test_cached_search_plans_once(spark):
+    """Both runs over the cache read one table of planned queries."""
+    planned, real = [], tables.written
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(tables, "written", lambda df, tag: planned.append(tag) or real(df, tag))
+        queries._cached(spark, "/root/testdata/sf0.001")
+    assert planned == ["planned"]
