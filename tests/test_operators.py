@@ -2,6 +2,7 @@ import datetime as dt
 import json
 import math
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -234,6 +235,30 @@ def test_profiles_are_not_broadcast(spark):
     assert "BroadcastHashJoin" not in above(recommend.with_profile(rows, profiles.select("request_id", "artists")), "FileScan")
 
 
+def test_planned_queries_are_not_broadcast(spark):
+    """By the size of their profiles' files they would be; in memory they are many times that."""
+    profiles = tables.written(domain.profiles(spark, "/root/testdata/sf0.001"), "profiles")
+    plan = above(domain.hits(spark, "/root/testdata/sf0.001", domain.plan(profiles)), "FileScan")
+    assert "SortMergeJoin [source_type" in plan and "BroadcastHashJoin" not in plan[: plan.index("SortMergeJoin [source_type")]
+    assert "BroadcastHashJoin [request_id" not in queries._shadow(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hits_of_a_search_travel_as_one_row(spark):
+    """Hits are made after the shuffle on the request; merging them needs no other, and scores that know no signals read no line items but those bought."""
+    rows = recommend.candidates(spark, "/root/testdata/sf0.001")
+    plan = above(rows.select("request_id", "t_title", "taste_tokens"), "Generate posexplode")
+    assert "Exchange" not in plan[plan.index("ObjectHashAggregate") :]
+    got, want = (x.select("request_id", "item_id", "position", "plan_idx") for x in (domain.hits(spark, "/root/testdata/sf0.001"), domain.plan(domain.profiles(spark, "/root/testdata/sf0.001")).join(domain.search_lists(spark, "/root/testdata/sf0.001"), ["source_type", "query"]).where("position < `limit`")))
+    assert got.count() == want.count() and not got.exceptAll(want).limit(1).count()
+    assert queries.QUERIES["tag_match"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().count("l_partkey") < queries.QUERIES["trust_score"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().count("l_partkey")
+
+
+def test_bought_items_are_shuffled_once(spark):
+    """On the request; their numbering and the profiles reuse that."""
+    plan = domain.liked(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"hashpartitioning\(request_id#", plan)) == 1 and not re.search(r"hashpartitioning\(request_id#\d+L?, item_id", plan)
+
+
 def test_products_in_parts():
     """The scores of a cell never lie in memory whole, and are those of all pairs."""
     r = np.random.default_rng(3)
