@@ -248,13 +248,15 @@ def test_hits_of_a_search_travel_as_one_row(spark):
     rows = recommend.candidates(spark, "/root/testdata/sf0.001")
     plan = above(rows.select("request_id", "t_title", "taste_tokens"), "Generate posexplode")
     assert "Exchange" not in plan[plan.index("ObjectHashAggregate") :]
+    dealt = rows._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(request_id#\d+L?, 8\), REPARTITION_BY_NUM", dealt)  # twice the session's 4: not merged by size
     got, want = (x.select("request_id", "item_id", "position", "plan_idx") for x in (domain.hits(spark, "/root/testdata/sf0.001"), domain.plan(domain.profiles(spark, "/root/testdata/sf0.001")).join(domain.search_lists(spark, "/root/testdata/sf0.001"), ["source_type", "query"]).where("position < `limit`")))
     assert got.count() == want.count() and not got.exceptAll(want).limit(1).count()
     assert queries.QUERIES["tag_match"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().count("l_partkey") < queries.QUERIES["trust_score"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().count("l_partkey")
 
 
 def test_bought_items_are_shuffled_once(spark):
-    """On the request; their numbering and the profiles reuse that."""
+    """On the item, where their texts are, and on the request; their numbering and the profiles reuse that."""
     plan = domain.liked(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert len(re.findall(r"hashpartitioning\(request_id#", plan)) == 1 and not re.search(r"hashpartitioning\(request_id#\d+L?, item_id", plan)
 
