@@ -35,3 +35,10 @@ def test_recall_with_lists_gives_the_same_candidates(spark):
     a, b = (R.candidates(spark, SF, profiles, **given).select(columns) for given in ({"hits": hits}, {"more": more}))
     assert a.where(F.array_contains("types", "embedding")).count() == 4 * profiles.count()
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_plans_of_different_texts_share_the_shuffle_of_liked_items(spark):
+    own = domain.liked(spark, SF)
+    both = own.select("request_id", "pos", F.col("title").alias("text")).unionByName(own.select("request_id", "pos", F.col("artist").alias("text")))
+    assert len(both.collect()) == 2 * own.count()
+    assert any("ReusedExchange" in line and "texts" in line for line in both._jdf.queryExecution().executedPlan().toString().splitlines())
