@@ -36,3 +36,12 @@ def test_candidates_and_pools_are_dealt_so_and_stay_the_same(spark, monkeypatch)
 def test_cards_make_profiles_once(spark):
     read = queries.QUERIES["pick_types"](spark, SF).inputFiles()
     assert not any("orders.parquet" in f for f in read)
+
+
+def test_hits_are_shuffled_as_rows_of_searches(spark):
+    """merge_tracks, merge_channels: hits are made after the shuffle by request, so they are never shuffled one by one."""
+    for name in ("merge_tracks", "merge_channels"):
+        plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        lines = plan.split("Initial Plan")[0].splitlines()
+        made = next(i for i, line in enumerate(lines) if "Generate posexplode" in line)
+        assert not any("Exchange" in line for line in lines[:made]), name
