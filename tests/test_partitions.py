@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tessera import queries
+from tessera.functions import text as X
 from tessera.plans import domain
 from tessera.plans import recommend as R
 
@@ -45,3 +46,17 @@ def test_hits_are_shuffled_as_rows_of_searches(spark):
         lines = plan.split("Initial Plan")[0].splitlines()
         made = next(i for i, line in enumerate(lines) if "Generate posexplode" in line)
         assert not any("Exchange" in line for line in lines[:made]), name
+
+
+def test_scores_carry_only_what_is_asked_for(spark):
+    """What nobody asks for goes neither through Python nor into the merging of hits, which is one sort."""
+    plan = queries.QUERIES["final_score"](spark, SF)._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    step = next(line for line in plan.splitlines() if "MapInArrow" in line)
+    assert not any(c in step for c in ("sources", "taste_tokens", "text_codes"))
+    last = plan.split("Exchange")[0]
+    assert "Window" in last and "ObjectHashAggregate" not in last
+
+
+def test_tokens_without_others_keep_order_and_repeats(spark):
+    rows = spark.createDataFrame([(["b", "a", "c"], ["a"]), (["b", "a", "b", "c"], ["c"]), ([], ["a"]), (["a"], [])], "t array<string>, gone array<string>")
+    assert [x.rest for x in rows.select(X.without(F.col("t"), F.col("gone")).alias("rest")).collect()] == [["b", "c"], ["b", "a", "b"], [], ["a"]]
